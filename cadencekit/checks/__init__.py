@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from cadencekit.checks.base import Check
 
-MODULES = ("streams", "scalars")
+MODULES = ("streams", "scalars", "joins")
 
 
 def registry() -> dict[str, Check]:

@@ -32,32 +32,32 @@ def _col(c: Column | str | float) -> Column:
 
 
 def finite(c: Column | str) -> Column:
-    """The value, or null for NaN and both infinities."""
+    """The value, or null for NaN and both infinities (NaN sorts above infinity)."""
     c = _col(c).cast("double")
-    return F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
+    return F.when(F.abs(c) < float("inf"), c)
 
 
 def finite_pos(c: Column | str) -> Column:
     """The value when it is finite and above zero, else null."""
-    c = finite(c)
-    return F.when(c > 0, c)
+    c = _col(c).cast("double")
+    return F.when((c > 0) & (c < float("inf")), c)
 
 
 def finite_nonneg(c: Column | str) -> Column:
-    c = finite(c)
-    return F.when(c >= 0, c)
+    c = _col(c).cast("double")
+    return F.when((c >= 0) & (c < float("inf")), c)
 
 
 def sampling_rate(c: Column | str) -> Column:
     """A delivered rate inside the accepted sampling range, else null."""
-    c = finite(c)
-    return F.when(c.between(*SAMPLING_RANGE), c)
+    c = _col(c).cast("double")
+    return F.when((c >= SAMPLING_RANGE[0]) & (c <= SAMPLING_RANGE[1]), c)
 
 
 def nominal_rate(c: Column | str) -> Column:
     """A content rate inside the accepted range, capped at 60, else null."""
-    c = finite(c)
-    return F.when(c.between(*CONTENT_RANGE), F.least(c, F.lit(CONTENT_MAX)))
+    c = _col(c).cast("double")
+    return F.when((c >= CONTENT_RANGE[0]) & (c <= CONTENT_RANGE[1]), F.least(c, F.lit(CONTENT_MAX)))
 
 
 def bounded_rate(rate: Column | str, signal: Column | str) -> Column:
@@ -170,3 +170,10 @@ def advertised_points(lo: Column | str, hi: Column | str) -> Column:
     wide = F.concat(inside, F.array(lo, hi))
     points = F.when(F.abs(lo - hi) < 0.01, F.array(hi)).otherwise(wide)
     return F.array_distinct(F.transform(points, lambda p: F.round(p * 100) / 100))
+
+
+def partial_phases(planned: Column | str, made: Column | str) -> Column:
+    """What is left of a pair when only the first ``made`` phases were produced, and its step."""
+    planned, made = _col(planned), _col(made)
+    kept = F.slice(planned, F.lit(1), F.greatest(F.least(made, F.size(planned)), F.lit(0)))
+    return F.struct(kept.alias("phases"), (F.size(kept) + 1).alias("step"))

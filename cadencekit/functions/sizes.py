@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cadencekit.functions.rates import _col, finite
+from cadencekit.functions.rates import _col, finite, finite_pos
 
 # Long-edge cap of each mode.
 MODE_CAPS = {"efficient": 1280, "balanced": 1280, "quality": 1920, "flow": 1920}
@@ -67,13 +67,14 @@ def rung_up(edge: Column | str) -> Column:
 
 def pixel_size(width: Column | str, height: Column | str, scale: Column | str,
                max_w: int = 3840) -> Column:
-    """Logical to pixel size: scale at least 1, width capped, both axes even and at least 2."""
-    width, height = _col(width).cast("double"), _col(height).cast("double")
-    factor = F.greatest(F.lit(1.0), _col(scale).cast("double"))
-    factor = F.least(factor, F.lit(float(max_w)) / F.greatest(width, F.lit(1.0)))
+    """Logical to pixel size: scale at least 1, width capped, both axes even and at least 2; 0 if invalid."""
+    width, height = finite_pos(width), finite_pos(height)
+    factor = F.greatest(F.lit(1.0), F.coalesce(finite(scale), F.lit(1.0)))
+    factor = F.least(factor, F.lit(float(max_w)) / width)
 
     def even(c: Column) -> Column:
-        return F.greatest(F.lit(2), (F.floor(c / 2) * 2).cast("int"))
+        size = F.greatest(F.lit(2), (F.floor(c / 2) * 2).cast("int"))
+        return F.when(width.isNotNull() & height.isNotNull(), size).otherwise(F.lit(0))
 
     return F.struct(even(width * factor).alias("width"), even(height * factor).alias("height"))
 
