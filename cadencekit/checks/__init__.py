@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from cadencekit.checks.base import Check
 
-MODULES = ("streams", "scalars", "joins")
+MODULES = ("streams", "scalars", "joins", "reports", "controls")
 
 
 def registry() -> dict[str, Check]:

@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cadencekit.operators.ordered import join_on, ordered
 
@@ -51,7 +52,7 @@ def identical(df: DataFrame, keys: Sequence[str], by: Sequence[str], payload: st
             .drop("_row", "_sig", "_psig", "_digest", "_pdig").done())
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def differing_bytes(a: pd.Series, b: pd.Series) -> pd.Series:
     """Number of positions at which two equally long byte strings differ."""
     counts = [int(np.count_nonzero(np.frombuffer(x, np.uint8) != np.frombuffer(y, np.uint8)))
@@ -187,8 +188,9 @@ def _motion(prev: np.ndarray, cur: np.ndarray) -> list[dict]:
     return [dict(zip(names, row, strict=True)) for row in zip(*(c.tolist() for c in columns), strict=True)]
 
 
-MOTION_TYPE = ("array<struct<bx:int,by:int,dx:int,dy:int,cost:double,second:double,"
-               "flow_x:double,flow_y:double,confidence:double>>")
+MOTION_TYPE = T.ArrayType(T.StructType([
+    *[T.StructField(n, T.IntegerType()) for n in ("bx", "by", "dx", "dy")],
+    *[T.StructField(n, T.DoubleType()) for n in ("cost", "second", "flow_x", "flow_y", "confidence")]]))
 
 
 @F.pandas_udf(MOTION_TYPE)
