@@ -123,33 +123,33 @@ def frame_pairs(frames: DataFrame, keys: Sequence[str], seq: str, luma: str) ->
     return join_on(join_on(frames, links, [*keys, seq], "inner"), old, [*keys, "_before"], "inner").drop("_before")
 
 
-def _coarser(level: np.ndarray) -> np.ndarray:
-    padded = np.pad(level, [(0, n % 2) for n in level.shape], mode="edge")
-    return (padded[::2, ::2] + padded[1::2, ::2] + padded[::2, 1::2] + padded[1::2, 1::2]) / 4
+def _coarser(levels: np.ndarray) -> np.ndarray:
+    """2 x 2 means of a stack of pictures (n, height, width), edges repeated."""
+    padded = np.pad(levels, [(0, 0), *[(0, n % 2) for n in levels.shape[1:]]], mode="edge")
+    return (padded[:, ::2, ::2] + padded[:, 1::2, ::2] + padded[:, ::2, 1::2] + padded[:, 1::2, 1::2]) / 4
 
 
-def _patches(level: np.ndarray, ys: np.ndarray, xs: np.ndarray) -> np.ndarray:
-    """The 3 x 3 stride-2 patch around each position, clamped to the picture: (n, 9)."""
-    offsets = [(dy, dx) for dy in (-2, 0, 2) for dx in (-2, 0, 2)]
-    rows = [np.clip(ys + dy, 0, level.shape[0] - 1) for dy, _ in offsets]
-    cols = [np.clip(xs + dx, 0, level.shape[1] - 1) for _, dx in offsets]
-    return np.stack([level[r, c] for r, c in zip(rows, cols, strict=True)], axis=1)
+# The 3 x 3 stride-2 patch around a position.
+PATCH_Y, PATCH_X = (g.ravel() for g in np.mgrid[-2:3:2, -2:3:2])
 
 
-def _clamped_cost(a: np.ndarray, b: np.ndarray, ys, xs, dy, dx) -> np.ndarray:
-    return np.abs(_patches(a, ys, xs) - _patches(b, ys + dy, xs + dx)).mean(axis=1)
+def _patches(levels: np.ndarray, ys: np.ndarray, xs: np.ndarray) -> np.ndarray:
+    """Patches at positions of shape (n, ...), clamped to the picture: (n, ..., 9)."""
+    frame = np.arange(len(levels)).reshape(-1, *[1] * ys.ndim)
+    rows = np.clip(ys[..., None] + PATCH_Y, 0, levels.shape[1] - 1)
+    cols = np.clip(xs[..., None] + PATCH_X, 0, levels.shape[2] - 1)
+    return levels[frame, rows, cols]
 
 
 def _search(a: np.ndarray, b: np.ndarray, ys, xs, seed_y, seed_x, radius: int):
-    """Best displacement around a seed for every position: lowest cost, then shortest, then first."""
-    steps = [(dy, dx) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1)]
-    costs = np.stack([_clamped_cost(a, b, ys, xs, seed_y + dy, seed_x + dx) for dy, dx in steps])
-    lengths = np.stack([(seed_y + dy) ** 2 + (seed_x + dx) ** 2 for dy, dx in steps])
-    order = np.lexsort((lengths, costs), axis=0)
-    best, every = order[0], np.arange(len(ys))
-    picked = np.array(steps)[best]
-    second = np.sort(costs, axis=0)[1] if len(steps) > 1 else np.full(len(ys), 1e10)
-    return seed_y + picked[:, 0], seed_x + picked[:, 1], costs[best, every], second
+    """Best displacement around a seed (n, cells): lowest cost, then shortest, then first in scan order."""
+    step_y, step_x = (g.ravel() for g in np.mgrid[-radius:radius + 1, -radius:radius + 1])
+    dy, dx = seed_y[..., None] + step_y, seed_x[..., None] + step_x
+    here = _patches(a, ys, xs)[:, :, None, :]
+    costs = np.abs(here - _patches(b, ys[..., None] + dy, xs[..., None] + dx)).mean(axis=-1)
+    best = np.lexsort((dy * dy + dx * dx, costs), axis=-1)[..., :1]
+    second = np.partition(costs, 1, axis=-1)[..., 1]
+    return (*(np.take_along_axis(v, best, -1)[..., 0] for v in (dy, dx, costs)), second)
 
 
 def _ramp(lo: float, hi: float, x: np.ndarray) -> np.ndarray:
@@ -157,35 +157,38 @@ def _ramp(lo: float, hi: float, x: np.ndarray) -> np.ndarray:
     return u * u * (3 - 2 * u)
 
 
-def _motion(prev: np.ndarray, cur: np.ndarray) -> list[dict]:
-    """Displacement and confidence of each 4 x 4 cell of a frame pair, coarse to fine."""
+def _motion(prev: np.ndarray, cur: np.ndarray) -> list[list[dict]]:
+    """Displacement and confidence of each 4 x 4 cell of every frame pair, coarse to fine."""
     levels = [(prev, cur)]
     for _ in range(2):
         levels.append(tuple(_coarser(x) for x in levels[-1]))
-    height, width = levels[2][0].shape
-    cy, cx = (g.ravel() for g in np.mgrid[0:height, 0:width])
-    zero = np.zeros(len(cy), dtype=int)
+    n, height, width = levels[2][0].shape
+    cy, cx = (np.broadcast_to(g.ravel(), (n, height * width)) for g in np.mgrid[0:height, 0:width])
+    zero = np.zeros(cy.shape, dtype=int)
     dy2, dx2, _, _ = _search(*levels[2], cy, cx, zero, zero, RADII[0])
     dy1, dx1, _, _ = _search(*levels[1], cy * 2 + 1, cx * 2 + 1, dy2 * 2, dx2 * 2, RADII[1])
     ys, xs = cy * 4 + 2, cx * 4 + 2
     dy, dx, best, second = _search(prev, cur, ys, xs, dy1 * 2, dx1 * 2, RADII[2])
-    near = {d: _clamped_cost(prev, cur, ys, xs, dy + d[0], dx + d[1]) for d in ((0, -1), (0, 1), (-1, 0), (1, 0))}
+    patch = _patches(prev, ys, xs)
+
+    def cost(step_y: int, step_x: int) -> np.ndarray:
+        return np.abs(patch - _patches(cur, ys + dy + step_y, xs + dx + step_x)).mean(axis=-1)
 
     def shift(low: np.ndarray, high: np.ndarray) -> np.ndarray:
         bend = low - 2 * best + high
         ok = (best > 1e-6) & (np.abs(bend) > 1e-5)
         return np.where(ok, np.clip(0.5 * (low - high) / np.where(ok, bend, 1), -0.5, 0.5), 0.0)
 
-    patch = _patches(prev, ys, xs)
-    texture = _ramp(*TEXTURE_RAMP, np.maximum(0, (patch**2).mean(axis=1) - patch.mean(axis=1) ** 2))
+    texture = _ramp(*TEXTURE_RAMP, np.maximum(0, (patch**2).mean(axis=-1) - patch.mean(axis=-1) ** 2))
     unique = _ramp(*UNIQUE_RAMP, np.maximum(0, second - best))
     inside = (np.abs(dx2) < RADII[0]) & (np.abs(dy2) < RADII[0])
     trust = (1 - _ramp(*RESIDUAL_RAMP, best)) * np.maximum(texture, unique) * inside
-    flow_x = (dx + shift(near[0, -1], near[0, 1])) * BLOCK
-    flow_y = (dy + shift(near[-1, 0], near[1, 0])) * BLOCK
+    flow_x = (dx + shift(cost(0, -1), cost(0, 1))) * BLOCK
+    flow_y = (dy + shift(cost(-1, 0), cost(1, 0))) * BLOCK
     names = ("bx", "by", "dx", "dy", "cost", "second", "flow_x", "flow_y", "confidence")
     columns = (cx, cy, dx, dy, best, second, flow_x, flow_y, trust)
-    return [dict(zip(names, row, strict=True)) for row in zip(*(c.tolist() for c in columns), strict=True)]
+    return [[dict(zip(names, cell, strict=True)) for cell in zip(*(c[i].tolist() for c in columns), strict=True)]
+            for i in range(n)]
 
 
 MOTION_TYPE = T.ArrayType(T.StructType([
@@ -193,11 +196,25 @@ MOTION_TYPE = T.ArrayType(T.StructType([
     *[T.StructField(n, T.DoubleType()) for n in ("cost", "second", "flow_x", "flow_y", "confidence")]]))
 
 
+# Most candidate values held at once while searching: about 64 MB.
+SEARCH_VALUES = 8_000_000
+
+
 @F.pandas_udf(MOTION_TYPE)
 def _motion_cells(prev: pd.Series, cur: pd.Series, width: pd.Series) -> pd.Series:
-    def frame(values, w):
-        return np.asarray(values, dtype=float).reshape(-1, int(w))
-    return pd.Series([_motion(frame(p, w), frame(c, w)) for p, c, w in zip(prev, cur, width, strict=True)])
+    out: list = [None] * len(prev)
+    shapes: dict[tuple[int, int], list[int]] = {}
+    for i, (values, w) in enumerate(zip(prev, width, strict=True)):
+        shapes.setdefault((len(values) // int(w), int(w)), []).append(i)
+    for (h, w), rows in shapes.items():
+        cells = max(1, -(-h // 4) * -(-w // 4))
+        size = max(1, SEARCH_VALUES // (cells * 81 * 9))
+        for start in range(0, len(rows), size):
+            part = rows[start:start + size]
+            old, new = (np.array([s.iloc[i] for i in part], dtype=float).reshape(-1, h, w) for s in (prev, cur))
+            for i, found in zip(part, _motion(old, new), strict=True):
+                out[i] = found
+    return pd.Series(out)
 
 
 def motion(pairs: DataFrame, frame: Sequence[str], luma: str, width: Column) -> DataFrame:

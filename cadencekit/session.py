@@ -33,20 +33,19 @@ def hot_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(HOT_ROWS_CONF, str(DEFAULT_HOT_ROWS)))
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
+def checkpoint_base(spark: SparkSession) -> str:
+    """The session's shared checkpoint folder; set to a local one only where none is named."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
+    if sc.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
         # No cluster folder is named: a single-machine session, as in tests.
-        shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    sc.setCheckpointDir(shared)
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return sc.getCheckpointDir()
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """Cut lineage through the reliable checkpoint folder of the session."""
-    _ensure_checkpoint_dir(df.sparkSession)
+    checkpoint_base(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
