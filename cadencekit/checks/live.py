@@ -16,7 +16,7 @@ from cadencekit.streaming import streams as S
 
 DAY_MS = 86_400_000
 # A micro-batch of one key is sorted in memory, so triggers are bounded.
-BATCH_BYTES = "1g"
+BATCH_BYTES = 1 << 30
 KEYS, BY = ["stream_id"], ["us", "event_id"]
 
 

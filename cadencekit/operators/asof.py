@@ -35,7 +35,8 @@ def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str,
         F.lit(0.0).alias("_tie"), F.struct(*held).alias("_left"))
     both = left_side.unionByName(right_side, allowMissingColumns=True)
     # Many left rows may share one instant, so a spread value lets a hot instant be cut.
-    both = both.withColumn("_spread", F.when(F.col("_left").isNotNull(), F.xxhash64("_left")).otherwise(0))
+    spread = F.shiftrightunsigned(F.xxhash64("_left"), 2)
+    both = both.withColumn("_spread", F.when(F.col("_left").isNotNull(), spread).otherwise(0))
     s = ordered(both, keys, ["_t", "_side", "_tie", "_spread"])
     s = s.running(desc=forward, _found=Running("last", F.col("_right")))
     found = s.done().filter(F.col("_left").isNotNull())

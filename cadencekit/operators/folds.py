@@ -19,12 +19,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cadencekit.operators.ordered import CUT, Ordered, join_on, ordered
-from cadencekit.session import materialise
+from cadencekit.session import hot_rows, materialise, surely_small
 
 # A step takes the ordered rows of one piece and the state before it (None at the start of a
 # stream) and returns one dict of lists (the new columns) and the state after it.
 Step = Callable[[pd.DataFrame, object], tuple[dict[str, list], object]]
 
+# A fold holds its piece in memory, so pieces are smaller than for windows.
 FOLD_ROWS = 1_000_000
 
 
@@ -42,6 +43,8 @@ def _canonical(value: object) -> object:
 def fold(df: DataFrame, keys: Sequence[str], by: Sequence[str], step: Step,
          columns: dict[str, str], limit: int | None = None) -> DataFrame:
     """Add ``columns`` (name -> DDL type) computed by ``step`` in stream order."""
+    if limit is None and not surely_small(df):
+        limit = min(hot_rows(df.sparkSession), FOLD_ROWS)
     stream = ordered(df, keys, by, limit)
     if not stream.cut:
         return _emit(stream.df, list(keys), list(by), step, columns)

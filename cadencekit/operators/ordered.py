@@ -186,25 +186,25 @@ class Ordered:
             return self.with_df(plain)
         cell_order = Window.partitionBy(*self.keys).orderBy(CUT)
         cells = (
-            base.df.groupBy(*self.part).agg(F.count("*").alias("_n"))
-            .withColumn("_end", F.sum("_n").over(
+            base.df.groupBy(*self.part).agg(F.count("*").alias("_cut_n"))
+            .withColumn("_cut_end", F.sum("_cut_n").over(
                 cell_order.rowsBetween(Window.unboundedPreceding, 0)))
-            .withColumn("_next", F.collect_list(
-                F.struct(F.col(CUT), (F.col("_end") - F.col("_n")).alias("begin"))
+            .withColumn("_cut_next", F.collect_list(
+                F.struct(F.col(CUT), (F.col("_cut_end") - F.col("_cut_n")).alias("begin"))
             ).over(cell_order.rowsBetween(1, rows)))
-            .withColumn("_next", F.filter("_next", lambda x: x["begin"] - F.col("_end") < rows))
-            .select(*self.part, "_end", F.explode("_next").alias("_to"))
+            .withColumn("_cut_next", F.filter("_cut_next", lambda x: x["begin"] - F.col("_cut_end") < rows))
+            .select(*self.part, "_cut_end", F.explode("_cut_next").alias("_cut_to"))
         )
         tails = (
-            base.df.withColumn("_back", F.row_number().over(self.window(desc=True)))
-            .filter(F.col("_back") <= rows)
+            base.df.withColumn("_cut_back", F.row_number().over(self.window(desc=True)))
+            .filter(F.col("_cut_back") <= rows)
         )
         copies = (
             join_on(tails, cells, self.part, "inner")
-            .filter(F.col("_back") <= rows - (F.col("_to.begin") - F.col("_end")))
-            .withColumn(CUT, F.col(f"_to.{CUT}"))
+            .filter(F.col("_cut_back") <= rows - (F.col("_cut_to.begin") - F.col("_cut_end")))
+            .withColumn(CUT, F.col(f"_cut_to.{CUT}"))
             .withColumn(HALO, F.lit(True))
-            .drop("_back", "_end", "_to")
+            .drop("_cut_back", "_cut_end", "_cut_to")
         )
         return self.with_df(plain.unionByName(copies))
 
@@ -213,28 +213,28 @@ class Ordered:
         plain = base.df.withColumn(HALO, F.lit(False))
         group = [*self.part, *within]
         cells = base.df.filter(F.col(column).isNotNull()).groupBy(*group).agg(
-            F.min(column).alias("_lo"), F.max(column).alias("_hi"))
+            F.min(column).alias("_cut_lo"), F.max(column).alias("_cut_hi"))
         # Each cell asks, at its first time, which earlier cells end inside the trailing span.
-        ends = cells.select(*group, F.col("_hi").alias("_x"), F.col(CUT).alias("_from"))
+        ends = cells.select(*group, F.col("_cut_hi").alias("_cut_x"), F.col(CUT).alias("_cut_from"))
         starts = cells.select(
-            *group, F.col("_lo").alias("_x"),
-            F.lit(None).cast(T.ArrayType(T.LongType())).alias("_from"))
-        reach = (Window.partitionBy(*self.keys, *within).orderBy("_x")
+            *group, F.col("_cut_lo").alias("_cut_x"),
+            F.lit(None).cast(T.ArrayType(T.LongType())).alias("_cut_from"))
+        reach = (Window.partitionBy(*self.keys, *within).orderBy("_cut_x")
                  .rangeBetween(-(width - 1), 0))
         links = (
             ends.unionByName(starts)
-            .withColumn("_cells", F.collect_list("_from").over(reach))
-            .filter(F.col("_from").isNull())
-            .select(*self.keys, *within, F.col(CUT).alias("_to"), F.col("_x").alias("_first"),
-                    F.explode("_cells").alias(CUT))
-            .filter(F.col(CUT) < F.col("_to"))
+            .withColumn("_cut_cells", F.collect_list("_cut_from").over(reach))
+            .filter(F.col("_cut_from").isNull())
+            .select(*self.keys, *within, F.col(CUT).alias("_cut_to"), F.col("_cut_x").alias("_cut_first"),
+                    F.explode("_cut_cells").alias(CUT))
+            .filter(F.col(CUT) < F.col("_cut_to"))
         )
         copies = (
             join_on(base.df, links, group, "inner")
-            .filter(F.col(column) > F.col("_first") - width)
-            .withColumn(CUT, F.col("_to"))
+            .filter(F.col(column) > F.col("_cut_first") - width)
+            .withColumn(CUT, F.col("_cut_to"))
             .withColumn(HALO, F.lit(True))
-            .drop("_to", "_first")
+            .drop("_cut_to", "_cut_first")
         )
         return self.with_df(plain.unionByName(copies))
 
@@ -249,7 +249,7 @@ def ordered(df: DataFrame, keys: Sequence[str], by: Sequence[str],
     if limit is None and surely_small(df):
         return Ordered(df, keys, by)
     limit = limit or hot_rows(df.sparkSession)
-    cells = _measure(df, keys, by).filter(F.col("_n") > limit)
+    cells = _measure(df, keys, by).filter(F.col("_cut_n") > limit)
     if cells.isEmpty():
         return Ordered(df, keys, by)
     df = materialise(df).withColumn(CUT, F.array().cast(T.ArrayType(T.LongType())))
@@ -257,14 +257,14 @@ def ordered(df: DataFrame, keys: Sequence[str], by: Sequence[str],
     kinds = {f.name: f.dataType for f in df.schema.fields}
     for _ in range(MAX_LEVELS):
         # A hot cell holds more than `limit` rows, so this table has at most rows/limit entries.
-        cells = materialise(_measure(df, path, by).filter(F.col("_n") > limit)
+        cells = materialise(_measure(df, path, by).filter(F.col("_cut_n") > limit)
                             .filter(_splittable(by)))
         if cells.isEmpty():
             break
-        pieces = F.ceil(F.col("_n") * 2 / F.lit(limit)) + 1
+        pieces = F.ceil(F.col("_cut_n") * 2 / F.lit(limit)) + 1
         cell = F.lit(None).cast("long")
         for i, column in reversed(list(enumerate(by))):
-            lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+            lo, hi = F.col(f"_cut_lo{i}"), F.col(f"_cut_hi{i}")
             if isinstance(kinds[column], (T.DoubleType, T.FloatType)):
                 index = F.floor((F.col(column) - lo) / ((hi - lo) / pieces))
             else:
@@ -273,9 +273,9 @@ def ordered(df: DataFrame, keys: Sequence[str], by: Sequence[str],
             cell = F.when(lo < hi, index.cast("long")).otherwise(cell)
         df = (
             join_on(df, cells, path)
-            .withColumn(CUT, F.when(F.col("_n").isNull(), F.col(CUT))
+            .withColumn(CUT, F.when(F.col("_cut_n").isNull(), F.col(CUT))
                         .otherwise(F.concat(CUT, F.array(cell))))
-            .drop("_n", *[f"_{e}{i}" for i in range(len(by)) for e in ("lo", "hi")])
+            .drop("_cut_n", *[f"_cut_{e}{i}" for i in range(len(by)) for e in ("lo", "hi")])
         )
     return Ordered(df, keys, by, cut=True)
 
@@ -283,12 +283,12 @@ def ordered(df: DataFrame, keys: Sequence[str], by: Sequence[str],
 def _measure(df: DataFrame, group: Sequence[str], by: Sequence[str]) -> DataFrame:
     bounds = []
     for i, column in enumerate(by):
-        bounds += [F.min(column).alias(f"_lo{i}"), F.max(column).alias(f"_hi{i}")]
-    return df.groupBy(*group).agg(F.count("*").alias("_n"), *bounds)
+        bounds += [F.min(column).alias(f"_cut_lo{i}"), F.max(column).alias(f"_cut_hi{i}")]
+    return df.groupBy(*group).agg(F.count("*").alias("_cut_n"), *bounds)
 
 
 def _splittable(by: Sequence[str]) -> Column:
     spread = F.lit(False)
     for i in range(len(by)):
-        spread = spread | (F.col(f"_lo{i}") < F.col(f"_hi{i}"))
+        spread = spread | (F.col(f"_cut_lo{i}") < F.col(f"_cut_hi{i}"))
     return spread
