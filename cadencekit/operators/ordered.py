@@ -160,14 +160,15 @@ class Ordered:
         frame = base.window(*within).rowsBetween(-(rows - 1), 0)
         return base._apply(frame, exprs)
 
-    def trailing_span(self, column: str, width: int, within: Sequence[str] = (),
+    def trailing_span(self, column: str, width: int, within: Sequence[str] = (), peers: bool = True,
                       **exprs: Callable[[WindowSpec], Column]) -> Ordered:
         """Frame expressions over rows with ``column`` in ``(current - width, current]``.
 
         ``column`` is an integer and must be the leading ordering column of the stream (or rise
-        with it inside each ``within`` group).
+        with it inside each ``within`` group).  As in any range frame, later rows of equal
+        ``column`` count too; ``peers=False`` says that none of them matters, which spares copies.
         """
-        base = self._with_span_halo(column, width, within) if self.cut else self
+        base = self._with_span_halo(column, width, within, peers) if self.cut else self
         frame = (
             Window.partitionBy(*base.part, *within).orderBy(column).rangeBetween(-(width - 1), 0)
         )
@@ -208,7 +209,7 @@ class Ordered:
         )
         return self.with_df(plain.unionByName(copies))
 
-    def _with_span_halo(self, column: str, width: int, within: Sequence[str]) -> Ordered:
+    def _with_span_halo(self, column: str, width: int, within: Sequence[str], peers: bool) -> Ordered:
         base = self._pinned()
         plain = base.df.withColumn(HALO, F.lit(False))
         group = [*self.part, *within]
@@ -228,13 +229,26 @@ class Ordered:
             .select(*self.keys, *within, F.col(CUT).alias("_cut_to"), F.col("_cut_x").alias("_cut_first"),
                     F.explode("_cut_cells").alias(CUT))
             .filter(F.col(CUT) < F.col("_cut_to"))
+            .withColumn("_cut_top", F.col("_cut_first"))
         )
+        if peers:
+            # A cell also needs the rows of later cells that share its last time.
+            last = cells.select(*self.keys, *within, F.col(CUT).alias("_cut_to"), F.col("_cut_hi").alias("_cut_lo"))
+            ahead = (
+                join_on(cells, last, [*self.keys, *within, "_cut_lo"], "inner")
+                .filter(F.col(CUT) > F.col("_cut_to"))
+                .select(*self.keys, *within, "_cut_to", F.lit(None).cast("long").alias("_cut_first"), CUT,
+                        F.col("_cut_lo").alias("_cut_top"))
+            )
+            links = links.unionByName(ahead)
+        before = (F.col(column) > F.col("_cut_first") - width) & (F.col(column) <= F.col("_cut_first"))
+        tied = F.col("_cut_first").isNull() & (F.col(column) == F.col("_cut_top"))
         copies = (
             join_on(base.df, links, group, "inner")
-            .filter(F.col(column) > F.col("_cut_first") - width)
+            .filter(before | tied)
             .withColumn(CUT, F.col("_cut_to"))
             .withColumn(HALO, F.lit(True))
-            .drop("_cut_to", "_cut_first")
+            .drop("_cut_to", "_cut_first", "_cut_top")
         )
         return self.with_df(plain.unionByName(copies))
 

@@ -104,7 +104,7 @@ def with_steps(s: Ordered, display: Column, target: Column) -> Ordered:
     s = s.trailing_rows(RECENT_PAIRS, _periods=lambda w: F.collect_list("period_s").over(w))
     # The last eight measured rates: pairs without one do not push older rates out.
     s = s.running(_nth=Running("count", F.col("evidence_fps")))
-    s = s.trailing_span("_nth", RECENT_PAIRS, _rates=lambda w: F.collect_list("evidence_fps").over(w))
+    s = s.trailing_span("_nth", RECENT_PAIRS, peers=False, _rates=lambda w: F.collect_list("evidence_fps").over(w))
     content = F.coalesce(median_upper(F.col("_rates")), 1 / median_upper(F.col("_periods")))
     s = s.withColumn("step_rate", content)
     step = fit_step(choose_step("step_rate", target, display), "period_s", display)

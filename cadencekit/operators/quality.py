@@ -65,7 +65,7 @@ def interval_p95(s: Ordered, time: str, rows: int = 120, within: Sequence[str] =
     s = s.withColumn("interval", step)
     # Count only real intervals, so that skipped rows do not push older ones out of the frame.
     s = s.running(_nth=Running("count", F.col("interval")))
-    s = s.trailing_span("_nth", rows, within, _list=lambda w: F.collect_list("interval").over(w))
+    s = s.trailing_span("_nth", rows, within, peers=False, _list=lambda w: F.collect_list("interval").over(w))
     index = F.floor((F.size("_list") - 1) * F.lit(0.95)).cast("int")
     picked = F.when(F.size("_list") > 0, F.get(F.array_sort("_list"), index)).otherwise(0)
     return s.withColumn("interval_p95", picked).drop("_top", "_nth", "_list")
