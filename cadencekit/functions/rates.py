@@ -6,6 +6,7 @@ An invalid input gives null (or false for a predicate), never an error.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import pairwise
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -69,13 +70,12 @@ def bounded_rate(rate: Column | str, signal: Column | str) -> Column:
 def snap_rate(rate: Column | str, standards: Sequence[float] = STANDARD_RATES) -> Column:
     """Nearest standard rate within ``max(0.15, 1.5 %)``, else the rate itself."""
     rate = finite_pos(rate)
-    points = F.array(*[
-        F.struct(F.abs(F.lit(s) - rate).alias("d"), F.lit(i).alias("i"), F.lit(s).alias("v"))
-        for i, s in enumerate(standards)])
-    exact = F.filter(points, lambda p: p["d"] < 1e-6)
-    nearest = F.array_min(points)
-    near = nearest["d"] <= F.greatest(F.lit(0.15), rate * 0.015)
-    return F.when(F.size(exact) > 0, F.get(exact, F.lit(0))["v"]).when(near, nearest["v"]).otherwise(rate)
+    points = sorted(standards)
+    nearest = F.lit(points[-1])
+    for low, high in reversed(list(pairwise(points))):
+        nearest = F.when(rate <= (low + high) / 2, low).otherwise(nearest)
+    near = F.abs(nearest - rate) <= F.greatest(F.lit(0.15), rate * 0.015)
+    return F.when(near, nearest).otherwise(rate)
 
 
 def clamp_refresh(c: Column | str) -> Column:
@@ -126,11 +126,12 @@ def fit_step(step: Column | str, period: Column | str, display: Column | str) ->
 def phases(step: Column | str) -> Column:
     """Inner phases ``i / step`` of a pair, in order; empty unless the step is 2 or 3."""
     step = finite(step)
-    whole = F.round(step)
-    ok = step.between(2, MAX_STEP) & (F.abs(step - whole) < 0.001)
-    steps = F.transform(F.sequence(F.lit(1), F.greatest(whole.cast("int") - 1, F.lit(1))),
-                        lambda i: i.cast("double") / whole)
-    return F.when(ok, steps).otherwise(F.array().cast("array<double>"))
+    lists = {n: F.array(*[F.lit(i / n) for i in range(1, n)]) for n in range(2, MAX_STEP + 1)}
+    found = F.array().cast("array<double>")
+    for n, inner in lists.items():
+        # A step above the maximum counts for nothing, not even by rounding.
+        found = F.when((F.abs(step - n) < 0.001) & step.between(2, MAX_STEP), inner).otherwise(found)
+    return found
 
 
 def eligible(rate: Column | str, display: Column | str, valid: Column | str,

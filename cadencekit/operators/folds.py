@@ -1,32 +1,36 @@
 """Ordered folds: state machines whose next state needs the last one.
 
-``fold`` runs a step function over each stream in order.  A stream above the row limit is cut (see
-``ordered``); every piece first runs from the empty state at the same time, and only pieces whose
-true incoming state differs from the one they used run again.  The result is exact once no incoming
-state changes, because the first piece is always right.  The machines in this library forget (they
-reset, or keep a bounded history), so this takes two or three rounds; a machine that never forgets
-needs as many rounds as pieces.
+``fold`` runs a step function over each stream in order.  Spark partitions and sorts the rows; a
+task then reads them in Arrow batches and keeps only the state of the current stream, so no stream
+is ever held in memory.  A stream above the row limit is cut (see ``ordered``): every piece first
+runs from the empty state at the same time, and only pieces whose true incoming state differs from
+the one they used run again.  The result is exact once no incoming state changes, because the first
+piece is always right.  The machines in this library forget (they reset, or keep a bounded
+history), so this takes two or three rounds; one that never forgets needs as many as pieces.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator, Sequence
+from itertools import pairwise
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from cadencekit.operators.ordered import CUT, Ordered, join_on, ordered
-from cadencekit.session import hot_rows, materialise, surely_small
+from cadencekit.session import materialise
 
-# A step takes the ordered rows of one piece and the state before it (None at the start of a
-# stream) and returns one dict of lists (the new columns) and the state after it.
+# A step takes the next ordered rows of one stream and the state before them (None at its start)
+# and returns one dict of lists (the new columns) and the state after them.
 Step = Callable[[pd.DataFrame, object], tuple[dict[str, list], object]]
 
-# A fold holds its piece in memory, so pieces are smaller than for windows.
-FOLD_ROWS = 1_000_000
+GROUP = "_group"
 
 
 def _canonical(value: object) -> object:
@@ -43,77 +47,114 @@ def _canonical(value: object) -> object:
 def fold(df: DataFrame, keys: Sequence[str], by: Sequence[str], step: Step,
          columns: dict[str, str], limit: int | None = None) -> DataFrame:
     """Add ``columns`` (name -> DDL type) computed by ``step`` in stream order."""
-    if limit is None and not surely_small(df):
-        limit = min(hot_rows(df.sparkSession), FOLD_ROWS)
     stream = ordered(df, keys, by, limit)
     if not stream.cut:
         return _emit(stream.df, list(keys), list(by), step, columns)
     pinned = stream.with_df(materialise(stream.df))
-    carry = _settle(pinned, step)
-    with_state = join_on(pinned.df, carry, pinned.part)
+    with_state = join_on(pinned.df, _settle(pinned, step), pinned.part)
     return _emit(with_state, pinned.part, list(by), step, columns).drop(CUT)
 
 
-def _schema(df: DataFrame, drop: Sequence[str], columns: dict[str, str]) -> T.StructType:
-    fields = [f for f in df.schema.fields if f.name not in drop]
-    added = T.StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in columns.items()))
-    return T.StructType([*fields, *added.fields])
+def _in_order(df: DataFrame, group: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Rows clustered by group and sorted, with the group as one text column."""
+    # An explicit number keeps small inputs on all cores: the work per row is in Python.
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    marked = df.repartition(partitions, *group).withColumn(GROUP, F.to_json(F.struct(*group)))
+    return marked.sortWithinPartitions(GROUP, *by)
+
+
+def _segments(batches: Iterator[pa.RecordBatch], step: Step, has_state: bool):
+    """Run the step over each group's rows in each batch: (batch, group, first, columns, state)."""
+    group, state = None, None
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        pdf = batch.to_pandas(integer_object_nulls=True)
+        ids = pdf[GROUP].to_numpy()
+        edges = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
+        for start, end in pairwise(edges):
+            if ids[start] != group:
+                group, raw = ids[start], pdf["_in"].iloc[start] if has_state else None
+                state = json.loads(raw) if raw else None
+            part, state = step(pdf.iloc[start:end], state)
+            yield batch, group, start, end, part, state
 
 
 def _emit(df: DataFrame, group: list[str], by: list[str], step: Step,
           columns: dict[str, str]) -> DataFrame:
     has_state = "_in" in df.columns
-    schema = _schema(df, ["_in"], columns)
-    names = [f.name for f in schema.fields]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(by, kind="stable", ignore_index=True)
-        raw = pdf["_in"].iloc[0] if has_state else None
-        out, _ = step(pdf, json.loads(raw) if raw else None)
-        for name in columns:
-            pdf[name] = out[name]
-        return pdf[names]
-
-    return df.groupBy(*group).applyInPandas(run, schema)
+    added = T.StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in columns.items()))
+    kept = [f for f in df.schema.fields if f.name != "_in"]
+    schema = T.StructType([*kept, *added.fields])
+    kinds = {f.name: to_arrow_type(f.dataType) for f in added.fields}
+    names = [f.name for f in kept]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, _, start, end, part, _ in _joined(_segments(batches, step, has_state)):
+            whole = batch.slice(start, end - start)
+            arrays = [whole.column(n) for n in names] + [pa.array(part[n], kinds[n]) for n in kinds]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*names, *kinds])
+
+    return _in_order(df, group, by).mapInArrow(run, schema)
+
+
+def _joined(segments):
+    """Merge the segments of one batch, so that output batches are as large as input ones."""
+    held = None
+    for batch, group, start, end, part, state in segments:
+        if held is not None and held[0] is batch:
+            for name, values in part.items():
+                held[4][name].extend(values)
+            held = (batch, group, held[2], end, held[4], state)
+        else:
+            if held is not None:
+                yield held
+            held = (batch, group, start, end, {n: list(v) for n, v in part.items()}, state)
+    if held is not None:
+        yield held
 
 
 def _settle(stream: Ordered, step: Step) -> DataFrame:
     """Incoming state of every piece, iterated until it no longer changes."""
     part, by = stream.part, list(stream.by)
-    state_schema = T.StructType(
-        [*[stream.df.schema[c] for c in part],
-         T.StructField("_out", T.StringType()), T.StructField("_same", T.StringType())])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(by, kind="stable", ignore_index=True)
-        raw = pdf["_in"].iloc[0]
-        _, state = step(pdf, json.loads(raw) if raw else None)
-        row = {c: [pdf[c].iloc[0]] for c in part}
-        row["_out"] = [json.dumps(state)]
-        row["_same"] = [json.dumps(_canonical(state))]
-        return pd.DataFrame(row)
+    schema = T.StructType([*[T.StructField(n, T.StringType()) for n in (GROUP, "_out", "_same")]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for _, group, _, _, _, state in _segments(batches, step, True):
+            if last is not None and last[0] != group:
+                yield _state_row(last)
+            last = (group, state)
+        if last is not None:
+            yield _state_row(last)
+
+    def run_pieces(todo: DataFrame) -> DataFrame:
+        rows = join_on(stream.df, todo.select(*part, "_in"), part, "inner")
+        states = _in_order(rows, part, by).mapInArrow(run, schema)
+        keyed = todo.select(*part).withColumn(GROUP, F.to_json(F.struct(*part)))
+        return keyed.join(states, GROUP).drop(GROUP)
 
     cell_order = Window.partitionBy(*stream.keys).orderBy(CUT)
     cells = stream.df.select(*part).distinct()
-    used = materialise(cells.withColumn("_in", F.lit(None).cast("string"))
-                       .withColumn("_key", F.lit(None).cast("string")))
-    states = None
-    todo = used
+    empty = F.lit(None).cast("string")
+    used = materialise(cells.withColumn("_in", empty).withColumn("_key", empty))
+    states, todo = None, used
     while True:
-        fresh = (join_on(stream.df, todo.select(*part, "_in"), part, "inner")
-                 .groupBy(*part).applyInPandas(run, state_schema))
+        fresh = run_pieces(todo)
         if states is not None:
-            kept = join_on(states, todo.select(*part), part, "left_anti")
-            fresh = kept.unionByName(fresh)
+            fresh = join_on(states, todo.select(*part), part, "left_anti").unionByName(fresh)
         states = materialise(fresh)
         incoming = states.select(
-            *part,
-            F.lag("_out").over(cell_order).alias("_in"),
-            F.lag("_same").over(cell_order).alias("_key"))
-        last = used.select(*part, F.col("_key").alias("_was"))
-        changed = join_on(incoming, last, part).filter(~F.col("_key").eqNullSafe(F.col("_was")))
+            *part, F.lag("_out").over(cell_order).alias("_in"), F.lag("_same").over(cell_order).alias("_key"))
+        was = used.select(*part, F.col("_key").alias("_was"))
+        changed = join_on(incoming, was, part).filter(~F.col("_key").eqNullSafe(F.col("_was")))
         todo = materialise(changed.drop("_was"))
         if todo.isEmpty():
             return used.select(*part, "_in")
-        kept_used = join_on(used, todo.select(*part), part, "left_anti")
-        used = materialise(kept_used.unionByName(todo))
+        used = materialise(join_on(used, todo.select(*part), part, "left_anti").unionByName(todo))
+
+
+def _state_row(last: tuple[str, object]) -> pa.RecordBatch:
+    group, state = last
+    values = (group, json.dumps(state), json.dumps(_canonical(state)))
+    return pa.RecordBatch.from_arrays([pa.array([v], pa.string()) for v in values], names=[GROUP, "_out", "_same"])
