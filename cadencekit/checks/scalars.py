@@ -68,12 +68,15 @@ CAP_SQL = f"""CASE {MODE_SQL} WHEN 'efficient' THEN CASE WHEN rate > 40 THEN 960
 SNAP_SQL = """(WITH s AS (SELECT unnest([20, 23.976, 24, 25, 29.97, 30, 40, 45, 48, 50, 59.94, 60]::DOUBLE[]) AS v)
   SELECT CASE WHEN min(abs(v - rate)) <= greatest(0.15, rate * 0.015) THEN arg_min(v, (abs(v - rate), v)) ELSE rate END FROM s)"""
 
-# Cost inputs in seconds and the phases of two- and three-step pairs.
-BATCH = lambda: F.col("l_discount") / 5
-LATER = lambda: F.when(F.col("l_linenumber") != 7, F.col("l_tax") / 10)
-ENDP = lambda: F.col("l_tax") / 20
-PHASES = lambda: rates.phases(F.when(F.col("l_linenumber") % 2 == 0, 2.0).otherwise(3.0))
-PERIOD = lambda: 1 / F.col("l_quantity")
+def cost_lines(spark, sf_dir):
+    """Line items read as command costs in seconds, with the phases of two- and three-step pairs."""
+    df = lines(spark, sf_dir).withColumns({
+        "batch": F.col("l_discount") / 5, "endp": F.col("l_tax") / 20, "period": 1 / F.col("l_quantity"),
+        "later": F.when(F.col("l_linenumber") != 7, F.col("l_tax") / 10),
+        "step": F.when(F.col("l_linenumber") % 2 == 0, 2.0).otherwise(3.0)})
+    return df.withColumn("phases", rates.phases("step"))
+
+
 COST_CTE = LINES + """, c AS (
   SELECT *, l_discount / 5 AS batch, CASE WHEN l_linenumber <> 7 THEN l_tax / 10 END AS later,
     l_tax / 20 AS endp, 1 / l_quantity AS period, CASE WHEN l_linenumber % 2 = 0 THEN 2 ELSE 3 END AS step
@@ -86,8 +89,9 @@ COST_CTE = LINES + """, c AS (
 
 
 def _cost_check(sql, **columns):
-    check = _line_check(sql, **columns)
-    return Check(check.run, f"{COST_CTE} SELECT {', '.join(KEYS)}, {sql} FROM fit")
+    def run(spark, sf_dir):
+        return cost_lines(spark, sf_dir).select(*KEYS, *[make().alias(n) for n, make in columns.items()])
+    return Check(run, f"{COST_CTE} SELECT {', '.join(KEYS)}, {sql} FROM fit")
 
 
 def rational_times(spark, sf_dir):
@@ -235,15 +239,15 @@ FROM (SELECT p_partkey, CAST((v >> 24) & 255 AS INT) AS a, CAST((v >> 16) & 255
                             r6(costs.processing_cost("odd", "l_tax", "l_discount"))).otherwise(INF)),
     "b26_pair_cost": _cost_check(
         "round(batch + CASE step WHEN 3 THEN later ELSE 0 END + endp, 9) AS cost",
-        cost=lambda: F.round(costs.pair_cost(BATCH(), LATER(), ENDP(), F.size(PHASES())), 9)),
+        cost=lambda: F.round(costs.pair_cost("batch", "later", "endp", F.size("phases")), 9)),
     "b27_costs_fit": _cost_check(
         """fits, coalesce(batch <= period * 1.5 AND endp <= period * 1.5 AND endp <= period * 0.9
              AND batch + endp + endp <= 3 * period * 0.9, FALSE) AS slot_fits""",
-        fits=lambda: costs.costs_fit(BATCH(), LATER(), ENDP(), PHASES(), PERIOD()),
-        slot_fits=lambda: costs.costs_fit_slot(F.array(BATCH(), ENDP()), ENDP(), PERIOD())),
+        fits=lambda: costs.costs_fit("batch", "later", "endp", "phases", "period"),
+        slot_fits=lambda: costs.costs_fit_slot(F.array("batch", "endp"), "endp", "period")),
     "b28_admit_pair": _cost_check(
         """l_linestatus = 'O' AND (step = 2 OR later IS NOT NULL) AND (flag OR fits) AS ok""",
-        ok=lambda: costs.admit_pair(BATCH(), LATER(), ENDP(), PHASES(), PERIOD(), "flag",
+        ok=lambda: costs.admit_pair("batch", "later", "endp", "phases", "period", "flag",
                                     F.col("l_linestatus") == "O")),
     "b31_recordable": _line_check(
         f"flag AND {W_SQL} >= 2 AND {H_SQL} >= 2 AS ok",
