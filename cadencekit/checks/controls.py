@@ -152,11 +152,11 @@ f AS (SELECT stream_id, n, event_id, CASE WHEN rate IS NOT NULL THEN rate END AS
 SELECT event_id, stable_fps, streak FROM f"""),
     "w12_buffer_with_drain": Check(drained_buffer, f"""
 WITH RECURSIVE {EVENTS_SQL}, {ROWS}, e AS (SELECT stream_id, n, event_id, us, CAST(trunc(value * 1000000000) AS BIGINT) AS dur,
-  CASE WHEN event_type = 'error' AND k % 5 > 0 THEN k % 5 ELSE 0 END AS pull FROM r),
+  CASE WHEN event_type = 'error' THEN k % 5 ELSE -1 END AS pull FROM r),
 f AS (SELECT stream_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, []::STRUCT(t BIGINT, d BIGINT)[] AS q, 0::BIGINT AS n_evicted, 0::BIGINT AS n_drained
   FROM (SELECT DISTINCT stream_id FROM e)
-  UNION ALL SELECT stream_id, n, event_id, CASE WHEN pull > 0 THEN q[pull + 1:] ELSE g[ev + 1:] END,
-    CASE WHEN pull > 0 THEN 0 ELSE ev END, CASE WHEN pull > 0 THEN least(pull, len(q)) ELSE 0 END
+  UNION ALL SELECT stream_id, n, event_id, CASE WHEN pull >= 0 THEN q[pull + 1:] ELSE g[ev + 1:] END,
+    CASE WHEN pull >= 0 THEN 0 ELSE ev END, CASE WHEN pull >= 0 THEN least(pull, len(q)) ELSE 0 END
   FROM (SELECT *, coalesce(list_max([i FOR i IN range(1, len(g) + 1) IF len(g) - i + 1 > 8 OR us + dur - g[i].t > 432000000001
       OR list_sum([p.d FOR p IN g[i:]]) > 432000000001]), 0) AS ev
     FROM (SELECT e.*, f.q, list_append(f.q, {{'t': e.us, 'd': e.dur}}) AS g FROM f JOIN e ON e.stream_id = f.stream_id AND e.n = f.n + 1)))

@@ -55,8 +55,16 @@ def bounded_buffer(s: Ordered, pts: str = "pts_ns", duration: str = "duration_ns
     return s.withColumn("outcome", outcome).drop("_valid", "_held", "_end", "_count")
 
 
+def _missing(x: object) -> bool:
+    return x is None or x != x
+
+
 class DrainedBuffer:
-    """Step of a bounded buffer with puts and pulls; state is the queue and the last time."""
+    """Step of a bounded buffer; state is the queue and the last time.
+
+    A row with ``pull`` takes that many packets, one with ``packet_no`` puts a packet, and any other
+    row leaves the buffer as it is.
+    """
 
     def __init__(self, max_ns: int = MAX_HELD_NS, max_rows: int = MAX_HELD_ROWS) -> None:
         self.max_ns, self.max_rows = max_ns, max_rows
@@ -69,13 +77,13 @@ class DrainedBuffer:
         columns = (pdf[c].tolist() for c in ("packet_no", "pts_ns", "duration_ns", "pull"))
         for number, pts, duration, pull in zip(*columns, strict=True):
             gone, taken = [], []
-            if pull is not None and pull == pull and pull > 0:
+            if not _missing(pull):
                 for _ in range(min(int(pull), len(queue))):
                     entry = queue.popleft()
                     held -= entry[2]
                     taken.append(entry[0])
-            else:
-                bad = pts is None or pts != pts or duration is None or duration != duration or duration <= 0
+            elif not _missing(number):
+                bad = _missing(pts) or _missing(duration) or duration <= 0
                 if bad or (last is not None and pts < last):
                     gone.append(int(number))
                 else:
