@@ -64,8 +64,8 @@ def samples(spark: SparkSession, sf_dir: str) -> Ordered:
                   holes=Running("count", F.when((F.col("k") == 29) & low, 1)))
     raw = F.col("n") * TICK_NS + F.col("k") % 5 * 100_000 + F.col("holes") * HOLE_NS
     paired = F.concat(F.lit("f"), F.floor(F.col("n") / 2).cast("string"))
-    df = s.df.select(
-        *s.part, "us", "event_id", "value", "k", "n",
+    return s.select(
+        "us", "event_id", "value", "k", "n",
         raw.alias("raw_ns"),
         F.when(~((F.col("k") == 13) & low), raw).alias("pts_ns"),
         F.floor(F.col("us") / EPOCH_US).cast("long").alias("epoch"),
@@ -78,7 +78,6 @@ def samples(spark: SparkSession, sf_dir: str) -> Ordered:
         F.when(F.col("stream_id") % 2 == 0, paired)
         .when(F.col("event_type").isin("click", "view"), "cv")
         .otherwise(F.col("event_type")).alias("near"))
-    return s.with_df(df)
 
 
 SAMPLES_SQL = EVENTS_SQL + f""",

@@ -234,11 +234,11 @@ def aligned_audio(spark, d):
 def admitted_video(spark, d):
     s = event_stream(spark, d)
     low = F.col("value") < 25
-    df = s.df.select(
-        *s.part, "us", "event_id", F.when(~((F.col("k") == 13) & low), STAMP()).alias("pts_ns"),
+    s = s.select(
+        "us", "event_id", F.when(~((F.col("k") == 13) & low), STAMP()).alias("pts_ns"),
         F.when((F.col("k") == 21) & low, 640).otherwise(1280).alias("width"), F.lit(720).alias("height"),
         F.lit(1280).alias("session_width"), F.lit(720).alias("session_height"), (F.col("k") != 5).alias("ready"))
-    return B.admit_video(s.with_df(df), "ready").done().select("event_id", "drop_reason")
+    return B.admit_video(s, "ready").done().select("event_id", "drop_reason")
 
 
 def preset_labels(spark, d):
@@ -292,9 +292,9 @@ def ledger_overlap(spark, d):
 def buffer_outcomes(spark, d):
     """Each user's log as puts of about an hour into a buffer of four days and eight rows."""
     s = event_stream(spark, d)
-    df = s.df.withColumn("pts_ns", F.when(F.col("k") != 13, F.col("us") + F.when(F.col("k") == 17, -DAY_US).otherwise(0)))
-    df = df.withColumn("duration_ns", F.when(F.col("k") != 29, (F.col("value") * 100_000_000).cast("long")))
-    return B.bounded_buffer(s.with_df(df), max_ns=4 * DAY_US, max_rows=8).done().select("event_id", "outcome")
+    s = s.withColumn("pts_ns", F.when(F.col("k") != 13, F.col("us") + F.when(F.col("k") == 17, -DAY_US).otherwise(0)))
+    s = s.withColumn("duration_ns", F.when(F.col("k") != 29, (F.col("value") * 100_000_000).cast("long")))
+    return B.bounded_buffer(s, max_ns=4 * DAY_US, max_rows=8).done().select("event_id", "outcome")
 
 
 BUFFER_SQL = f"""

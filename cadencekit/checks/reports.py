@@ -156,10 +156,10 @@ def acceptance_gates(spark, d):
 
 def ingress(spark, d):
     s = event_stream(spark, d)
-    df = s.df.withColumn("pts_ns", F.when(F.col("k") != 50, F.col("us") + F.when(F.col("k") == 51, -DAY_US).otherwise(0)))
-    df = (df.withColumn("sample", F.floor(F.col("us") / (7 * DAY_US)).cast("long")).withColumn("generation", F.col("sample"))
+    s = s.withColumn("pts_ns", F.when(F.col("k") != 50, F.col("us") + F.when(F.col("k") == 51, -DAY_US).otherwise(0)))
+    s = (s.withColumn("sample", F.floor(F.col("us") / (7 * DAY_US)).cast("long")).withColumn("generation", F.col("sample"))
           .withColumn("epoch", F.when(F.col("k") == 52, 1).otherwise(0)).withColumn("arrival_s", F.col("us") / 1e6))
-    out = Q.ingress_health(s.with_df(df), "sample", (F.col("sample") + 1) * 7 * 86400.0, max_age_s=86400.0)
+    out = Q.ingress_health(s, "sample", (F.col("sample") + 1) * 7 * 86400.0, max_age_s=86400.0)
     return out.select("stream_id", "sample", "n_rows", "n_pts", "healthy")
 
 
@@ -182,7 +182,7 @@ def overload(spark, d):
             F.when(F.col("kind") == name, F.col("value") / 1000)).over(w)})
     from cadencekit.operators.rates import median_upper, nearest_rank
     size = lambda n: F.size(f"all_{n}")
-    df = s.number("n").df
+    df = s.number("n").done()
     for n in ("batch", "later", "endpoint"):
         df = df.withColumn(f"adm_{n}", F.when(size(n) >= 6, median_upper(F.col(f"all_{n}"))))
         df = df.withColumn(f"est_{n}", F.coalesce(f"adm_{n}", F.when(size(n) > 0, nearest_rank(F.col(f"all_{n}")))))

@@ -118,7 +118,7 @@ states AS (
 
 def content_rate_window(spark, sf_dir):
     s = C.with_change(samples(spark, sf_dir), "content", "near")
-    s = s.with_df(s.df.withColumn("pts_ns", F.col("raw_ns")))
+    s = s.withColumn("pts_ns", F.col("raw_ns"))
     s = R.change_frames(s)
     return s.done().select("event_id", "updates", "first_change", "last_change",
                            r6(R.content_rate()).alias("content_fps"))
@@ -126,7 +126,7 @@ def content_rate_window(spark, sf_dir):
 
 def strict_rate_window(spark, sf_dir):
     s = C.with_change(samples(spark, sf_dir), "content", "near")
-    s = s.with_df(s.df.withColumn("pts_ns", F.col("raw_ns")))
+    s = s.withColumn("pts_ns", F.col("raw_ns"))
     s = R.with_strict_rate(R.change_frames(s))
     return s.done().select("event_id", r6("strict_fps").alias("strict_fps"), "strict_start_ns",
                            "strict_end_ns", F.col("strict_updates").cast("long").alias("strict_updates"),
@@ -142,7 +142,7 @@ FLAT_FRAMES_SQL = FLAT_SQL + CADENCE_SQL[len(REASON_SQL):]
 
 def delivered_rates(spark, sf_dir):
     s = C.with_epoch(samples(spark, sf_dir), "raw_ns", out="cut_epoch")
-    s = s.with_df(s.df.withColumn("pts_ns", F.col("raw_ns")))
+    s = s.withColumn("pts_ns", F.col("raw_ns"))
     s = C.with_interval(s)
     s = s.previous(_e=F.col("cut_epoch"))
     same = F.col("_e") == F.col("cut_epoch")

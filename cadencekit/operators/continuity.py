@@ -41,8 +41,7 @@ def with_change(s: Ordered, content: str = "content", near: str | None = None) -
 def collapse_runs(s: Ordered, content: str = "content") -> Ordered:
     """Only the first copy of each run of equal content."""
     s = with_change(s, content)
-    return s.with_df(s.df.filter(F.coalesce(F.col("changed_exact"), F.lit(True)))
-                     .drop("changed", "changed_exact"))
+    return s.filter(F.coalesce(F.col("changed_exact"), F.lit(True))).drop("changed", "changed_exact")
 
 
 def with_epoch(s: Ordered, pts: str = "pts_ns", width: str = "width", height: str = "height",
@@ -107,4 +106,4 @@ def strictly_increasing(s: Ordered, pts: str = "pts_ns") -> Ordered:
     """Rows later than everything before them in arrival order."""
     s = s.running(_top=Running("max", F.col(pts), inclusive=False))
     keep = F.col("_top").isNull() | (F.col(pts) > F.col("_top"))
-    return s.with_df(s.df.filter(F.col(pts).isNotNull() & keep)).drop("_top")
+    return s.filter(F.col(pts).isNotNull() & keep).drop("_top")

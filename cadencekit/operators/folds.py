@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import replace
 from itertools import pairwise
 
 import numpy as np
@@ -50,9 +51,10 @@ def fold(df: DataFrame, keys: Sequence[str], by: Sequence[str], step: Step,
     stream = ordered(df, keys, by, limit)
     if not stream.cut:
         return _emit(stream.df, list(keys), list(by), step, columns)
-    pinned = stream.with_df(materialise(stream.df))
+    pinned = replace(stream, df=materialise(stream.df))
     with_state = join_on(pinned.df, _settle(pinned, step), pinned.part)
-    return _emit(with_state, pinned.part, list(by), step, columns).drop(CUT)
+    out = _emit(with_state, pinned.part, list(by), step, columns).drop(CUT)
+    return out.unionByName(_emit(pinned.calm.df, list(keys), list(by), step, columns))
 
 
 def _in_order(df: DataFrame, group: Sequence[str], by: Sequence[str]) -> DataFrame:

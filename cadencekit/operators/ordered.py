@@ -1,11 +1,12 @@
 """Ordered work per stream that stays parallel when one stream is huge.
 
 A plain ``Window.partitionBy(stream)`` puts a whole stream into one task.  ``Ordered`` keeps that
-plan while every stream is of ordinary size, because it needs only one exchange.  Streams above
-the session's row limit are cut into consecutive ranges of the ordering columns; the cut is a path
+plan for streams of ordinary size, because it needs only one exchange.  Streams above the session's
+row limit are set apart and cut into consecutive ranges of the ordering columns; the cut is a path
 of cell numbers in the ``_cut`` column, refined until every cell is within the limit.  Running
 values then cross the cuts through a small table with one row per cell, and trailing frames through
-copies ("halo") of the rows just before each cell.
+copies ("halo") of the rows just before each cell.  Only the cut streams pay for this: the others
+(``calm``) go through the same operators beside them and join them again in ``done``.
 """
 
 from __future__ import annotations
@@ -73,6 +74,7 @@ class Ordered:
     keys: tuple[str, ...]
     by: tuple[str, ...]
     cut: bool = False
+    calm: Ordered | None = None
 
     @property
     def part(self) -> list[str]:
@@ -82,24 +84,44 @@ class Ordered:
         order = [F.col(c).desc() if desc else F.col(c).asc() for c in self.by]
         return Window.partitionBy(*self.part, *extra).orderBy(*order)
 
-    def with_df(self, df: DataFrame) -> Ordered:
+    def _with_df(self, df: DataFrame) -> Ordered:
         return replace(self, df=df)
 
+    def _both(self, step: Callable[[Ordered], Ordered]) -> Ordered:
+        """Apply a step to the cut streams and to the calm ones."""
+        return replace(step(self), calm=step(self.calm) if self.calm is not None else None)
+
+    def map(self, change: Callable[[DataFrame], DataFrame]) -> Ordered:
+        """Change the rows without touching keys, ordering columns or the cut."""
+        return self._both(lambda s: s._with_df(change(s.df)))
+
+    def select(self, *columns: Column | str) -> Ordered:
+        """Keep the keys and the given columns, which must include the ordering columns."""
+        return self._both(lambda s: s._with_df(s.df.select(*s.part, *columns)))
+
     def withColumn(self, name: str, expr: Column) -> Ordered:
-        return self.with_df(self.df.withColumn(name, expr))
+        return self.map(lambda df: df.withColumn(name, expr))
+
+    def filter(self, condition: Column) -> Ordered:
+        return self.map(lambda df: df.filter(condition))
 
     def drop(self, *names: str) -> Ordered:
-        return self.with_df(self.df.drop(*names))
+        return self.map(lambda df: df.drop(*names))
 
     def done(self) -> DataFrame:
-        return self.df.drop(CUT)
+        """The rows of all streams as one frame."""
+        df = self.df.drop(CUT)
+        return df if self.calm is None else df.unionByName(self.calm.done())
 
     def _pinned(self) -> Ordered:
         """Fix the rows before they are read twice, so that lineage never doubles."""
-        return self.with_df(materialise(self.df)) if self.cut else self
+        return self._with_df(materialise(self.df)) if self.cut else self
 
     def running(self, desc: bool = False, **specs: Running) -> Ordered:
         """Running aggregates over all rows of the stream up to the current one."""
+        return self._both(lambda s: s._running(desc, specs))
+
+    def _running(self, desc: bool, specs: dict[str, Running]) -> Ordered:
         base = self._pinned()
         window = self.window(desc=desc)
         frames = {
@@ -110,7 +132,7 @@ class Ordered:
             {n: _WITHIN[s.kind](s.expr).over(frames[s.inclusive]) for n, s in specs.items()}
         )
         if not self.cut:
-            return self.with_df(here)
+            return self._with_df(here)
         order_key = F.struct(*self.by)
         totals = {}
         for name, spec in specs.items():
@@ -135,30 +157,37 @@ class Ordered:
         joined = joined.withColumns(
             {n: _combine(s.kind, F.col(f"_c_{n}"), F.col(n)) for n, s in specs.items()}
         )
-        return self.with_df(joined.drop(*[f"_c_{n}" for n in specs]))
+        return self._with_df(joined.drop(*[f"_c_{n}" for n in specs]))
 
     def previous(self, desc: bool = False, **exprs: Column) -> Ordered:
         """Values of the row just before the current one; null on the first row of a stream."""
         row = F.struct(*[e.alias(n) for n, e in exprs.items()])
-        if self.cut:
-            out = self.running(desc=desc, _prev=Running("last", row, inclusive=False))
-        else:
-            out = self.withColumn("_prev", F.lag(row).over(self.window(desc=desc)))
-        df = out.df.withColumns({n: F.col("_prev")[n] for n in exprs}).drop("_prev")
-        return self.with_df(df)
+
+        def step(s: Ordered) -> Ordered:
+            if s.cut:
+                return s._running(desc, {"_prev": Running("last", row, inclusive=False)})
+            return s._with_df(s.df.withColumn("_prev", F.lag(row).over(s.window(desc=desc))))
+
+        unpack = {n: F.col("_prev")[n] for n in exprs}
+        return self._both(step).map(lambda df: df.withColumns(unpack).drop("_prev"))
 
     def number(self, name: str, desc: bool = False) -> Ordered:
         """1-based position of each row in its stream."""
-        if not self.cut:
-            return self.withColumn(name, F.row_number().over(self.window(desc=desc)).cast("long"))
-        return self.running(desc=desc, **{name: Running("count", F.lit(1))})
+        def step(s: Ordered) -> Ordered:
+            if s.cut:
+                return s._running(desc, {name: Running("count", F.lit(1))})
+            return s._with_df(s.df.withColumn(name, F.row_number().over(s.window(desc=desc)).cast("long")))
+
+        return self._both(step)
 
     def trailing_rows(self, rows: int, within: Sequence[str] = (),
                       **exprs: Callable[[WindowSpec], Column]) -> Ordered:
         """Frame expressions over the last ``rows`` rows, the current one included."""
-        base = self._with_row_halo(rows - 1) if self.cut else self
-        frame = base.window(*within).rowsBetween(-(rows - 1), 0)
-        return base._apply(frame, exprs)
+        def step(s: Ordered) -> Ordered:
+            base = s._with_row_halo(rows - 1) if s.cut else s
+            return base._apply(base.window(*within).rowsBetween(-(rows - 1), 0), exprs)
+
+        return self._both(step)
 
     def trailing_span(self, column: str, width: int, within: Sequence[str] = (), peers: bool = True,
                       **exprs: Callable[[WindowSpec], Column]) -> Ordered:
@@ -168,23 +197,24 @@ class Ordered:
         with it inside each ``within`` group).  As in any range frame, later rows of equal
         ``column`` count too; ``peers=False`` says that none of them matters, which spares copies.
         """
-        base = self._with_span_halo(column, width, within, peers) if self.cut else self
-        frame = (
-            Window.partitionBy(*base.part, *within).orderBy(column).rangeBetween(-(width - 1), 0)
-        )
-        return base._apply(frame, exprs)
+        def step(s: Ordered) -> Ordered:
+            base = s._with_span_halo(column, width, within, peers) if s.cut else s
+            frame = Window.partitionBy(*base.part, *within).orderBy(column).rangeBetween(-(width - 1), 0)
+            return base._apply(frame, exprs)
+
+        return self._both(step)
 
     def _apply(self, frame: WindowSpec, exprs: dict) -> Ordered:
         df = self.df.withColumns({n: make(frame) for n, make in exprs.items()})
         if self.cut:
             df = df.filter(~F.col(HALO)).drop(HALO)
-        return self.with_df(df)
+        return self._with_df(df)
 
     def _with_row_halo(self, rows: int) -> Ordered:
         base = self._pinned()
         plain = base.df.withColumn(HALO, F.lit(False))
         if rows <= 0:
-            return self.with_df(plain)
+            return self._with_df(plain)
         cell_order = Window.partitionBy(*self.keys).orderBy(CUT)
         cells = (
             base.df.groupBy(*self.part).agg(F.count("*").alias("_cut_n"))
@@ -207,7 +237,7 @@ class Ordered:
             .withColumn(HALO, F.lit(True))
             .drop("_cut_back", "_cut_end", "_cut_to")
         )
-        return self.with_df(plain.unionByName(copies))
+        return self._with_df(plain.unionByName(copies))
 
     def _with_span_halo(self, column: str, width: int, within: Sequence[str], peers: bool) -> Ordered:
         base = self._pinned()
@@ -250,7 +280,7 @@ class Ordered:
             .withColumn(HALO, F.lit(True))
             .drop("_cut_to", "_cut_first", "_cut_top")
         )
-        return self.with_df(plain.unionByName(copies))
+        return self._with_df(plain.unionByName(copies))
 
 
 def ordered(df: DataFrame, keys: Sequence[str], by: Sequence[str],
@@ -263,10 +293,13 @@ def ordered(df: DataFrame, keys: Sequence[str], by: Sequence[str],
     if limit is None and surely_small(df):
         return Ordered(df, keys, by)
     limit = limit or hot_rows(df.sparkSession)
-    cells = _measure(df, keys, by).filter(F.col("_cut_n") > limit)
-    if cells.isEmpty():
+    large = materialise(_measure(df, keys, by).filter(F.col("_cut_n") > limit).select(*keys))
+    if large.isEmpty():
         return Ordered(df, keys, by)
-    df = materialise(df).withColumn(CUT, F.array().cast(T.ArrayType(T.LongType())))
+    # Each large key has more than `limit` rows, so there are at most rows/limit of them.
+    calm = Ordered(join_on(df, large, keys, "left_anti"), keys, by)
+    df = materialise(join_on(df, large, keys, "left_semi"))
+    df = df.withColumn(CUT, F.array().cast(T.ArrayType(T.LongType())))
     path = [*keys, CUT]
     kinds = {f.name: f.dataType for f in df.schema.fields}
     for _ in range(MAX_LEVELS):
@@ -291,7 +324,7 @@ def ordered(df: DataFrame, keys: Sequence[str], by: Sequence[str],
                         .otherwise(F.concat(CUT, F.array(cell))))
             .drop("_cut_n", *[f"_cut_{e}{i}" for i in range(len(by)) for e in ("lo", "hi")])
         )
-    return Ordered(df, keys, by, cut=True)
+    return Ordered(df, keys, by, cut=True, calm=calm)
 
 
 def _measure(df: DataFrame, group: Sequence[str], by: Sequence[str]) -> DataFrame:

@@ -25,7 +25,7 @@ def adjacent_pairs(s: Ordered) -> Ordered:
                    _epoch=F.col("epoch"), _w=F.col("width"), _h=F.col("height"))
     same = ((F.col("prev_seq") == F.col("seq") - 1) & (F.col("_epoch") == F.col("epoch"))
             & (F.col("_w") == F.col("width")) & (F.col("_h") == F.col("height")))
-    return s.with_df(s.df.filter(same)).drop("_epoch", "_w", "_h")
+    return s.filter(same).drop("_epoch", "_w", "_h")
 
 
 def unique_pairs(s: Ordered) -> Ordered:
@@ -48,8 +48,8 @@ def unique_pairs(s: Ordered) -> Ordered:
     s = s.running(_pair=Running("last", F.col("_own")))
     known = ~void & (F.col("_pair.run") == F.col("run")) & F.col("_pair.prev_seq").isNotNull()
     names = ("prev_seq", "prev_pts_ns", "cur_seq", "cur_pts_ns")
-    df = s.df.withColumns({n: F.when(known, F.col("_pair")[n]) for n in names})
-    return s.with_df(df.drop("_before", "_own", "_pair"))
+    ends = {n: F.when(known, F.col("_pair")[n]) for n in names}
+    return s.map(lambda df: df.withColumns(ends).drop("_before", "_own", "_pair"))
 
 
 def pair_period(prev_s: Column, cur_s: Column, sampling: Column, evidence_fps: Column,
@@ -88,15 +88,14 @@ def with_own_evidence(s: Ordered) -> Ordered:
 def admitted_pairs(s: Ordered, sampling: str = "delivered_fps") -> Ordered:
     """Rows that complete a unique pair with a proven period and an accepted content rate."""
     known = F.col("fresh") & F.col("prev_seq").isNotNull()
-    df = s.df.filter(known).withColumn("period_s", pair_period(
+    s = s.filter(known).withColumn("period_s", pair_period(
         F.col("prev_pts_ns") / 1e9, F.col("cur_pts_ns") / 1e9, F.col(sampling), F.col("evidence_fps"),
         F.col("evidence_end_ns") / 1e9, F.col("evidence_fps").isNotNull(), F.lit(True)))
     rate = admitted_rate("period_s", sampling, F.lit(True), "evidence_fps")
     # A generated column is a fence: the filter below it is not pushed into the period expression,
     # which would copy that expression once per reference.
     kept = F.explode_outer(F.array(F.when(rate.isNotNull(), F.col("period_s"))))
-    df = df.withColumn("period_s", kept)
-    return s.with_df(df.filter(F.col("period_s").isNotNull()))
+    return s.withColumn("period_s", kept).filter(F.col("period_s").isNotNull())
 
 
 def with_steps(s: Ordered, display: Column, target: Column) -> Ordered:

@@ -38,12 +38,13 @@ def cadence(s: Ordered, content: str = "content", near: str | None = None,
     blank = {c: F.when(warm, F.col(c)) for c in ("strict_fps", "strict_start_ns", "strict_end_ns")}
     counts = {c: F.when(warm, F.col(c)).otherwise(0) for c in ("updates", "strict_updates", "repeats")}
     measured = warm & (F.col("updates") >= 2)
-    df = s.df.withColumn("state_reason", why).withColumn("fps", F.when(warm, rate))
-    df = df.withColumns({
+    s = s.withColumn("state_reason", why).withColumn("fps", F.when(warm, rate))
+    final = {
         "state": F.when(F.col("state_reason").isNull(), "estimated").otherwise("unknown"),
         "start_ns": F.when(measured, F.col("first_change")),
         "end_ns": F.when(measured, F.col("last_change")),
         "repeat_proof": warm & F.col("repeat_proof"),
         **blank, **counts,
-    })
-    return s.with_df(df.drop("first_change", "last_change", "exact_times", "comparisons"))
+    }
+    spent = ("first_change", "last_change", "exact_times", "comparisons")
+    return s.map(lambda df: df.withColumns(final).drop(*spent))
