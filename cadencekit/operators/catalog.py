@@ -59,25 +59,27 @@ def match_format(requests: DataFrame, formats: DataFrame, keys: Sequence[str] =
     micro = F.round(F.col("rate") * MICRO).cast("long")
     lo = F.greatest(F.round((F.col("lo") - tol) * MICRO).cast("long"), F.lit(0))
     hi = F.least(F.round((F.col("hi") + tol) * MICRO).cast("long"), F.lit((1 << LEVELS) - 1))
-    picked = formats.withColumn("_lo", lo).withColumn("_hi", hi)
-    own = picked.groupBy(*size, "format_idx").agg(
-        F.collect_set(F.struct("_lo", "_hi")).alias("_ranges"))
-    asked = join_on(requests.withColumn("_rate", micro), own, [*keys, "format_idx"])
-    direct = (F.col("_rate") == 0) | F.exists(
-        "_ranges", lambda r: (r["_lo"] <= F.col("_rate")) & (F.col("_rate") <= r["_hi"]))
-    asked = asked.withColumn("_direct", F.coalesce(direct, F.lit(False))).drop("_ranges")
     blocks = (
-        picked.groupBy(*size, "_lo", "_hi").agg(F.min("format_idx").alias("_idx"))
+        formats.select(*size, "format_idx", lo.alias("_lo"), hi.alias("_hi")).distinct()
         .withColumn("_b", F.explode(_dyadic_cover(F.col("_lo"), F.col("_hi"))))
-        .groupBy(*size, F.col("_b.level").alias("_level"), F.col("_b.block").alias("_block"))
-        .agg(F.min("_idx").alias("_idx"))
-    )
-    probes = (
-        asked.filter(~F.col("_direct")).select(*size, "_rate").distinct()
-        .withColumn("_b", F.explode(_dyadic_path(F.col("_rate"))))
-        .select(*size, "_rate", F.col("_b.level").alias("_level"), F.col("_b.block").alias("_block"))
+        .select(*size, "format_idx", F.col("_b.level").alias("_level"), F.col("_b.block").alias("_block"))
     )
-    first = (join_on(probes, blocks, [*size, "_level", "_block"], "inner")
+    firsts = blocks.groupBy(*size, "_level", "_block").agg(F.min("format_idx").alias("_idx"))
+
+    def probes(asked: DataFrame, *columns: str) -> DataFrame:
+        return (asked.select(*columns, "_rate").distinct().withColumn("_b", F.explode(_dyadic_path(F.col("_rate"))))
+                .select(*columns, "_rate", F.col("_b.level").alias("_level"), F.col("_b.block").alias("_block")))
+
+    own = formats.select(*size, "format_idx").distinct()
+    asked = join_on(requests.withColumn("_rate", micro), own, [*keys, "format_idx"])
+    exact = [*keys, "format_idx"]
+    spots = [*exact, "_level", "_block"]
+    served = join_on(probes(asked, *exact), blocks.select(*spots).distinct(), spots, "left_semi")
+    served = served.select(*exact, "_rate").distinct().withColumn("_served", F.lit(True))
+    asked = join_on(asked, served, [*exact, "_rate"])
+    direct = (F.col("_rate") == 0) | F.col("_served")
+    asked = asked.withColumn("_direct", F.coalesce(direct, F.lit(False))).drop("_served")
+    first = (join_on(probes(asked.filter(~F.col("_direct")), *size), firsts, [*size, "_level", "_block"], "inner")
              .groupBy(*size, "_rate").agg(F.min("_idx").alias("_first")))
     out = join_on(asked, first, [*size, "_rate"])
     chosen = F.when(F.col("_direct"), F.col("format_idx")).otherwise(F.coalesce("_first", "format_idx"))

@@ -16,9 +16,10 @@ def with_pts(df: DataFrame, value: str = "pts_value", scale: str = "pts_scale")
     return df.withColumn("pts_valid", F.col("pts_ns").isNotNull())
 
 
-def read_samples(spark: SparkSession, path: str, schema: T.StructType = SAMPLES, stream: bool = False,
+def read_samples(spark: SparkSession, path: str, schema: T.StructType | str = SAMPLES, stream: bool = False,
                  max_files_per_trigger: int | None = None) -> DataFrame:
     """Samples from Parquet with an explicit schema; times and digests are filled in if missing."""
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     reader = spark.readStream if stream else spark.read
     reader = reader.schema(schema)
     if stream and max_files_per_trigger:
