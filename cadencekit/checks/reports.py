@@ -311,7 +311,6 @@ a AS (SELECT stream_id, win, count(*) FILTER (WHERE NOT made) / 5.0::DOUBLE AS s
   count(*) / 5.0::DOUBLE AS output_fps, max(CASE WHEN r = ceil(n * 0.95::DOUBLE) - 1 THEN iv END) AS p95 FROM r GROUP BY 1, 2)
 SELECT stream_id, win, round(source_fps, 6) AS source_fps, round(generated_fps, 6) AS generated_fps, round(output_fps, 6) AS output_fps, round(p95, 6) AS p95,
   source_fps BETWEEN 0.5 AND 1.2 AND generated_fps BETWEEN 0.8 AND 2.5 AND output_fps BETWEEN 1.5 AND 3.0 AND coalesce(p95 <= 150000, FALSE) AS passed FROM a"""),
-    "d13_acceptance_gate": Check(acceptance_gates),
     "d14_ingress_health": Check(ingress, f"""
 WITH {EVENTS_SQL}, s AS (SELECT *, CASE WHEN k <> 50 THEN us + CASE WHEN k = 51 THEN -{DAY_US} ELSE 0 END END AS pts, us // {7 * DAY_US} AS sample FROM ev),
 p AS (SELECT *, CASE WHEN lag(sample) OVER ({W}) = sample THEN pts - lag(pts) OVER ({W}) END AS step FROM s)
@@ -339,3 +338,6 @@ WITH {FORMATS} SELECT DISTINCT device_id, width, height FROM formats"""),
 SELECT p_brand AS device_id, {OFFER_SQL} AS rate FROM part UNION SELECT p_brand, (p_size - 10)::DOUBLE FROM part WHERE p_size > 10"""),
     "u2_collapse_aliases": Check(aliases, f"WITH {OFFERS} SELECT device_id, rate FROM kept"),
 }
+CHECKS["d13_acceptance_gate"] = Check(acceptance_gates, f"""
+SELECT stream_id, count(*) FILTER (WHERE passed) AS n_passed, count(*) AS n_windows, count(*) FILTER (WHERE passed) >= 3 AS accepted
+FROM ({CHECKS["d13_acceptance"].sql}) GROUP BY 1""")
