@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cadencekit.functions.rates import RATE_TOLERANCE, advertised_points, finite_pos
 from cadencekit.operators.asof import asof
-from cadencekit.operators.ordered import join_on
+from cadencekit.operators.ordered import Running, join_on, ordered
 
 # Alias pairs, where a fractional and a whole rate name one mode.
 ALIASES = ((29.97, 30.0), (59.94, 60.0))
@@ -60,26 +60,26 @@ def match_format(requests: DataFrame, formats: DataFrame, keys: Sequence[str] =
     lo = F.greatest(F.round((F.col("lo") - tol) * MICRO).cast("long"), F.lit(0))
     hi = F.least(F.round((F.col("hi") + tol) * MICRO).cast("long"), F.lit((1 << LEVELS) - 1))
     blocks = (
-        formats.select(*size, "format_idx", lo.alias("_lo"), hi.alias("_hi")).distinct()
+        formats.groupBy(*size, lo.alias("_lo"), hi.alias("_hi")).agg(F.min("format_idx").alias("_idx"))
         .withColumn("_b", F.explode(_dyadic_cover(F.col("_lo"), F.col("_hi"))))
-        .select(*size, "format_idx", F.col("_b.level").alias("_level"), F.col("_b.block").alias("_block"))
+        .select(*size, "_idx", F.col("_b.level").alias("_level"), F.col("_b.block").alias("_block"))
     )
-    firsts = blocks.groupBy(*size, "_level", "_block").agg(F.min("format_idx").alias("_idx"))
-
-    def probes(asked: DataFrame, *columns: str) -> DataFrame:
-        return (asked.select(*columns, "_rate").distinct().withColumn("_b", F.explode(_dyadic_path(F.col("_rate"))))
-                .select(*columns, "_rate", F.col("_b.level").alias("_level"), F.col("_b.block").alias("_block")))
-
-    own = formats.select(*size, "format_idx").distinct()
-    asked = join_on(requests.withColumn("_rate", micro), own, [*keys, "format_idx"])
+    firsts = blocks.groupBy(*size, "_level", "_block").agg(F.min("_idx").alias("_idx"))
     exact = [*keys, "format_idx"]
-    spots = [*exact, "_level", "_block"]
-    served = join_on(probes(asked, *exact), blocks.select(*spots).distinct(), spots, "left_semi")
-    served = served.select(*exact, "_rate").distinct().withColumn("_served", F.lit(True))
-    asked = join_on(asked, served, [*exact, "_rate"])
-    direct = (F.col("_rate") == 0) | F.col("_served")
-    asked = asked.withColumn("_direct", F.coalesce(direct, F.lit(False))).drop("_served")
-    first = (join_on(probes(asked.filter(~F.col("_direct")), *size), firsts, [*size, "_level", "_block"], "inner")
+    own = formats.select(*size, "format_idx").distinct()
+    asked = join_on(requests.withColumn("_rate", micro), own, exact)
+    # The selected format holds the rate if any of its ranges from below reaches that far.
+    reach = ordered(formats.select(*exact, lo.alias("_lo"), hi.alias("_hi")).distinct(), exact, ["_lo", "_hi"])
+    reach = reach.running(_reach=Running("max", F.col("_hi"))).done()
+    asked = asof(asked, reach, exact, "_rate", "_lo", ["_reach"], tie="_hi", prefix="_own")
+    direct = (F.col("_rate") == 0) | (F.col("_rate") <= F.col("_own_reach"))
+    asked = asked.withColumn("_direct", F.coalesce(direct, F.lit(False))).drop("_own_reach", "_owntime")
+    probes = (
+        asked.filter(~F.col("_direct")).select(*size, "_rate").distinct()
+        .withColumn("_b", F.explode(_dyadic_path(F.col("_rate"))))
+        .select(*size, "_rate", F.col("_b.level").alias("_level"), F.col("_b.block").alias("_block"))
+    )
+    first = (join_on(probes, firsts, [*size, "_level", "_block"], "inner")
              .groupBy(*size, "_rate").agg(F.min("_idx").alias("_first")))
     out = join_on(asked, first, [*size, "_rate"])
     chosen = F.when(F.col("_direct"), F.col("format_idx")).otherwise(F.coalesce("_first", "format_idx"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,14 +14,13 @@ def diagnostics(df: DataFrame, tick: str = "tick", active: str = "active", every
     """One JSON record per active stream on every ``every``-th tick; non-finite numbers become 0."""
     due = df.filter(F.col(active) & (F.col(tick) % every == 0))
     safe = []
-    for field in due.schema.fields:
+    for field in sorted(due.schema.fields, key=lambda f: f.name):
         column = F.col(field.name)
         if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
             odd = F.isnan(column) | (F.abs(column) == float("inf"))
             column = F.when(odd, F.lit(0.0)).otherwise(column)
         safe.append(column.alias(field.name))
-    ordered = sorted(safe, key=lambda c: c._jc.toString())
-    record = F.to_json(F.struct(*ordered), {"ignoreNullFields": "false"})
+    record = F.to_json(F.struct(*safe), {"ignoreNullFields": "false"})
     return due.select(record.alias("value"))
 
 
@@ -72,7 +71,7 @@ def with_fragment(df: DataFrame, pts: str = "pts_ns", seconds: int = 10) -> Data
 
 
 def write_fragments(df: DataFrame, path: str, seconds: int = 10, pts: str = "pts_ns",
-                    keys: tuple[str, ...] = ("stream_id",), spread: Column | None = None) -> None:
+                    keys: tuple[str, ...] = ("stream_id",)) -> None:
     """Append rows under one folder per fragment, so finished fragments survive a crash.
 
     Rows are clustered by key and fragment first to avoid tiny files; the rebalance splits clusters

@@ -186,6 +186,22 @@ def test_replace_output_keeps_the_old_one_on_failure(spark, tmp_path):
     assert [p.name for p in tmp_path.iterdir()] == ["out"]
 
 
+def test_sample_reader_fills_times_and_digests(spark, tmp_path):
+    from cadencekit.sources import tables
+    from cadencekit.sources.schema import SAMPLES
+
+    rows = spark.createDataFrame([("s", 1001, 30000, b"ab"), ("s", 5, 0, b"ab")],
+                                 "stream_id string, pts_value bigint, pts_scale int, payload binary")
+    rows.write.parquet(str(tmp_path / "samples"))
+    out = tables.read_samples(spark, str(tmp_path / "samples"), SAMPLES).orderBy("pts_value").collect()
+    assert [r.pts_ns for r in out] == [None, 33366667] and out[0].content_hash == out[1].content_hash
+    assert tables.read_samples(spark, str(tmp_path / "samples"), stream=True, max_files_per_trigger=1).isStreaming
+    assert [r.pts_valid for r in tables.with_pts(rows).orderBy("pts_value").collect()] == [False, True]
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "a.bin").write_bytes(b"abc")
+    assert tables.read_payload_files(spark, str(tmp_path / "raw")).first().n_bytes == 3
+
+
 def test_diagnostics_and_fragments(spark, tmp_path):
     df = spark.createDataFrame([("s", t, True, float("nan") if t == 5 else 1.5, None) for t in range(1, 12)] + [("z", 5, False, 1.0, None)],
                                "stream_id string, tick long, active boolean, fps double, basis double")
