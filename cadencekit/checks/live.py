@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from cadencekit.checks import controls, streams
-from cadencekit.checks.base import EVENTS_SQL, LOG_START_US, SAMPLES_SQL, Check, r6, samples
+from cadencekit.checks.base import EVENTS_SQL, LOG_START_US, SAMPLES_SQL, Check, r6, samples, table
 from cadencekit.checks.streams import CADENCE_SQL, W
 from cadencekit.operators import control as C
 from cadencekit.operators.buffers import DrainedBuffer
-from cadencekit.session import checkpoint_base
+from cadencekit.session import checkpoint_base, sized_partitions
 from cadencekit.streaming import streams as S
 
 DAY_MS = 86_400_000
@@ -20,6 +20,11 @@ BATCH_BYTES = 1 << 30
 KEYS, BY = ["stream_id"], ["us", "event_id"]
 
 
+def drained(spark, d, stream):
+    """Drain a stream with as many state stores as its table needs."""
+    return S.drain(stream, partitions=sized_partitions(table(spark, d, "events")))
+
+
 def live_events(spark, d):
     """The event log as a stream, with event time ``at``."""
     schema = spark.read.parquet(f"{d}/events.parquet").schema
@@ -40,28 +45,28 @@ def live_samples(spark, d):
 
 
 def ticks(spark, d):
-    out = S.drain(S.tick_counters_stream(live_events(spark, d), KEYS, "at", "event_type", ("click", "error"), "0 seconds", "1 day"))
+    out = drained(spark, d, S.tick_counters_stream(live_events(spark, d), KEYS, "at", "event_type", ("click", "error"), "0 seconds", "1 day"))
     return out.select("stream_id", (F.unix_micros("tick.start") - LOG_START_US).alias("tick_us"), "n_click", "n_error",
                       r6("elapsed_s").alias("elapsed_s"))
 
 
 def live_cadence(spark, d):
-    out = S.drain(S.cadence_stream(live_samples(spark, d), KEYS, BY, content="content", near="near"))
+    out = drained(spark, d, S.cadence_stream(live_samples(spark, d), KEYS, BY, content="content", near="near"))
     return out.select("event_id", "state", "state_reason", r6("fps").alias("fps"), "updates",
                       r6("strict_fps").alias("strict_fps"), "repeat_proof")
 
 
 def live_epochs(spark, d):
-    return S.drain(S.epochs_stream(live_samples(spark, d), KEYS, BY)).select("event_id", "cut_epoch")
+    return drained(spark, d, S.epochs_stream(live_samples(spark, d), KEYS, BY)).select("event_id", "cut_epoch")
 
 
 def live_changes(spark, d):
-    out = S.drain(S.change_stream(live_samples(spark, d), KEYS, BY, content="content", near="near"))
+    out = drained(spark, d, S.change_stream(live_samples(spark, d), KEYS, BY, content="content", near="near"))
     return out.select("event_id", "changed", "changed_exact")
 
 
 def live_latest(spark, d):
-    out = S.drain(S.latest_stream(live_events(spark, d), KEYS, BY))
+    out = drained(spark, d, S.latest_stream(live_events(spark, d), KEYS, BY))
     return out.groupBy("stream_id").agg(F.max_by("event_id", F.struct("us", "event_id")).alias("event_id"),
                                         (F.max("n_dropped") + F.count("*")).alias("n_seen"))
 
@@ -69,12 +74,12 @@ def live_latest(spark, d):
 def live_pins(spark, d):
     ev = live_events(spark, d).withColumn("epoch", F.col("k") % 3)
     ev = ev.withColumn("reset_to", F.when(F.col("event_type") == "signup", F.col("epoch")))
-    return S.drain(S.pin_epoch(ev, KEYS, BY)).select("event_id", "accepted", "pinned")
+    return drained(spark, d, S.pin_epoch(ev, KEYS, BY)).select("event_id", "accepted", "pinned")
 
 
 def live_late(spark, d):
     ev = live_events(spark, d).withColumn("stamp", (F.floor(F.col("us") / 1_000_000) + F.col("k") * 3600).cast("long"))
-    return S.drain(S.count_late(ev, KEYS, BY, "stamp")).select("event_id", "late", "n_late")
+    return drained(spark, d, S.count_late(ev, KEYS, BY, "stamp")).select("event_id", "late", "n_late")
 
 
 def live_buffer(spark, d):
@@ -83,20 +88,20 @@ def live_buffer(spark, d):
         "stream_id", "us", "event_id", "at", F.col("event_id").alias("packet_no"), F.col("us").alias("pts_ns"),
         (F.col("value") * 1_000_000_000).cast("long").alias("duration_ns"), pull.cast("int").alias("pull"),
         F.lit(None).cast("long").alias("stop_ms"))
-    out = S.drain(S.buffer_stream(ev, KEYS, BY, "at", "0 seconds", DrainedBuffer(5 * DAY_MS * 1000, 8)))
+    out = drained(spark, d, S.buffer_stream(ev, KEYS, BY, "at", "0 seconds", DrainedBuffer(5 * DAY_MS * 1000, 8)))
     return out.groupBy("stream_id").agg(F.sum(F.size("evicted")).alias("n_evicted"), F.sum(F.size("drained")).alias("n_drained"))
 
 
 def live_ttl(spark, d):
     ev = live_events(spark, d).filter(F.col("event_type") == "purchase").withColumn("at_ms", F.unix_millis("at"))
-    out = S.drain(S.ttl_stream(ev, KEYS, "at", "at_ms", "value", "0 seconds", DAY_MS))
+    out = drained(spark, d, S.ttl_stream(ev, KEYS, "at", "at_ms", "value", "0 seconds", DAY_MS))
     return out.filter("state = 'active'").groupBy("stream_id").agg(F.count("*").alias("n_active"), F.max("at_ms").alias("last_ms"))
 
 
 def live_first(spark, d):
     kind = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type") == "view", "picture")
     ev = live_events(spark, d).withColumn("kind", kind).filter("kind is not null").withColumn("at_ms", F.unix_millis("at"))
-    out = S.drain(S.first_event_timeout(ev, KEYS, "at", "at_ms", "kind", "0 seconds", DAY_MS))
+    out = drained(spark, d, S.first_event_timeout(ev, KEYS, "at", "at_ms", "kind", "0 seconds", DAY_MS))
     return out.filter("state = 'running'").select("stream_id", "at_ms")
 
 
@@ -105,12 +110,12 @@ def live_control(spark, d):
         F.col("event_type") == "signup", "force").when(F.col("k") == 9, "mode").otherwise("pair")
     ev = live_events(spark, d).select("stream_id", "us", "event_id", (F.col("us") / 1e6).alias("time_s"), event.alias("event"),
                                       (F.col("k") % 2 == 0).alias("forced"))
-    out = S.drain(S.control_stream(ev, KEYS, BY, C.Cooldown(86400.0)))
+    out = drained(spark, d, S.control_stream(ev, KEYS, BY, C.Cooldown(86400.0)))
     return out.select("event_id", "paused", r6("until_s").alias("until_s"), "cleared")
 
 
 def live_distinct(spark, d):
-    return S.drain(S.dedupe_stream(live_events(spark, d), ["stream_id", "k"], "at", "40 days")).select("stream_id", "k")
+    return drained(spark, d, S.dedupe_stream(live_events(spark, d), ["stream_id", "k"], "at", "40 days")).select("stream_id", "k")
 
 
 CHECKS = {

@@ -25,14 +25,13 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from cadencekit.operators.ordered import CUT, Ordered, join_on, ordered
-from cadencekit.session import materialise, plan_bytes
+from cadencekit.session import materialise, sized_partitions
 
 # A step takes the next ordered rows of one stream and the state before them (None at its start)
 # and returns one dict of lists (the new columns) and the state after them.
 Step = Callable[[pd.DataFrame, object], tuple[dict[str, list], object]]
 
 GROUP = "_group"
-PARTITION_BYTES = 32 * 1024 * 1024
 
 
 def _canonical(value: object) -> object:
@@ -61,10 +60,7 @@ def fold(df: DataFrame, keys: Sequence[str], by: Sequence[str], step: Step,
 def _in_order(df: DataFrame, group: Sequence[str], by: Sequence[str]) -> DataFrame:
     """Rows clustered by group and sorted, with the group as one text column."""
     # An explicit number keeps small inputs on all cores: the work per row is in Python.
-    session = df.sparkSession
-    wanted = max(session.sparkContext.defaultParallelism, plan_bytes(df) // PARTITION_BYTES)
-    partitions = min(int(session.conf.get("spark.sql.shuffle.partitions")), wanted)
-    marked = df.repartition(partitions, *group).withColumn(GROUP, F.to_json(F.struct(*group)))
+    marked = df.repartition(sized_partitions(df), *group).withColumn(GROUP, F.to_json(F.struct(*group)))
     return marked.sortWithinPartitions(GROUP, *by)
 
 

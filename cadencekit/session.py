@@ -54,6 +54,13 @@ def plan_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+def sized_partitions(df: DataFrame, each: int = 32 * 1024 * 1024) -> int:
+    """The session's shuffle partitions, or fewer where a frame is too small to need them."""
+    session = df.sparkSession
+    wanted = max(session.sparkContext.defaultParallelism, plan_bytes(df) // each)
+    return min(int(session.conf.get("spark.sql.shuffle.partitions")), wanted)
+
+
 def surely_small(df: DataFrame) -> bool:
     """True when a whole frame is too small to hold a hot key at the default limit."""
     limit = hot_rows(df.sparkSession)

@@ -22,6 +22,7 @@ from cadencekit.session import checkpoint_base
 from cadencekit.streaming.steps import Cadence, Changes, Epochs, Increasing, PinnedEpoch
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+SHUFFLE_PARTITIONS = "spark.sql.shuffle.partitions"
 # Deadlines and lifetimes in milliseconds.
 STOP_DEADLINE_MS, FIRST_WAIT_MS, TTL_MS = 2_000, 3_000, 1_250
 
@@ -300,11 +301,19 @@ def wall_clock(pts_ns: Column, session_start: Column) -> Column:
     return F.timestamp_micros(F.unix_micros(session_start) + F.floor(pts_ns / 1000).cast("long"))
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over everything available and return its output as a table."""
+def drain(stream: DataFrame, mode: str = "append", partitions: int | None = None) -> DataFrame:
+    """Run a stream over everything available and return its output as a table.
+
+    ``partitions`` sets the number of state stores, which a stream fixes when it first starts.
+    """
     spark = stream.sparkSession
     folder = f"{checkpoint_base(spark)}/drain-{uuid.uuid4().hex}"
-    query = (stream.writeStream.format("parquet").outputMode(mode).option("path", f"{folder}/out")
-             .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start())
-    query.awaitTermination()
+    usual = spark.conf.get(SHUFFLE_PARTITIONS)
+    try:
+        spark.conf.set(SHUFFLE_PARTITIONS, str(partitions or usual))
+        query = (stream.writeStream.format("parquet").outputMode(mode).option("path", f"{folder}/out")
+                 .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start())
+        query.awaitTermination()
+    finally:
+        spark.conf.set(SHUFFLE_PARTITIONS, usual)
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
