@@ -29,7 +29,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_array.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return suffix_array.remove_repeats(table(spark, sf_dir, "documents"), with_kept=False).drop("kept")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
