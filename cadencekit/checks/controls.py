@@ -32,23 +32,16 @@ def drained_buffer(spark, d):
 
 
 def late_intervals(spark, d):
+    """Events as presentations: their distances as intervals, three slots, an overload now and then."""
     s = event_stream(spark, d).previous(_us=F.col("us")).number("n")
     df = s.done().select(
-        "stream_id", "us", "event_id", (F.col("us") / 4e9).alias("time_s"), ((F.col("us") - F.col("_us")) / 4e12).alias("interval_s"),
-        F.lit(0.0125).alias("slot_s"), (F.col("event_type") != "error").alias("pair"), F.lit(60.0).alias("display_hz"),
-        F.col("n").alias("n_batches"))
+        "stream_id", "us", "event_id", (F.col("us") / 4e9).alias("time_s"), ((F.col("us") - F.col("_us")) / 1.6e13).alias("interval_s"),
+        F.when(F.col("k") == 5, 0.02).when(F.col("k") == 6, 0.0128).otherwise(0.0125).alias("slot_s"),
+        (F.col("event_type") != "error").alias("pair"), F.lit(60.0).alias("display_hz"), F.col("n").alias("n_batches"),
+        ((F.col("k") == 7) & (F.col("value") < 50)).alias("overload"))
     return C.late_interval_control(df, KEYS, BY).select("event_id", "demoted", "n_ratios", r6("mean_ratio").alias("mean_ratio"))
 
 
-def ladder(spark, d):
-    df = events(spark, d).select(
-        "stream_id", "us", "event_id", (F.col("us") / 1e6).alias("time_s"),
-        F.when(F.col("k") == 3, "overload").otherwise("pair").alias("event"), (F.col("k") > 1).alias("timely"),
-        (F.col("value") / 100_000).alias("p95_s"), F.lit(0.0083).alias("slot_s"), F.lit(960).alias("failed_edge"),
-        F.lit(854).alias("lower_edge"), F.lit(1280).alias("ceiling_edge"))
-    return C.size_ladder(df, KEYS, BY).select("event_id", "edge", "comfortable", "raised_to", "blocked")
-
-
 def cooldowns(spark, d):
     event = F.when(F.col("event_type") == "error", F.when(F.col("k") % 4 == 0, "failure").otherwise("overload")).when(
         F.col("event_type") == "signup", "force").when(F.col("k") == 9, "mode").otherwise("pair")
@@ -73,14 +66,6 @@ def peaks(spark, d):
     return out.select("event_id", r6("published").alias("published"))
 
 
-def grid_slots(spark, d):
-    now = F.col("us") / 1e6
-    df = events(spark, d).select(
-        "stream_id", "us", "event_id", now.alias("now_s"), (now + 600).alias("base_s"), (now + F.col("value") * 100).alias("earliest_s"),
-        F.lit(1800.0).alias("slot_s"), F.lit(3600.0).alias("period_s"), F.lit(900.0).alias("grid_s"))
-    return C.slot_to_grid(df, KEYS, BY).select("event_id", r6("target_s").alias("target_s"), "feasible")
-
-
 def same_payload(spark, d):
     docs = table(spark, d, "documents").select("source", "doc_id", "lang", "text")
     return P.identical(docs, ["source"], ["doc_id"], "text", ["lang"]).select("doc_id", "identical")
@@ -110,8 +95,8 @@ def blocks(spark, d):
 
 
 def coarser(spark, d):
-    tiles = pixels(spark, d).filter("x < 7").select("vec_id", F.col("x").alias("bx"), F.col("y").alias("by"), F.col("r").alias("luma"))
-    return P.pyramid(tiles, ["vec_id"], F.lit(7), F.lit(8)).select("vec_id", "bx", "by", r6("luma").alias("luma"))
+    tiles = pixels(spark, d).select("vec_id", F.col("x").alias("bx"), F.col("y").alias("by"), F.col("r").alias("luma"))
+    return P.pyramid(tiles, ["vec_id"], F.lit(8), F.lit(8)).select("vec_id", "bx", "by", r6("luma").alias("luma"))
 
 
 def motion_cells(spark, d):
@@ -161,8 +146,23 @@ f AS (SELECT stream_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, []::STRUCT(t B
       OR list_sum([p.d FOR p IN g[i:]]) > 432000000001]), 0) AS ev
     FROM (SELECT e.*, f.q, list_append(f.q, {{'t': e.us, 'd': e.dur}}) AS g FROM f JOIN e ON e.stream_id = f.stream_id AND e.n = f.n + 1)))
 SELECT event_id, n_evicted, n_drained, CAST(len(q) AS BIGINT) AS pending FROM f WHERE n > 0"""),
-    "w18_late_intervals": Check(late_intervals),
-    "w19_size_ladder": Check(ladder),
+    "w18_late_intervals": Check(late_intervals, f"""
+WITH RECURSIVE {EVENTS_SQL}, {ROWS}, e AS (SELECT stream_id, n, event_id, us / 4e9 AS t, (us - lag(us) OVER (PARTITION BY stream_id ORDER BY n)) / 1.6e13 AS gap,
+  CASE k WHEN 5 THEN 0.02::DOUBLE WHEN 6 THEN 0.0128::DOUBLE ELSE 0.0125::DOUBLE END AS slot, event_type <> 'error' AS pair, k = 7 AND value < 50 AS over FROM r),
+q AS (SELECT *, gap IS NOT NULL AND gap > 0 AS ok FROM e),
+p AS (SELECT *, last_value(CASE WHEN ok AND pair THEN slot END IGNORE NULLS) OVER (PARTITION BY stream_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM q),
+o AS (SELECT *, ok AND (pair AND (was IS NULL OR abs(slot / was - 1) > 0.05) OR gap > least(slot, coalesce(was, slot)) * 4) AS opens,
+  CASE WHEN coalesce(was <= 1.05::DOUBLE / 60, FALSE) THEN 1.05::DOUBLE ELSE 1.2::DOUBLE END AS bound FROM p),
+g AS (SELECT *, CASE WHEN ok AND NOT opens THEN gap / least(slot, coalesce(was, slot)) END AS ratio FROM o),
+f AS (SELECT stream_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, []::DOUBLE[] AS seg, FALSE AS demoted, NULL::DOUBLE AS since, NULL::DOUBLE AS mean FROM (SELECT DISTINCT stream_id FROM g)
+  UNION ALL SELECT stream_id, n, event_id, CASE WHEN back THEN []::DOUBLE[] ELSE now END, CASE WHEN back THEN FALSE ELSE down END, CASE WHEN back THEN t ELSE since END, m
+  FROM (SELECT *, coalesce(down AND pair AND was >= 0.012 AND ratio IS NOT NULL AND len(now) = 32 AND m <= 1.02 AND (since IS NULL OR t - since > 10), FALSE) AS back
+    FROM (SELECT *, demoted OR over OR coalesce(n >= 16 AND ratio IS NOT NULL AND len(now) >= 8 AND m > bound, FALSE) AS down
+      FROM (SELECT *, CASE WHEN ratio IS NOT NULL THEN list_avg(now) END AS m
+        FROM (SELECT g.*, f.demoted, f.since, CASE WHEN ratio IS NULL THEN kept ELSE list_append(kept, ratio)[-32:] END AS now
+          FROM (SELECT *, seg AS old FROM f) f JOIN g ON g.stream_id = f.stream_id AND g.n = f.n + 1,
+               LATERAL (SELECT CASE WHEN opens OR over THEN []::DOUBLE[] ELSE old END AS kept))))))
+SELECT event_id, demoted, CAST(len(seg) AS INT) AS n_ratios, round(mean, 6) AS mean_ratio FROM f WHERE n > 0"""),
     "w20_cooldown": Check(cooldowns, f"""
 WITH RECURSIVE {EVENTS_SQL}, {ROWS}, e AS (SELECT stream_id, n, event_id, us / 1e6 AS t, k % 2 = 0 AS forced, CASE WHEN event_type = 'error' THEN
   CASE WHEN k % 4 = 0 THEN 'failure' ELSE 'overload' END WHEN event_type = 'signup' THEN 'force' WHEN k = 9 THEN 'mode' ELSE 'pair' END AS what FROM r),
@@ -187,13 +187,6 @@ WITH RECURSIVE {EVENTS_SQL}, {ROWS}, f AS (SELECT stream_id, n, event_id, us AS
     CASE WHEN us - last >= 172800000000 THEN 0 ELSE greatest(peak, value / 500) END,
     CASE WHEN us - last >= 172800000000 THEN greatest(peak, value / 500) END FROM f JOIN r ON r.stream_id = f.stream_id AND r.n = f.n + 1)
 SELECT event_id, round(published, 6) AS published FROM f"""),
-    "g4_grid_slots": Check(grid_slots, f"""
-WITH RECURSIVE {EVENTS_SQL}, {ROWS}, e AS (SELECT stream_id, n, event_id, us / 1e6 AS now, us / 1e6 + 600 AS base, us / 1e6 + value * 100 AS earliest FROM r),
-f AS (SELECT stream_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, 0::DOUBLE AS until, 0::DOUBLE AS target, FALSE AS feasible FROM (SELECT DISTINCT stream_id FROM e)
-  UNION ALL SELECT stream_id, n, event_id, CASE WHEN goal <= now + 5400 THEN goal + 1800 ELSE until END, goal, base > 0 AND goal <= now + 5400
-  FROM (SELECT e.*, f.until, CASE WHEN f.until + 1800 >= earliest THEN f.until + 1800
-      ELSE base + greatest(0, ceil((earliest - base) / 900)) * 900 END AS goal FROM f JOIN e ON e.stream_id = f.stream_id AND e.n = f.n + 1))
-SELECT event_id, round(target, 6) AS target_s, feasible FROM f WHERE n > 0"""),
     "p1_identical": Check(same_payload, """
 SELECT doc_id, text = lag(text) OVER w AND lang = lag(lang) OVER w AS identical FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)"""),
     "p2_equivalent": Check(near_payload, """
@@ -204,7 +197,7 @@ SELECT doc_id * 2 + 1, q <= n * 0.002::DOUBLE, q FROM d"""),
 WITH {PIX} SELECT vec_id, CAST(x // 4 AS INT) AS bx, CAST(y // 4 AS INT) AS by,
   round(avg(v * 0.2126::DOUBLE + v * 0.5 * 0.7152::DOUBLE - v * 0.0722::DOUBLE), 6) AS luma FROM px GROUP BY 1, 2, 3"""),
     "p4_pyramid": Check(coarser, f"""
-WITH {PIX} SELECT vec_id, CAST(x // 2 AS INT) AS bx, CAST(y // 2 AS INT) AS by, round(avg(v), 6) AS luma FROM px WHERE x < 7 GROUP BY 1, 2, 3"""),
+WITH {PIX} SELECT vec_id, CAST(x // 2 AS INT) AS bx, CAST(y // 2 AS INT) AS by, round(avg(v), 6) AS luma FROM px GROUP BY 1, 2, 3"""),
     "p5_motion": Check(motion_offsets),
     "p6_motion_confidence": Check(motion_trust),
     "p7_motion_summary": Check(motion_report),

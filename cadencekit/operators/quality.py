@@ -174,14 +174,15 @@ def gated_cost(s: Ordered, cost: str, warmups: int = WARMUPS) -> Ordered:
 def over_budget(kind: Column, warm: Column, batch: Column, later: Column, endpoint: Column,
                 known_batch: Column, known_later: Column, known_endpoint: Column, phases: Column,
                 period: Column, slot: Column) -> Column:
-    """Struct of overload verdicts of one finished command; warm-up rows are exempt.
+    """Struct of overload verdicts of one finished command; warm-up rows are exempt, and a row without a slot
+    has only the verdict on the period.
 
     ``batch``/``later``/``endpoint`` are sample-gated costs, the ``known`` ones estimates that count
     as 0 when missing.
     """
     count = F.size(phases)
     complete = (count > 0) & batch.isNotNull() & endpoint.isNotNull() & ((count <= 1) | later.isNotNull())
-    pair = complete & ~costs_fit(batch, later, endpoint, phases, period)
+    pair = complete & (slot > 0) & ~costs_fit(batch, later, endpoint, phases, period)
     zero = F.lit(0.0)
     known = (F.coalesce(known_batch, zero) + F.coalesce(known_endpoint, zero)
              + F.greatest(count - 1, F.lit(0)) * F.coalesce(known_later, zero))

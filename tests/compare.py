@@ -40,7 +40,7 @@ def plain(value):
     if isinstance(value, (list, tuple)):
         return tuple(plain(v) for v in value)
     if isinstance(value, int):
-        return float(f"{float(value):.9g}") if abs(value) < 2**53 else value
+        return value
     return str(value)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cadencekit.operators import buffers as B
 from cadencekit.operators import payload as P
-from cadencekit.operators.control import LateIntervals, SizeLadder
+from cadencekit.operators.control import Demotion, late_interval_control
 from cadencekit.operators.ordered import ordered
 from cadencekit.operators.quality import reconcile
 from cadencekit.sources import sinks
@@ -148,26 +148,26 @@ def test_motion_search_matches_a_plain_scan():
         assert best[0, i] == pytest.approx(top) and second[0, i] == pytest.approx(runner)
 
 
-def test_late_interval_hysteresis():
+def test_late_interval_hysteresis(spark):
     def rows(n, interval, start, slot=1 / 60):
-        return [(start + i * slot, interval, slot, True, 60.0, 20) for i in range(n)]
-    names = ["time_s", "interval_s", "slot_s", "pair", "display_hz", "n_batches"]
+        return [(start + i * slot, interval, slot, True, 60.0, 20, False) for i in range(n)]
     data = rows(1, 1 / 60, 20) + rows(40, 1 / 60, 20.1) + rows(12, 1 / 40, 21) + rows(60, 1 / 60, 22)
-    out, _ = LateIntervals()(pd.DataFrame(data, columns=names), None)
-    assert not any(out["demoted"][:41]) and out["demoted"][52] and not out["demoted"][-1]
-    one, state = LateIntervals()(pd.DataFrame(data[:50], columns=names), None)
-    two, _ = LateIntervals()(pd.DataFrame(data[50:], columns=names), json.loads(json.dumps(state)))
-    assert one["demoted"] + two["demoted"] == out["demoted"]
-
-
-def test_size_ladder():
-    names = ["time_s", "event", "timely", "p95_s", "slot_s", "failed_edge", "lower_edge", "ceiling_edge"]
-    pair = lambda t: (t, "pair", True, 0.002, 0.0083, None, None, 1280)
-    over = lambda t, failed: (t, "overload", False, None, 0.0083, failed, 854, 1280)
-    data = [over(20, 960)] + [pair(21 + i) for i in range(90)] + [over(120, 960)] + [pair(121 + i) for i in range(180)]
-    out, _ = SizeLadder()(pd.DataFrame(data, columns=names), None)
-    assert out["edge"][0] == 854 and out["edge"][90] == 960 and out["raised_to"][90] == 960
-    assert out["edge"][91] == 854 and out["blocked"][91] == 960 and set(out["edge"][91:]) == {854}
+    data += [(30.0, 1 / 60, 1 / 60, True, 60.0, 20, True)]
+    columns = "n int, time_s double, interval_s double, slot_s double, pair boolean, display_hz double, n_batches int, overload boolean"
+    df = spark.createDataFrame([(i, *row) for i, row in enumerate(data)], columns).withColumn("stream_id", F.lit(1))
+    out = {r["n"]: r for r in late_interval_control(df, ["stream_id"], ["n"]).collect()}
+    demoted = [out[i]["demoted"] for i in range(len(data))]
+    assert not any(demoted[:41]) and demoted[52] and not demoted[-2] and demoted[-1]
+    assert out[len(data) - 1]["n_ratios"] == 1
+
+
+def test_demotion_goes_on_from_its_state():
+    names = ["time_s", "opens", "ratio", "bound", "restore", "overload"]
+    data = [(20 + i / 60, i == 0, None if i == 0 else 1.5 if 40 < i < 53 else 1.0, 1.2, True, False) for i in range(113)]
+    out, _ = Demotion()(pd.DataFrame(data, columns=names), None)
+    one, state = Demotion()(pd.DataFrame(data[:50], columns=names), None)
+    two, _ = Demotion()(pd.DataFrame(data[50:], columns=names), json.loads(json.dumps(state)))
+    assert one["demoted"] + two["demoted"] == out["demoted"] and any(out["demoted"])
 
 
 def test_replace_output_keeps_the_old_one_on_failure(spark, tmp_path):
