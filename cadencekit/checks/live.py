@@ -20,22 +20,53 @@ BATCH_BYTES = 1 << 30
 KEYS, BY = ["stream_id"], ["us", "event_id"]
 
 
-def drained(spark, d, stream):
-    """Drain a stream with as many state stores as its table needs."""
-    return S.drain(stream, partitions=sized_partitions(table(spark, d, "events")))
+def drained(spark, d, stream, flush=None):
+    """Drain a stream with as many state stores as its table needs.  Late rows have no result: they are an error."""
+    out = S.drain(stream, partitions=sized_partitions(table(spark, d, "events")), flush=flush)
+    if "late_row" in out.columns and not out.filter("late_row").isEmpty():
+        raise RuntimeError("rows came after later ones of their key")
+    return out
+
+
+def live_path(d):
+    """The table's path as a pattern, which a stream reads whether it is a file or a folder."""
+    return f"{d}/events.parque[t]"
 
 
 def live_events(spark, d):
-    """The event log as a stream, with event time ``at``."""
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-    raw = raw.option("maxBytesPerTrigger", BATCH_BYTES).parquet(d)
+    """The event log as a stream, with event time ``at``.  The table may be a file or a folder of files."""
+    schema = table(spark, d, "events").schema
+    raw = spark.readStream.schema(schema).option("maxBytesPerTrigger", BATCH_BYTES).parquet(live_path(d))
+    return _event_columns(raw)
+
+
+def _event_columns(raw):
     at = F.col("ts").cast("timestamp")
     return raw.select(
         F.col("user_id").alias("stream_id"), "event_id", "event_type", "value", at.alias("at"),
         (F.unix_micros(at) - LOG_START_US).alias("us"), F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
+def ended_events(spark, d):
+    """The event log with an end: the stream, a delay that covers any order of its files, and what brings the last
+    row, of stream -1 and a time past the delay, so that everything is handed out."""
+    events = table(spark, d, "events")
+    folder = f"{checkpoint_base(spark)}/end-{uuid.uuid4().hex}"
+    events.limit(0).write.parquet(folder)
+    first, last = events.agg(F.unix_micros(F.min("ts").cast("timestamp")), F.unix_micros(F.max("ts").cast("timestamp"))).first()
+    span = (last - first) // 1_000_000 + 2 if first is not None else 1
+    end = F.timestamp_micros(F.lit((last or 0) + 4 * span * 1_000_000 + 400 * DAY_MS * 1000))
+
+    def flush():
+        row = {"user_id": F.lit(-1), "event_id": F.lit(-1), "ts": end}
+        one = spark.range(1).select(*[row.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema])
+        one.write.mode("append").parquet(folder)
+
+    raw = spark.readStream.schema(events.schema)
+    both = raw.option("maxBytesPerTrigger", BATCH_BYTES).parquet(live_path(d)).unionByName(raw.parquet(folder))
+    return _event_columns(both), f"{span} seconds", flush
+
+
 def live_samples(spark, d):
     """The sample view written out once, then read as a stream."""
     folder = f"{checkpoint_base(spark)}/samples-{uuid.uuid4().hex}"
@@ -45,9 +76,11 @@ def live_samples(spark, d):
 
 
 def ticks(spark, d):
-    out = drained(spark, d, S.tick_counters_stream(live_events(spark, d), KEYS, "at", "event_type", ("click", "error"), "0 seconds", "1 day"))
-    return out.select("stream_id", (F.unix_micros("tick.start") - LOG_START_US).alias("tick_us"), "n_click", "n_error",
-                      r6("elapsed_s").alias("elapsed_s"))
+    ev, delay, flush = ended_events(spark, d)
+    out = drained(spark, d, S.tick_counters_stream(ev, KEYS, "at", "event_type", ("click", "error"), delay, "1 day"), flush)
+    return out.filter("stream_id >= 0").select(
+        "stream_id", (F.unix_micros("tick.start") - LOG_START_US).alias("tick_us"), "n_click", "n_error",
+        r6("elapsed_s").alias("elapsed_s"))
 
 
 def live_cadence(spark, d):
@@ -93,16 +126,20 @@ def live_buffer(spark, d):
 
 
 def live_ttl(spark, d):
-    ev = live_events(spark, d).filter(F.col("event_type") == "purchase").withColumn("at_ms", F.unix_millis("at"))
-    out = drained(spark, d, S.ttl_stream(ev, KEYS, "at", "at_ms", "value", "0 seconds", DAY_MS))
-    return out.filter("state = 'active'").groupBy("stream_id").agg(F.count("*").alias("n_active"), F.max("at_ms").alias("last_ms"))
+    """All states of purchases that last a day."""
+    ev, delay, flush = ended_events(spark, d)
+    ev = ev.filter("event_type = 'purchase' or stream_id < 0").withColumn("at_us", F.unix_micros("at"))
+    out = drained(spark, d, S.ttl_stream(ev, KEYS, "at", "at_us", "event_id", "value", delay, DAY_MS), flush)
+    return out.filter("stream_id >= 0")
 
 
 def live_first(spark, d):
+    """All states of streams that start with a signup and wait a day for a view."""
     kind = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type") == "view", "picture")
-    ev = live_events(spark, d).withColumn("kind", kind).filter("kind is not null").withColumn("at_ms", F.unix_millis("at"))
-    out = drained(spark, d, S.first_event_timeout(ev, KEYS, "at", "at_ms", "kind", "0 seconds", DAY_MS))
-    return out.filter("state = 'running'").select("stream_id", "at_ms")
+    ev, delay, flush = ended_events(spark, d)
+    ev = ev.withColumn("kind", kind).filter("kind is not null or stream_id < 0").withColumn("at_us", F.unix_micros("at"))
+    out = drained(spark, d, S.first_event_timeout(ev, KEYS, "at", "at_us", "event_id", "kind", delay, DAY_MS), flush)
+    return out.filter("stream_id >= 0")
 
 
 def live_control(spark, d):
@@ -122,7 +159,7 @@ CHECKS = {
     "t1_tick_stream": Check(ticks, f"""
 WITH {EVENTS_SQL}, t AS (SELECT stream_id, us // {DAY_MS * 1000} * {DAY_MS * 1000} AS tick_us, count(*) FILTER (WHERE event_type = 'click') AS n_click,
   count(*) FILTER (WHERE event_type = 'error') AS n_error, round((max(us) - min(us)) / 1e6, 6) AS elapsed_s FROM ev GROUP BY 1, 2)
-SELECT * FROM t WHERE tick_us + {DAY_MS * 1000} <= (SELECT max(us) FROM ev)"""),
+SELECT * FROM t"""),
     "t2_cadence_stream": Check(live_cadence, f"""
 WITH {CADENCE_SQL} SELECT event_id, CASE WHEN state_reason IS NULL THEN 'estimated' ELSE 'unknown' END AS state, state_reason,
   round(CASE WHEN state_reason IS NULL THEN (updates - 1) * 1e9 / (last_change - first_change) END, 6) AS fps,
@@ -145,10 +182,16 @@ SELECT event_id, late, count(*) FILTER (WHERE late) OVER ({W} ROWS BETWEEN UNBOU
 SELECT e.user_id AS stream_id, CAST(sum(n_evicted) AS BIGINT) AS n_evicted, CAST(sum(n_drained) AS BIGINT) AS n_drained
 FROM ({controls.CHECKS['w12_buffer_with_drain'].sql}) b JOIN events e USING (event_id) GROUP BY 1 HAVING sum(n_evicted) + sum(n_drained) > 0"""),
     "t9_ttl_stream": Check(live_ttl, f"""
-SELECT user_id AS stream_id, count(*) AS n_active, max(epoch_ms(ts)) AS last_ms FROM events WHERE event_type = 'purchase' GROUP BY 1"""),
+WITH p AS (SELECT user_id AS stream_id, epoch_us(ts) AS at_us, value,
+  lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS then_us FROM events WHERE event_type = 'purchase')
+SELECT stream_id, 'active' AS state, at_us, value FROM p UNION ALL
+SELECT stream_id, 'expired', at_us + {DAY_MS * 1000}, value FROM p WHERE then_us IS NULL OR then_us > at_us + {DAY_MS * 1000}"""),
     "t10_first_event": Check(live_first, f"""
-WITH s AS (SELECT user_id, min(ts) AS start FROM events WHERE event_type = 'signup' GROUP BY 1)
-SELECT e.user_id AS stream_id, min(epoch_ms(ts)) AS at_ms FROM events e JOIN s USING (user_id) WHERE event_type = 'view' AND ts >= start GROUP BY 1"""),
+WITH s AS (SELECT user_id, min((epoch_us(ts), event_id)) AS start FROM events WHERE event_type = 'signup' GROUP BY 1),
+v AS (SELECT s.user_id, s.start[1] AS start, min(epoch_us(e.ts)) AS seen FROM s LEFT JOIN events e
+  ON e.user_id = s.user_id AND e.event_type = 'view' AND (epoch_us(e.ts), e.event_id) > s.start GROUP BY 1, 2)
+SELECT user_id AS stream_id, 'running' AS state, seen AS at_us FROM v WHERE seen IS NOT NULL UNION ALL
+SELECT user_id, 'no_picture', start + {DAY_MS * 1000} FROM v WHERE seen IS NULL OR seen > start + {DAY_MS * 1000}"""),
     "t11_control_stream": Check(live_control, controls.CHECKS["w20_cooldown"].sql),
     "t12_dedupe_stream": Check(live_distinct, f"WITH {EVENTS_SQL} SELECT DISTINCT stream_id, k FROM ev"),
 }

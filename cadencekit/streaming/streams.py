@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -107,12 +107,6 @@ def epochs_stream(stream: DataFrame, keys: Sequence[str], by: Sequence[str], **o
     return step_stream(stream, keys, by, Epochs(**options))
 
 
-def sessions_stream(stream: DataFrame, keys: Sequence[str], time: str, gap: str, delay: str) -> DataFrame:
-    """Approximate epochs: Spark's session windows by gap alone."""
-    return (stream.withWatermark(time, delay).groupBy(*keys, F.session_window(time, gap).alias("session"))
-            .agg(F.count("*").alias("n_rows")))
-
-
 def change_stream(stream: DataFrame, keys: Sequence[str], by: Sequence[str], **options) -> DataFrame:
     return step_stream(stream, keys, by, Changes(**options))
 
@@ -210,90 +204,122 @@ def buffer_stream(stream: DataFrame, keys: Sequence[str], by: Sequence[str], tim
         "append", "eventTime")
 
 
-class ExpiryProcessor(_Held):
-    """Announce values when they are stated and again when their lifetime has passed."""
+class _InOrder(_Held):
+    """Rows wait in the state until the watermark has passed them, so that they are handled in the order of
+    ``(time, tie)`` whatever files and triggers they came in.  Times are microseconds.
 
-    def __init__(self, keys: Sequence[str], time_ms: str, value: str, ttl_ms: int) -> None:
-        self.keys, self.time_ms, self.value, self.ttl_ms = list(keys), time_ms, value, ttl_ms
+    Subclasses give ``fresh`` (the state of a new key), ``one`` (a row), ``due`` (the time at which the state
+    changes by itself, or None) and ``lapse`` (that change).  Both yield output rows as tuples.
+    """
 
-    def _row(self, key, state: str, at: int, value: float | None) -> pd.DataFrame:
-        row = {k: [v] for k, v in zip(self.keys, key, strict=True)}
-        return pd.DataFrame(row | {"state": [state], "at_ms": [at], "value": [value]}).astype(object)
+    def __init__(self, keys: Sequence[str], time: str, tie: str, value: str, names: Sequence[str]) -> None:
+        self.keys, self.time, self.tie, self.value, self.names = list(keys), time, tie, value, list(names)
 
     def handleInputRows(self, key, rows, timerValues):
-        pdf = pd.concat(list(rows)).sort_values(self.time_ms, kind="stable", ignore_index=True)
-        held = self.load()
-        for at, value in zip(pdf[self.time_ms].tolist(), pdf[self.value].tolist(), strict=True):
-            if held is not None and at < held[0]:
-                continue
-            if held is not None and at > held[0] + self.ttl_ms:
-                yield self._row(key, "expired", held[0] + self.ttl_ms, held[1])
-            held = [int(at), float(value)]
-            yield self._row(key, "active", *held)
-        if held is not None:
-            for timer in self.handle.listTimers():
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(held[0] + self.ttl_ms + 1)
-            self.save(held)
+        held = self.load() or {"waiting": [], "state": self.fresh()}
+        for pdf in rows:
+            held["waiting"] += [[int(t), int(i), v] for t, i, v in
+                                zip(pdf[self.time].tolist(), pdf[self.tie].tolist(), pdf[self.value].tolist(), strict=True)]
+        held["waiting"].sort()
+        self.keep(held)
+        yield from ()
+
+    def keep(self, held) -> None:
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        times = [t for t in (held["waiting"][0][0] if held["waiting"] else None, self.due(held["state"])) if t is not None]
+        if times:
+            self.handle.registerTimer(min(times) // 1000 + 1)
+        self.save(held)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        held = self.load()
-        if held is not None:
-            yield self._row(key, "expired", held[0] + self.ttl_ms, held[1])
-            self.held.clear()
+        held, out = self.load(), []
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        while True:
+            row = held["waiting"][0] if held["waiting"] else None
+            due = self.due(held["state"])
+            if due is not None and due < now and (row is None or due < row[0]):
+                out += self.lapse(held["state"])
+            elif row is not None and row[0] < now:
+                held["waiting"].pop(0)
+                out += self.one(held["state"], *row)
+            else:
+                break
+        self.keep(held)
+        if out:
+            table = pd.DataFrame(out, columns=self.names)
+            for name, value in reversed(list(zip(self.keys, key, strict=True))):
+                table.insert(0, name, value)
+            yield table.astype(object)
+
+
+class ExpiryProcessor(_InOrder):
+    """Announce values when they are stated and again when their lifetime has passed."""
+
+    def __init__(self, *columns, ttl_us: int) -> None:
+        super().__init__(*columns, ("state", "at_us", "value"))
+        self.ttl_us = ttl_us
+
+    def fresh(self):
+        return {"at": None, "value": None}
+
+    def due(self, state):
+        return None if state["at"] is None else state["at"] + self.ttl_us
+
+    def lapse(self, state):
+        yield "expired", self.due(state), state["value"]
+        state |= self.fresh()
+
+    def one(self, state, at, _, value):
+        state |= {"at": at, "value": value}
+        yield "active", at, value
 
 
-def ttl_stream(stream: DataFrame, keys: Sequence[str], time: str, time_ms: str, value: str, delay: str,
+def ttl_stream(stream: DataFrame, keys: Sequence[str], time: str, time_us: str, tie: str, value: str, delay: str,
                ttl_ms: int = TTL_MS) -> DataFrame:
-    """Activity with a lifetime: one row when stated, one when it lapses."""
-    fields = [stream.schema[k] for k in keys]
-    added = T.StructType.fromDDL("state string, at_ms bigint, value double")
+    """Activity with a lifetime: one row when stated, one when it lapses; a value restated at the very end of its
+    lifetime has not lapsed.  Rows of one time follow ``tie``."""
+    return _in_order(stream, keys, time, delay, ExpiryProcessor(keys, time_us, tie, value, ttl_us=ttl_ms * 1000),
+                     "state string, at_us bigint, value double")
+
+
+def _in_order(stream: DataFrame, keys: Sequence[str], time: str, delay: str, processor: _InOrder, added: str) -> DataFrame:
+    schema = T.StructType([*[stream.schema[k] for k in keys], *T.StructType.fromDDL(added).fields])
     use_state_store(stream.sparkSession)
     return stream.withWatermark(time, delay).groupBy(*keys).transformWithStateInPandas(
-        ExpiryProcessor(keys, time_ms, value, ttl_ms), T.StructType([*fields, *added.fields]), "append", "eventTime")
+        processor, schema, "append", "eventTime")
 
 
-class FirstEventProcessor(_Held):
+class FirstEventProcessor(_InOrder):
     """Report a started stream whose first picture does not come in time, and when it comes."""
 
-    def __init__(self, keys: Sequence[str], time_ms: str, kind: str, wait_ms: int) -> None:
-        self.keys, self.time_ms, self.kind, self.wait_ms = list(keys), time_ms, kind, wait_ms
+    def __init__(self, *columns, wait_us: int) -> None:
+        super().__init__(*columns, ("state", "at_us"))
+        self.wait_us = wait_us
 
-    def _row(self, key, state: str, at: int) -> pd.DataFrame:
-        row = {k: [v] for k, v in zip(self.keys, key, strict=True)}
-        return pd.DataFrame(row | {"state": [state], "at_ms": [at]}).astype(object)
+    def fresh(self):
+        return {"start": None, "state": None}
 
-    def handleInputRows(self, key, rows, timerValues):
-        pdf = pd.concat(list(rows)).sort_values(self.time_ms, kind="stable", ignore_index=True)
-        held = self.load() or {"start": None, "state": None}
-        for at, kind in zip(pdf[self.time_ms].tolist(), pdf[self.kind].tolist(), strict=True):
-            if kind == "start" and held["start"] is None:
-                held = {"start": int(at), "state": "waiting"}
-                self.handle.registerTimer(int(at) + self.wait_ms)
-            elif kind == "picture" and held["start"] is not None and held["state"] != "running":
-                if held["state"] == "waiting" and at > held["start"] + self.wait_ms:
-                    yield self._row(key, "no_picture", held["start"] + self.wait_ms)
-                held["state"] = "running"
-                yield self._row(key, "running", int(at))
-        self.save(held)
+    def due(self, state):
+        return state["start"] + self.wait_us if state["state"] == "waiting" else None
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        held = self.load()
-        if held is not None and held["state"] == "waiting":
-            held["state"] = "no_picture"
-            self.save(held)
-            yield self._row(key, "no_picture", held["start"] + self.wait_ms)
+    def lapse(self, state):
+        yield "no_picture", self.due(state)
+        state["state"] = "no_picture"
+
+    def one(self, state, at, _, kind):
+        if kind == "start" and state["start"] is None:
+            state |= {"start": at, "state": "waiting"}
+        elif kind == "picture" and state["start"] is not None and state["state"] != "running":
+            state["state"] = "running"
+            yield "running", at
 
 
-def first_event_timeout(stream: DataFrame, keys: Sequence[str], time: str, time_ms: str, kind: str, delay: str,
+def first_event_timeout(stream: DataFrame, keys: Sequence[str], time: str, time_us: str, tie: str, kind: str, delay: str,
                         wait_ms: int = FIRST_WAIT_MS) -> DataFrame:
     """Rows of kind ``start`` and ``picture`` in; ``no_picture`` and ``running`` states out."""
-    fields = [stream.schema[k] for k in keys]
-    added = T.StructType.fromDDL("state string, at_ms bigint")
-    use_state_store(stream.sparkSession)
-    return stream.withWatermark(time, delay).groupBy(*keys).transformWithStateInPandas(
-        FirstEventProcessor(keys, time_ms, kind, wait_ms), T.StructType([*fields, *added.fields]),
-        "append", "eventTime")
+    return _in_order(stream, keys, time, delay, FirstEventProcessor(keys, time_us, tie, kind, wait_us=wait_ms * 1000),
+                     "state string, at_us bigint")
 
 
 def wall_clock(pts_ns: Column, session_start: Column) -> Column:
@@ -301,19 +327,28 @@ def wall_clock(pts_ns: Column, session_start: Column) -> Column:
     return F.timestamp_micros(F.unix_micros(session_start) + F.floor(pts_ns / 1000).cast("long"))
 
 
-def drain(stream: DataFrame, mode: str = "append", partitions: int | None = None) -> DataFrame:
+def drain(stream: DataFrame, mode: str = "append", partitions: int | None = None,
+          flush: Callable[[], None] | None = None) -> DataFrame:
     """Run a stream over everything available and return its output as a table.
 
-    ``partitions`` sets the number of state stores, which a stream fixes when it first starts.
+    ``partitions`` sets the number of state stores, which a stream fixes when it first starts.  ``flush`` is
+    called when all is read; it should bring a row late enough to move the watermark past all others, and the
+    stream then runs on.  Rows dropped behind the watermark are an error.
     """
     spark = stream.sparkSession
     folder = f"{checkpoint_base(spark)}/drain-{uuid.uuid4().hex}"
     usual = spark.conf.get(SHUFFLE_PARTITIONS)
     try:
         spark.conf.set(SHUFFLE_PARTITIONS, str(partitions or usual))
-        query = (stream.writeStream.format("parquet").outputMode(mode).option("path", f"{folder}/out")
-                 .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start())
-        query.awaitTermination()
+        for last in ((None, flush) if flush else (None,)):
+            if last:
+                last()
+            query = (stream.writeStream.format("parquet").outputMode(mode).option("path", f"{folder}/out")
+                     .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start())
+            query.awaitTermination()
+            lost = sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
+            if lost:
+                raise RuntimeError(f"{lost} rows were behind the watermark: its delay must cover their disorder")
     finally:
         spark.conf.set(SHUFFLE_PARTITIONS, usual)
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")

@@ -163,7 +163,7 @@ def test_late_interval_hysteresis(spark):
 
 def test_demotion_goes_on_from_its_state():
     names = ["time_s", "opens", "ratio", "bound", "restore", "overload"]
-    data = [(20 + i / 60, i == 0, None if i == 0 else 1.5 if 40 < i < 53 else 1.0, 1.2, True, False) for i in range(113)]
+    data = [(20 + i / 60, i == 0, None if i == 0 else 1.5 if 40 < i < 53 else 1.0, 1.05, True, False) for i in range(113)]
     out, _ = Demotion()(pd.DataFrame(data, columns=names), None)
     one, state = Demotion()(pd.DataFrame(data[:50], columns=names), None)
     two, _ = Demotion()(pd.DataFrame(data[50:], columns=names), json.loads(json.dumps(state)))
