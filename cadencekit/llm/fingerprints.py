@@ -2,7 +2,7 @@
 
 The lexicon holds the terms whose document frequency lies in a band, which is a band of inverse document
 frequency.  Each subset keeps every lexicon term with its own rate; a text's fingerprint is, per subset, the hash
-of its sorted distinct terms there, or ``-`` if it has none.  Texts without any lexicon term (empty ones too)
+of its sorted distinct terms there, if it has any.  Texts without any lexicon term (empty ones too)
 are told apart by the hash of all their distinct terms.  Null texts count as empty.  Rows that repeat a
 ``doc_id`` follow each other in the order of their texts; null ids come last.  Empty tables give empty results.
 """
@@ -26,7 +26,7 @@ def distinct_terms(text: Column) -> Column:
 
 def lexicon(docs: DataFrame, text: str = "text", least_share: float = 5e-4, most_share: float = 0.1,
             rates: tuple[float, ...] = RATES) -> DataFrame:
-    """``term`` and ``subsets`` (bit k: the term is in subset k) of the terms that between ``least_share`` and
+    """``term`` and ``subsets``, the numbers of the subsets it is in, of the terms that between ``least_share`` and
     ``most_share`` of the documents hold.
 
     There are at most (mean number of distinct terms of a document) / ``least_share`` such terms, whatever
@@ -34,34 +34,40 @@ def lexicon(docs: DataFrame, text: str = "text", least_share: float = 5e-4, most
     n = docs.count()
     frequencies = (docs.select(F.explode(distinct_terms(F.coalesce(F.col(text), F.lit("")))).alias("term"))
                    .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
-    bits = [F.when(unit_hash(F.col("term"), seed=k) < rate, F.lit(1 << k)).otherwise(F.lit(0)).cast("long")
-            for k, rate in enumerate(rates)]
-    mask = bits[0]
-    for bit in bits[1:]:
-        mask = mask.bitwiseOR(bit)
+    numbers = F.array_compact(F.array(*(
+        F.when(unit_hash(F.col("term"), seed=k) < rate, F.lit(k)) for k, rate in enumerate(rates))))
     return (frequencies.where((F.col("df") >= least_share * n) & (F.col("df") <= max(1.0, most_share * n)))
-            .select("term", mask.alias("subsets")))
+            .select("term", numbers.alias("subsets")).where(F.size("subsets") > 0))
 
 
-def subset_hashes(terms: Column, whole: Column, n: int) -> Column:
-    """Per subset the hash of the terms in it, or null; ``terms`` are sorted structs of term and subsets."""
-    def one(k: Column) -> Column:
-        kept = F.filter(terms, lambda t: F.getbit(t["subsets"], k) == 1)
-        return F.when(F.size(kept) > 0, F.xxhash64(F.transform(kept, lambda t: t["term"])))
-    return F.when(F.size(terms) == 0, F.array(whole)).otherwise(
-        F.transform(F.array(*(F.lit(k) for k in range(n))), one))
+def subset_hashes(entries: Column, whole: Column) -> Column:
+    """Per subset with a term ``number-hash``: ``entries`` are structs of subset and term in order, and a subset's hash
+    runs through its terms one by one.  Without entries only the hash of ``whole``."""
+    name = lambda number, value: F.concat(F.lpad(number.cast("string"), 2, "0"), F.lit("-"), F.lpad(F.lower(F.hex(value)), 16, "0"))
+    start = F.struct(F.lit(-1).alias("number"), F.lit(0).cast("long").alias("value"), F.array().cast("array<string>").alias("out"))
+
+    def done(state: Column) -> Column:
+        return F.when(state["number"] < 0, state["out"]).otherwise(F.concat(state["out"], F.array(name(state["number"], state["value"]))))
+
+    def step(state: Column, entry: Column) -> Column:
+        same = state["number"] == entry["number"]
+        return F.struct(entry["number"].alias("number"),
+                        F.xxhash64(F.when(same, state["value"]).otherwise(0), entry["term"]).alias("value"),
+                        F.when(same, state["out"]).otherwise(done(state)).alias("out"))
+
+    return F.when(F.size(entries) == 0, F.array(F.concat(F.lit("all-"), F.lpad(F.lower(F.hex(whole)), 16, "0")))).otherwise(
+        F.aggregate(entries, start, step, done))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """The share of equal hashes among the subsets in which either text has a term."""
-    pairs = F.arrays_zip(a.alias("x"), b.alias("y"))
-    either = F.size(F.filter(pairs, lambda p: p["x"].isNotNull() | p["y"].isNotNull()))
-    same = F.size(F.filter(pairs, lambda p: p["x"] == p["y"]))
-    return F.when(a == b, 1.0).when(either > 0, same / either).otherwise(0.0)
+    numbers = lambda c: F.transform(c, lambda x: F.substring_index(x, "-", 1))
+    either = F.size(F.array_union(numbers(a), numbers(b)))
+    return F.when(a == b, 1.0).otherwise(F.size(F.array_intersect(a, b)) / either)
 
 
-def text_form(hashes: Column) -> Column:
-    return F.array_join(F.transform(hashes, lambda h: F.coalesce(F.lpad(F.lower(F.hex(h)), 16, "0"), F.lit("-"))), ".")
+#: Guests that are broadcast at most: 16 bytes each.
+MOST_GUESTS = 1_000_000
 
 
 def _neighbours(docs: DataFrame, width: int) -> DataFrame:
@@ -72,9 +78,11 @@ def _neighbours(docs: DataFrame, width: int) -> DataFrame:
     tops = bucketed.groupBy("bucket").agg(F.max("doc_id").alias("top"))
     placed = materialise(numbered(tops, [F.col("bucket").asc()]))
     n = placed.count()
+    most = n <= MOST_GUESTS
     hosts = placed.select(F.col("top").alias("doc_id"), F.pmod(F.col("position") + 1, F.lit(max(1, n))).alias("position"))
     hosts = hosts.join(placed.select("position", F.col("bucket").alias("host")), "position").select("doc_id", "host")
-    # One guest a bucket: a table of 1 / width of the documents' ids, which Spark broadcasts while it is small.
+    # One guest a bucket: two numbers for each ``width`` ids.  Few are broadcast, so that texts stay where they are.
+    hosts = F.broadcast(hosts) if most else hosts
     guests = (docs.join(hosts, docs["doc_id"].eqNullSafe(hosts["doc_id"]))
               .select(docs["doc_id"], docs["text"], F.col("host").alias("bucket"), F.lit(1).alias("guest")))
     return bucketed.select("doc_id", "text", "bucket", F.lit(0).alias("guest")).unionByName(guests)
@@ -86,7 +94,7 @@ def edited(text: Column, following: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.char_length(text) - half), F.substring(following, F.lit(1), half))
 
 
-def fingerprints(docs: DataFrame, terms: DataFrame, n_subsets: int = len(RATES), key: str = "doc_id",
+def fingerprints(docs: DataFrame, terms: DataFrame, key: str = "doc_id",
                  text: str = "text", width: int = 128, most_broadcast: int = 2_000_000) -> DataFrame:
     """Fingerprints of every whole text and of its edited form, each with its likeness to the text's.
 
@@ -114,21 +122,21 @@ def fingerprints(docs: DataFrame, terms: DataFrame, n_subsets: int = len(RATES),
     about = F.struct("doc_id", "guest", "n_chars", "edited_sha256", F.xxhash64(F.array_sort("terms")).alias("whole"))
     entries = F.concat(F.array(F.struct(F.lit("").alias("term"), about.alias("about"))),
                        F.transform("terms", lambda t: F.struct(t.alias("term"), F.when(t == "", about).alias("about"))))
-    rows = found.select("bucket", "seat", "v.version", F.inline(entries)).join(terms, "term")
+    rows = found.select("bucket", "seat", "v.version", F.inline(entries)).join(terms, "term").withColumn("number", F.explode("subsets"))
     grouped = rows.groupBy("bucket", "seat", "version").agg(
         F.first("about", ignorenulls=True).alias("about"),
-        F.array_sort(F.collect_list(F.when(F.col("term") != "", F.struct("term", "subsets")))).alias("terms"))
+        F.array_sort(F.collect_list(F.when(F.col("number") >= 0, F.struct("number", "term")))).alias("entries"))
     hashed = grouped.select("bucket", "seat", "version", "about",
-                            subset_hashes(F.col("terms"), F.col("about.whole"), n_subsets).alias("hashes"))
+                            subset_hashes(F.col("entries"), F.col("about.whole")).alias("hashes"))
     turn = Window.partitionBy("bucket").orderBy("seat", "version")
     beside = hashed.select("version", "about", "hashes", F.lead("hashes", 1).over(turn).alias("other"),
                            F.lead("hashes", 2).over(turn).alias("following"))
     return (beside.where("version = 0 and about.guest = 0")
-            .select("about.doc_id", "about.n_chars", "about.edited_sha256", text_form(F.col("hashes")).alias("fingerprint"),
-                    text_form(F.col("other")).alias("edited_fingerprint"),
+            .select("about.doc_id", "about.n_chars", "about.edited_sha256", F.array_join("hashes", ".").alias("fingerprint"),
+                    F.array_join("other", ".").alias("edited_fingerprint"),
                     likeness(F.col("hashes"), F.col("other")).alias("near_edited"),
                     likeness(F.col("hashes"), F.col("following")).alias("near_next")))
 
 
 def _mark(spark) -> DataFrame:
-    return spark.range(1).select(F.lit("").alias("term"), F.lit(0).cast("long").alias("subsets"))
+    return spark.range(1).select(F.lit("").alias("term"), F.array(F.lit(-1)).alias("subsets"))
