@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import Broadcast, cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadencekit.session import materialise
@@ -79,6 +81,15 @@ def components(links: DataFrame) -> DataFrame:
     return roots
 
 
+def share(spark: SparkSession, value: object) -> Broadcast:
+    """Broadcasts a value whose class need not be installed on the executors; see ``opened``."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def opened(shared: Broadcast):
+    return pickle.loads(shared.value)
+
+
 def record_batches(rows: Iterable[tuple], schema: pa.Schema, size: int = 20_000):
     """Arrow batches of at most ``size`` rows from tuples."""
     waiting: list[tuple] = []

@@ -15,8 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadencekit.llm.common import record_batches, unit_hash
-from cadencekit.session import materialise
+from cadencekit.llm.common import opened, record_batches, share, unit_hash
 
 LETTERS = re.compile(r"[^\W\d_]+")
 START, STOP = 0x110000, 0x110001
@@ -201,8 +200,8 @@ def train(docs: DataFrame, order: int = 4, most_docs: int = 3000, most_languages
         raise ValueError(f"over {most_languages} languages")
     if not shares:
         return None
-    share = F.element_at(F.create_map(*(F.lit(x) for pair in shares.items() for x in pair)), F.col("lang"))
-    sample = labelled.where(F.col("_u") < share).select("lang", "text")
+    portion = F.element_at(F.create_map(*(F.lit(x) for pair in shares.items() for x in pair)), F.col("lang"))
+    sample = labelled.where(F.col("_u") < portion).select("lang", "text")
 
     def count(batches):
         def rows():
@@ -236,10 +235,10 @@ def train(docs: DataFrame, order: int = 4, most_docs: int = 3000, most_languages
         return None
     models = Models(list(tables), tables)
     names = models.languages
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    shared = share(docs.sparkSession, models)
 
     def entropies(batches):
-        judge = Judge(shared.value)
+        judge = Judge(opened(shared))
         for batch in batches:
             for part, texts in _slices(batch):
                 own, values = [], []
@@ -260,8 +259,7 @@ def identify(docs: DataFrame, trained: tuple[Models, dict] | None, text: str = "
     """All columns of ``docs`` and ``lang_pred`` (the language of least entropy a character), ``score`` (its
     share among the languages, from their entropies over the first hundred characters' worth of
     evidence), ``entropy`` and ``rejected`` (no letter, or above the language's limit)."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(trained)
+    shared = share(docs.sparkSession, trained)
     columns = docs.columns
     inputs = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)],
                          F.col(text).cast("string").alias("text"))
@@ -269,7 +267,8 @@ def identify(docs: DataFrame, trained: tuple[Models, dict] | None, text: str = "
     schema = ", ".join(f"{n} {t}" for n, t in fields) + ", lang_pred string, score double, entropy double, rejected boolean"
 
     def run(batches):
-        judge = Judge(shared.value[0]) if shared.value else None
+        models, limits = opened(shared) or (None, {})
+        judge = Judge(models) if models else None
         for batch in batches:
             for part, texts in _slices(batch, chunk):
                 names, scores, entropy, rejected = [], [], [], []
@@ -282,7 +281,7 @@ def identify(docs: DataFrame, trained: tuple[Models, dict] | None, text: str = "
                         best = int(np.argmin(h))
                         name = judge.models.languages[best]
                         share = float(1 / np.exp((h[best] - h) * min(one[1], 100)).sum())
-                        values = (name, share, float(h[best]), bool(h[best] > shared.value[1].get(name, np.inf)))
+                        values = (name, share, float(h[best]), bool(h[best] > limits.get(name, np.inf)))
                     for to, value in zip((names, scores, entropy, rejected), values):
                         to.append(value)
                 yield pa.RecordBatch.from_arrays(

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadencekit.llm.common import record_batches, unit_hash
+from cadencekit.llm.common import opened, record_batches, share, unit_hash
 from cadencekit.session import materialise
 
 
@@ -158,17 +158,17 @@ def nearest(table: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
     sample = rows.where(unit_hash(F.col("id"), seed=seed) * sizes["n"] < most_sample).orderBy("id").select("v").toArrow()
     points = unit(matrix(sample["v"].combine_chunks())) if sample.num_rows else np.ones((1, sizes["d"]))
     tree = Tree(points, branches, leaf_points, seed)
-    shared = spark.sparkContext.broadcast((tree, calibrate(tree, points, k, recall)))
+    shared = share(spark, (tree, calibrate(tree, points, k, recall)))
 
     def index(batches):
-        tree, _ = shared.value
+        tree, _ = opened(shared)
         for batch in batches:
             if batch.num_rows:
                 leaf = tree.assign(unit(matrix(batch.column("v"))))
                 yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(leaf)], names=["id", "v", "leaf"])
 
     def visit(batches):
-        tree, visits = shared.value
+        tree, visits = opened(shared)
 
         def pairs():
             for batch in batches:

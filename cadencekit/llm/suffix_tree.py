@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadencekit.llm.common import binary_column, record_batches, words
+from cadencekit.llm.common import binary_column, opened, record_batches, share, words
 from cadencekit.session import materialise
 
 # None of these bytes is part of a word.
@@ -188,10 +188,10 @@ def scores(docs: DataFrame, held_out: Column, least_share: float = 1e-6, depth:
     tree = grow(counts, depth)
     often = {bytes(r["word"]): r["n"] for r in counts.where(F.col("n") >= least_share * total).toLocalIterator()}
     whole = total + 0.5 * (kinds + 1)
-    shared = spark.sparkContext.broadcast((tree, often))
+    shared = share(spark, (tree, often))
 
     def run(batches):
-        tree, often = shared.value
+        tree, often = opened(shared)
         base = {word: math.log10((n + 0.5) / whole) for word, n in often.items()}
         row = TaskContext.get().partitionId() << 33
 

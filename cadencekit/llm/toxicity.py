@@ -28,11 +28,11 @@ def sentence_terms(text: str) -> list[list[str]]:
 
 
 def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, most_terms: int = 20_000, least_docs: int = 3,
-        rounds: int = 300, rate: float = 0.1, shrink: float = 2e-5) -> tuple[dict[str, float], float]:
+        least_z: float = 4.5, rounds: int = 400, rate: float = 0.1, shrink: float = 2e-6) -> tuple[dict[str, float], float]:
     """Weights of terms and the bias of a sentence's logit, from labels of whole texts.
 
-    The terms are the ``most_terms`` that tell the labels apart best by their document frequencies; the
-    weighted log-loss of the noisy-or is then lessened with Adam."""
+    The terms are the ``most_terms`` whose document frequencies tell the labels apart best, by a z score of
+    ``least_z`` or more; the weighted log-loss of the noisy-or is then lessened with Adam."""
     bags = [sentence_terms(t) for t in texts]
     frequency = [Counter(), Counter()]
     for bag, label in zip(bags, labels):
@@ -45,7 +45,7 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, most_terms: i
         return abs(p - q) / np.sqrt(mean * (1 - mean) * (1 / size[0] + 1 / size[1]) + 1e-12)
 
     terms = [t for t in set(frequency[0]) | set(frequency[1]) if frequency[0][t] + frequency[1][t] >= least_docs]
-    terms = sorted(sorted(terms), key=apart, reverse=True)[:most_terms]
+    terms = sorted(sorted(t for t in terms if apart(t) >= least_z), key=apart, reverse=True)[:most_terms]
     index = {t: i for i, t in enumerate(terms)}
     sentence, feature, owner = [], [], []
     for doc, bag in enumerate(bags):
@@ -58,7 +58,7 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, most_terms: i
     n_docs, n_sentences = len(texts), len(owner)
     share = weights / weights.sum()
     values = np.zeros(len(terms) + 1)
-    values[-1] = -5.0
+    values[-1] = -6.0
     first, second = np.zeros_like(values), np.zeros_like(values)
     for step in range(1, rounds + 1):
         logit = np.bincount(sentence, values[feature], n_sentences) + values[-1]
