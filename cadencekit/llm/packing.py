@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,27 +20,50 @@ PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.
                     ("length", pa.int64()), ("ids_crc32", pa.int64())])
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 SHARD_BITS = 31
+#: Texts tokenised at once.
+AT_ONCE = 500
 
 
-class WordIds(dict):
-    """Little-endian ids of each word, encoded once.  The tokenizer drops white space, so a text's ids
-    are its words' ids in a row.  Emptied when it holds ``most`` words."""
+TAIL = b".,!?;:|#$%&*"
+ALPHANUMERIC = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 
-    def __init__(self, path: str, most: int = 300_000):
-        from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+class WordIds:
+    """Little-endian ids of texts, word by word.
+
+    The tokenizer drops white space and lowers case, so a text's ids are its words' ids in a row, and
+    punctuation after a letter or digit is a token run of its own.  ``known`` holds the words met so far; it is
+    emptied when it has ``most`` of them."""
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-        packed = b"".join(i.to_bytes(4, "little") for i in ids)
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = packed
-        return packed
+    def __init__(self, path: str, known: dict[bytes, bytes], most: int = 400_000):
+        from tokenizers import Tokenizer
 
-    def encode(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, words(text)))
+        self.tokenizer, self.known, self.most = Tokenizer.from_file(path), known, most
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        split = [words(text) for text in texts]
+        if len(self.known) > self.most:
+            self.known.clear()
+        new = set().union(*split).difference(self.known)
+        parts = {word: self._parts(word) for word in new}
+        self._learn(sorted({p for both in parts.values() for p in both}.difference(self.known)))
+        self.known.update({word: b"".join(map(self.known.__getitem__, both)) for word, both in parts.items()})
+        return [b"".join(map(self.known.__getitem__, one)) for one in split]
+
+    @staticmethod
+    def _parts(word: bytes) -> tuple[bytes, ...]:
+        low = word.lower()
+        core = low.rstrip(TAIL)
+        return (core, low[len(core):]) if len(core) < len(low) and core and core[-1] in ALPHANUMERIC else (low,)
+
+    def _learn(self, new: list[bytes], at_once: int = 2000) -> None:
+        for at in range(0, len(new), at_once):
+            some = [word.decode() for word in new[at:at + at_once]]
+            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            first = np.cumsum([0] + [len(word) + 1 for word in some[:-1]])
+            owner = np.searchsorted(first, [start for start, _ in found.offsets], "right")
+            ids, ends = np.array(found.ids, "<u4"), np.searchsorted(owner, np.arange(len(some) + 1), "right")
+            self.known.update((word, ids[a:b].tobytes()) for word, a, b in zip(new[at:at + at_once], ends[:-1], ends[1:], strict=True))
 
 
 def pieces(docs: DataFrame, limit: int = 4096, end_id: int = 1, tokenizer: str | None = None,
@@ -48,21 +72,25 @@ def pieces(docs: DataFrame, limit: int = 4096, end_id: int = 1, tokenizer: str |
 
     ``tokenizer`` is the vocabulary file's path on the executors; by default the public word BPE."""
     end = end_id.to_bytes(4, "little")
+    # A Python worker keeps its copy of a broadcast from task to task, so this is its memory of words.
+    memory = docs.sparkSession.sparkContext.broadcast({})
 
     def cut(batches):
         path = tokenizer
         if path is None:
             import public_tokenizers
             path = public_tokenizers.path("word_bpe_49k.json")
-        vocabulary = WordIds(path)
+        vocabulary = WordIds(path, memory.value)
 
         def rows():
             for batch in batches:
-                for doc_id, body in zip(batch.column("doc_id").to_pylist(), binary_column(batch, "text")):
-                    ids = vocabulary.encode(body) + end
-                    for piece, at in enumerate(range(0, len(ids), 4 * limit)):
-                        part = ids[at:at + 4 * limit]
-                        yield doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)
+                for start in range(0, batch.num_rows, AT_ONCE):
+                    part = batch.slice(start, AT_ONCE)
+                    for doc_id, ids in zip(part.column("doc_id").to_pylist(), vocabulary.encode(binary_column(part, "text"))):
+                        ids += end
+                        for piece, at in enumerate(range(0, len(ids), 4 * limit)):
+                            cut_ids = ids[at:at + 4 * limit]
+                            yield doc_id, piece, at // 4, len(cut_ids) // 4, zlib.crc32(cut_ids)
 
         yield from record_batches(rows(), PIECES)
 
