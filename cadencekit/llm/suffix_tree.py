@@ -1,8 +1,16 @@
-"""Language-model scores from a probabilistic suffix tree over the bytes of words.
+"""Language-model scores from a probabilistic suffix tree over words.
 
-A text is its lower-cased words and one end.  A word is its UTF-8 bytes and a space, a text's end is a symbol of its
-own, and contexts reach back to the word's start.  Null texts count as empty (one end token).  Repeated rows
-are learned from and scored each, also where they share a ``doc_id``.  With no training rows every count is 0.
+A text is its lower-cased words and one end, which counts as a token.  The root of the tree predicts by the words'
+own counts, plus one half.  Longer contexts are the one to ``depth`` words before a token; a context is retained
+if a likelihood test tells its next words apart from those of its longest retained suffix, and a token is
+scored in the longest retained context.
+
+The symbols after a context are the often words, one by one, and the class of all other words, within which the root
+decides; so a context's distribution needs no table of rare words.  Contexts end in a word that is not often:
+after an often word everything follows, and a table of what does would be as large as the corpus.
+
+Null texts count as empty (one end token).  Repeated rows are learned from and scored each, also where they share
+a ``doc_id``.  With no training rows every count is 0.
 """
 
 from __future__ import annotations
@@ -10,7 +18,9 @@ from __future__ import annotations
 import math
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,214 +28,197 @@ from pyspark.sql import functions as F
 from cadencekit.llm.common import binary_column, opened, record_batches, share, words
 from cadencekit.session import materialise
 
-# None of these bytes is part of a word.
-START, SPACE, END = b"\n", b" ", b"\t"
-SYMBOLS = 258
 WORD_COUNTS = pa.schema([("word", pa.binary()), ("n", pa.int64())])
-SCORED = ("row long, doc_id long, held_out boolean, word binary, n_tokens long, n_known long, "
-          "base_score double, score double, n long")
-
-
-def framed(word: bytes) -> bytes:
-    """The symbols of a token after the start mark; the empty word is the end token."""
-    return START + word + SPACE if word else START + END
-
-
-def _sums(entries, schema: pa.Schema, most: int = 300_000):
-    """Batches of summed counts from (key, n); emptied before it holds over ``most`` keys."""
-    held: Counter = Counter()
-    for some in entries:
-        held.update(some)
-        if len(held) > most:
-            yield from record_batches(held.items(), schema)
-            held = Counter()
-    yield from record_batches(held.items(), schema)
-
-
-def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+#: The class of words that are not often.
+OTHER = -1
+PARTS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("word", pa.binary()),
+                   ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("n", pa.int64())])
+STEPS = pa.schema([("word", pa.binary()), ("held_out", pa.bool_()), ("row", pa.int64()), ("next", pa.int32()),
+                   ("before", pa.list_(pa.int64()))])
+PARTS_DDL = ("row long, doc_id long, held_out boolean, word binary, n_tokens long, n_known long, "
+             "base_score double, n long")
+STEPS_DDL = "word binary, held_out boolean, row long, next int, before array<bigint>"
+
+
+def word_counts(docs: DataFrame, text: str = "text", most: int = 300_000) -> DataFrame:
     """``word`` (bytes; empty for the end token) and ``n`` over all rows."""
     def run(batches):
-        def entries():
-            for batch in batches:
-                for body in binary_column(batch, "text"):
-                    yield Counter(words(body.lower()))
-                yield {b"": batch.num_rows}
-        yield from _sums(entries(), WORD_COUNTS)
+        held: Counter = Counter()
+        for batch in batches:
+            for body in binary_column(batch, "text"):
+                held.update(words(body.lower()))
+                held[b""] += 1
+                if len(held) > most:
+                    yield from record_batches(held.items(), WORD_COUNTS)
+                    held = Counter()
+        yield from record_batches(held.items(), WORD_COUNTS)
 
     return (docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "word binary, n long")
             .groupBy("word").agg(F.sum("n").alias("n")))
 
 
-class SuffixTree:
-    """Retained contexts with the smoothed chances of the symbols seen after each."""
-
-    def __init__(self, depth: int, most_words: int = 200_000):
-        self.depth, self.most = depth, most_words
-        self.nodes: dict[bytes, tuple[dict[int, float], float]] = {}
-        self.words: dict[bytes, float] = {}
-        self.grams: dict[bytes, float] = {}
-
-    def __getstate__(self):
-        return self.__dict__ | {"words": {}, "grams": {}}
-
-    def longest(self, history: bytes, most: int) -> bytes:
-        """The longest retained suffix of a history; the root is always retained."""
-        for length in range(min(most, len(history)), 0, -1):
-            if history[-length:] in self.nodes:
-                return history[-length:]
-        return b""
-
-    def chance(self, context: bytes, symbol: int) -> float:
-        """Of a symbol after a retained context: seen ones directly, others through its longest suffix."""
-        factor = 1.0
-        while True:
-            seen, spare = self.nodes[context]
-            if symbol in seen:
-                return factor * seen[symbol]
-            factor *= spare
-            if not context:
-                return factor
-            context = self.longest(context[1:], self.depth)
-
-    def add(self, context: bytes, counts: dict[int, int]) -> None:
-        """Retains a context; its shorter suffixes must be in already.  The chances are the counts with as
-        many shares of the longest suffix's chances as there are different symbols (Witten and Bell)."""
-        total, kinds = sum(counts.values()), len(counts)
-        if not context:
-            whole = total + 0.5 * SYMBOLS
-            self.nodes[b""] = ({s: (n + 0.5) / whole for s, n in counts.items()}, 0.5 / whole)
-            return
-        parent = self.longest(context[1:], self.depth)
-        self.nodes[context] = ({s: (n + kinds * self.chance(parent, s)) / (total + kinds) for s, n in counts.items()},
-                               kinds / (total + kinds))
-
-    def diverges(self, context: bytes, counts: dict[int, int], gain: float) -> bool:
-        """Whether the counts' likelihood gain over the longest retained suffix is worth the symbols' cost."""
-        total, parent = sum(counts.values()), self.longest(context[1:], self.depth)
-        won = sum(n * math.log(n / total / self.chance(parent, s)) for s, n in counts.items())
-        return won > gain * len(counts)
-
-    def word_score(self, word: bytes) -> float:
-        """log10 of a token's chance; kept for the words and contexts met last."""
-        if (known := self.words.get(word)) is not None:
-            return known
-        path, total, grams = framed(word), 0.0, self.grams
-        for i in range(1, len(path)):
-            gram = path[max(0, i - self.depth):i + 1]
-            if (one := grams.get(gram)) is None:
-                one = grams[gram] = math.log10(self.chance(self.longest(gram[:-1], self.depth), gram[-1]))
-            total += one
-        if len(self.words) >= self.most:
-            self.words.clear()
-        if len(grams) >= self.most:
-            grams.clear()
-        self.words[word] = total
-        return total
-
-
-def grow(counts: DataFrame, depth: int = 6, least_share: float = 1e-5, least_count: int = 8,
-         gain: float = 1.5) -> SuffixTree:
-    """The tree of a table of word counts, level by level.
-
-    A context is a candidate if it makes up ``least_share`` of all symbols (and ``least_count``), so a level
-    has at most 1 / ``least_share`` candidates whatever the corpus; it is retained if the divergence test
-    passes.  Each level counts all words."""
-    spark = counts.sparkSession
-    tree = SuffixTree(depth)
-    frequent: set[bytes] = {b""}
-    threshold = least_count
-    for level in range(depth + 1):
-        shared = spark.sparkContext.broadcast(frequent)
-
-        def run(batches, level=level, shared=shared):
-            wanted = shared.value
-
-            def entries():
-                for batch in batches:
-                    some: Counter = Counter()
-                    for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()):
-                        path = framed(word)
-                        for i in range(max(level, 1), len(path)):
-                            if path[i - level:i] in wanted:
-                                some[path[i - level:i + 1]] += n
-                    yield some
-            yield from _sums(entries(), WORD_COUNTS)
-
-        found: dict[bytes, dict[int, int]] = {}
-        for row in (counts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-                    .toLocalIterator()):
-            gram = bytes(row["word"])
-            found.setdefault(gram[:-1], {})[gram[-1]] = row["n"]
-        shared.unpersist()
-        if level == 0:
-            tree.add(b"", found.get(b"", {}))
-            threshold = max(least_count, least_share * sum(found.get(b"", {}).values()))
-            frequent = {START}
-        else:
-            kept = [c for c in sorted(found) if tree.diverges(c, found[c], gain)]
-            for context in kept:
-                tree.add(context, found[context])
-            frequent = set()
-        frequent |= {c + bytes([s]) for c, after in found.items() for s, n in after.items()
-                     if n >= threshold and s not in SPACE + END}
-        if not frequent:
-            break
-    return tree
-
-
-def scores(docs: DataFrame, held_out: Column, least_share: float = 1e-6, depth: int = 6, key: str = "doc_id",
-           text: str = "text") -> DataFrame:
+class Node:
+    """Counts of the symbols after one context, and their smoothed chances: as many shares of the parent's chance as
+    there are different symbols are added to the counts (Witten and Bell)."""
+
+    __slots__ = ("counts", "parent", "total")
+
+    def __init__(self, counts: dict[int, int], parent):
+        self.counts, self.parent, self.total = counts, parent, sum(counts.values())
+
+    def chance(self, symbol: int) -> float:
+        kinds = len(self.counts)
+        return (self.counts.get(symbol, 0) + kinds * self.parent.chance(symbol)) / (self.total + kinds)
+
+    def diverges(self, gain: float, least: int) -> bool:
+        """Whether the likelihood won over the parent is worth ``gain`` nats for each different symbol."""
+        if self.total < least:
+            return False
+        won = sum(n * math.log(n / self.total / self.parent.chance(s)) for s, n in self.counts.items())
+        return won > gain * len(self.counts)
+
+
+class Root:
+    """Chances of the symbols by the words' own counts."""
+
+    def __init__(self, chances: np.ndarray):
+        self.chances, self.other = chances, max(1e-12, 1 - float(chances.sum()))
+
+    def chance(self, symbol: int) -> float:
+        return self.other if symbol == OTHER else float(self.chances[symbol])
+
+
+def subtree(steps: list[tuple[int, tuple[int, ...]]], root: Root, depth: int, gain: float, least: int) -> dict[tuple[int, ...], Node]:
+    """Retained contexts that end in one word, from its occurrences (next symbol, words before it, nearest first).
+
+    Contexts are keyed by the words before the last; level by level, only contexts seen often enough are looked
+    at, and each is tested against its longest retained suffix."""
+    nodes: dict[tuple[int, ...], Node] = {}
+    for length in range(depth):
+        found: dict[tuple[int, ...], Counter] = {}
+        for symbol, before in steps:
+            if len(before) >= length:
+                found.setdefault(before[:length], Counter())[symbol] += 1
+        for context, counts in found.items():
+            node = Node(counts, longest(nodes, context[:-1], root) if context else root)
+            if node.diverges(gain, least):
+                nodes[context] = node
+    return nodes
+
+
+def longest(nodes: dict[tuple[int, ...], Node], before: tuple[int, ...], root: Root):
+    """The longest retained suffix of a context, or the root."""
+    for length in range(len(before), -1, -1):
+        if before[:length] in nodes:
+            return nodes[before[:length]]
+    return root
+
+
+def gains(batches, root: Root, depth: int, gain: float, least: int):
+    """(row, log10 of the chance over the root's) of steps sorted by word, those of training rows first."""
+    word, training, nodes = None, [], {}
+
+    def scored(rows):
+        for row, symbol, before in rows:
+            node = longest(nodes, before, root)
+            if node is not root:
+                yield row, math.log10(node.chance(symbol) / root.chance(symbol))
+
+    def close():
+        nonlocal nodes
+        if training:
+            nodes = subtree([x[1:] for x in training], root, depth, gain, least) if len(training) >= least else {}
+            if nodes:
+                yield from scored(training)
+            training.clear()
+
+    for batch in batches:
+        for now, held, row, symbol, before in zip(*(batch.column(c).to_pylist() for c in STEPS.names)):
+            if now != word:
+                yield from close()
+                word, nodes = now, {}
+            if held:
+                yield from close()
+                if nodes:
+                    yield from scored([(row, symbol, tuple(before))])
+            else:
+                training.append((row, symbol, tuple(before)))
+    yield from close()
+
+
+def scores(docs: DataFrame, held_out: Column, least_share: float = 1e-6, depth: int = 3, gain: float = 3.0,
+           least_count: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Scores of every whole text from the words of the rows that are not ``held_out``.
 
-    ``base_score`` is the add-one-half unigram score; ``score`` the tree's.  Counts of words that make up
-    ``least_share`` of the tokens (at most 1 / ``least_share`` words) are broadcast; those of other words
-    are joined."""
+    ``base_score`` is the root's score of all tokens, ``score`` the tree's.  Words that make up ``least_share`` of the
+    tokens are often: at most 1 / ``least_share`` words, which are broadcast.  The counts of other words are joined;
+    all occurrences of one of them, of which a corpus has less than ``least_share``, meet in one task with what
+    followed them, as hashes of the words before and numbers of the words after."""
     spark = docs.sparkSession
     chosen = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"),
                          held_out.alias("held_out"))
-    counts = materialise(word_counts(chosen.where(~F.col("held_out"))).where("n > 0"))
+    counts = materialise(word_counts(chosen.where(~F.col("held_out"))))
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    tree = grow(counts, depth)
-    often = {bytes(r["word"]): r["n"] for r in counts.where(F.col("n") >= least_share * total).toLocalIterator()}
+    often = {bytes(r["word"]): r["n"] for r in counts.where(F.col("n") >= max(2, least_share * total)).toLocalIterator()}
     whole = total + 0.5 * (kinds + 1)
-    shared = share(spark, (tree, often))
+    chances = np.array([(n + 0.5) / whole for n in often.values()])
+    shared = share(spark, ({word: number for number, word in enumerate(often)}, chances))
 
-    def run(batches):
-        tree, often = opened(shared)
-        base = {word: math.log10((n + 0.5) / whole) for word, n in often.items()}
+    def rows_of(batches):
+        """The rows' numbers, ids, sides and words."""
         row = TaskContext.get().partitionId() << 33
-
-        def rows():
-            nonlocal row
-            for batch in batches:
-                for doc_id, held, body in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(),
-                                              binary_column(batch, "text")):
-                    tokens = Counter(words(body.lower()))
-                    tokens[b""] = 1
-                    score = known = n_tokens = base_score = 0
-                    for word, n in tokens.items():
-                        n_tokens += n
-                        score += n * tree.word_score(word)
-                        if word in base:
-                            known += n
-                            base_score += n * base[word]
-                        else:
-                            yield row, doc_id, held, word, 0, 0, 0.0, 0.0, n
-                    # A key that no word has: it starts with a space.
-                    yield row, doc_id, held, b" %d" % row, n_tokens, known, float(base_score), float(score), 0
-                    row += 1
-
-        yield from record_batches(rows(), pa.schema([
-            ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("word", pa.binary()),
-            ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()),
-            ("score", pa.float64()), ("n", pa.int64())]))
+        for batch in batches:
+            for doc_id, held, body in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(),
+                                          binary_column(batch, "text")):
+                yield row, doc_id, held, words(body.lower())
+                row += 1
+
+    def tally(batches):
+        numbers, chances = opened(shared)
+        base = {word: math.log10(chances[number]) for word, number in numbers.items()}
+
+        def out():
+            for row, doc_id, held, tokens in rows_of(batches):
+                known, score = 0, 0.0
+                tokens.append(b"")
+                for word, n in Counter(tokens).items():
+                    if word in base:
+                        known += n
+                        score += n * base[word]
+                    else:
+                        yield row, doc_id, held, word, 0, 0, 0.0, n
+                # A key that no word has: it starts with a space.
+                yield row, doc_id, held, b" %d" % row, len(tokens), known, score, 0
+        yield from record_batches(out(), PARTS)
+
+    def step(batches):
+        numbers, _ = opened(shared)
+
+        def out():
+            for row, _, held, tokens in rows_of(batches):
+                tokens.append(b"")
+                for at in range(len(tokens) - 1):
+                    word = tokens[at]
+                    if word not in numbers:
+                        before = [xxhash.xxh3_64_intdigest(tokens[i]) >> 1 for i in range(at - 1, max(-1, at - depth), -1)]
+                        yield word, held, row, numbers.get(tokens[at + 1], OTHER), before
+        yield from record_batches(out(), STEPS)
+
+    def win(batches):
+        _, chances = opened(shared)
+        yield from record_batches(((row, None, None, None, None, None, won, None) for row, won in
+                                   gains(batches, Root(chances), depth, gain, least_count)), PARTS)
 
     seldom = counts.select("word", F.col("n").alias("_c"))
-    parts = chosen.mapInArrow(run, SCORED).join(seldom, "word", "left")
     c = F.coalesce("_c", F.lit(0))
-    return (parts.groupBy("row", "doc_id", "held_out")
-            .agg(F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_known") + F.when(c > 0, F.col("n")).otherwise(0)).alias("n_known"),
-                 F.sum(F.col("base_score") + F.col("n") * F.log10((c + 0.5) / whole)).alias("base_score"),
-                 F.sum("score").alias("score"))
+    parts = chosen.mapInArrow(tally, PARTS_DDL).join(seldom, "word", "left").select(
+        "row", "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.when(c > 0, F.col("n")).otherwise(0)).alias("n_known"),
+        (F.col("base_score") + F.col("n") * F.log10((c + 0.5) / whole)).alias("base_score"), F.lit(0.0).alias("won"))
+    steps = chosen.mapInArrow(step, STEPS_DDL).repartition("word").sortWithinPartitions("word", "held_out")
+    won = steps.mapInArrow(win, PARTS_DDL).select(
+        "row", "doc_id", "held_out", "n_tokens", "n_known", F.lit(0.0).alias("base_score"), F.col("base_score").alias("won"))
+    return (parts.unionByName(won).groupBy("row")
+            .agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"),
+                 F.sum("n_known").alias("n_known"), F.sum("base_score").alias("base_score"), F.sum("won").alias("won"))
             .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
-                    "base_score", "score"))
+                    "base_score", (F.col("base_score") + F.col("won")).alias("score")))
