@@ -55,9 +55,10 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, key: str = "do
 
 
 def _ball(value: Column, bits: int, radius: int) -> Column:
-    """All values within ``radius`` bits (0 or 1)."""
-    around = [value] + [value.bitwiseXOR(F.lit(1 << b).cast("long")) for b in range(bits)] * (radius > 0)
-    return F.array(*around)
+    """A segment's value and, for radius 1, its values with one set bit cleared: of two values that differ in one
+    bit, one finds the other so."""
+    cleared = [F.when(F.getbit(value, F.lit(b)) == 1, value.bitwiseXOR(F.lit(1 << b).cast("long"))) for b in range(bits)]
+    return F.array_compact(F.array(value, *cleared * (radius > 0)))
 
 
 def hamming_links(prints: DataFrame, most_bits: int = 3, crowded: int = 32, block: int = 4096) -> DataFrame:
@@ -72,37 +73,35 @@ def hamming_links(prints: DataFrame, most_bits: int = 3, crowded: int = 32, bloc
     """
     if not 0 <= most_bits <= 3:
         raise ValueError("two segments of radius 1 find up to 3 differing bits")
-    half = BITS // 2
+    half, keys = BITS // 2, ["segment", "value"]
     low = F.col("fp").bitwiseAND(F.lit((1 << half) - 1).cast("long"))
     high = F.shiftrightunsigned("fp", half)
     segment = F.explode(F.array(F.struct(F.lit(0).alias("segment"), low.alias("value")),
                                 F.struct(F.lit(1).alias("segment"), high.alias("value")))).alias("s")
-    table = prints.select("fp", segment).select("fp", "s.segment", "s.value")
+    table = materialise(prints.select("fp", segment).select("fp", "s.segment", "s.value"))
     visits = table.select(F.col("fp").alias("visitor"), "segment",
                           F.explode(_ball(F.col("value"), half, most_bits // 2)).alias("value"))
-    crowds = materialise(table.groupBy("segment", "value").agg(F.count(F.lit(1)).alias("members"))
-                         .where(F.col("members") > 1))
-    busy = crowds.where(F.col("members") > crowded)
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("visitor"))) <= most_bits
-    quiet = (table.join(busy, ["segment", "value"], "left_anti").join(visits, ["segment", "value"])
-             .where((F.col("fp") != F.col("visitor")) & near))
-    links = quiet.select(F.least("fp", "visitor").alias("a"), F.greatest("fp", "visitor").alias("b"))
+    busy = materialise(table.groupBy(*keys).agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > crowded)
+                       .select(*keys))
+    # One entry stands for all members of a crowded value, so the visits are looked up in one join.
+    lookup = table.join(busy, keys, "left_anti").unionByName(busy.withColumn("fp", F.lit(None).cast("long")))
+    near = (F.col("fp") != F.col("visitor")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("visitor"))) <= most_bits)
+    met = materialise(visits.join(lookup, keys).where(F.col("fp").isNull() | near).select(*keys, "fp", "visitor"))
+    links = met.where("fp is not null").select(F.least("fp", "visitor").alias("a"), F.greatest("fp", "visitor").alias("b"))
     if busy.isEmpty():
         return links.distinct()
-    return links.union(_crowd_links(table, visits, busy, most_bits, block)).distinct()
+    members = table.join(busy, keys, "left_semi").select(*keys, "fp", F.lit(True).alias("member"))
+    guests = met.where("fp is null").select(*keys, F.col("visitor").alias("fp"), F.lit(False).alias("member"))
+    return links.union(_crowd_links(members.unionByName(guests), most_bits, block)).distinct()
 
 
-def _crowd_links(table: DataFrame, visits: DataFrame, busy: DataFrame, most_bits: int, block: int) -> DataFrame:
+def _crowd_links(both: DataFrame, most_bits: int, block: int) -> DataFrame:
     keys = ["segment", "value"]
-    members = table.join(busy, keys).select(*keys, "fp", F.lit(True).alias("member"))
-    guests = visits.join(busy.select(*keys), keys, "left_semi").select(*keys, F.col("visitor").alias("fp"),
-                                                                      F.lit(False).alias("member"))
-    both = materialise(members.union(guests))
     sizes = both.groupBy(*keys).agg(F.ceil(F.count(F.when(F.col("member"), 1)) / block).alias("_rows"),
                                     F.ceil(F.count(F.when(~F.col("member"), 1)) / block).alias("_columns"))
     both = both.join(sizes, keys)
     own = F.pmod(F.xxhash64("fp"), F.when(F.col("member"), F.col("_rows")).otherwise(F.col("_columns")))
-    other = F.explode(F.sequence(F.lit(0), F.when(F.col("member"), F.col("_columns")).otherwise(F.col("_rows")) - 1))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("member"), F.col("_columns")).otherwise(F.col("_rows")) - 1))
     dealt = both.withColumn("_own", own).withColumn("_other", other)
     dealt = dealt.select(*keys, "fp", "member", F.when(F.col("member"), F.col("_own")).otherwise(F.col("_other")).alias("_r"),
                          F.when(F.col("member"), F.col("_other")).otherwise(F.col("_own")).alias("_c"))
@@ -132,7 +131,7 @@ def spanning_forest(rows: np.ndarray, columns: np.ndarray, most_bits: int) -> np
     found = []
     for row in rows:
         here = int(np.searchsorted(nodes, row))
-        for there in at[np.bitwise_count(columns ^ row) <= most_bits].tolist():
+        for there in at[np.bitwise_count((columns ^ row).view(np.uint64)) <= most_bits].tolist():
             x, y = find(here), find(there)
             if x != y:
                 root[max(x, y)] = min(x, y)
