@@ -60,7 +60,8 @@ def fold(df: DataFrame, keys: Sequence[str], by: Sequence[str], step: Step,
 def _in_order(df: DataFrame, group: Sequence[str], by: Sequence[str]) -> DataFrame:
     """Rows clustered by group and sorted, with the group as one text column."""
     # An explicit number keeps small inputs on all cores: the work per row is in Python.
-    marked = df.repartition(sized_partitions(df), *group).withColumn(GROUP, F.to_json(F.struct(*group)))
+    number = sized_partitions(df)
+    marked = df.repartition(*([number] if number else []), *group).withColumn(GROUP, F.to_json(F.struct(*group)))
     return marked.sortWithinPartitions(GROUP, *by)
 
 

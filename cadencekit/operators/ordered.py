@@ -312,30 +312,44 @@ def ordered(df: DataFrame, keys: Sequence[str], by: Sequence[str],
         cell = F.lit(None).cast("long")
         for i, column in reversed(list(enumerate(by))):
             lo, hi = F.col(f"_cut_lo{i}"), F.col(f"_cut_hi{i}")
+            odd = F.col(f"_cut_odd{i}")
             if isinstance(kinds[column], (T.DoubleType, T.FloatType)):
-                index = F.floor((F.col(column) - lo) / ((hi - lo) / pieces))
+                # Halves, because the whole width of two finite numbers may be infinite.
+                inside = F.floor((F.col(column) / 2 - lo / 2) / ((hi / 2 - lo / 2) / pieces))
+                index = (F.when(F.isnan(column), pieces + 2).when(F.col(column) == float("inf"), pieces + 1)
+                         .when(F.col(column) == float("-inf"), -1).when(lo < hi, inside).otherwise(0))
             else:
                 step = F.floor((hi - lo) / pieces) + 1
                 index = F.floor((F.col(column).cast("long") - lo) / step)
-            cell = F.when(lo < hi, index.cast("long")).otherwise(cell)
+            cell = F.when((lo < hi) | ((odd > 0) & (odd < F.col("_cut_n"))) | (F.col(f"_cut_odds{i}") > 1),
+                          index.cast("long")).otherwise(cell)
         df = (
             join_on(df, cells, path)
             .withColumn(CUT, F.when(F.col("_cut_n").isNull(), F.col(CUT))
                         .otherwise(F.concat(CUT, F.array(cell))))
-            .drop("_cut_n", *[f"_cut_{e}{i}" for i in range(len(by)) for e in ("lo", "hi")])
+            .drop("_cut_n", *[f"_cut_{e}{i}" for i in range(len(by)) for e in ("lo", "hi", "odd", "odds")])
         )
+    else:
+        raise ValueError(f"a stream could not be cut to {limit} rows in {MAX_LEVELS} levels of {by}")
     return Ordered(df, keys, by, cut=True, calm=calm)
 
 
 def _measure(df: DataFrame, group: Sequence[str], by: Sequence[str]) -> DataFrame:
     bounds = []
     for i, column in enumerate(by):
-        bounds += [F.min(column).alias(f"_cut_lo{i}"), F.max(column).alias(f"_cut_hi{i}")]
+        finite, odd = F.col(column), F.lit(False)
+        if isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType)):
+            odd = F.isnan(column) | (F.abs(column) == float("inf"))
+            finite = F.when(~odd, F.col(column))
+        bounds += [F.min(finite).alias(f"_cut_lo{i}"), F.max(finite).alias(f"_cut_hi{i}"), F.count_if(odd).alias(f"_cut_odd{i}"),
+                   F.count_distinct(F.when(odd, F.col(column).cast("string"))).alias(f"_cut_odds{i}")]
     return df.groupBy(*group).agg(F.count("*").alias("_cut_n"), *bounds)
 
 
 def _splittable(by: Sequence[str]) -> Column:
     spread = F.lit(False)
     for i in range(len(by)):
-        spread = spread | (F.col(f"_cut_lo{i}") < F.col(f"_cut_hi{i}"))
+        odd = F.col(f"_cut_odd{i}")
+        spread = spread | F.coalesce(F.col(f"_cut_lo{i}") < F.col(f"_cut_hi{i}"), F.lit(False))
+        spread = spread | ((odd > 0) & (odd < F.col("_cut_n"))) | (F.col(f"_cut_odds{i}") > 1)
     return spread

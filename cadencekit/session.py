@@ -34,11 +34,13 @@ def hot_rows(spark: SparkSession) -> int:
 
 
 def checkpoint_base(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder; set to a local one only where none is named."""
+    """The folder for intermediate tables: the one that ``spark.checkpoint.dir`` names, which all machines of a
+    cluster share.  Only a session on one machine may go without; it gets a folder of its own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        # No cluster folder is named: a single-machine session, as in tests.
+        if not shared and not (sc.master.startswith("local") and not sc.master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return sc.getCheckpointDir()
 
@@ -50,15 +52,19 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a frame, read from the optimised plan."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Catalyst's size estimate of a frame, read from the optimised plan; estimates of nested joins have no bound,
+    so beyond 2^60 they are all alike."""
+    try:
+        return min(int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()), 1 << 60)
+    except ValueError:  # more digits than Python converts
+        return 1 << 60
 
 
-def sized_partitions(df: DataFrame, each: int = 32 * 1024 * 1024) -> int:
-    """The session's shuffle partitions, or fewer where a frame is too small to need them."""
+def sized_partitions(df: DataFrame, each: int = 32 * 1024 * 1024) -> int | None:
+    """Partitions for a frame too small to need the session's number of them; None for others, which Spark sizes."""
     session = df.sparkSession
     wanted = max(session.sparkContext.defaultParallelism, plan_bytes(df) // each)
-    return min(int(session.conf.get("spark.sql.shuffle.partitions")), wanted)
+    return wanted if wanted < int(session.conf.get("spark.sql.shuffle.partitions")) else None
 
 
 def surely_small(df: DataFrame) -> bool:

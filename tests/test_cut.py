@@ -10,6 +10,7 @@ from cadencekit.checks import registry
 from cadencekit.operators.asof import asof
 from cadencekit.operators.ordered import Running, ordered
 from cadencekit.operators.quality import exact_tail
+from cadencekit.session import checkpoint_base
 
 SF_DIR = "/root/testdata/sf0.001"
 NAMES = ("w1_interval", "w4_epochs", "w7_trailing_frames", "w8_cadence_state", "w11_bounded_buffer", "c2_unique_pairs",
@@ -39,6 +40,31 @@ def test_hot_stream_and_hot_instant_are_split(spark, hot):
     assert s.df.groupBy(*s.part).count().agg(F.max("count")).first()[0] <= 30
 
 
+def test_infinite_and_missing_numbers_are_cut_too(spark, hot):
+    hot(30)
+    odd = {0: float("inf"), 1: float("nan"), 2: float("-inf"), 3: 1e308, 4: -1e308}
+    rows = [("hot", odd.get(i % 50, float(i)), i) for i in range(600)]
+    s = ordered(spark.createDataFrame(rows, "k string, t double, id long"), ["k"], ["t", "id"])
+    assert s.cut and s.df.groupBy(*s.part).count().agg(F.max("count")).first()[0] <= 30
+    got = {r.id: r.n for r in s.running(n=Running("count", F.lit(1))).done().collect()}
+    rank = {i: n + 1 for n, (_, _, i) in enumerate(sorted(rows, key=lambda r: (r[1] != r[1], r[1] if r[1] == r[1] else 0, r[2])))}
+    assert got == rank
+
+
+def test_no_shared_folder_is_an_error(spark, monkeypatch):
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext, conf = Context(), spark.conf
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_base(Session())
+
+
 def test_running_and_frames_match_plain_python(spark, hot):
     hot(30)
     df, data = skewed(spark)
