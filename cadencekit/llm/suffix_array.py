@@ -7,8 +7,8 @@ instead of two thirds and shifts with the text.
 
 1. Each sampled position gets a triple of names: its gram, and with it what lies left and right of it as far as
    its windows reach.  Triples are sorted; equal neighbours of a later document are settled.
-2. Where grams are equal but their surroundings are not, the names don't settle the order: the remaining windows
-   go into a second sort by their own content, and adjacent entries with the same prefix of 50 bytes are compared.
+2. Where a gram and one side of it are equal but the surroundings are not, the names don't settle the order: the
+   remaining windows go into a second sort by their own content, and adjacent entries with the same 50 bytes are compared.
 
 Null texts count as empty, texts shorter than a window keep all bytes.  Rows without a ``doc_id`` take no part: they
 neither lose bytes nor cost others any.  Rows that repeat an id are taken to repeat its text; they don't precede
@@ -31,7 +31,9 @@ POSITION_BITS = 24
 #: Texts are looked at in pieces of at most so many bytes, which overlap by a window less one.
 PIECE = 1 << 20
 SALTS = np.random.default_rng(50).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-NAMES = pa.schema([("gram", pa.int64()), ("name", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64())])
+#: ``key`` is the gram's hash (31 bits) and those of the bytes just left and right of it (16 bits each).
+NAMES = pa.schema([("key", pa.int64()), ("name", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64())])
+NAME_BITS = 48
 MARK = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64())])
 # A place is position << 16 | first window's start + window length - position << 8 | number of windows; a mark is twice a
 # place, plus 1 where its windows still have to be compared.
@@ -79,7 +81,7 @@ def sampled(data: np.ndarray, valid: np.ndarray, window: int, gram: int):
     change = np.flatnonzero(np.diff(chosen, prepend=-1))
     position, lowest = chosen[change], starts[change]
     count = np.diff(change, append=len(chosen))
-    return position, (hashes[position] >> np.uint64(POSITION_BITS)).astype(np.int64), lowest - position + window, count
+    return position, (hashes[position] >> np.uint64(33)).astype(np.int64), lowest - position + window, count
 
 
 def pieces(ids: list, bodies: list[bytes], window: int, gram: int):
@@ -112,8 +114,9 @@ def pieces(ids: list, bodies: list[bytes], window: int, gram: int):
 
 def names(batch: pa.RecordBatch, window: int, gram: int):
     """Triples of a batch.  Of equal triples only those of the least id are sent to the sort; the others are
-    settled here and carry a negative gram, which differs from place to place."""
+    settled here and carry a negative key."""
     ids = batch.column("doc_id").to_pylist()
+    side = -(-(window - gram) // 2)
     for data, index in pieces(ids, binary_column(batch, "text"), window, gram):
         owner = np.full(len(data), -1, np.int64)
         valid = np.zeros(len(data), bool)
@@ -126,55 +129,66 @@ def names(batch: pa.RecordBatch, window: int, gram: int):
         context = strings(data, position - (window - gram), 2 * window - gram).view(np.int64)
         # With the same surroundings and the same windows, all of the windows are equal.
         context += (lowest << 8 | count) * 0x9E3779B97F4A7
+        context = (context.view(np.uint64) >> np.uint64(64 - NAME_BITS)).astype(np.int64)
+        left, right = (strings(data, position + shift, side) >> np.uint64(48) for shift in (-side, gram))
+        key = grams << 32 | (left << np.uint64(16) | right).astype(np.int64)
         row = owner[position]
         doc = np.array([ids[i] for i in index[:, 0]], np.int64)[row]
         place = ((position - index[row, 1] + index[row, 3]) << 16) | (lowest << 8) | count
-        order = np.lexsort((doc, context, grams))
-        grams, context, doc, place = grams[order], context[order], doc[order], place[order]
+        order = np.lexsort((doc, context, key))
         new = np.ones(len(order), bool)
-        new[1:] = (grams[1:] != grams[:-1]) | (context[1:] != context[:-1])
-        least = doc[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-        grams = np.where(doc > least, -1 - (place * 31 + doc & 0xFFFFFFFFFF), grams)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (grams, context, doc, place)], schema=NAMES)
+        new[1:] = (np.diff(key[order]) != 0) | (np.diff(context[order]) != 0)
+        least = np.empty_like(doc)
+        least[order] = doc[order][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+        settled = doc > least
+        # In the order of the text, so that neighbouring rows compress well.
+        key = np.where(settled, -1 - (((place >> 16) * 31 + doc & 0xFFFFF) << 32), key)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, np.where(settled, 0, context), doc, place)], schema=NAMES)
 
 
 def settle(batches):
-    """Marks from triples sorted by gram, name and id; what is open at the end of a batch is carried on."""
-    held: list[np.ndarray] = []
-    last = None  # gram, name and least id of the last row, and whether its gram has several names
+    """Marks from triples sorted by key, name and id.
+
+    A row of a later id than its triple's first is settled.  The first ones are compared further if a
+    string of half a window or more around the gram is met in another document: then the bytes on one side are
+    the same.  The gram that a batch ends in waits for the next batch with its first rows only."""
+    held = np.empty((0, 4), np.int64)
+    last = None  # key, name and least id of the last row
     for batch in batches:
-        gram, name, doc, place = (batch.column(c).to_numpy() for c in NAMES.names)
-        n = len(gram)
+        key, name, doc, place = (batch.column(c).to_numpy() for c in NAMES.names)
+        n = len(key)
         if not n:
             continue
-        new_gram, new_name, at = np.ones(n, bool), np.ones(n, bool), np.arange(n)
-        new_gram[1:] = gram[1:] != gram[:-1]
-        new_name[1:] = new_gram[1:] | (name[1:] != name[:-1])
-        goes_on = last is not None and last[0] == gram[0]
-        same_name = goes_on and last[1] == name[0]
-        new_gram[0], new_name[0] = not goes_on, not same_name
-        first = np.maximum.accumulate(np.where(new_name, at, -1))
+        new = np.ones(n, bool)
+        new[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
+        new[0] = last is None or last[:2] != (key[0], name[0])
+        first = np.maximum.accumulate(np.where(new, np.arange(n), -1))
         least = np.where(first >= 0, doc[np.maximum(first, 0)], last[2] if last else 0)
-        settled = (gram < 0) | (doc > least)
-        leading = ~settled
-        # A gram has several names if a name begins in it that is not its first.
-        number = np.cumsum(new_gram)
-        several = np.zeros(number[-1] + 1, bool)
-        several[number[new_name & ~new_gram]] = True
-        if goes_on and last[3]:
-            several[0] = True
-        if goes_on and several[0] and held:
-            yield from _marks(np.concatenate(held), True)
-        if several[0] or number[-1]:
-            held = []
-        ended = number < number[-1]
-        compare = leading & several[number]
-        keep = leading & ~several[number] & ~ended
+        settled = (key < 0) | (doc > least)
         yield from _marks(np.stack([doc[settled], place[settled]], axis=1), False)
-        yield from _marks(np.stack([doc[compare], place[compare]], axis=1), True)
-        if keep.any():
-            held.append(np.stack([doc[keep], place[keep]], axis=1))
-        last = (gram[-1], name[-1], least[-1], bool(several[number[-1]]))
+        leading = np.concatenate([held, np.stack([key, name, doc, place], axis=1)[~settled]])
+        still = leading[:, 0] >> 32 == key[-1] >> 32
+        held = leading[still]
+        yield from _marks(met_elsewhere(leading[~still]), True)
+        last = (key[-1], name[-1], least[-1])
+    yield from _marks(met_elsewhere(held), True)
+
+
+def met_elsewhere(leading: np.ndarray) -> np.ndarray:
+    """Id and place of the rows whose gram and left or right side are another document's too."""
+    if not len(leading):
+        return leading[:, 2:]
+    key, doc = leading[:, 0], leading[:, 2]
+    found = np.zeros(len(leading), bool)
+    for side in (key >> 16, key >> 32 << 16 | key & 0xFFFF):
+        order = np.lexsort((doc, side))
+        new = np.ones(len(order), bool)
+        new[1:] = np.diff(side[order]) != 0
+        starts = np.flatnonzero(new)
+        ends = np.append(starts[1:], len(order)) - 1
+        several = doc[order][starts] != doc[order][ends]
+        found[order] |= np.repeat(several, ends - starts + 1)
+    return leading[found][:, 2:]
 
 
 def _marks(rows: np.ndarray, compare: bool):
@@ -213,8 +227,11 @@ def open_windows(batch: pa.RecordBatch, window: int):
     content, doc, start = content[order], doc[order], start[order]
     new = np.ones(len(order), bool)
     new[1:] = content[1:] != content[:-1]
-    least = doc[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-    content = np.where(doc > least, -1 - (start * 31 + doc & 0xFFFFFFFFFF), content)
+    settled = np.empty(len(order), bool)
+    settled[order] = doc > doc[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    back = np.argsort(order)
+    content, doc, start = content[back], doc[back], start[back]
+    content = np.where(settled, -1 - (start * 31 + doc & 0xFFFFF), content)
     yield pa.RecordBatch.from_arrays([pa.array(content), pa.array(doc), pa.array(start)], names=["content", "doc_id", "start"])
 
 
@@ -255,12 +272,13 @@ def removed(body: bytes, marks: np.ndarray, window: int) -> tuple[int, int, byte
     return int((tos - froms).sum()), len(froms), b"".join(kept)
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 20, key: str = "doc_id", text: str = "text",
+def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 16, key: str = "doc_id", text: str = "text",
                    with_kept: bool = True) -> DataFrame:
     """Per row ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and, if asked for, the ``kept`` bytes, after the removal of each byte
     that a ``window`` bytes long string covers which also starts in a document with a smaller id.
 
-    Hashes of 104 bits stand for triples and of 63 bits for windows that share a gram of their document."""
+    Triples are equal if hashes of 111 bits in all are, of which 48 are of the whole surroundings; windows, if hashes of
+    63 bits are."""
     if not 16 <= gram <= 24 or window < gram + 8 or window > 127:
         raise ValueError("a gram has 16 to 24 bytes, a window 8 more at least and at most 127")
     chosen = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -288,8 +306,8 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 20, key: str =
                 columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())))],
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    triples = chosen.mapInArrow(name, "gram long, name long, doc_id long, place long")
-    dealt = triples.repartition("gram").sortWithinPartitions("gram", "name", "doc_id")
+    triples = chosen.mapInArrow(name, "key long, name long, doc_id long, place long")
+    dealt = triples.repartition(F.shiftright("key", 32)).sortWithinPartitions("key", "name", "doc_id")
     marks = materialise(dealt.mapInArrow(settle, "doc_id long, mark long").groupBy("doc_id")
                         .agg(F.collect_list("mark").alias("marks")))
     # Both uses of the marked texts read the same shuffle.
