@@ -190,10 +190,11 @@ def train(docs: DataFrame, order: int = 4, most_docs: int = 3000, most_languages
     and each language's limit of the entropy in nats a character: the ``reject`` quantile of its own sample
     plus ``margin``.  The bounds of the sample bound the models, which are broadcast; there can be at most
     ``most_languages``."""
-    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"),
-        unit_hash(F.col(key), F.length(text)).alias("_u"))
-    counts = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).groupBy(
+    # Rows without a key would all be picked or none.
+    usable = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
+    labelled = usable.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"),
+                             unit_hash(F.col(key)).alias("_u"))
+    counts = usable.groupBy(
         F.col(lang).cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("_n")).limit(most_languages + 1)
     shares = {r["lang"]: most_docs / r["_n"] for r in counts.collect()}
     if len(shares) > most_languages:

@@ -63,7 +63,7 @@ def train(docs: DataFrame, most_docs: int = 2000, n_random: int = 2000, smooth:
     random strings in hexadecimal of both cases and in Base64 are added."""
     total = docs.count()
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    picked = docs.where(unit_hash(F.col(key)) * max(1, total) < most_docs).select(body.alias("body"))
+    picked = docs.where(F.col(key).isNotNull() & (unit_hash(F.col(key)) * max(1, total) < most_docs)).select(body.alias("body"))
     values = F.concat(F.regexp_extract_all("body", F.lit(ASSIGN), F.lit(2)), F.regexp_extract_all("body", F.lit(ACCESS), F.lit(0)),
                       F.regexp_extract_all("body", F.lit(HEX), F.lit(0)))
     symbols = F.transform(values, lambda v: F.regexp_replace(v, r"\.", ""))
