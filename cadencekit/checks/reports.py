@@ -317,7 +317,19 @@ p AS (SELECT *, CASE WHEN lag(sample) OVER ({W}) = sample THEN pts - lag(pts) OV
 SELECT stream_id, sample, count(*) AS n_rows, count(pts) AS n_pts, coalesce(count(*) >= 10 AND count(pts) = count(*)
   AND max(CASE WHEN k = 52 THEN 1 ELSE 0 END) = min(CASE WHEN k = 52 THEN 1 ELSE 0 END) AND min(step) > 0
   AND (sample + 1) * 7 * 86400.0::DOUBLE - max(us / 1e6) <= 86400, FALSE) AS healthy FROM p GROUP BY 1, 2"""),
-    "d17_over_budget": Check(overload),
+    "d17_over_budget": Check(overload, f"""
+WITH {EVENTS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY us, event_id) AS n, k / 400 AS period, k / 1200 AS slot,
+  CASE WHEN event_type IN ('click', 'view') THEN 'batch' WHEN event_type = 'error' THEN 'later' ELSE 'endpoint' END AS kind FROM ev),
+l AS (SELECT *,
+  list_sort(coalesce(list(value / 1000) FILTER (WHERE kind = 'batch') OVER (PARTITION BY stream_id ORDER BY us, event_id ROWS BETWEEN 23 PRECEDING AND CURRENT ROW), [])) AS b,
+  list_sort(coalesce(list(value / 1000) FILTER (WHERE kind = 'later') OVER (PARTITION BY stream_id ORDER BY us, event_id ROWS BETWEEN 23 PRECEDING AND CURRENT ROW), [])) AS l,
+  list_sort(coalesce(list(value / 1000) FILTER (WHERE kind = 'endpoint') OVER (PARTITION BY stream_id ORDER BY us, event_id ROWS BETWEEN 23 PRECEDING AND CURRENT ROW), [])) AS e FROM n),
+a AS (SELECT *, CASE WHEN len(b) >= 6 THEN b[len(b) // 2 + 1] END AS ab, b[least(len(b) - 1, CAST(floor(len(b) * 0.95::DOUBLE) AS BIGINT)) + 1] AS tb, CASE WHEN len(l) >= 6 THEN l[len(l) // 2 + 1] END AS al, l[least(len(l) - 1, CAST(floor(len(l) * 0.95::DOUBLE) AS BIGINT)) + 1] AS tl, CASE WHEN len(e) >= 6 THEN e[len(e) // 2 + 1] END AS ae, e[least(len(e) - 1, CAST(floor(len(e) * 0.95::DOUBLE) AS BIGINT)) + 1] AS te FROM l),
+v AS (SELECT *, coalesce(period > 0 AND ab <= 1 / 3 * period * 1.5::DOUBLE AND al <= (2 / 3 - 1 / 3) * period * 0.9::DOUBLE
+    AND ae <= (1 - 2 / 3) * period * 0.9::DOUBLE AND ab + al + ae <= period * 0.9::DOUBLE, FALSE) AS fits,
+  coalesce(ab, tb, 0) + coalesce(ae, te, 0) + coalesce(al, tl, 0) AS known, CASE kind WHEN 'batch' THEN ab WHEN 'later' THEN al ELSE ae END AS own FROM a)
+SELECT event_id, n > 2 AND slot > 0 AND ab IS NOT NULL AND al IS NOT NULL AND ae IS NOT NULL AND NOT fits AS pair, n > 2 AND period > 0 AND known > period AS whole,
+  n > 2 AND slot > 0 AND coalesce(own, 0) > slot * CASE kind WHEN 'batch' THEN 1.5::DOUBLE ELSE 0.9::DOUBLE END AS single FROM v"""),
     "d18_snapshot_rollup": Check(rollup, f"""
 WITH {EVENTS_SQL} SELECT stream_id, count(*) AS n_visible, min(value) AS min_value, max(value) AS max_value, min(k) AS min_k, max(k) AS max_k
 FROM ev WHERE k > 20 GROUP BY 1"""),
