@@ -33,11 +33,14 @@ WORD_COUNTS = pa.schema([("word", pa.binary()), ("n", pa.int64())])
 OTHER = -1
 PARTS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("word", pa.binary()),
                    ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("n", pa.int64())])
-STEPS = pa.schema([("word", pa.binary()), ("held_out", pa.bool_()), ("row", pa.int64()), ("next", pa.int32()),
-                   ("before", pa.list_(pa.int64()))])
+#: A step: hashes of a word (63 bits) and of the two before it (31 bits each, 0 for none, the nearer one above), and
+#: the number of the word after it.
+STEPS = pa.schema([("word", pa.int64()), ("held_out", pa.bool_()), ("row", pa.int64()), ("next", pa.int32()),
+                   ("before", pa.int64())])
+MOST_DEPTH = 3
 PARTS_DDL = ("row long, doc_id long, held_out boolean, word binary, n_tokens long, n_known long, "
              "base_score double, n long")
-STEPS_DDL = "word binary, held_out boolean, row long, next int, before array<bigint>"
+STEPS_DDL = "word long, held_out boolean, row long, next int, before long"
 
 
 def word_counts(docs: DataFrame, text: str = "text", most: int = 300_000) -> DataFrame:
@@ -114,6 +117,15 @@ def longest(nodes: dict[tuple[int, ...], Node], before: tuple[int, ...], root: R
     return root
 
 
+def hashed(word: bytes, bits: int) -> int:
+    return xxhash.xxh3_64_intdigest(word) >> 64 - bits or 1
+
+
+def unpacked(before: int) -> tuple[int, ...]:
+    near, far = before >> 32, before & 0xFFFFFFFF
+    return (near, far) if far else (near,) if near else ()
+
+
 def gains(batches, root: Root, depth: int, gain: float, least: int):
     """(row, log10 of the chance over the root's) of steps sorted by word, those of training rows first."""
     word, training, nodes = None, [], {}
@@ -140,9 +152,9 @@ def gains(batches, root: Root, depth: int, gain: float, least: int):
             if held:
                 yield from close()
                 if nodes:
-                    yield from scored([(row, symbol, tuple(before))])
+                    yield from scored([(row, symbol, unpacked(before))])
             else:
-                training.append((row, symbol, tuple(before)))
+                training.append((row, symbol, unpacked(before)))
     yield from close()
 
 
@@ -154,6 +166,8 @@ def scores(docs: DataFrame, held_out: Column, least_share: float = 1e-6, depth:
     tokens are often: at most 1 / ``least_share`` words, which are broadcast.  The counts of other words are joined;
     all occurrences of one of them, of which a corpus has less than ``least_share``, meet in one task with what
     followed them, as hashes of the words before and numbers of the words after."""
+    if not 1 <= depth <= MOST_DEPTH:
+        raise ValueError(f"contexts have 1 to {MOST_DEPTH} words")
     spark = docs.sparkSession
     chosen = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"),
                          held_out.alias("held_out"))
@@ -200,8 +214,9 @@ def scores(docs: DataFrame, held_out: Column, least_share: float = 1e-6, depth:
                 for at in range(len(tokens) - 1):
                     word = tokens[at]
                     if word not in numbers:
-                        before = [xxhash.xxh3_64_intdigest(tokens[i]) >> 1 for i in range(at - 1, max(-1, at - depth), -1)]
-                        yield word, held, row, numbers.get(tokens[at + 1], OTHER), before
+                        near = hashed(tokens[at - 1], 31) if at > 0 and depth > 1 else 0
+                        far = hashed(tokens[at - 2], 31) if at > 1 and depth > 2 else 0
+                        yield hashed(word, 63), held, row, numbers.get(tokens[at + 1], OTHER), near << 32 | far
         yield from record_batches(out(), STEPS)
 
     def win(batches):
