@@ -39,6 +39,8 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.most = Tokenizer.from_file(path), known, most
+        self.final = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.final[[number for token, number in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [words(text) for text in texts]
@@ -46,7 +48,7 @@ class WordIds:
             self.known.clear()
         new = set().union(*split).difference(self.known)
         parts = {word: self._parts(word) for word in new}
-        self._learn(sorted({p for both in parts.values() for p in both}.difference(self.known)))
+        self._learn(list({p for both in parts.values() for p in both}.difference(self.known)))
         self.known.update({word: b"".join(map(self.known.__getitem__, both)) for word, both in parts.items()})
         return [b"".join(map(self.known.__getitem__, one)) for one in split]
 
@@ -58,12 +60,29 @@ class WordIds:
 
     def _learn(self, new: list[bytes], at_once: int = 2000) -> None:
         for at in range(0, len(new), at_once):
-            some = [word.decode() for word in new[at:at + at_once]]
-            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            first = np.cumsum([0] + [len(word) + 1 for word in some[:-1]])
-            owner = np.searchsorted(first, [start for start, _ in found.offsets], "right")
-            ids, ends = np.array(found.ids, "<u4"), np.searchsorted(owner, np.arange(len(some) + 1), "right")
-            self.known.update((word, ids[a:b].tobytes()) for word, a, b in zip(new[at:at + at_once], ends[:-1], ends[1:], strict=True))
+            some = [(word, word.decode()) for word in new[at:at + at_once]]
+            letters, rest = ([x for x in some if x[1].isalpha() == alpha] for alpha in (True, False))
+            self.known.update(self._by_ends(letters))
+            self.known.update(self._by_places(rest))
+
+    def _by_ends(self, some: list[tuple[bytes, str]]):
+        """Ids of words of letters alone, of which each has one token that ends a word."""
+        if not some:
+            return ()
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(text for _, text in some)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.final[ids]) + 1
+        return self._cut(some, ids, ends) if len(ends) == len(some) else self._by_places(some)
+
+    def _by_places(self, some: list[tuple[bytes, str]]):
+        found = self.tokenizer.encode(" ".join(text for _, text in some), add_special_tokens=False)
+        first = np.cumsum([0] + [len(text) + 1 for _, text in some[:-1]])
+        owner = np.searchsorted(first, [start for start, _ in found.offsets], "right")
+        return self._cut(some, np.array(found.ids, "<u4"), np.searchsorted(owner, np.arange(1, len(some) + 1), "right"))
+
+    @staticmethod
+    def _cut(some, ids, ends):
+        packed, ends = ids.tobytes(), (4 * ends).tolist()
+        return [(word, packed[a:b]) for (word, _), a, b in zip(some, [0, *ends[:-1]], ends, strict=True)]
 
 
 def pieces(docs: DataFrame, limit: int = 4096, end_id: int = 1, tokenizer: str | None = None,
