@@ -32,26 +32,35 @@ class WordIds:
     """Little-endian ids of texts, word by word.
 
     The tokenizer drops white space and lowers case, so a text's ids are its words' ids in a row, and
-    punctuation after a letter or digit is a token run of its own.  ``known`` holds the words met so far; it is
-    emptied when it has ``most`` of them."""
+    punctuation after a letter or digit is a token run of its own.  ``memory`` holds the words met lately in two
+    generations: when the young one has ``most`` words it becomes the old one, and a word met again gets
+    young again."""
 
-    def __init__(self, path: str, known: dict[bytes, bytes], most: int = 400_000):
+    def __init__(self, path: str, memory: dict[str, dict[bytes, bytes]], most: int = 300_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.most = Tokenizer.from_file(path), known, most
+        self.tokenizer, self.memory, self.most = Tokenizer.from_file(path), memory, most
+        self.known, self.old = (memory.setdefault(age, {}) for age in ("young", "old"))
         self.final = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.final[[number for token, number in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [words(text) for text in texts]
         if len(self.known) > self.most:
-            self.known.clear()
+            self.old, self.known = self.known, {}
+            self.memory.update(young=self.known, old=self.old)
         new = set().union(*split).difference(self.known)
-        parts = {word: self._parts(word) for word in new}
-        self._learn(list({p for both in parts.values() for p in both}.difference(self.known)))
+        self._recall(new)
+        parts = {word: self._parts(word) for word in new.difference(self.known)}
+        cores = {p for both in parts.values() for p in both}.difference(self.known)
+        self._recall(cores)
+        self._learn(list(cores.difference(self.known)))
         self.known.update({word: b"".join(map(self.known.__getitem__, both)) for word, both in parts.items()})
         return [b"".join(map(self.known.__getitem__, one)) for one in split]
 
+    def _recall(self, new: set[bytes]) -> None:
+        self.known.update({word: self.old[word] for word in new.intersection(self.old)})
+
     @staticmethod
     def _parts(word: bytes) -> tuple[bytes, ...]:
         low = word.lower()
