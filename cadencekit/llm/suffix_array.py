@@ -21,6 +21,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -146,7 +147,7 @@ def names(batch: pa.RecordBatch, window: int, gram: int):
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, np.where(settled, 0, context), doc, place)], schema=NAMES)
 
 
-def settle(batches):
+def settle(batches, window: int, gram: int):
     """Marks from triples sorted by key, name and id.
 
     A row of a later id than its triple's first is settled.  The first ones are compared further if a
@@ -169,26 +170,33 @@ def settle(batches):
         leading = np.concatenate([held, np.stack([key, name, doc, place], axis=1)[~settled]])
         still = leading[:, 0] >> 32 == key[-1] >> 32
         held = leading[still]
-        yield from _marks(met_elsewhere(leading[~still]), True)
+        yield from _marks(met_elsewhere(leading[~still], window, gram), True)
         last = (key[-1], name[-1], least[-1])
-    yield from _marks(met_elsewhere(held), True)
+    yield from _marks(met_elsewhere(held, window, gram), True)
 
 
-def met_elsewhere(leading: np.ndarray) -> np.ndarray:
-    """Id and place of the rows whose gram and left or right side are another document's too."""
+def met_elsewhere(leading: np.ndarray, window: int, gram: int) -> np.ndarray:
+    """Id and place of the rows whose gram and left or right side are another document's too, with the windows
+    that hold the matching side whole: others can't be equal."""
     if not len(leading):
         return leading[:, 2:]
-    key, doc = leading[:, 0], leading[:, 2]
-    found = np.zeros(len(leading), bool)
-    for side in (key >> 16, key >> 32 << 16 | key & 0xFFFF):
+    key, doc, place = leading[:, 0], leading[:, 2], leading[:, 3]
+    found = np.zeros((2, len(leading)), bool)
+    for mine, side in zip(found, (key >> 16, key >> 32 << 16 | key & 0xFFFF)):
         order = np.lexsort((doc, side))
         new = np.ones(len(order), bool)
         new[1:] = np.diff(side[order]) != 0
         starts = np.flatnonzero(new)
         ends = np.append(starts[1:], len(order)) - 1
         several = doc[order][starts] != doc[order][ends]
-        found[order] |= np.repeat(several, ends - starts + 1)
-    return leading[found][:, 2:]
+        mine[order] = np.repeat(several, ends - starts + 1)
+    side = -(-(window - gram) // 2)
+    first, count = place >> 8 & 0xFF, place & 0xFF
+    lowest = np.where(found[0], first, np.maximum(first, side + gram))
+    highest = np.where(found[1], first + count - 1, np.minimum(first + count - 1, window - side))
+    wanted = found.any(axis=0) & (lowest <= highest)
+    place = place >> 16 << 16 | lowest << 8 | highest - lowest + 1
+    return np.stack([doc, place], axis=1)[wanted]
 
 
 def _marks(rows: np.ndarray, compare: bool):
@@ -208,9 +216,10 @@ def open_windows(batch: pa.RecordBatch, window: int):
     """Content, id and start of the windows that still have to be compared; of equal ones in a batch only the least
     id's is sent on, the others are settled here and carry a negative content of their own."""
     content, doc, start = [], [], []
-    for doc_id, body, marks in zip(batch.column("doc_id").to_pylist(), binary_column(batch, "text"), batch.column("marks")):
+    for doc_id, text, marks in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("marks")):
         if not marks.is_valid:
             continue
+        body = zstandard.decompress(text.as_py())
         marks = marks.values.to_numpy()
         starts = windows(marks[marks & 1 == 1], window)
         starts = starts[starts <= len(body) - window]
@@ -297,7 +306,8 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 16, key: str =
     def finish(batches):
         for batch in batches:
             out = []
-            for body, one, two in zip(binary_column(batch, "text"), batch.column("marks"), batch.column("more")):
+            for text, one, two in zip(batch.column("text"), batch.column("marks"), batch.column("more")):
+                body = zstandard.decompress(text.as_py())
                 marks = np.concatenate([x.values.to_numpy() if x.is_valid else np.empty(0, np.int64) for x in (one, two)])
                 gone, spans, kept = removed(body, marks, window)
                 out.append((len(body), gone, spans, hashlib.sha256(kept).hexdigest(), kept if with_kept else None))
@@ -306,12 +316,23 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 16, key: str =
                 columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())))],
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
+    def order(batches):
+        yield from settle(batches, window, gram)
+
+    def squeeze(batches):
+        """Texts as shuffled: squeezed further than Spark does by itself."""
+        press = zstandard.ZstdCompressor(3)
+        for batch in batches:
+            bodies = pa.array([press.compress(body) for body in binary_column(batch, "text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), bodies], names=["doc_id", "text"])
+
     triples = chosen.mapInArrow(name, "key long, name long, doc_id long, place long")
     dealt = triples.repartition(F.shiftright("key", 32)).sortWithinPartitions("key", "name", "doc_id")
-    marks = materialise(dealt.mapInArrow(settle, "doc_id long, mark long").groupBy("doc_id")
+    marks = materialise(dealt.mapInArrow(order, "doc_id long, mark long").groupBy("doc_id")
                         .agg(F.collect_list("mark").alias("marks")))
     # Both uses of the marked texts read the same shuffle.
-    marked = chosen.join(marks, "doc_id", "left").select("doc_id", "text", "marks")
+    squeezed = chosen.mapInArrow(squeeze, "doc_id long, text binary")
+    marked = squeezed.join(marks, "doc_id", "left").select("doc_id", "text", "marks")
     opened = marked.mapInArrow(reopen, "content long, doc_id long, start long")
     found = opened.repartition("content").sortWithinPartitions("content", "doc_id").mapInArrow(single, "doc_id long, mark long")
     more = found.groupBy("doc_id").agg(F.collect_list("mark").alias("more"))
