@@ -127,35 +127,48 @@ def unpacked(before: int) -> tuple[int, ...]:
 
 
 def gains(batches, root: Root, depth: int, gain: float, least: int):
-    """(row, log10 of the chance over the root's) of steps sorted by word, those of training rows first."""
-    word, training, nodes = None, [], {}
+    """(row, log10 of the chance over the root's) of steps sorted by word, those of training rows first.
 
-    def scored(rows):
-        for row, symbol, before in rows:
-            node = longest(nodes, before, root)
+    Words with fewer training steps than ``least`` have no context and are passed over at once."""
+    def scored(nodes, group):
+        for row, symbol, before in zip(group["row"].tolist(), group["next"].tolist(), group["before"].tolist()):
+            node = longest(nodes, unpacked(before), root)
             if node is not root:
                 yield row, math.log10(node.chance(symbol) / root.chance(symbol))
 
-    def close():
-        nonlocal nodes
-        if training:
-            nodes = subtree([x[1:] for x in training], root, depth, gain, least) if len(training) >= least else {}
-            if nodes:
-                yield from scored(training)
-            training.clear()
+    def learned(group):
+        return subtree([(s, unpacked(b)) for s, b in zip(group["next"].tolist(), group["before"].tolist())], root, depth, gain, least)
 
+    waiting: dict[str, np.ndarray] = {}  # training steps of the word that the last batch ended in
+    last, nodes = None, {}  # or, if some of its held-out steps have come, its contexts
     for batch in batches:
-        for now, held, row, symbol, before in zip(*(batch.column(c).to_pylist() for c in STEPS.names)):
-            if now != word:
-                yield from close()
-                word, nodes = now, {}
-            if held:
-                yield from close()
-                if nodes:
-                    yield from scored([(row, symbol, unpacked(before))])
-            else:
-                training.append((row, symbol, unpacked(before)))
-    yield from close()
+        steps = {name: batch.column(name).to_numpy(zero_copy_only=False) for name in STEPS.names}
+        if waiting:
+            steps, waiting = {name: np.concatenate([waiting[name], steps[name]]) for name in steps}, {}
+        word, n = steps["word"], len(steps["word"])
+        if not n:
+            continue
+        starts = np.concatenate([[0], np.flatnonzero(word[1:] != word[:-1]) + 1])
+        ends = np.append(starts[1:], n)
+        training = np.add.reduceat(~steps["held_out"], starts, dtype=np.int64)
+        open_group = len(starts) - 1 if training[-1] == ends[-1] - starts[-1] else None
+        if last == word[0] and nodes:
+            yield from scored(nodes, {name: x[:ends[0]] for name, x in steps.items()})
+        if last != word[-1]:
+            nodes = {}
+        for number in np.flatnonzero(training >= least).tolist():
+            if number != open_group:
+                group = {name: x[starts[number]:ends[number]] for name, x in steps.items()}
+                found = learned({name: x[:training[number]] for name, x in group.items()})
+                if found:
+                    yield from scored(found, group)
+                if number == len(starts) - 1:
+                    nodes = found
+        last = word[-1]
+        if open_group is not None:
+            waiting = {name: x[starts[-1]:] for name, x in steps.items()}
+    if waiting and len(waiting["word"]) >= least:
+        yield from scored(learned(waiting), waiting)
 
 
 def scores(docs: DataFrame, held_out: Column, least_share: float = 1e-6, depth: int = 3, gain: float = 3.0,
