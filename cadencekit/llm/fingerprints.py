@@ -26,7 +26,7 @@ def distinct_terms(text: Column) -> Column:
 
 def lexicon(docs: DataFrame, text: str = "text", least_share: float = 5e-4, most_share: float = 0.1,
             rates: tuple[float, ...] = RATES) -> DataFrame:
-    """``term`` and ``subsets``, the numbers of the subsets it is in, of the terms that between ``least_share`` and
+    """``term`` and ``subsets``, the numbers of the subsets it is in (there may be none), of the terms that between ``least_share`` and
     ``most_share`` of the documents hold.
 
     There are at most (mean number of distinct terms of a document) / ``least_share`` such terms, whatever
@@ -37,7 +37,7 @@ def lexicon(docs: DataFrame, text: str = "text", least_share: float = 5e-4, most
     numbers = F.array_compact(F.array(*(
         F.when(unit_hash(F.col("term"), seed=k) < rate, F.lit(k)) for k, rate in enumerate(rates))))
     return (frequencies.where((F.col("df") >= least_share * n) & (F.col("df") <= max(1.0, most_share * n)))
-            .select("term", numbers.alias("subsets")).where(F.size("subsets") > 0))
+            .select("term", numbers.alias("subsets")))
 
 
 def subset_hashes(entries: Column, whole: Column) -> Column:
@@ -100,7 +100,8 @@ def fingerprints(docs: DataFrame, terms: DataFrame, key: str = "doc_id",
 
     The texts are shuffled once, by bucket; what follows works within the buckets.  The lexicon is
     broadcast while it has at most ``most_broadcast`` terms, otherwise joined by a shuffle."""
-    terms = materialise(terms)
+    # Terms of no subset go after the checkpoint: before it, Spark would test every word of every text.
+    terms = materialise(terms).where(F.size("subsets") > 0)
     if terms.count() <= most_broadcast:
         terms = F.broadcast(terms.unionByName(_mark(docs.sparkSession)))
     else:
@@ -119,13 +120,13 @@ def fingerprints(docs: DataFrame, terms: DataFrame, key: str = "doc_id",
         F.sha2("edited", 256).alias("edited_sha256"), F.explode(versions).alias("v")).where("v.body is not null")
     found = bodies.select("*", distinct_terms(F.col("v.body")).alias("terms"))
     # The first entry is no term: it carries what is known of the text, once, and keeps texts without terms.
-    about = F.struct("doc_id", "guest", "n_chars", "edited_sha256", F.xxhash64(F.array_sort("terms")).alias("whole"))
+    about = F.struct("doc_id", "guest", "n_chars", "edited_sha256", F.xxhash64(F.sort_array("terms")).alias("whole"))
     entries = F.concat(F.array(F.struct(F.lit("").alias("term"), about.alias("about"))),
                        F.transform("terms", lambda t: F.struct(t.alias("term"), F.when(t == "", about).alias("about"))))
     rows = found.select("bucket", "seat", "v.version", F.inline(entries)).join(terms, "term").withColumn("number", F.explode("subsets"))
     grouped = rows.groupBy("bucket", "seat", "version").agg(
         F.first("about", ignorenulls=True).alias("about"),
-        F.array_sort(F.collect_list(F.when(F.col("number") >= 0, F.struct("number", "term")))).alias("entries"))
+        F.sort_array(F.collect_list(F.when(F.col("number") >= 0, F.struct("number", "term")))).alias("entries"))
     hashed = grouped.select("bucket", "seat", "version", "about",
                             subset_hashes(F.col("entries"), F.col("about.whole")).alias("hashes"))
     turn = Window.partitionBy("bucket").orderBy("seat", "version")
