@@ -1,13 +1,13 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
 A text is its lower-cased words and one end, which counts as a token.  The root of the tree predicts by the words'
-own counts, plus one half.  Longer contexts are the one to ``depth`` words before a token; a context is retained
-if a likelihood test tells its next words apart from those of its longest retained suffix, and a token is
-scored in the longest retained context.
+own counts, plus one half.  Longer contexts are the one to ``depth`` words before a token, whatever these words are; a
+context is retained if a likelihood test tells its next words apart from those of its longest retained suffix, and
+a token is scored in the longest retained context.  Every word is a symbol of its own.
 
-The symbols after a context are the often words, one by one, and the class of all other words, within which the root
-decides; so a context's distribution needs no table of rare words.  Contexts end in a word that is not often:
-after an often word everything follows, and a table of what does would be as large as the corpus.
+All steps with the same last word of context meet in one task, which looks at one length after the other.  Contexts
+with more steps than a task may hold (``spark.cadencekit.hotRows``, or four times a task's share) are counted by
+aggregations instead; their chances are joined to the steps, which then meet by a longer context.
 
 Null texts count as empty (one end token).  Repeated rows are learned from and scored each, also where they share
 a ``doc_id``.  With no training rows every count is 0.
@@ -21,26 +21,29 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadencekit.llm.common import binary_column, opened, record_batches, share, words
-from cadencekit.session import materialise
+from cadencekit.session import hot_rows, materialise
 
 WORD_COUNTS = pa.schema([("word", pa.binary()), ("n", pa.int64())])
-#: The class of words that are not often.
+#: The class of words that have no number, in the plain version.
 OTHER = -1
-PARTS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("word", pa.binary()),
-                   ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("n", pa.int64())])
-#: A step: hashes of a word (63 bits) and of the two before it (31 bits each, 0 for none, the nearer one above), and
-#: the number of the word after it.
-STEPS = pa.schema([("word", pa.int64()), ("held_out", pa.bool_()), ("row", pa.int64()), ("next", pa.int32()),
-                   ("before", pa.int64())])
+#: A step: codes of the word before (often words' numbers, or hashes) and of the two before that (31 bits each, 0 for none, the
+#: nearer one above), the code of the word itself and its training count, the row's number times two, plus one if held out.
+#: Steps with a negative ``before`` have no context, see ``SUMS`` to ``NO_CONTEXT``.
+STEPS = pa.schema([("w", pa.int64()), ("before", pa.int64()), ("next", pa.int64()), ("n", pa.int64()), ("row", pa.int64())])
+SELDOM = pa.schema([("w", pa.int64()), ("before", pa.int64()), ("word", pa.binary()), ("row", pa.int64())])
+WON = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
+                 ("base", pa.float64()), ("won", pa.float64())])
+WON_DDL = "row long, doc_id long, n_tokens long, n_known long, base double, won double"
+#: ``before`` of a text's base score in often words (bits of a double; ``n``: their tokens), of its id and number of
+#: tokens (with and without an id), and of a seldom first word.
+SUMS, WITH_ID, WITHOUT_ID, NO_CONTEXT = -1, -2, -3, -4
+#: Codes from here on are hashes.
+HASHED = 1 << 62
 MOST_DEPTH = 3
-PARTS_DDL = ("row long, doc_id long, held_out boolean, word binary, n_tokens long, n_known long, "
-             "base_score double, n long")
-STEPS_DDL = "word long, held_out boolean, row long, next int, before long"
 
 
 def word_counts(docs: DataFrame, text: str = "text", most: int = 300_000) -> DataFrame:
@@ -92,7 +95,7 @@ class Root:
 
 
 def subtree(steps: list[tuple[int, tuple[int, ...]]], root: Root, depth: int, gain: float, least: int) -> dict[tuple[int, ...], Node]:
-    """Retained contexts that end in one word, from its occurrences (next symbol, words before it, nearest first).
+    """The plain version of ``walk``: retained contexts that end in one word, from its occurrences (next symbol, words before it, nearest first).
 
     Contexts are keyed by the words before the last; level by level, only contexts seen often enough are looked
     at, and each is tested against its longest retained suffix."""
@@ -117,58 +120,108 @@ def longest(nodes: dict[tuple[int, ...], Node], before: tuple[int, ...], root: R
     return root
 
 
-def hashed(word: bytes, bits: int) -> int:
-    return xxhash.xxh3_64_intdigest(word) >> 64 - bits or 1
+class Codes(dict):
+    """Codes of words: the numbers of often words, hashes of others."""
 
+    def __init__(self, numbers: dict[bytes, int], most: int = 400_000):
+        super().__init__(numbers)
+        self.numbers, self.most = numbers, len(numbers) + most
 
-def unpacked(before: int) -> tuple[int, ...]:
-    near, far = before >> 32, before & 0xFFFFFFFF
-    return (near, far) if far else (near,) if near else ()
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > self.most:
+            self.clear()
+            self.update(self.numbers)
+        self[word] = code = HASHED | xxhash.xxh3_64_intdigest(word) >> 2
+        return code
 
 
-def gains(batches, root: Root, depth: int, gain: float, least: int):
-    """(row, log10 of the chance over the root's) of steps sorted by word, those of training rows first.
+def short(codes: np.ndarray) -> np.ndarray:
+    """Codes in 31 bits, never 0."""
+    return np.where(codes < HASHED, codes + 1, codes >> 20 & (1 << 30) - 1 | 1 << 30)
 
-    Words with fewer training steps than ``least`` have no context and are passed over at once."""
-    def scored(nodes, group):
-        for row, symbol, before in zip(group["row"].tolist(), group["next"].tolist(), group["before"].tolist()):
-            node = longest(nodes, unpacked(before), root)
-            if node is not root:
-                yield row, math.log10(node.chance(symbol) / root.chance(symbol))
 
-    def learned(group):
-        return subtree([(s, unpacked(b)) for s, b in zip(group["next"].tolist(), group["before"].tolist())], root, depth, gain, least)
+def walk(contexts: list[np.ndarray], symbols: np.ndarray, training: np.ndarray, chances: np.ndarray, gain: float,
+         least: int) -> np.ndarray:
+    """Chances of the symbols in their longest retained contexts.
 
-    waiting: dict[str, np.ndarray] = {}  # training steps of the word that the last batch ended in
-    last, nodes = None, {}  # or, if some of its held-out steps have come, its contexts
+    ``contexts`` are arrays of context numbers, shorter contexts first, negative where a step has none; ``chances`` are those
+    in the context before the first.  All steps of a context have to be there."""
+    chances = chances.copy()
+    for context in contexts:
+        at = np.flatnonzero(context >= 0)
+        if not len(at):
+            continue
+        at = at[np.lexsort((symbols[at], context[at]))]
+        c, s = context[at], symbols[at]
+        new = np.concatenate([[True], c[1:] != c[:-1]])
+        fresh = new.copy()
+        fresh[1:] |= s[1:] != s[:-1]
+        pairs = np.flatnonzero(fresh)
+        n = np.add.reduceat(training[at], pairs, dtype=np.int64)
+        parent = chances[at[pairs]]
+        firsts = np.flatnonzero(new[pairs])
+        total, kinds = np.add.reduceat(n, firsts), np.add.reduceat(n > 0, firsts, dtype=np.int64)
+        won = np.add.reduceat(n * np.log(np.maximum(n, 1) / parent), firsts) - total * np.log(np.maximum(total, 1))
+        kept = (total >= least) & (won > gain * kinds)
+        group = np.cumsum(new[pairs]) - 1
+        mine = np.where(kept[group], (n + kinds[group] * parent) / np.maximum(total + kinds, 1)[group], parent)
+        chances[at] = mine[np.cumsum(fresh) - 1]
+    return chances
+
+
+def ranked(*keys: np.ndarray) -> np.ndarray:
+    """Numbers of the different tuples of keys."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    for key in keys:
+        new[1:] |= key[order[1:]] != key[order[:-1]]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def longer(w: np.ndarray, before: np.ndarray, depth: int, wide: int = 0) -> list[np.ndarray]:
+    """Numbers of the contexts of more than ``wide`` words."""
+    near, far = before >> 32, before & 0xFFFFFFFF
+    real = before >= 0
+    found = [np.where(real, w, -1)] if wide < 1 else []
+    if depth > 1 and wide < 2:
+        found.append(np.where(real & (near > 0), ranked(w, near), -1))
+    if depth > 2 and wide < 3:
+        found.append(np.where(real & (far > 0), ranked(w, near, far), -1))
+    return found
+
+
+def whole_groups(batches, keys: list[str], size: int = 200_000):
+    """Columns of sorted rows, in parts that hold all rows of their keys."""
+    held: list[dict[str, np.ndarray]] = []
+    n = 0
     for batch in batches:
-        steps = {name: batch.column(name).to_numpy(zero_copy_only=False) for name in STEPS.names}
-        if waiting:
-            steps, waiting = {name: np.concatenate([waiting[name], steps[name]]) for name in steps}, {}
-        word, n = steps["word"], len(steps["word"])
-        if not n:
+        if not batch.num_rows:
             continue
-        starts = np.concatenate([[0], np.flatnonzero(word[1:] != word[:-1]) + 1])
-        ends = np.append(starts[1:], n)
-        training = np.add.reduceat(~steps["held_out"], starts, dtype=np.int64)
-        open_group = len(starts) - 1 if training[-1] == ends[-1] - starts[-1] else None
-        if last == word[0] and nodes:
-            yield from scored(nodes, {name: x[:ends[0]] for name, x in steps.items()})
-        if last != word[-1]:
-            nodes = {}
-        for number in np.flatnonzero(training >= least).tolist():
-            if number != open_group:
-                group = {name: x[starts[number]:ends[number]] for name, x in steps.items()}
-                found = learned({name: x[:training[number]] for name, x in group.items()})
-                if found:
-                    yield from scored(found, group)
-                if number == len(starts) - 1:
-                    nodes = found
-        last = word[-1]
-        if open_group is not None:
-            waiting = {name: x[starts[-1]:] for name, x in steps.items()}
-    if waiting and len(waiting["word"]) >= least:
-        yield from scored(learned(waiting), waiting)
+        held.append({name: batch.column(name).to_numpy(zero_copy_only=False) for name in batch.schema.names})
+        n += batch.num_rows
+        if n < size:
+            continue
+        steps = {name: np.concatenate([x[name] for x in held]) for name in held[0]}
+        other = np.zeros(n, bool)
+        for key in keys:
+            other |= steps[key] != steps[key][-1]
+        cut = int(other.nonzero()[0][-1]) + 1 if other.any() else 0
+        if cut:
+            yield {name: x[:cut] for name, x in steps.items()}
+        held, n = [{name: x[cut:] for name, x in steps.items()}], n - cut
+        size = max(200_000, 2 * n)
+    if n:
+        yield {name: np.concatenate([x[name] for x in held]) for name in held[0]}
+
+
+def summed(row: np.ndarray, **sums: np.ndarray) -> pa.RecordBatch:
+    """A batch of ``WON`` with sums for each row."""
+    rows, at = np.unique(row, return_inverse=True)
+    columns = {"row": pa.array(rows)} | {name: pa.array(np.bincount(at, x, len(rows)).astype(WON.field(name).type.to_pandas_dtype()))
+                                         for name, x in sums.items()}
+    return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(len(rows), f.type)) for f in WON], schema=WON)
 
 
 def scores(docs: DataFrame, held_out: Column, least_share: float = 1e-6, depth: int = 3, gain: float = 3.0,
@@ -176,77 +229,144 @@ def scores(docs: DataFrame, held_out: Column, least_share: float = 1e-6, depth:
     """Scores of every whole text from the words of the rows that are not ``held_out``.
 
     ``base_score`` is the root's score of all tokens, ``score`` the tree's.  Words that make up ``least_share`` of the
-    tokens are often: at most 1 / ``least_share`` words, which are broadcast.  The counts of other words are joined;
-    all occurrences of one of them, of which a corpus has less than ``least_share``, meet in one task with what
-    followed them, as hashes of the words before and numbers of the words after."""
+    tokens are often: at most 1 / ``least_share`` words, which are broadcast.  The counts of other words are joined.  Which
+    words are often changes no result."""
     if not 1 <= depth <= MOST_DEPTH:
         raise ValueError(f"contexts have 1 to {MOST_DEPTH} words")
     spark = docs.sparkSession
-    chosen = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"),
+    # A row's number by its place in the scan, which a union of stages doesn't shift.
+    chosen = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"),
                          held_out.alias("held_out"))
     counts = materialise(word_counts(chosen.where(~F.col("held_out"))))
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    often = {bytes(r["word"]): r["n"] for r in counts.where(F.col("n") >= max(2, least_share * total)).toLocalIterator()}
+    often = {bytes(r["word"]): r["n"] for r in counts.where(F.col("n") >= least_share * total).toLocalIterator()}
     whole = total + 0.5 * (kinds + 1)
-    chances = np.array([(n + 0.5) / whole for n in often.values()])
-    shared = share(spark, ({word: number for number, word in enumerate(often)}, chances))
+    shared = share(spark, ({word: number for number, word in enumerate(often)}, np.array(list(often.values()), np.int64)))
 
-    def rows_of(batches):
-        """The rows' numbers, ids, sides and words."""
-        row = TaskContext.get().partitionId() << 33
+    def coded(batches, size: int = 200_000):
+        """Texts in parts: ids, sides, rows' numbers, words, their codes and the texts' first places."""
+        codes = Codes(opened(shared)[0])
+        ids, sides, row, tokens, starts = [], [], [], [], []
         for batch in batches:
-            for doc_id, held, body in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(),
-                                          binary_column(batch, "text")):
-                yield row, doc_id, held, words(body.lower())
-                row += 1
-
-    def tally(batches):
-        numbers, chances = opened(shared)
-        base = {word: math.log10(chances[number]) for word, number in numbers.items()}
-
-        def out():
-            for row, doc_id, held, tokens in rows_of(batches):
-                known, score = 0, 0.0
-                tokens.append(b"")
-                for word, n in Counter(tokens).items():
-                    if word in base:
-                        known += n
-                        score += n * base[word]
-                    else:
-                        yield row, doc_id, held, word, 0, 0, 0.0, n
-                # A key that no word has: it starts with a space.
-                yield row, doc_id, held, b" %d" % row, len(tokens), known, score, 0
-        yield from record_batches(out(), PARTS)
-
-    def step(batches):
-        numbers, _ = opened(shared)
-
-        def out():
-            for row, _, held, tokens in rows_of(batches):
+            for number, doc_id, held, body in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(),
+                                                  batch.column("held_out").to_pylist(), binary_column(batch, "text")):
+                row.append(number)
+                ids.append(doc_id)
+                sides.append(held)
+                starts.append(len(tokens))
+                tokens += words(body.lower())
                 tokens.append(b"")
-                for at in range(len(tokens) - 1):
-                    word = tokens[at]
-                    if word not in numbers:
-                        near = hashed(tokens[at - 1], 31) if at > 0 and depth > 1 else 0
-                        far = hashed(tokens[at - 2], 31) if at > 1 and depth > 2 else 0
-                        yield hashed(word, 63), held, row, numbers.get(tokens[at + 1], OTHER), near << 32 | far
-        yield from record_batches(out(), STEPS)
-
-    def win(batches):
-        _, chances = opened(shared)
-        yield from record_batches(((row, None, None, None, None, None, won, None) for row, won in
-                                   gains(batches, Root(chances), depth, gain, least_count)), PARTS)
-
-    seldom = counts.select("word", F.col("n").alias("_c"))
-    c = F.coalesce("_c", F.lit(0))
-    parts = chosen.mapInArrow(tally, PARTS_DDL).join(seldom, "word", "left").select(
-        "row", "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.when(c > 0, F.col("n")).otherwise(0)).alias("n_known"),
-        (F.col("base_score") + F.col("n") * F.log10((c + 0.5) / whole)).alias("base_score"), F.lit(0.0).alias("won"))
-    steps = chosen.mapInArrow(step, STEPS_DDL).repartition("word").sortWithinPartitions("word", "held_out")
-    won = steps.mapInArrow(win, PARTS_DDL).select(
-        "row", "doc_id", "held_out", "n_tokens", "n_known", F.lit(0.0).alias("base_score"), F.col("base_score").alias("won"))
-    return (parts.unionByName(won).groupBy("row")
-            .agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"),
-                 F.sum("n_known").alias("n_known"), F.sum("base_score").alias("base_score"), F.sum("won").alias("won"))
-            .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
-                    "base_score", (F.col("base_score") + F.col("won")).alias("score")))
+                if len(tokens) > size:
+                    yield ids, sides, row, tokens, np.fromiter(map(codes.__getitem__, tokens), np.int64, len(tokens)), np.array(starts)
+                    ids, sides, row, tokens, starts = [], [], [], [], []
+        if ids:
+            yield ids, sides, row, tokens, np.fromiter(map(codes.__getitem__, tokens), np.int64, len(tokens)), np.array(starts)
+
+    def placed(sides, row, codes, starts):
+        """For each token: its row, its place in the text, the word before it and those before that."""
+        sizes = np.diff(np.append(starts, len(codes)))
+        rows = np.repeat(np.array(row, np.int64) << 1 | np.array(sides, np.int64), sizes)
+        place = np.arange(len(codes)) - np.repeat(starts, sizes)
+        small = short(codes)
+        w, near, far = np.zeros((3, len(codes)), np.int64)
+        w[1:] = codes[:-1]
+        if depth > 1:
+            near[2:] = small[:-2]
+        if depth > 2:
+            far[3:] = small[:-3]
+        before = np.where(place > 1, near, 0) << 32 | np.where(place > 2, far, 0)
+        return rows, np.where(place > 0, w, -1 - rows), np.where(place > 0, before, NO_CONTEXT)
+
+    def often_steps(batches):
+        n_of = opened(shared)[1]
+        base = np.log10((n_of + 0.5) / whole)
+        for ids, sides, row, tokens, codes, starts in coded(batches):
+            rows, w, before = placed(sides, row, codes, starts)
+            mine = codes < HASHED
+            number = np.where(mine, codes, 0)
+            own = rows[starts]
+            known = np.add.reduceat(mine, starts, dtype=np.int64)
+            score = np.add.reduceat(np.where(mine, base[number] if len(base) else 0.0, 0.0), starts)
+            at = np.flatnonzero(mine & (before >= 0))
+            sizes = np.diff(np.append(starts, len(codes)))
+            null = np.array([i is None for i in ids])
+            parts = ((w[at], before[at], codes[at], n_of[codes[at]], rows[at]),
+                     (-1 - own, np.full(len(ids), SUMS), score.view(np.int64), known, own),
+                     (-1 - own, np.where(null, WITHOUT_ID, WITH_ID), np.array([i or 0 for i in ids], np.int64), sizes, own))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], schema=STEPS)
+
+    def seldom_steps(batches):
+        for _, sides, row, tokens, codes, starts in coded(batches):
+            rows, w, before = placed(sides, row, codes, starts)
+            at = np.flatnonzero(codes >= HASHED)
+            yield pa.RecordBatch.from_arrays([pa.array(w[at]), pa.array(before[at]), pa.array([tokens[i] for i in at.tolist()], pa.binary()),
+                                              pa.array(rows[at])], schema=SELDOM)
+
+    def win(wide: int, keys: list[str]):
+        """Sums for each row of steps that meet by the keys; contexts of ``wide`` words are behind them already."""
+        def run(batches):
+            for steps in whole_groups(batches, keys):
+                row, before, n = steps["row"], steps["before"], steps["n"]
+                tail = before < 0
+                real = ~tail | (before == NO_CONTEXT)
+                chances = np.where(real, (n + 0.5) / whole, 1.0)
+                found = walk(longer(steps["w"], before, depth, wide), steps["next"], row & 1 == 0,
+                             steps["p"] if wide else chances, gain, least_count)
+                # Of often words the text's own row has the base score.
+                own = real & (steps["next"] >= HASHED)
+                sums = before == SUMS
+                base = np.where(own, np.log10(chances), np.where(sums, steps["next"].view(np.float64), 0.0))
+                yield summed(row, base=base, won=np.log10(found / chances), n_known=np.where(own, n > 0, np.where(sums, n, 0)))
+                told = before == WITH_ID
+                at = np.flatnonzero(told | (before == WITHOUT_ID))
+                if len(at):
+                    ids = pa.array(steps["next"][at], mask=~told[at])
+                    columns = {"row": pa.array(row[at]), "doc_id": ids, "n_tokens": pa.array(n[at])}
+                    yield pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(len(at), f.type)) for f in WON], schema=WON)
+        return run
+
+    c = F.coalesce(F.col("n"), F.lit(0))
+    # A word's code as ``Codes`` has it: the joined table's own hash would be another one.
+    joined = (chosen.mapInArrow(seldom_steps, "w long, before long, word binary, row long")
+              .join(counts.where(F.col("n") < least_share * total), "word", "left")
+              .select("w", "before", F.xxhash64("word").bitwiseAND(HASHED - 1).bitwiseOR(HASHED).alias("next"), c.alias("n"), "row"))
+    steps = chosen.mapInArrow(often_steps, "w long, before long, next long, n long, row long").unionByName(joined)
+    limit = min(hot_rows(spark), max(20_000, 4 * total // int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    hot = [number for number, n in enumerate(often.values()) if n > limit]
+    plain = steps.where(~F.col("w").isin(hot)) if hot else steps
+    won = plain.repartition("w").sortWithinPartitions("w").mapInArrow(win(0, ["w"]), WON_DDL)
+    if hot:
+        for wide, keys, part in _under_wide(steps.where(F.col("w").isin(hot)), whole, limit, depth, gain, least_count):
+            won = won.unionByName(part.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(win(wide, keys), WON_DDL))
+    return (won.groupBy("row").agg(*(f(x).alias(x) for f, x in ((F.max, "doc_id"), (F.sum, "n_tokens"), (F.sum, "n_known"), (F.sum, "base"), (F.sum, "won"))))
+            .select("doc_id", (F.col("row") % 2 == 1).alias("held_out"), "n_tokens", "n_known",
+                    F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("base") + F.col("won")).alias("score")))
+
+
+def _under_wide(steps: DataFrame, whole: float, limit: int, depth: int, gain: float, least: int):
+    """(words in the wide context, keys, steps with their chance ``p`` in it) of steps after wide words.
+
+    A context is wide if it has more than ``limit`` steps; there are few.  The last part holds steps without a longer context."""
+    left = materialise(steps.select("*", F.shiftright("before", 32).alias("near"), F.col("before").bitwiseAND(0xFFFFFFFF).alias("far"),
+                                    ((F.col("n") + 0.5) / whole).alias("p")))
+    names = ["w", "near", "far"]
+    for length in range(1, depth + 1):
+        keys = names[:length]
+        # Counts by sums on both sides of the shuffle, also of the hottest pair; then of their contexts.
+        pairs = left.groupBy(*keys, "next").agg(F.sum((F.col("row") % 2 == 0).cast("long")).alias("c"), F.min("p").alias("p"))
+        term = F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / F.col("p"))).otherwise(0.0)
+        pairs = materialise(pairs)
+        tested = pairs.groupBy(*keys).agg(F.sum("c").alias("_n"), F.count(F.when(F.col("c") > 0, 1)).alias("_k"), F.sum(term).alias("_t"))
+        kept = tested.where((F.col("_n") >= least) & (F.col("_t") - F.col("_n") * F.log("_n") > gain * F.col("_k"))).drop("_t")
+        better = (pairs.join(kept, keys).select(*keys, "next", ((F.col("c") + F.col("_k") * F.col("p")) / (F.col("_n") + F.col("_k"))).alias("_p")))
+        left = materialise(left.join(better, [*keys, "next"], "left").withColumn("p", F.coalesce("_p", "p")).drop("_p"))
+        if length == depth:
+            break
+        more = names[length]
+        sizes = left.where(F.col(more) > 0).groupBy(*names[:length + 1]).agg(F.count(F.lit(1)).alias("_s"))
+        # Fewer than steps / limit contexts.
+        wide = F.broadcast(materialise(sizes.where(F.col("_s") > limit).drop("_s")))
+        yield length, names[:length + 1], left.where(F.col(more) > 0).join(wide, names[:length + 1], "left_anti")
+        yield MOST_DEPTH, ["row"], left.where(F.col(more) == 0)
+        left = left.where(F.col(more) > 0).join(wide, names[:length + 1], "left_semi")
+    yield MOST_DEPTH, ["row"], left
