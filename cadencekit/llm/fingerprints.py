@@ -2,8 +2,13 @@
 
 The lexicon holds the terms whose document frequency lies in a band, which is a band of inverse document
 frequency.  Each subset keeps every lexicon term with its own rate; a text's fingerprint is, per subset, the hash
-of its sorted distinct terms there, if it has any.  Texts without any lexicon term (empty ones too)
-are told apart by the hash of all their distinct terms.  Null texts count as empty.  Rows that repeat a
+of its sorted distinct terms there, if it has any.
+
+Terms of a group of copies that holds more of the table than the band allows are not in the lexicon, nor are those of
+very few documents.  So a text with less than half of its distinct terms in lexicon subsets also has hashes of
+random subsets of its own terms, and one with less than an eighth has only these.  Two texts are compared by the kinds of
+hashes that both have.  Texts without any such subset (empty ones too) are told apart by the hash of all their distinct
+terms.  Null texts count as empty.  Rows that repeat a
 ``doc_id`` follow each other in the order of their texts; null ids come last.  Empty tables give empty results.
 """
 
@@ -18,6 +23,11 @@ from cadencekit.session import materialise
 #: Rates of the subsets: long and short texts each find some that keep a few of their terms.
 RATES = tuple(2.0**-k for k in range(3, 11) for _ in range(6))
 
+#: Subsets of own terms are numbered from here; each seed gives one of every rate from disjoint bits of one hash.
+OWN, OWN_SEEDS, OWN_BITS = len(RATES), 6, tuple(range(3, 11))
+#: Texts of so many distinct terms have no hash of one own term alone: a common word may be all that is shared.
+LONG = 16
+
 
 def distinct_terms(text: Column) -> Column:
     """Different lower-cased runs without white space or ASCII punctuation."""
@@ -40,30 +50,56 @@ def lexicon(docs: DataFrame, text: str = "text", least_share: float = 5e-4, most
             .select("term", numbers.alias("subsets")))
 
 
-def subset_hashes(entries: Column, whole: Column) -> Column:
+def own_entries(terms: Column) -> Column:
+    """Structs of subset and term, in order, of subsets of a text's own terms."""
+    def picked(term: Column, seed: Column, bits: Column) -> Column:
+        found, at = [], 0
+        for level, width in enumerate(OWN_BITS):
+            mask = (1 << width) - 1 << at
+            found.append(F.when(bits.bitwiseAND(F.lit(mask)) == 0, F.struct((seed * len(OWN_BITS) + (OWN + level)).alias("number"), term.alias("term"))))
+            at += width
+        return F.array_compact(F.array(*found))
+
+    seeds = F.array(*map(F.lit, range(OWN_SEEDS)))
+    of_term = lambda t: F.flatten(F.transform(seeds, lambda s: F.flatten(F.transform(F.array(F.xxhash64(t, s)), lambda h: picked(t, s, h)))))
+    return F.sort_array(F.flatten(F.transform(terms, of_term)))
+
+
+def both_kinds(entries: Column, terms: Column) -> Column:
+    """The entries of lexicon subsets, those of own subsets, or both, by the share of the terms that the former have."""
+    inside = F.size(F.array_distinct(F.transform(entries, lambda e: e["term"])))
+    return F.concat(F.when(8 * inside >= F.size(terms), entries).otherwise(F.slice(entries, 1, 0)),
+                    F.when(2 * inside < F.size(terms), own_entries(terms)).otherwise(F.slice(entries, 1, 0)))
+
+
+def subset_hashes(entries: Column, whole: Column, long: Column) -> Column:
     """Per subset with a term ``number-hash``: ``entries`` are structs of subset and term in order, and a subset's hash
-    runs through its terms one by one.  Without entries only the hash of ``whole``."""
+    runs through its terms one by one; of ``long`` texts, own subsets need two terms.  Without such subsets only the hash of ``whole``."""
     name = lambda number, value: F.concat(F.lpad(number.cast("string"), 2, "0"), F.lit("-"), F.lpad(F.lower(F.hex(value)), 16, "0"))
-    start = F.struct(F.lit(-1).alias("number"), F.lit(0).cast("long").alias("value"), F.array().cast("array<string>").alias("out"))
+    start = F.struct(F.lit(-1).alias("number"), F.lit(0).cast("long").alias("value"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"))
 
     def done(state: Column) -> Column:
-        return F.when(state["number"] < 0, state["out"]).otherwise(F.concat(state["out"], F.array(name(state["number"], state["value"]))))
+        return F.when((state["number"] < 0) | long & (state["number"] >= OWN) & (state["n"] < 2), state["out"]).otherwise(F.concat(state["out"], F.array(name(state["number"], state["value"]))))
 
     def step(state: Column, entry: Column) -> Column:
         same = state["number"] == entry["number"]
         return F.struct(entry["number"].alias("number"),
                         F.xxhash64(F.when(same, state["value"]).otherwise(0), entry["term"]).alias("value"),
+                        F.when(same, state["n"] + 1).otherwise(1).alias("n"),
                         F.when(same, state["out"]).otherwise(done(state)).alias("out"))
 
-    return F.when(F.size(entries) == 0, F.array(F.concat(F.lit("all-"), F.lpad(F.lower(F.hex(whole)), 16, "0")))).otherwise(
-        F.aggregate(entries, start, step, done))
+    every = F.array(F.concat(F.lit("all-"), F.lpad(F.lower(F.hex(whole)), 16, "0")))
+    return F.aggregate(entries, start, step, lambda state: F.when(F.size(done(state)) == 0, every).otherwise(done(state)))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """The share of equal hashes among the subsets in which either text has a term."""
-    numbers = lambda c: F.transform(c, lambda x: F.substring_index(x, "-", 1))
-    either = F.size(F.array_union(numbers(a), numbers(b)))
-    return F.when(a == b, 1.0).otherwise(F.size(F.array_intersect(a, b)) / either)
+    """The share of equal hashes among the subsets in which either text has a term, of the kinds that both texts have."""
+    def shared(c: Column, other: Column) -> Column:
+        kind = lambda x: x < str(OWN)
+        return F.transform(F.filter(c, lambda x: F.exists(other, lambda y: kind(x) == kind(y))), lambda x: F.substring_index(x, "-", 1))
+
+    either = F.size(F.array_union(shared(a, b), shared(b, a)))
+    return F.when(a == b, 1.0).when(either == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / either)
 
 
 #: Guests that are broadcast at most: 16 bytes each.
@@ -120,15 +156,17 @@ def fingerprints(docs: DataFrame, terms: DataFrame, key: str = "doc_id",
         F.sha2("edited", 256).alias("edited_sha256"), F.explode(versions).alias("v")).where("v.body is not null")
     found = bodies.select("*", distinct_terms(F.col("v.body")).alias("terms"))
     # The first entry is no term: it carries what is known of the text, once, and keeps texts without terms.
-    about = F.struct("doc_id", "guest", "n_chars", "edited_sha256", F.xxhash64(F.sort_array("terms")).alias("whole"))
+    about = F.struct("doc_id", "guest", "n_chars", "edited_sha256", F.xxhash64(F.sort_array("terms")).alias("whole"), "terms")
     entries = F.concat(F.array(F.struct(F.lit("").alias("term"), about.alias("about"))),
                        F.transform("terms", lambda t: F.struct(t.alias("term"), F.when(t == "", about).alias("about"))))
     rows = found.select("bucket", "seat", "v.version", F.inline(entries)).join(terms, "term").withColumn("number", F.explode("subsets"))
     grouped = rows.groupBy("bucket", "seat", "version").agg(
         F.first("about", ignorenulls=True).alias("about"),
         F.sort_array(F.collect_list(F.when(F.col("number") >= 0, F.struct("number", "term")))).alias("entries"))
-    hashed = grouped.select("bucket", "seat", "version", "about",
-                            subset_hashes(F.col("entries"), F.col("about.whole")).alias("hashes"))
+    kinds = grouped.select("bucket", "seat", "version", both_kinds(F.col("entries"), F.col("about.terms")).alias("entries"),
+                           F.col("about").dropFields("terms").alias("about"), (F.size("about.terms") >= LONG).alias("long"))
+    hashed = kinds.select("bucket", "seat", "version", "about",
+                          subset_hashes(F.col("entries"), F.col("about.whole"), F.col("long")).alias("hashes"))
     turn = Window.partitionBy("bucket").orderBy("seat", "version")
     beside = hashed.select("version", "about", "hashes", F.lead("hashes", 1).over(turn).alias("other"),
                            F.lead("hashes", 2).over(turn).alias("following"))
