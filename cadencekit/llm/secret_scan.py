@@ -89,8 +89,8 @@ def train(docs: DataFrame, most_docs: int = 2000, n_random: int = 2000, smooth:
 
 def scan(docs: DataFrame, model: DataFrame, least_run: int = 16, least_ratio: float = 12.0, text: str = "text",
          name: str = "_spans") -> DataFrame:
-    """All columns of ``docs`` and the array of spans (start, kind, end): the known forms, and the runs of at least
-    ``least_run`` symbols outside them whose log-likelihood ratio is at least ``least_ratio``."""
+    """All columns of ``docs`` and the array of spans (start, kind, end): the known forms, and of the runs of symbols,
+    cut at these, the parts of at least ``least_run`` symbols whose log-likelihood ratio is at least ``least_ratio``."""
     ratios = F.lit([float(x) for x in model.first()["ratios"]])
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     runs = RUN % least_run
@@ -99,9 +99,20 @@ def scan(docs: DataFrame, model: DataFrame, least_run: int = 16, least_ratio: fl
     def random(s: Column) -> Column:
         run = F.substring(body, s["start"] + 1, s["end"] - s["start"])
         score = F.aggregate(_pairs(run), F.lit(0.0), lambda total, pair: total + F.element_at(ratios, pair + 1))
-        free = ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        return free & (score >= least_ratio)
-
+        return score >= least_ratio
+
+    def parts(run: Column) -> Column:
+        """What lies between the base spans, which come by start but may overlap."""
+        part = lambda start, end: F.struct(start.alias("start"), run["kind"].alias("kind"), end.alias("end"), (end - start).alias("size"))
+        over = F.filter("_base", lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+        state = F.struct(run["start"].alias("at"), F.slice("_runs", 1, 0).alias("out"))
+        cut = F.aggregate(over, state, lambda done, b: F.struct(
+            F.greatest(done["at"], b["end"]).alias("at"), F.concat(done["out"], F.array(part(done["at"], b["start"]))).alias("out")))
+        whole = F.concat(cut["out"], F.array(part(cut["at"], run["end"])))
+        return F.when(F.size(over) == 0, F.array(run)).otherwise(F.filter(whole, lambda x: x["size"] >= least_run))
+
+    cut = F.flatten(F.transform("_runs", parts))
+    found = found.withColumn("_runs", F.when(F.size("_runs") > 0, cut).otherwise(F.col("_runs")))
     found = found.withColumn("_more", F.when(F.size("_runs") > 0, F.filter("_runs", random)).otherwise(F.col("_runs")))
     return found.withColumn(name, F.array_sort(F.concat("_base", "_more"))).drop("_base", "_runs", "_more")
 
