@@ -43,15 +43,15 @@ def simhash(text: bytes, width: int = 3, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, key: str = "doc_id",
                  text: str = "text") -> DataFrame:
-    """``doc_id`` and ``fingerprint``, the 64 bits as a long, of every whole text."""
+    """``doc_id``, ``fingerprint``, the 64 bits as a long, and ``text_hash``, also a long, of every whole text."""
     def run(batches):
         for batch in batches:
             prints = [simhash(body, width, seed) for body in binary_column(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.int64())],
-                                             names=["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.int64()), batch.column("text_hash")],
+                                             names=["doc_id", "fingerprint", "text_hash"])
 
     chosen = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, fingerprint long")
+    return chosen.withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, fingerprint long, text_hash long")
 
 
 def _ball(value: Column, bits: int, radius: int) -> Column:
@@ -142,7 +142,7 @@ def spanning_forest(rows: np.ndarray, columns: np.ndarray, most_bits: int) -> np
 def near_duplicates(docs: DataFrame, most_bits: int = 3, width: int = 3, seed: int = 42, key: str = "doc_id",
                     text: str = "text") -> DataFrame:
     """Per row: ``doc_id``, ``fingerprint`` (long) and ``component_id``, the least id it is linked with."""
-    prints = materialise(fingerprints(docs, width, seed, key, text))
+    prints = materialise(fingerprints(docs, width, seed, key, text).drop("text_hash"))
     first = materialise(prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("first")))
     groups = components(hamming_links(first.select("fp"), most_bits))
     least = (groups.join(first, groups["node"] == first["fp"])
@@ -151,3 +151,13 @@ def near_duplicates(docs: DataFrame, most_bits: int = 3, width: int = 3, seed: i
     ids = first.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
     return (prints.join(ids, prints["fingerprint"] == ids["fp"])
             .select("doc_id", "fingerprint", "component_id"))
+
+
+def least_rows(docs: DataFrame, most_bits: int = 3, width: int = 3, seed: int = 42, key: str = "doc_id",
+               text: str = "text") -> DataFrame:
+    """``doc_id`` and ``text_hash`` of one row for each component: the least by id (null last), then hash of the text."""
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    prints = materialise(fingerprints(docs, width, seed, key, text).groupBy(F.col("fingerprint").alias("fp")).agg(F.min(order).alias("first")))
+    groups = components(hamming_links(prints.select("fp"), most_bits))
+    least = prints.join(groups, prints["fp"] == groups["node"], "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("least"))
+    return least.select("least.doc_id", "least.text_hash")

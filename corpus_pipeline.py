@@ -24,10 +24,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each SimHash group; of rows with its id and text one stays."""
-    groups = simhash.near_duplicates(docs)
-    keepers = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(keepers, docs["doc_id"].eqNullSafe(keepers["_id"]), "left_semi")
+    """One row of each SimHash group, that of least id (null last), then of least hash of its text; ids may repeat."""
+    keepers = simhash.least_rows(docs).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    same = docs["doc_id"].cast("long").eqNullSafe(keepers["_id"]) & (F.xxhash64(docs["text"].cast("string")) == keepers["_hash"])
+    kept = docs.join(keepers, same, "left_semi")
     again = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0)))
     return kept.withColumn("_again", again).where("_again = 1").select(*map(_quoted, docs.columns))
 
