@@ -10,6 +10,8 @@ instead of two thirds and shifts with the text.
 2. Where a gram and one side of it are equal but the surroundings are not, the names don't settle the order: the
    remaining windows go into a second sort by their own content, and adjacent entries with the same 50 bytes are compared.
 
+Left out of the classic method: recursion on the names, the merge with the remaining suffixes and the suffix order.
+
 Null texts count as empty, texts shorter than a window keep all bytes.  Rows without a ``doc_id`` take no part: they
 neither lose bytes nor cost others any.  Rows that repeat an id are taken to repeat its text; they don't precede
 each other.  Empty tables give empty results.
