@@ -83,6 +83,8 @@ class WordIds:
         return self._cut(some, ids, ends) if len(ends) == len(some) else self._by_places(some)
 
     def _by_places(self, some: list[tuple[bytes, str]]):
+        if not some:
+            return ()
         found = self.tokenizer.encode(" ".join(text for _, text in some), add_special_tokens=False)
         first = np.cumsum([0] + [len(text) + 1 for _, text in some[:-1]])
         owner = np.searchsorted(first, [start for start, _ in found.offsets], "right")

@@ -199,6 +199,16 @@ def test_packing(docs):
     assert packing.pack(packing.pieces(docs.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("text", ["hello world", "hello", "Größe façade naïve", "12 34!", "...", "a1 b2", " ", "🙂 🙂"])
+def test_packing_of_words_of_one_kind(spark, text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    ids = np.array(Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode(text, add_special_tokens=False).ids + [1], "<u4")
+    (got,) = packing.pieces(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert tuple(got) == (1, 0, 0, len(ids), zlib.crc32(ids.tobytes()))
+
+
 def test_best_two_fit_replaces_the_smallest():
     bins = packing.best_two_fit([6, 3, 2, 2, 2], 10)
     assert sorted(sum(bins, [])) == [0, 1, 2, 3, 4]
