@@ -51,18 +51,26 @@ def test_infinite_and_missing_numbers_are_cut_too(spark, hot):
     assert got == rank
 
 
-def test_no_shared_folder_is_an_error(spark, monkeypatch):
-    class Context:
-        master = "spark://somewhere:7077"
+class Away:
+    """A session of a cluster, as far as the checkpoint folder goes."""
 
-        def getCheckpointDir(self):
-            return None
+    def __init__(self, **settings):
+        self.sparkContext, self.conf, self.folder, self.master = self, settings, None, "spark://somewhere:7077"
 
-    class Session:
-        sparkContext, conf = Context(), spark.conf
+    def getCheckpointDir(self):
+        return self.folder
 
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+
+def test_no_shared_folder_is_an_error():
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        checkpoint_base(Session())
+        checkpoint_base(Away())
+
+
+def test_the_shared_folder_is_taken_from_the_session():
+    assert checkpoint_base(Away(**{"spark.checkpoint.dir": "store://shared/x"})) == "store://shared/x"
 
 
 def test_running_and_frames_match_plain_python(spark, hot):
