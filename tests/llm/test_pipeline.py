@@ -41,4 +41,4 @@ def test_mixing_oracle(spark):
     from cadencekit.llm.queries import ORACLE_SQL, QUERIES
 
     assert differences(QUERIES["op5_mixing"](spark, SF_DIR), connect(SF_DIR), ORACLE_SQL["op5_mixing"]) == []
-    assert duckdb and set(ORACLE_SQL) <= set(QUERIES) and len(QUERIES) == 10
+    assert duckdb and set(ORACLE_SQL) <= set(QUERIES) and len(QUERIES) == 13
