@@ -133,15 +133,16 @@ def forest(leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _doubled(held: DataFrame, distance: int, count: int) -> DataFrame:
     """Segments of twice the length.  At most 2^distance nodes share an ancestor, and few ancestors are left when that
     is many: these go to all tasks."""
-    goes_on = F.col("level") + distance < height(F.col("n"))
     kept = held.where(F.col("level") % (2 * distance) == 0)
     far = held.where(F.col("level") >= distance).select(
         F.col("tree").alias("_tree"), F.col("level").alias("_level"), F.col("index").alias("_index"), F.col("segment").alias("_segment"))
     if (2 * count >> distance) * (DIGEST * distance + 64) <= SMALL_BYTES:
         far = F.broadcast(far)
-    met = (F.col("tree") == F.col("_tree")) & (F.col("level") + distance == F.col("_level")) & (F.shiftright("index", distance) == F.col("_index"))
-    joined = kept.where(goes_on).join(far, met).withColumn("segment", F.concat("segment", "_segment"))
-    return joined.select(*held.columns).unionByName(kept.where(~goes_on))
+    # Nodes that have reached the root meet nothing, each by a number of its own.
+    above = F.when(F.col("level") + distance < height(F.col("n")), F.shiftright("index", distance)).otherwise(-1 - F.col("index"))
+    met = (F.col("tree") == F.col("_tree")) & (F.col("level") + distance == F.col("_level")) & (above == F.col("_index"))
+    joined = kept.join(far, met, "left").withColumn("segment", F.concat("segment", F.coalesce("_segment", F.lit(b""))))
+    return joined.select(*held.columns)
 
 
 def manifest(docs: DataFrame, group: Column, key: Column, digest: Column, extra: dict[str, Column] | None = None) -> DataFrame:
