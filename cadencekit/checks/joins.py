@@ -152,9 +152,22 @@ REQUESTS = FORMATS + """, requests AS (
     p_brand AS device_id FROM lineitem JOIN part ON p_partkey = l_partkey)"""
 
 
+def ranges(spark, d):
+    """Every third format has a second range, which overlaps or follows the first."""
+    first = formats(spark, d).withColumn("pos", F.lit(1))
+    second = first.filter(F.col("format_idx") % 3 == 0).withColumns({
+        "pos": F.col("format_idx") % 2 * 2, "lo": F.col("hi") + F.col("format_idx") % 4 - 1.505, "hi": F.col("hi") + F.col("format_idx") % 7 + 1.509})
+    return first.unionByName(second)
+
+
+RANGES = FORMATS + """, ranges AS (
+  SELECT *, 1 AS pos FROM formats UNION ALL
+  SELECT device_id, format_idx, width, height, pixel_format, hi + format_idx % 4 - 1.505, hi + format_idx % 7 + 1.509, format_idx % 2 * 2
+  FROM formats WHERE format_idx % 3 = 0)"""
+
+
 def matched_formats(spark, d):
-    out = K.match_format(requests(spark, d), formats(spark, d))
-    return out.select("l_orderkey", "l_linenumber", "format_idx", "rate", "chosen_idx", "supported")
+    return K.match_format(requests(spark, d), ranges(spark, d)).drop("device_id")
 
 
 def next_rates(spark, d):
@@ -421,15 +434,16 @@ SELECT event_id, CASE WHEN ok THEN ev_value END AS evidence_fps, CASE WHEN ok TH
     "c4_admitted_pairs": Check(admitted_timing, f"""WITH {ADMITTED_SQL} SELECT event_id, prev_seq, cur_seq,
   round(period, 6) AS period_s, round(ev_fps, 6) AS evidence_fps FROM proven"""),
     "c5_match_format": Check(matched_formats, f"""
-WITH {REQUESTS}, s AS (SELECT r.*, f.width, f.height, r.rate = 0 OR r.rate BETWEEN f.lo - 0.01 AND f.hi + 0.01 AS direct
-  FROM requests r JOIN formats f USING (device_id, format_idx)),
-m AS (SELECT s.l_orderkey, s.l_linenumber, s.format_idx, s.rate, s.direct, min(f.format_idx) AS first_idx
-  FROM s LEFT JOIN formats f ON f.device_id = s.device_id AND f.width = s.width AND f.height = s.height
-    AND s.rate BETWEEN f.lo - 0.01 AND f.hi + 0.01 GROUP BY s.l_orderkey, s.l_linenumber, s.format_idx, s.rate, s.direct, s.device_id),
-x AS (SELECT l_orderkey, l_linenumber, format_idx, rate, count(*) AS copies FROM requests GROUP BY ALL)
-SELECT m.l_orderkey, m.l_linenumber, m.format_idx, m.rate, CASE WHEN direct THEN m.format_idx ELSE coalesce(first_idx, m.format_idx) END AS chosen_idx,
-  direct OR first_idx IS NOT NULL AS supported
-FROM m JOIN x USING (l_orderkey, l_linenumber, format_idx, rate), LATERAL (SELECT unnest(range(x.copies)))"""),
+WITH {REQUESTS.replace(FORMATS, RANGES)}, asked AS (SELECT *, row_number() OVER () AS row FROM requests),
+t AS (SELECT format_idx, device_id, any_value(width) AS width, any_value(height) AS height, max(hi) AS top FROM ranges GROUP BY ALL),
+s AS (SELECT a.*, t.width, t.height, CASE WHEN rate = 0 THEN top ELSE rate END AS aim FROM asked a JOIN t USING (device_id, format_idx)),
+-- The selected format's ranges come before those of the others of its size.
+h AS (SELECT s.*, f.format_idx AS idx, f.lo, f.hi,
+    row_number() OVER (PARTITION BY s.row ORDER BY f.format_idx <> s.format_idx, f.format_idx, f.pos) AS turn
+  FROM s LEFT JOIN ranges f ON f.device_id = s.device_id AND f.width = s.width AND f.height = s.height AND s.aim BETWEEN f.lo - 0.01 AND f.hi + 0.01)
+SELECT l_orderkey, l_linenumber, format_idx, rate, coalesce(idx, format_idx) AS chosen_idx, idx IS NOT NULL AS supported,
+  lo AS chosen_lo, hi AS chosen_hi, CASE WHEN abs(hi - aim) < 0.01 THEN hi WHEN abs(lo - aim) < 0.01 THEN lo WHEN idx IS NOT NULL THEN aim END AS target_rate
+FROM h WHERE turn = 1"""),
     "c6_next_rate": Check(next_rates, f"""
 WITH {REQUESTS} SELECT l_orderkey, l_linenumber, format_idx, CASE WHEN rate > 0 THEN coalesce(
   (SELECT min(lo) FROM formats f WHERE f.device_id = r.device_id AND lo >= r.rate * 1.1 - 0.01),

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from heapq import heappop, heappush
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadencekit.functions.rates import RATE_TOLERANCE, advertised_points, finite_pos
 from cadencekit.operators.asof import asof
-from cadencekit.operators.ordered import Running, join_on, ordered
+from cadencekit.operators.folds import fold
+from cadencekit.operators.ordered import join_on
 
 # Alias pairs, where a fractional and a whole rate name one mode.
 ALIASES = ((29.97, 30.0), (59.94, 60.0))
@@ -21,75 +25,89 @@ SYSTEM_OWNERS = ("com.apple.WindowManager", "com.apple.dock", "com.apple.wallpap
 MIN_WINDOW = (160, 120)
 # Order in which an unavailable mode is replaced.
 MODE_FALLBACK = ("flow", "balanced", "efficient", "quality")
-# Rates are compared in whole microhertz; 62 levels reach as far as these fit in a long: 4.6 terahertz.
-MICRO, LEVELS = 1_000_000, 62
 CELL = 2048.0
 
 
-def _dyadic_cover(lo: Column, hi: Column) -> Column:
-    """Aligned power-of-two blocks that tile the integer range [lo, hi]."""
-    def blocks(level: Column) -> Column:
-        # Shifts: doubles would not hold large rates.
-        first = _shifted(lo + F.call_function("shiftleft", F.lit(1).cast("long"), level) - 1, level)
-        end = _shifted(hi + 1, level)
-        left = F.when((first < end) & (first % 2 == 1), first)
-        right = F.when((first < end) & (end % 2 == 1), end - 1)
-        return F.transform(F.array_distinct(F.array_compact(F.array(left, right))),
-                           lambda b: F.struct(level.alias("level"), b.alias("block")))
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), blocks))
-
-
-def _dyadic_path(x: Column) -> Column:
-    """Every block that contains the integer ``x``."""
-    return F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda level: F.struct(
-        level.alias("level"),
-        _shifted(x, level).alias("block")))
+class Sweep:
+    """Walks the ends of ranges in order and holds the open ones: from each end on, the open range that is first by format and
+    position, until the next end."""
+
+    CLOSE = 1
+
+    def __init__(self, kinds: dict[str, str], tol: float) -> None:
+        self.tol = tol
+        self.columns = {"_n": "bigint", "_from": "double", "_idx": kinds["format_idx"], "_lo": "double", "_hi": "double"}
+
+    def __call__(self, pdf: pd.DataFrame, state: object) -> tuple[dict[str, list], object]:
+        n, ranges = state or (0, [])
+        out: dict[str, list] = {name: [] for name in self.columns}
+        for at, kind, idx, pos, lo, hi in zip(*(pdf[c].tolist() for c in ("_x", "_kind", "format_idx", "_pos", "lo", "hi")), strict=True):
+            if kind == self.CLOSE:
+                at = math.nextafter(at, math.inf)
+            else:
+                heappush(ranges, [idx, pos, lo, hi])
+            while ranges and ranges[0][3] + self.tol < at:
+                heappop(ranges)
+            n += 1
+            idx, _, lo, hi = ranges[0] if ranges else (None,) * 4
+            for name, value in zip(out, (n, at, idx, lo, hi), strict=True):
+                out[name].append(value)
+        return out, [n, ranges]
+
+
+def range_pieces(formats: DataFrame, keys: Sequence[str], tol: float = RATE_TOLERANCE) -> DataFrame:
+    """The ranges of each size (keys, ``width``, ``height``) cut at their ends into disjoint pieces: rows with the rate ``_from``
+    which on the range of ``_idx``, ``_lo``, ``_hi`` is the first of those that hold it, in the order ``_n``; null in gaps."""
+    ends = F.explode(F.array(F.struct((F.col("lo") - tol).cast("double").alias("x"), F.lit(0).alias("kind")),
+                             F.struct((F.col("hi") + tol).cast("double").alias("x"), F.lit(Sweep.CLOSE).alias("kind"))))
+    size = [*keys, "width", "height"]
+    ranges = formats.filter((F.col("lo") - tol <= F.col("hi") + tol) & ~F.isnan("hi"))
+    events = ranges.withColumn("_e", ends).select(
+        *size, F.col("_e.x").alias("_x"), F.col("_e.kind").alias("_kind"), "format_idx", _position(formats).alias("_pos"),
+        F.col("lo").cast("double").alias("lo"), F.col("hi").cast("double").alias("hi"))
+    sweep = Sweep(dict(formats.dtypes), tol)
+    return fold(events, size, ["_x", "_kind", "format_idx", "_pos"], sweep, sweep.columns)
 
 
-def _shifted(x: Column, level: Column) -> Column:
-    return F.call_function("shiftright", x, level)
+def _position(formats: DataFrame) -> Column:
+    return (F.col("pos") if "pos" in formats.columns else F.lit(0)).cast("long")
 
 
 def match_format(requests: DataFrame, formats: DataFrame, keys: Sequence[str] = ("device_id",),
                  tol: float = RATE_TOLERANCE) -> DataFrame:
-    """Format that serves each request: the selected one, else the first of its size, else itself.
+    """Format that serves each request: the selected one, else the first of its size, else itself; with its range and rate.
+
+    ``requests``: keys, ``rate`` (0 = the selected format's highest), ``format_idx`` (selected).  ``formats``: keys,
+    ``format_idx``, ``width``, ``height``, ``lo``, ``hi`` (one row per range, in the order ``pos`` if there is such a
+    column).  Adds ``chosen_idx``, ``supported``, ``chosen_lo``, ``chosen_hi`` (the chosen format's first range that holds the
+    rate) and ``target_rate``: the range's end where the rate is within ``tol`` of it, else the rate.
 
-    ``requests``: keys, ``rate`` (0 = any), ``format_idx`` (selected).  ``formats``: keys,
-    ``format_idx``, ``width``, ``height``, ``lo``, ``hi`` (one row per range).  Ranges are tiled
-    with dyadic blocks, so "first range that holds this rate" is an equi join and a minimum, and
-    repeated ranges or requests are merged before it.
+    A format's own ranges are one record.  The ranges of a size are swept once into disjoint pieces, among which each
+    distinct rate that its own format does not serve is one as-of row; requests themselves are only joined.
     """
-    size = [*keys, "width", "height"]
-    micro = F.round(F.col("rate") * MICRO).cast("long")
-    lo = F.greatest(F.round((F.col("lo") - tol) * MICRO).cast("long"), F.lit(0))
-    hi = F.least(F.round((F.col("hi") + tol) * MICRO).cast("long"), F.lit((1 << LEVELS) - 1))
-    blocks = (
-        formats.groupBy(*size, lo.alias("_lo"), hi.alias("_hi")).agg(F.min("format_idx").alias("_idx"))
-        .withColumn("_b", F.explode(_dyadic_cover(F.col("_lo"), F.col("_hi"))))
-        .select(*size, "_idx", F.col("_b.level").alias("_level"), F.col("_b.block").alias("_block"))
-    )
-    firsts = blocks.groupBy(*size, "_level", "_block").agg(F.min("_idx").alias("_idx"))
-    exact = [*keys, "format_idx"]
-    own = formats.select(*size, "format_idx").distinct()
-    asked = join_on(requests.withColumn("_rate", micro), own, exact)
-    # The selected format holds the rate if any of its ranges from below reaches that far.
-    reach = ordered(formats.select(*exact, lo.alias("_lo"), hi.alias("_hi")).distinct(), exact, ["_lo", "_hi"])
-    reach = reach.running(_reach=Running("max", F.col("_hi"))).done()
-    asked = asof(asked, reach, exact, "_rate", "_lo", ["_reach"], tie="_hi", prefix="_own")
-    direct = (F.col("_rate") == 0) | (F.col("_rate") <= F.col("_own_reach"))
-    asked = asked.withColumn("_direct", F.coalesce(direct, F.lit(False))).drop("_own_reach", "_owntime")
-    probes = (
-        asked.filter(~F.col("_direct")).select(*size, "_rate").distinct()
-        .withColumn("_b", F.explode(_dyadic_path(F.col("_rate"))))
-        .select(*size, "_rate", F.col("_b.level").alias("_level"), F.col("_b.block").alias("_block"))
-    )
-    first = (join_on(probes, firsts, [*size, "_level", "_block"], "inner")
-             .groupBy(*size, "_rate").agg(F.min("_idx").alias("_first")))
-    out = join_on(asked, first, [*size, "_rate"])
-    chosen = F.when(F.col("_direct"), F.col("format_idx")).otherwise(F.coalesce("_first", "format_idx"))
-    supported = F.col("_direct") | F.col("_first").isNotNull()
-    return (out.withColumn("chosen_idx", chosen).withColumn("supported", supported)
-            .select(*requests.columns, "chosen_idx", "supported"))
+    position = _position(formats)
+    lo, hi = F.col("lo").cast("double"), F.col("hi").cast("double")
+    holds = (F.col("lo") - tol <= F.col("hi") + tol) & ~F.isnan("hi")
+    records = formats.groupBy(*keys, "format_idx").agg(
+        F.first("width").cast("long").alias("_w"), F.first("height").cast("long").alias("_h"), F.max(F.when(holds, hi)).alias("_top"),
+        F.array_sort(F.collect_list(F.when(holds, F.struct(position.alias("pos"), lo.alias("lo"), hi.alias("hi"))))).alias("_ranges"))
+    rate = F.col("rate").cast("double")
+    asked = join_on(requests, records, [*keys, "format_idx"])
+    asked = asked.withColumn("_aim", F.when(rate == 0, F.col("_top")).otherwise(rate))
+    asked = asked.withColumn("_own", F.get(F.filter("_ranges", lambda r: F.col("_aim").between(r["lo"] - tol, r["hi"] + tol)), F.lit(0)))
+    open_rate = F.col("_own").isNull() & ~F.isnan("_aim") & (F.abs("_aim") < float("inf"))
+    asked = asked.withColumn("_missed", F.when(open_rate, F.col("_aim"))).drop("_ranges", "_top")
+    pieces = range_pieces(formats, keys, tol).select(
+        *keys, F.col("width").cast("long").alias("_w"), F.col("height").cast("long").alias("_h"), "_from", "_n", "_idx", "_lo", "_hi")
+    size = [*keys, "_w", "_h"]
+    probes = asked.filter("_missed is not null").select(*size, "_missed").distinct()
+    met = asof(probes, pieces, size, "_missed", "_from", ["_idx", "_lo", "_hi"], tie="_n", prefix="_size").drop("_sizetime")
+    found = join_on(asked, met.filter("_size_idx is not null"), [*size, "_missed"])
+    lo, hi, aim = F.coalesce("_own.lo", "_size_lo"), F.coalesce("_own.hi", "_size_hi"), F.col("_aim")
+    target = F.when(F.abs(hi - aim) < tol, hi).when(F.abs(lo - aim) < tol, lo).when(lo.isNotNull(), aim)
+    chosen = F.when(F.col("_own").isNull(), F.col("_size_idx"))
+    return found.select(*requests.columns, F.coalesce(chosen, "format_idx").alias("chosen_idx"),
+                        lo.isNotNull().alias("supported"), lo.alias("chosen_lo"), hi.alias("chosen_hi"), target.alias("target_rate"))
 
 
 def next_rate(requests: DataFrame, rates: DataFrame, keys: Sequence[str], content: str = "content_fps",
