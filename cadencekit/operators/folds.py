@@ -5,8 +5,8 @@ task then reads them in Arrow batches and keeps only the state of the current st
 is ever held in memory.  A stream above the row limit is cut (see ``ordered``): every piece first
 runs from the empty state at the same time, and only pieces whose true incoming state differs from
 the one they used run again.  The result is exact once no incoming state changes, because the first
-piece is always right.  The machines in this library forget (they reset, or keep a bounded
-history), so this takes two or three rounds; one that never forgets needs as many as pieces.
+piece is always right.  States are compared exactly.  Most machines in this library forget (they reset, or keep a bounded
+history), so this takes two or three rounds; one that does not has a way ``across`` pieces of its own (see ``scans``).
 """
 
 from __future__ import annotations
@@ -34,30 +34,22 @@ Step = Callable[[pd.DataFrame, object], tuple[dict[str, list], object]]
 GROUP = "_group"
 
 
-def _canonical(value: object) -> object:
-    """State with floats rounded to 12 significant digits, for comparing two states."""
-    if isinstance(value, float):
-        return float(f"{value:.12g}")
-    if isinstance(value, dict):
-        return {k: _canonical(v) for k, v in value.items()}
-    if isinstance(value, (list, tuple)):
-        return [_canonical(v) for v in value]
-    return value
-
-
 def fold(df: DataFrame, keys: Sequence[str], by: Sequence[str], step: Step,
          columns: dict[str, str], limit: int | None = None) -> DataFrame:
     """Add ``columns`` (name -> DDL type) computed by ``step`` in stream order."""
     stream = ordered(df, keys, by, limit)
     if not stream.cut:
-        return _emit(stream.df, list(keys), list(by), step, columns)
+        return emit(stream.df, list(keys), list(by), step, columns)
     pinned = replace(stream, df=materialise(stream.df))
-    with_state = join_on(pinned.df, _settle(pinned, step), pinned.part)
-    out = _emit(with_state, pinned.part, list(by), step, columns).drop(CUT)
-    return out.unionByName(_emit(pinned.calm.df, list(keys), list(by), step, columns))
+    if hasattr(step, "across"):
+        out = step.across(pinned)
+    else:
+        with_state = join_on(pinned.df, _settle(pinned, step), pinned.part)
+        out = emit(with_state, pinned.part, list(by), step, columns).drop(CUT)
+    return out.unionByName(emit(pinned.calm.df, list(keys), list(by), step, columns))
 
 
-def _in_order(df: DataFrame, group: Sequence[str], by: Sequence[str]) -> DataFrame:
+def in_order(df: DataFrame, group: Sequence[str], by: Sequence[str]) -> DataFrame:
     """Rows clustered by group and sorted, with the group as one text column."""
     # An explicit number keeps small inputs on all cores: the work per row is in Python.
     number = sized_partitions(df)
@@ -82,7 +74,7 @@ def _segments(batches: Iterator[pa.RecordBatch], step: Step, has_state: bool):
             yield batch, group, start, end, part, state
 
 
-def _emit(df: DataFrame, group: list[str], by: list[str], step: Step,
+def emit(df: DataFrame, group: list[str], by: list[str], step: Step,
           columns: dict[str, str]) -> DataFrame:
     has_state = "_in" in df.columns
     added = T.StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in columns.items()))
@@ -97,7 +89,7 @@ def _emit(df: DataFrame, group: list[str], by: list[str], step: Step,
             arrays = [whole.column(n) for n in names] + [pa.array(part[n], kinds[n]) for n in kinds]
             yield pa.RecordBatch.from_arrays(arrays, names=[*names, *kinds])
 
-    return _in_order(df, group, by).mapInArrow(run, schema)
+    return in_order(df, group, by).mapInArrow(run, schema)
 
 
 def _joined(segments):
@@ -116,10 +108,9 @@ def _joined(segments):
         yield held
 
 
-def _settle(stream: Ordered, step: Step) -> DataFrame:
-    """Incoming state of every piece, iterated until it no longer changes."""
+def piece_states(stream: Ordered, step: Step, todo: DataFrame) -> DataFrame:
+    """State after each piece of ``todo`` (its part, and the state before it as ``_in``), as JSON in ``_out``."""
     part, by = stream.part, list(stream.by)
-    schema = T.StructType([*[T.StructField(n, T.StringType()) for n in (GROUP, "_out", "_same")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -130,26 +121,28 @@ def _settle(stream: Ordered, step: Step) -> DataFrame:
         if last is not None:
             yield _state_row(last)
 
-    def run_pieces(todo: DataFrame) -> DataFrame:
-        rows = join_on(stream.df, todo.select(*part, "_in"), part, "inner")
-        states = _in_order(rows, part, by).mapInArrow(run, schema)
-        keyed = todo.select(*part).withColumn(GROUP, F.to_json(F.struct(*part)))
-        return keyed.join(states, GROUP).drop(GROUP)
+    rows = join_on(stream.df, todo.select(*part, "_in"), part, "inner")
+    states = in_order(rows, part, by).mapInArrow(run, f"{GROUP} string, _out string")
+    keyed = todo.select(*part).withColumn(GROUP, F.to_json(F.struct(*part)))
+    return keyed.join(states, GROUP).drop(GROUP)
 
+
+def _settle(stream: Ordered, step: Step) -> DataFrame:
+    """Incoming state of every piece, iterated until it no longer changes."""
+    part = stream.part
     cell_order = Window.partitionBy(*stream.keys).orderBy(CUT)
     cells = stream.df.select(*part).distinct()
     empty = F.lit(None).cast("string")
-    used = materialise(cells.withColumn("_in", empty).withColumn("_key", empty))
+    used = materialise(cells.withColumn("_in", empty))
     states, todo = None, used
     while True:
-        fresh = run_pieces(todo)
+        fresh = piece_states(stream, step, todo)
         if states is not None:
             fresh = join_on(states, todo.select(*part), part, "left_anti").unionByName(fresh)
         states = materialise(fresh)
-        incoming = states.select(
-            *part, F.lag("_out").over(cell_order).alias("_in"), F.lag("_same").over(cell_order).alias("_key"))
-        was = used.select(*part, F.col("_key").alias("_was"))
-        changed = join_on(incoming, was, part).filter(~F.col("_key").eqNullSafe(F.col("_was")))
+        incoming = states.select(*part, F.lag("_out").over(cell_order).alias("_in"))
+        was = used.select(*part, F.col("_in").alias("_was"))
+        changed = join_on(incoming, was, part).filter(~F.col("_in").eqNullSafe(F.col("_was")))
         todo = materialise(changed.drop("_was"))
         if todo.isEmpty():
             return used.select(*part, "_in")
@@ -158,5 +151,4 @@ def _settle(stream: Ordered, step: Step) -> DataFrame:
 
 def _state_row(last: tuple[str, object]) -> pa.RecordBatch:
     group, state = last
-    values = (group, json.dumps(state), json.dumps(_canonical(state)))
-    return pa.RecordBatch.from_arrays([pa.array([v], pa.string()) for v in values], names=[GROUP, "_out", "_same"])
+    return pa.RecordBatch.from_arrays([pa.array([v], pa.string()) for v in (group, json.dumps(state))], names=[GROUP, "_out"])
