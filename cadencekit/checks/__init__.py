@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from cadencekit.checks.base import Check
 
-MODULES = ("streams", "scalars", "joins", "reports", "controls", "live")
+MODULES = ("streams", "scalars", "joins", "reports", "controls", "live", "sinks")
 
 
 def registry() -> dict[str, Check]:

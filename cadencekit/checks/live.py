@@ -93,6 +93,13 @@ def live_epochs(spark, d):
     return drained(spark, d, S.epochs_stream(live_samples(spark, d), KEYS, BY)).select("event_id", "cut_epoch")
 
 
+def live_sessions(spark, d):
+    ev, delay, flush = ended_events(spark, d)
+    out = drained(spark, d, S.session_epochs_stream(ev, KEYS, "at", "1 day", delay), flush)
+    since = lambda c: (F.unix_micros(c) - LOG_START_US)
+    return out.filter("stream_id >= 0").select("stream_id", since("first").alias("first_us"), since("last").alias("last_us"), "n_rows")
+
+
 def live_changes(spark, d):
     out = drained(spark, d, S.change_stream(live_samples(spark, d), KEYS, BY, content="content", near="near"))
     return out.select("event_id", "changed", "changed_exact")
@@ -125,6 +132,18 @@ def live_buffer(spark, d):
     return out.groupBy("stream_id").agg(F.sum(F.size("evicted")).alias("n_evicted"), F.sum(F.size("drained")).alias("n_drained"))
 
 
+def live_deadline(spark, d):
+    """Every row is a stop: once the log is over, what is still pending has met its deadline."""
+    ev, delay, flush = ended_events(spark, d)
+    pull = F.when(F.col("event_type") == "error", F.col("k") % 5)
+    ev = ev.select(
+        "stream_id", "us", "event_id", "at", F.col("event_id").alias("packet_no"), F.col("us").alias("pts_ns"),
+        (F.col("value") * 1_000_000_000).cast("long").alias("duration_ns"), pull.cast("int").alias("pull"), F.unix_millis("at").alias("stop_ms"))
+    out = drained(spark, d, S.buffer_stream(ev, KEYS, BY, "at", delay, DrainedBuffer(5 * DAY_MS * 1000, 8)), flush)
+    size = lambda event, names: F.coalesce(F.sum(F.when(F.col("event") == event, F.size(names))), F.lit(0))
+    return out.filter("stream_id >= 0").groupBy("stream_id").agg(size("media", "drained").alias("n_drained"), size("deadline", "evicted").alias("n_dropped"))
+
+
 def live_ttl(spark, d):
     """All states of purchases that last a day."""
     ev, delay, flush = ended_events(spark, d)
@@ -167,6 +186,10 @@ WITH {CADENCE_SQL} SELECT event_id, CASE WHEN state_reason IS NULL THEN 'estimat
   round(CASE WHEN warm AND strict_ok THEN (len(times) - 1) * 1e9 / (times[-1] - times[1]) END, 6) AS strict_fps,
   warm AND strict_ok AND repeats >= 2 AND repeats >= comparisons * 0.5 AS repeat_proof FROM states"""),
     "t3_epoch_stream": Check(live_epochs, streams.CHECKS["w4_epochs"].sql),
+    "t3_session_stream": Check(live_sessions, f"""
+WITH {EVENTS_SQL}, g AS (SELECT *, coalesce(us - lag(us) OVER ({W}) >= {DAY_MS * 1000}, TRUE) AS opens FROM ev),
+n AS (SELECT *, count(*) FILTER (WHERE opens) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS number FROM g)
+SELECT stream_id, min(us) AS first_us, max(us) AS last_us, count(*) AS n_rows FROM n GROUP BY stream_id, number"""),
     "t4_change_stream": Check(live_changes, f"""
 WITH {SAMPLES_SQL} SELECT event_id, near <> lag(near) OVER ({W}) AS changed, content <> lag(content) OVER ({W}) AS changed_exact FROM samples"""),
     "t5_latest_stream": Check(live_latest, f"WITH {EVENTS_SQL} SELECT stream_id, arg_max(event_id, us) AS event_id, count(*) AS n_seen FROM ev GROUP BY 1"),
@@ -181,6 +204,10 @@ SELECT event_id, late, count(*) FILTER (WHERE late) OVER ({W} ROWS BETWEEN UNBOU
     "t8_buffer_stream": Check(live_buffer, f"""
 SELECT e.user_id AS stream_id, CAST(sum(n_evicted) AS BIGINT) AS n_evicted, CAST(sum(n_drained) AS BIGINT) AS n_drained
 FROM ({controls.CHECKS['w12_buffer_with_drain'].sql}) b JOIN events e USING (event_id) GROUP BY 1 HAVING sum(n_evicted) + sum(n_drained) > 0"""),
+    "t8_stop_deadline": Check(live_deadline, f"""
+SELECT e.user_id AS stream_id, CAST(sum(n_drained) AS BIGINT) AS n_drained, arg_max(pending, (epoch_us(ts), event_id)) AS n_dropped
+FROM ({controls.CHECKS['w12_buffer_with_drain'].sql}) b JOIN events e USING (event_id) GROUP BY 1
+HAVING sum(n_evicted) + sum(n_drained) + arg_max(pending, (epoch_us(ts), event_id)) > 0"""),
     "t9_ttl_stream": Check(live_ttl, f"""
 WITH p AS (SELECT user_id AS stream_id, epoch_us(ts) AS at_us, value,
   lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS then_us FROM events WHERE event_type = 'purchase')

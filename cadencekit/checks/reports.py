@@ -10,7 +10,7 @@ from cadencekit.checks.streams import W
 from cadencekit.operators import buffers as B
 from cadencekit.operators import catalog as K
 from cadencekit.operators import quality as Q
-from cadencekit.operators.ordered import ordered
+from cadencekit.operators.ordered import join_on, ordered
 from cadencekit.sources import sinks, tables
 from cadencekit.sources.schema import SETTING_DEFAULTS
 
@@ -53,6 +53,16 @@ def diagnostics_records(spark, d):
                       F.get_json_object("value", "$.ratio").cast("double").alias("ratio"))
 
 
+def sketched(spark, d):
+    """The sketch of each stream, and of all rows as one stream, held against its stated error."""
+    df = events(spark, d).withColumn("epoch", F.floor(F.col("us") / (5 * DAY_US))).withColumn("seq", F.col("us"))
+    df = df.withColumn("stream_id", F.explode(F.array("stream_id", F.lit(-1).cast("long"))))
+    exact = df.groupBy("stream_id").agg(F.count_distinct("epoch", "seq").alias("presented"))
+    found = join_on(exact, Q.presented_sketch(df, ["stream_id"], "epoch"), ["stream_id"])
+    error = F.abs(F.col("estimate") - F.col("presented"))
+    return found.select("stream_id", "presented", (error <= 4 * 0.0163 * F.col("presented")).alias("within"))
+
+
 def delivery(spark, d):
     df = events(spark, d).select(
         "stream_id", F.when(F.col("event_type").isin("click", "view"), "complete").when(F.col("event_type") == "error", "idle")
@@ -304,6 +314,9 @@ SELECT l_orderkey, endpoints, generated, CASE WHEN endpoints = 0 THEN 'no_endpoi
 WITH {EVENTS_SQL}, s AS (SELECT *, us // {DAY_US} + k % 3 AS seq FROM ev),
 t AS (SELECT *, max(seq) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM s)
 SELECT stream_id, count(*) FILTER (WHERE top IS NULL OR seq > top) AS presented, count(*) FILTER (WHERE seq <= top) AS repeats FROM t GROUP BY 1"""),
+    "d12_presented_sketch": Check(sketched, f"""
+WITH {EVENTS_SQL}, e AS (SELECT unnest([stream_id, -1]) AS stream_id, us FROM ev)
+SELECT stream_id, count(DISTINCT us) AS presented, TRUE AS within FROM e GROUP BY 1"""),
     "d13_acceptance": Check(acceptance_verdicts, f"""
 WITH {EVENTS_SQL}, i AS (SELECT *, (us - lag(us) OVER ({W})) / 1e6 AS iv, us // {5 * DAY_US} AS win, event_type IN ('click', 'view', 'error') AS made FROM ev),
 r AS (SELECT *, row_number() OVER (PARTITION BY stream_id, win ORDER BY iv) - 1 AS r, count(iv) OVER (PARTITION BY stream_id, win) AS n FROM i),

@@ -118,7 +118,20 @@ def embedding_mix(spark, sf_dir):
     return df.select("vec_id", "phase", F.transform(blended, r6).alias("blend"))
 
 
+def ramps(spark, d):
+    """Ramps up, down and of no width to speak of, over the line items' prices."""
+    x = F.col("l_extendedprice") / 1000
+    return table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", r6(values.smoothstep(10, 60, x)).alias("up"), r6(values.smoothstep(0.06, 0.02, "l_discount")).alias("down"),
+        r6(values.smoothstep(24.99, 25.01, "l_quantity")).alias("steep"))
+
+
 CHECKS = {
+    "f2_smoothstep": Check(ramps, """
+WITH u AS (SELECT l_orderkey, l_linenumber, least(1.0, greatest(0.0, (l_extendedprice / 1000 - 10) / 50.0::DOUBLE)) AS a,
+  least(1.0, greatest(0.0, (l_discount - 0.06::DOUBLE) / (0.02::DOUBLE - 0.06::DOUBLE))) AS b,
+  least(1.0, greatest(0.0, (l_quantity - 24.99::DOUBLE) / (25.01::DOUBLE - 24.99::DOUBLE))) AS c FROM lineitem)
+SELECT l_orderkey, l_linenumber, round(a * a * (3 - 2 * a), 6) AS up, round(b * b * (3 - 2 * b), 6) AS down, round(c * c * (3 - 2 * c), 6) AS steep FROM u"""),
     "a2_rational_time": Check(rational_times, """
 SELECT o_orderkey, CASE WHEN s > 0 THEN o_orderkey // s * 1000000000
   + CAST(round(o_orderkey % s * 1e9 / s) AS BIGINT) END AS pts_ns

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cadencekit.checks.base import EVENTS_SQL, SAMPLES_SQL, Check, event_stream, r6, samples
 from cadencekit.operators import continuity as C
 from cadencekit.operators import rates as R
+from cadencekit.operators.payload import compared_attrs
 from cadencekit.plans.cadence import cadence
 
 W = "PARTITION BY stream_id ORDER BY us, event_id"
@@ -194,7 +195,19 @@ def reason_histogram(spark, sf_dir):
     return s.groupBy(F.coalesce("state_reason", F.lit("estimated")).alias("reason")).count()
 
 
+def attribute_changes(spark, d):
+    """Attributes of each event against those of the one before: one that matters may be missing or null, others don't count."""
+    known = F.create_map(F.lit("matrix"), F.when(F.col("k") % 5 != 1, F.col("event_type")), F.lit("orientation"), (F.col("k") % 2).cast("string"),
+                         F.lit("comment"), F.col("event_id").cast("string"))
+    attrs = F.when(F.col("k") % 5 == 0, F.map_filter(known, lambda name, _: name != "matrix")).otherwise(known)
+    s = event_stream(spark, d).withColumn("now", compared_attrs(attrs)).previous(before=F.col("now"))
+    return s.done().select("event_id", (F.col("now") == F.col("before")).alias("same"))
+
+
 CHECKS = {
+    "f5_attribute_equality": Check(attribute_changes, f"""
+WITH {EVENTS_SQL}, a AS (SELECT *, CASE WHEN k % 5 > 1 THEN event_type END AS matrix, k % 2 AS turned FROM ev)
+SELECT event_id, CASE WHEN row_number() OVER ({W}) > 1 THEN matrix IS NOT DISTINCT FROM lag(matrix) OVER ({W}) AND turned = lag(turned) OVER ({W}) END AS same FROM a"""),
     "content_rate_per_stream": Check(content_rate_per_stream, f"""
 WITH {EVENTS_SQL}, flagged AS (
   SELECT *, lag(event_type) OVER ({W}) AS p FROM ev)

@@ -9,10 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cadencekit.sources.publish import iso_date, publish_batches
 
-def diagnostics(df: DataFrame, tick: str = "tick", active: str = "active", every: int = 5) -> DataFrame:
-    """One JSON record per active stream on every ``every``-th tick; non-finite numbers become 0."""
+def diagnostics(df: DataFrame, tick: str = "tick", active: str = "active", every: int = 5, at: str | None = None) -> DataFrame:
+    """One JSON record per active stream on every ``every``-th tick; non-finite numbers become 0.  The instant ``at``, if
+    there is one, is written as the ISO text ``date``."""
     due = df.filter(F.col(active) & (F.col(tick) % every == 0))
+    if at is not None:
+        due = due.withColumn("date", iso_date(F.col(at))).drop(at)
     safe = []
     for field in sorted(due.schema.fields, key=lambda f: f.name):
         column = F.col(field.name)
@@ -28,6 +32,12 @@ def write_diagnostics(df: DataFrame, path: str, every: int = 5, tick: str = "tic
     diagnostics(df, tick, active, every).write.mode("append").text(path)
 
 
+def stream_diagnostics(stream: DataFrame, path: str, checkpoint: str, writer: str = "diagnostics", **options):
+    """Diagnostics of a stream, published once for each micro-batch; returns the stream's writer, not yet started."""
+    publish_each = publish_batches(path, writer, lambda batch: diagnostics(batch, **options))
+    return stream.writeStream.foreachBatch(publish_each).option("checkpointLocation", checkpoint)
+
+
 def _files(df: DataFrame, path: str):
     session = df.sparkSession
     jvm, conf = session._jvm, session._jsparkSession.sessionState().newHadoopConf()

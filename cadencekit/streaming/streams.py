@@ -107,6 +107,18 @@ def epochs_stream(stream: DataFrame, keys: Sequence[str], by: Sequence[str], **o
     return step_stream(stream, keys, by, Epochs(**options))
 
 
+def session_epochs_stream(stream: DataFrame, keys: Sequence[str], time: str, gap: str, delay: str) -> DataFrame:
+    """Epochs by gaps alone, as session windows that merge while rows come in any order within ``delay``: one row for each
+    epoch when the watermark has passed it.  A row exactly ``gap`` after the last one opens a new epoch.
+
+    This is the approximate form of ``epochs_stream``: sizes and intervals that are too short don't count.  Its state is
+    one window for each open epoch.
+    """
+    session = F.session_window(time, gap).alias("session")
+    return (stream.withWatermark(time, delay).groupBy(*keys, session)
+            .agg(F.count(F.lit(1)).alias("n_rows"), F.min(time).alias("first"), F.max(time).alias("last")))
+
+
 def change_stream(stream: DataFrame, keys: Sequence[str], by: Sequence[str], **options) -> DataFrame:
     return step_stream(stream, keys, by, Changes(**options))
 
