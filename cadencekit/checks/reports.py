@@ -112,6 +112,10 @@ def acceptance_tails(spark, d):
     return Q.acceptance_p95(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_quantity")
 
 
+def selected_tails(spark, d):
+    return Q.selected_tails(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice")
+
+
 def nested_formats(spark, d):
     """Each part as one format with one or two rate ranges."""
     one = F.struct("lo", "hi")
@@ -290,6 +294,12 @@ SELECT event_id, coalesce(v[CAST(floor((len(v) - 1) * 0.95::DOUBLE) AS INT) + 1]
 WITH r AS (SELECT l_returnflag, l_linestatus, l_quantity AS v, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY l_returnflag, l_linestatus) AS n
   FROM lineitem WINDOW w AS (PARTITION BY l_returnflag, l_linestatus ORDER BY l_quantity))
 SELECT l_returnflag, l_linestatus, v AS p95, n FROM r WHERE i = ceil(n * 0.95::DOUBLE) - 1"""),
+    "d4_selected_tails": Check(selected_tails, """
+WITH r AS (SELECT l_returnflag, l_linestatus, l_extendedprice AS v, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY l_returnflag, l_linestatus) AS n
+  FROM lineitem WHERE l_extendedprice IS NOT NULL WINDOW w AS (PARTITION BY l_returnflag, l_linestatus ORDER BY l_extendedprice))
+SELECT l_returnflag, l_linestatus, n, max(v) FILTER (WHERE i = least(n - 1, floor(n * 0.95::DOUBLE))) AS p95_floor_n,
+  max(v) FILTER (WHERE i = floor((n - 1) * 0.95::DOUBLE)) AS p95_floor_n_minus_1, max(v) FILTER (WHERE i = ceil(n * 0.95::DOUBLE) - 1) AS p95_ceil_n_minus_1
+FROM r GROUP BY ALL"""),
     "d8_format_catalogue": Check(catalogue, f"""
 WITH {FORMATS}, f AS (SELECT *, CASE WHEN format_idx % 3 = 0 THEN hi * 2 ELSE hi END AS top, CASE WHEN format_idx % 3 = 0 THEN 2 ELSE 1 END AS nr,
   pixel_format = '420v' AS nv FROM formats)

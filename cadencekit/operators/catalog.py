@@ -25,7 +25,6 @@ SYSTEM_OWNERS = ("com.apple.WindowManager", "com.apple.dock", "com.apple.wallpap
 MIN_WINDOW = (160, 120)
 # Order in which an unavailable mode is replaced.
 MODE_FALLBACK = ("flow", "balanced", "efficient", "quality")
-CELL = 2048.0
 
 
 class Sweep:
@@ -123,31 +122,60 @@ def next_rate(requests: DataFrame, rates: DataFrame, keys: Sequence[str], conten
     return out.withColumn("target_rate", pick).drop("_floor", "_up_time", "_top")
 
 
+def _level(width: Column, height: Column) -> Column:
+    """The grid whose cells, ``2^level`` wide, are just as large as the rectangle: it touches two of them each way."""
+    return F.ceil(F.log2(F.greatest(width, height))).cast("int")
+
+
+def grid_cells(rects: DataFrame, levels: Column) -> DataFrame:
+    """A row for each cell of each of the grids ``levels`` (structs with a ``level``) that a rectangle touches: ``_at``,
+    ``_cx``, ``_cy``.  At the rectangle's own level and above that is at most four cells a level, whatever its size."""
+    def cells(lo: str, length: str) -> Column:
+        size = F.pow(F.lit(2.0), F.col("_at.level"))
+        return F.explode(F.sequence(F.floor(F.col(lo) / size), F.floor((F.col(lo) + F.col(length)) / size)))
+
+    return rects.withColumn("_at", F.explode(levels)).withColumn("_cx", cells("x", "w")).withColumn("_cy", cells("y", "h"))
+
+
+def _at_levels(levels: Sequence[int], keep, tag: int) -> Column:
+    """The grids among ``levels`` that ``keep`` picks, as structs for ``grid_cells``."""
+    every = F.array(*map(F.lit, levels)).cast("array<int>")
+    return F.transform(F.filter(every, keep), lambda x: F.struct(x.alias("level"), F.lit(tag).alias("tag")))
+
+
 def largest_overlap(windows: DataFrame, displays: DataFrame, keys: Sequence[str] = (),
                     window_id: str = "window_id") -> DataFrame:
     """Display with the largest common area for each window; null without any.
 
-    A tie goes to the display that holds the window's centre, then to the lower display id.  Both
-    sides meet only in shared grid cells, once per pair.
+    A tie goes to the display that holds the window's centre, then to the lower display id.  Sizes and places are finite.
+
+    Rectangles of any size meet in a quadtree: each lies in at most four cells of its own level, and a pair meets in the
+    larger one's cells, once.  The smaller ones are dealt to the levels that the other table has; these are
+    counted first, at most one for each binary exponent.
     """
-    def cells(lo: Column, length: Column) -> Column:
-        return F.sequence(F.floor(lo / CELL), F.floor((lo + length) / CELL))
-
-    def gridded(df: DataFrame) -> DataFrame:
-        return (df.withColumn("_cx", F.explode(cells(F.col("x"), F.col("w"))))
-                .withColumn("_cy", F.explode(cells(F.col("y"), F.col("h")))))
-
-    seen = windows.filter((F.col("w") > 0) & (F.col("h") > 0))
-    d = displays.filter((F.col("w") > 0) & (F.col("h") > 0)).select(
-        *keys, "display_id", "x", "y", "w", "h").distinct()
-    d = gridded(d).select(*keys, "_cx", "_cy", "display_id",
-                          *[F.col(c).alias(f"d{c}") for c in ("x", "y", "w", "h")])
-    pairs = join_on(gridded(seen), d, [*keys, "_cx", "_cy"], "inner")
+    def shown(df: DataFrame) -> DataFrame:
+        finite = F.lit(True)
+        for c in ("x", "y", "w", "h"):
+            finite = finite & (F.abs(F.col(c).cast("double")) < float("inf"))
+        return df.filter(finite & (F.col("w") > 0) & (F.col("h") > 0)).withColumn("_own", _level(F.col("w"), F.col("h")))
+
+    def present(df: DataFrame) -> list[int]:
+        return sorted(r["_own"] for r in df.select("_own").distinct().collect())
+
+    own = lambda tag: F.array(F.struct(F.col("_own").alias("level"), F.lit(tag).alias("tag")))
+    seen = shown(windows)
+    d = shown(displays.select(*keys, "display_id", "x", "y", "w", "h").distinct())
+    # Tag 0: the window is the larger one or as large; tag 1: the display is.
+    seen_cells = grid_cells(seen, F.concat(own(0), _at_levels(present(d), lambda x: x > F.col("_own"), 1)))
+    d = grid_cells(d, F.concat(own(1), _at_levels(present(seen), lambda x: x >= F.col("_own"), 0)))
+    d = d.select(*keys, "_at", "_cx", "_cy", "display_id", *[F.col(c).alias(f"d{c}") for c in ("x", "y", "w", "h")])
+    pairs = join_on(seen_cells, d, [*keys, "_at", "_cx", "_cy"], "inner")
     left, top = F.greatest("x", "dx"), F.greatest("y", "dy")
     wide = F.least(F.col("x") + F.col("w"), F.col("dx") + F.col("dw")) - left
     high = F.least(F.col("y") + F.col("h"), F.col("dy") + F.col("dh")) - top
     # A pair meets in every cell its overlap touches; keep the cell of the overlap's corner.
-    home = (F.floor(left / CELL) == F.col("_cx")) & (F.floor(top / CELL) == F.col("_cy"))
+    size = F.pow(F.lit(2.0), F.col("_at.level"))
+    home = (F.floor(left / size) == F.col("_cx")) & (F.floor(top / size) == F.col("_cy"))
     cx, cy = F.col("x") + F.col("w") / 2, F.col("y") + F.col("h") / 2
     central = ((cx >= F.col("dx")) & (cx < F.col("dx") + F.col("dw"))
                & (cy >= F.col("dy")) & (cy < F.col("dy") + F.col("dh")))
@@ -160,34 +188,48 @@ def largest_overlap(windows: DataFrame, displays: DataFrame, keys: Sequence[str]
     return join_on(windows, best, [*keys, window_id])
 
 
-def _substrings(name: Column) -> Column:
-    """Every distinct non-empty part of a (device) name."""
-    starts = F.sequence(F.lit(1), F.length(name))
-    parts = F.transform(starts, lambda i: F.transform(
-        F.sequence(F.lit(1), F.length(name) - i + 1), lambda n: F.substr(name, i, n)))
-    return F.when(F.length(name) > 0, F.array_distinct(F.flatten(parts)))
+def _grams(name: Column, n: int) -> Column:
+    """The distinct parts of ``n`` characters."""
+    parts = F.transform(F.sequence(F.lit(1), F.length(name) - (n - 1)), lambda i: F.substr(name, i, F.lit(n)))
+    return F.when(F.length(name) >= n, F.array_distinct(parts)).otherwise(F.array().cast("array<string>"))
+
+
+def names_inside(parts: DataFrame, wholes: DataFrame, keys: Sequence[str], q: int = 3) -> DataFrame:
+    """Pairs (keys, ``part``, ``whole``) of different or equal names, where one contains the other; empty names have none.
+
+    ``parts`` and ``wholes`` have keys and a ``name``.  The wholes are indexed by their grams of up to ``q`` characters,
+    a number in proportion to their length.  A part looks only under its own rarest gram of ``q`` characters (all of
+    it, if shorter), and what it finds there is compared in full.
+    """
+    index = wholes.select(*keys, F.col("name").alias("whole")).distinct()
+    index = index.withColumn("_gram", F.explode(F.concat(*[_grams(F.col("whole"), n) for n in range(1, q + 1)])))
+    found = index.groupBy(*keys, "_gram").agg(F.count(F.lit(1)).alias("_n"))
+    asked = parts.select(*keys, F.col("name").alias("part")).distinct()
+    asked = asked.withColumn("_gram", F.explode(F.when(F.length("part") >= q, _grams(F.col("part"), q)).otherwise(F.array("part"))))
+    rarest = (join_on(asked.filter("part <> ''"), found, [*keys, "_gram"]).groupBy(*keys, "part")
+              .agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("_least")))
+    rarest = rarest.filter("_least.n > 0").select(*keys, "part", F.col("_least.gram").alias("_gram"))
+    met = join_on(rarest, index, [*keys, "_gram"], "inner")
+    return met.filter(F.contains("whole", "part")).select(*keys, "part", "whole")
 
 
 def pair_devices(video: DataFrame, audio: DataFrame, keys: Sequence[str] = ("host_id",)) -> DataFrame:
     """Audio device for each video device: saved choice, equal name, then a name inside the other.
 
     ``video``: keys, ``video_id``, ``name``, ``saved`` (null, ``off`` or an audio id).  ``audio``:
-    keys, ``audio_id``, ``name``, ``transport``, ``rank`` (catalogue order).  The containment test
-    joins on the parts of the names, so no pair is formed that does not match.
+    keys, ``audio_id``, ``name``, ``transport``, ``rank`` (catalogue order).  Names inside
+    others are found by ``names_inside``.
     """
     lower = F.lower("name")
     first = F.min(F.struct("rank", "audio_id"))
     by_name = audio.groupBy(*keys, "name").agg(first.alias("_equal"))
     usb = audio.filter(F.col("transport") == "usb").withColumn("_low", lower)
     usb = usb.groupBy(*keys, "_low").agg(first.alias("_a"))
-    names = video.select(*keys, lower.alias("_low")).distinct()
-    held = names.withColumn("_part", F.explode(_substrings(F.col("_low"))))
-    inside = join_on(held, usb.withColumnRenamed("_low", "_part"), [*keys, "_part"], "inner")
-    around = usb.withColumn("_part", F.explode(_substrings(F.col("_low")))).drop("_low")
-    around = around.groupBy(*keys, "_part").agg(F.min("_a").alias("_a"))
-    outside = join_on(names, around.withColumnRenamed("_part", "_low"), [*keys, "_low"], "inner")
-    near = (inside.select(*keys, "_low", "_a").unionByName(outside.select(*keys, "_low", "_a"))
-            .groupBy(*keys, "_low").agg(F.min("_a").alias("_near")))
+    names, offered = video.select(*keys, lower.alias("name")).distinct(), usb.select(*keys, F.col("_low").alias("name"))
+    inside = names_inside(offered, names, keys).select(*keys, F.col("whole").alias("_own"), F.col("part").alias("_low"))
+    around = names_inside(names, offered, keys).select(*keys, F.col("part").alias("_own"), F.col("whole").alias("_low"))
+    near = join_on(inside.unionByName(around), usb, [*keys, "_low"], "inner").drop("_low").withColumnRenamed("_own", "_low")
+    near = near.groupBy(*keys, "_low").agg(F.min("_a").alias("_near"))
     out = join_on(video.withColumn("_low", lower), by_name, [*keys, "name"])
     out = join_on(out, near, [*keys, "_low"])
     ids = audio.select(*keys, F.col("audio_id").alias("saved")).distinct().withColumn("_present", F.lit(True))

@@ -18,6 +18,7 @@ from cadencekit.operators.ordered import join_on, ordered
 
 # Tolerance, luma weights, block size, search radii and confidence ramps.
 BYTE_TOLERANCE = 0.002
+COMPARED_BYTES = 4096
 LUMA = (0.2126, 0.7152, 0.0722)
 BLOCK = 4
 RADII = (4, 2, 2)
@@ -60,34 +61,46 @@ def differing_bytes(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(counts, dtype="int64")
 
 
+def block_digests(payload: Column, size: int = COMPARED_BYTES) -> Column:
+    """A digest of 16 bytes for each block of ``size`` bytes."""
+    count = F.ceil(F.octet_length(payload) / size).cast("int")
+    digests = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.unhex(F.md5(F.substring(payload, i * size + 1, F.lit(size)))))
+    return F.when(count > 0, digests).when(count == 0, F.array().cast("array<binary>"))
+
+
 def equivalent(df: DataFrame, keys: Sequence[str], by: Sequence[str], row_id: str, payload: str,
                same: Sequence[str] = (), tol: float = BYTE_TOLERANCE, stride: str | None = None) -> DataFrame:
     """``equivalent`` to the previous row: at most ``tol`` of the bytes differ.
 
     ``stride`` names a column with the padded byte count to use as the denominator.  ``row_id`` is
-    unique.  Only pairs of equal size and attributes but different digest are read again.
+    unique.  Digests of blocks travel through the window; of pairs of equal size and attributes only the blocks
+    that differ are read again, both sides in one join, and nothing but these blocks is shuffled to be compared.
     """
     flat = _signature(df, payload, same)
-    slim = df.select(*keys, *[c for c in by if c != row_id], row_id, flat.alias("_sig"),
-                     F.sha2(F.col(payload).cast("binary"), 256).alias("_digest"),
+    content = F.col(payload).cast("binary")
+    slim = df.select(*keys, *[c for c in by if c != row_id], row_id, flat.alias("_sig"), block_digests(content).alias("_digests"),
                      F.col(stride).cast("double").alias("_total") if stride
                      else F.octet_length(payload).cast("double").alias("_total"))
-    s = ordered(slim, keys, by).previous(_pid=F.col(row_id), _psig=F.col("_sig"), _pdig=F.col("_digest"))
-    pairs = s.done()
+    s = ordered(slim, keys, by).previous(_pid=F.col(row_id), _psig=F.col("_sig"), _pdigests=F.col("_digests"))
     comparable = F.col("_sig").eqNullSafe(F.col("_psig"))
-    exact = comparable & F.col("_digest").eqNullSafe(F.col("_pdig"))
-    near = pairs.filter(comparable & ~exact).select(F.col(row_id).alias("_id"), F.col("_pid"))
-    bytes_of = df.select(F.col(row_id).alias("_k"), F.col(payload).cast("binary").alias("_bytes"))
-    read = (
-        near.join(bytes_of.select(F.col("_k").alias("_id"), F.col("_bytes").alias("_a")), "_id")
-        .join(bytes_of.select(F.col("_k").alias("_pid"), F.col("_bytes").alias("_b")), "_pid")
-        .select(F.col("_id").alias(row_id), differing_bytes("_a", "_b").alias("_diff"))
-    )
+    other = F.filter(F.sequence(F.lit(0), F.size("_digests") - 1), lambda i: F.get("_digests", i) != F.get("_pdigests", i))
+    blocks = F.when(comparable & (F.size("_digests") > 0), other).when(comparable, F.array().cast("array<int>"))
+    pairs = s.done().withColumn("_blocks", blocks).drop("_sig", "_psig", "_digests", "_pdigests")
+    exact = F.size("_blocks") == 0
+    asked = pairs.filter(F.col("_pid").isNotNull() & (F.size("_blocks") > 0)).select(
+        F.col(row_id).alias("_pair"), F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col(row_id).alias("id")),
+                                                        F.struct(F.lit(1).alias("side"), F.col("_pid").alias("id")))).alias("_of"), "_blocks")
+    asked = asked.groupBy(F.col("_of.id").alias("_id")).agg(F.collect_list(F.struct("_pair", "_of.side", "_blocks")).alias("_asked"))
+    sent = (df.select(F.col(row_id).alias("_id"), content.alias("_bytes")).join(asked, "_id")
+            .select("_bytes", F.explode("_asked").alias("_a")).select("_bytes", "_a._pair", "_a.side", F.explode("_a._blocks").alias("_block"))
+            .select("_pair", "_block", "side", F.substring("_bytes", F.col("_block") * COMPARED_BYTES + 1, F.lit(COMPARED_BYTES)).alias("_part")))
+    met = sent.groupBy("_pair", "_block").agg(*[F.max(F.when(F.col("side") == i, F.col("_part"))).alias(n) for i, n in enumerate("ab")])
+    read = met.select(F.col("_pair").alias(row_id), differing_bytes("a", "b").alias("_d")).groupBy(row_id).agg(F.sum("_d").alias("_diff"))
     out = join_on(pairs, read, [row_id])
     verdict = exact | (F.col("_diff") <= F.col("_total") * tol)
     return (out.withColumn("equivalent", F.when(F.col("_pid").isNotNull(), F.coalesce(verdict, F.lit(False))))
-            .withColumn("differing", F.when(exact, F.lit(0)).otherwise(F.col("_diff")))
-            .drop("_pid", "_sig", "_psig", "_digest", "_pdig", "_total", "_diff"))
+            .withColumn("differing", F.when(exact & F.col("_pid").isNotNull(), F.lit(0)).otherwise(F.col("_diff")))
+            .drop("_pid", "_blocks", "_total", "_diff"))
 
 
 def block_mean(df: DataFrame, frame: Sequence[str], size: int, width: Column, height: Column,

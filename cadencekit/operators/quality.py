@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cadencekit.functions.costs import costs_fit
 from cadencekit.operators.ordered import Ordered, Running, join_on, ordered
 from cadencekit.operators.rates import median_upper, nearest_rank
+from cadencekit.session import materialise
 
 # Sample counts, loss limits and ages.
 WARMUPS, MIN_COSTS, STEADY_COSTS, COST_ROWS = 2, 6, 16, 32
@@ -42,6 +43,39 @@ def exact_tail(df: DataFrame, keys: Sequence[str], value: str, rank: str = "floo
     return ranked.filter(hit).select(*keys, F.col(value).alias(out), "n")
 
 
+def selected_tails(df: DataFrame, keys: Sequence[str], value: str, ranks: Sequence[str] = tuple(RANKS),
+                   spread: float = 0.001, accuracy: int = 10_000) -> DataFrame:
+    """Exact nearest-rank tails ``p95_<rank>`` and row count per key, for few keys with very many different values.
+
+    A mergeable sketch first gives each key two values around its tail.  A second scan counts the rows below them and shuffles only the
+    counts of the values in between, about ``2 * spread`` of the rows; the exact elements come from there.  Keys whose tail
+    lies outside, which a sketch can't rule out, go through ``exact_tail``.  Null values don't count.
+    """
+    known = df.filter(F.col(value).isNotNull()).select(*keys, value)
+    tails = F.array(F.lit(0.95 - spread), F.lit(0.95 + spread))
+    around = materialise(known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(value, tails, accuracy).alias("_around")))
+    near = join_on(known, around, keys).filter(F.col(value) <= F.col("_around")[1])
+    # All that lies below counts under null, which sorts first.
+    counted = (near.groupBy(*keys, F.when(F.col(value) >= F.col("_around")[0], F.col(value)).alias("_value"))
+               .agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("_n")))
+    s = ordered(counted, keys, ["_value"]).running(_upto=Running("sum", F.col("_n"))).done()
+
+    def hit(rank: str) -> Column:
+        at = RANKS[rank](F.col("n"))
+        return F.col("_value").isNotNull() & (at < F.col("_upto")) & (at >= F.col("_upto") - F.col("_n"))
+
+    found = materialise(s.groupBy(*keys).agg(F.first("n").alias("n"), *[F.max(F.when(hit(r), F.col("_value"))).alias(f"p95_{r}") for r in ranks]))
+    missed = found.filter(" or ".join(f"p95_{r} is null" for r in ranks)).select(*keys)
+    if missed.isEmpty():
+        return found
+    again = join_on(known, missed, keys, "left_semi")
+    exact = missed
+    for r in ranks:
+        tail = exact_tail(again, keys, value, r, f"p95_{r}")
+        exact = join_on(exact, tail.drop("n") if r != ranks[0] else tail, keys)
+    return join_on(found, missed, keys, "left_anti").unionByName(exact)
+
+
 def tick_counters(df: DataFrame, keys: Sequence[str], tick: Column, kind: str,
                   kinds: Sequence[str], elapsed_s: Column) -> DataFrame:
     """Counts per tick and kind, and each as a whole rate over the time that really passed."""
