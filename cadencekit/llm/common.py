@@ -26,6 +26,12 @@ def binary_column(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [value or b"" for value in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
+def neutral(docs: DataFrame, *used: str) -> DataFrame:
+    """The table with other names for all columns but ``used``, so that none clashes with a column that an operator adds;
+    ``toDF(*docs.columns)`` gives them back."""
+    return docs.toDF(*[c if c in used else f"__other{i}" for i, c in enumerate(docs.columns)])
+
+
 def held_out(key: Column, modulus: int, remainder: int) -> Column:
     """True for the rows whose crc32 of the key as text has the remainder; a null key is never held out."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % modulus == remainder, F.lit(False))

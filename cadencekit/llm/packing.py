@@ -1,7 +1,8 @@
 """Best-two-fit packing of tokenised documents into sequences of bounded length.
 
 Null texts count as empty: one end token.  Repeated rows are packed each.  Empty tables give empty
-results.  Only documents longer than a sequence are cut.
+results.  Only documents longer than a sequence are cut; a very long text is tokenised by its words, whole.  Of items of equal
+length the later row is taken first.  Only the key and the text are read, so other columns may have any names.
 """
 
 from __future__ import annotations

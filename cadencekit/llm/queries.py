@@ -110,7 +110,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {"op5_mixing": r"""
 WITH d AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5(text) AS digest,
+         row_number() OVER (PARTITION BY doc_id, text, source) - 1 AS nth
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT source, source_size, 3 * source_size AS cap,
@@ -123,7 +124,7 @@ l AS (SELECT CAST(sum(source_size) - coalesce(sum(cap) FILTER (WHERE filled <= (
 t AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), weight * coalesce(level, 0)) AS target FROM f, l),
 r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t)
 SELECT doc_id, size, source_size, target,
-       CAST(floor(rate) + CASE WHEN CAST('0x' || substr(md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT)
+       CAST(floor(rate) + CASE WHEN CAST('0x' || substr(md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(digest, '') || ':' || nth), 1, 8) AS BIGINT)
                                / 4294967296.0 < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) * size AS taken
 FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
 """,

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadencekit.llm.common import unit_hash
+from cadencekit.llm.common import neutral, unit_hash
 
 # The known forms.
 ASSIGN = (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -94,7 +94,7 @@ def scan(docs: DataFrame, model: DataFrame, least_run: int = 16, least_ratio: fl
     ratios = F.lit([float(x) for x in model.first()["ratios"]])
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     runs = RUN % least_run
-    found = docs.withColumn("_base", base_spans(body)).withColumn("_runs", spans_of(body, runs, 3))
+    found = neutral(docs, text).withColumn("_base", base_spans(body)).withColumn("_runs", spans_of(body, runs, 3))
 
     def random(s: Column) -> Column:
         run = F.substring(body, s["start"] + 1, s["end"] - s["start"])
@@ -114,7 +114,7 @@ def scan(docs: DataFrame, model: DataFrame, least_run: int = 16, least_ratio: fl
     cut = F.flatten(F.transform("_runs", parts))
     found = found.withColumn("_runs", F.when(F.size("_runs") > 0, cut).otherwise(F.col("_runs")))
     found = found.withColumn("_more", F.when(F.size("_runs") > 0, F.filter("_runs", random)).otherwise(F.col("_runs")))
-    return found.withColumn(name, F.array_sort(F.concat("_base", "_more"))).drop("_base", "_runs", "_more")
+    return found.withColumn("_found", F.array_sort(F.concat("_base", "_more"))).drop("_base", "_runs", "_more").toDF(*docs.columns, name)
 
 
 def digest(spans: Column) -> Column:
