@@ -1,8 +1,10 @@
 """Approximate nearest neighbours by cosine: a tree of k-means splits searched best bin first.
 
-Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part.
-Of rows with the same id the least vector takes part.  Ties go to the smaller id.  Fewer candidates than asked for
-are all returned.  Empty tables give empty results.
+Vectors that are null, zero or hold null or non-finite components take no part, nor do rows without an id or with vectors of
+another length than most, to which the cosine is undefined.  Every other row is indexed.  Rows with the same id are
+candidates each; as a query the least of their vectors counts, and none of them is its candidate.  Ties go to
+the smaller id.  Fewer candidates than asked for are all returned.  Other columns may have any names.  Empty tables give
+empty results.
 """
 
 from __future__ import annotations
@@ -119,86 +121,105 @@ def calibrate(tree: Tree, points: np.ndarray, k: int, recall: float, probes: int
     return min(tree.leaves, visits)
 
 
-def best_pairs(query_ids, queries, ids, vectors, k):
-    """The k nearest rows of each query, as (query id, id, score).  The product of the matrices only picks what can
-    be among them; scores and ties come from row-wise sums, which are the same for equal vectors."""
+def best_pairs(query_ids, queries, visited, ids, vectors, leaves, k, block=4096):
+    """The k nearest rows of each query among the leaves that it visits (``visited``: queries x leaves), as (query id, id,
+    score).  The product of the matrices, block by block, only picks what can be among them; scores and ties come
+    from row-wise sums, which are the same for equal vectors."""
     lengths, own = np.sqrt((vectors * vectors).sum(axis=1)), np.sqrt((queries * queries).sum(axis=1))
-    rough = (queries / own[:, None]) @ (vectors / lengths[:, None]).T
-    for i, query_id in enumerate(query_ids):
-        row = rough[i]
-        row[ids == query_id] = -np.inf
-        n = min(k, int(np.isfinite(row).sum()))
-        if n == 0:
-            continue
-        least = np.partition(row, len(row) - n)[len(row) - n]
-        at = np.flatnonzero(row >= least - 1e-9)
-        exact = (vectors[at] * queries[i]).sum(axis=1) / (own[i] * lengths[at])
-        for j in np.lexsort((ids[at], -exact))[:n]:
-            yield int(query_id), int(ids[at[j]]), float(exact[j])
+    found = [[] for _ in query_ids]
+    for start in range(0, len(ids), block):
+        part = slice(start, start + block)
+        rough = (queries / own[:, None]) @ (vectors[part] / lengths[part, None]).T
+        rough[~visited[:, leaves[part]]] = -np.inf
+        rough[query_ids[:, None] == ids[None, part]] = -np.inf
+        for i, row in enumerate(rough):
+            n = min(k, int(np.isfinite(row).sum()))
+            if n == 0:
+                continue
+            least = np.partition(row, len(row) - n)[len(row) - n]
+            at = start + np.flatnonzero(row >= least - 1e-9)
+            exact = (vectors[at] * queries[i]).sum(axis=1) / (own[i] * lengths[at])
+            found[i] += [(-float(exact[j]), int(ids[at[j]])) for j in np.lexsort((ids[at], -exact))[:n]]
+    for query_id, nearest in zip(query_ids.tolist(), found):
+        for score, row in sorted(nearest)[:k]:
+            yield query_id, row, -score
 
 
 def nearest(table: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding",
-            most_sample: int = 20_000, branches: int = 8, leaf_points: int = 40, recall: float = 0.97,
-            chunk: int = 4096, seed: int = 0) -> DataFrame:
+            most_sample: int = 20_000, branches: int = 8, leaf_points: int = 40, recall: float = 0.97, groups: int = 16,
+            chunk_bytes: int = 64 << 20, query_chunk: int = 4096, seed: int = 0) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the k nearest rows found for every row that ``is_query`` picks.
 
     The tree and the number of leaf visits come from a sample of about ``most_sample`` rows, picked by a hash of
-    the id; every row is indexed.  Leaves with many rows or many visitors are cut into chunks."""
+    the id; every row is indexed.  Neighbouring leaves form ``groups``: a query is sent once to each group, with the leaves that it
+    visits there, and brings back k rows.  Groups with many rows or many visitors are cut into chunks."""
     spark = table.sparkSession
     usable = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall(
         "v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = (table.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("q"))
-            .where(usable & F.col("id").isNotNull()).groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q")))
-    rows = materialise(rows)
+    rows = table.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("q"))
+    rows = materialise(rows.where(usable & F.col("id").isNotNull()))
     sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
     empty = "query_id long, rank int, vec_id long, score double"
     if sizes is None:
         return spark.createDataFrame([], empty)
     rows = rows.where(F.size("v") == sizes["d"])
-    sample = rows.where(unit_hash(F.col("id"), seed=seed) * sizes["n"] < most_sample).orderBy("id").select("v").toArrow()
+    # A hash of id and vector: rows that share an id are not all picked or none.
+    drawn = unit_hash(F.col("id"), F.col("v"), seed=seed)
+    sample = rows.where(drawn * sizes["n"] < most_sample).orderBy(drawn, "id", "v").limit(2 * most_sample).select("v").toArrow()
     points = unit(matrix(sample["v"].combine_chunks())) if sample.num_rows else np.ones((1, sizes["d"]))
     tree = Tree(points, branches, leaf_points, seed)
     shared = share(spark, (tree, calibrate(tree, points, k, recall)))
+    leaves = max(1, tree.leaves)
+    # Leaves are numbered subtree by subtree.
+    group_of = np.arange(leaves) * min(groups, leaves) // leaves
 
     def index(batches):
         tree, _ = opened(shared)
         for batch in batches:
             if batch.num_rows:
                 leaf = tree.assign(unit(matrix(batch.column("v"))))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(leaf)], names=["id", "v", "leaf"])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(leaf), pa.array(group_of[leaf])],
+                                                 names=["id", "v", "leaf", "grp"])
 
     def visit(batches):
         tree, visits = opened(shared)
 
-        def pairs():
+        def parts():
             for batch in batches:
                 if batch.num_rows:
                     for one, point in zip(batch.column("id").to_pylist(), unit(matrix(batch.column("v")))):
-                        for leaf in tree.visits(point, visits):
-                            yield one, leaf
-        yield from record_batches(pairs(), pa.schema([("query", pa.int64()), ("leaf", pa.int64())]))
-
-    indexed = materialise(rows.select("id", "v").mapInArrow(index, "id long, v array<double>, leaf long"))
-    asked = rows.where("q").select("id", "v")
-    visited = materialise(asked.mapInArrow(visit, "query long, leaf long"))
-    parts = (indexed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("n_rows"))
-             .join(visited.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("n_queries")), "leaf"))
-    left = (visited.join(asked.withColumnRenamed("id", "query"), "query").join(parts, "leaf")
-            .select("leaf", F.pmod(F.xxhash64("query"), "n_queries").alias("qc"),
-                    F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_rows") - 1)).alias("rc"), "query", "v"))
-    right = indexed.join(parts, "leaf").select(
-        "leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_queries") - 1)).alias("qc"),
-        F.pmod(F.xxhash64("id"), "n_rows").alias("rc"), "id", "v")
+                        seen = np.sort(np.array(tree.visits(point, visits)))
+                        cuts = np.flatnonzero(np.diff(group_of[seen])) + 1
+                        for some in np.split(seen, cuts):
+                            yield one, int(group_of[some[0]]), some.tolist()
+        yield from record_batches(parts(), pa.schema([("query", pa.int64()), ("grp", pa.int64()), ("seen", pa.list_(pa.int64()))]))
+
+    indexed = materialise(rows.select("id", "v").mapInArrow(index, "id long, v array<double>, leaf long, grp long"))
+    asked = materialise(rows.where("q").groupBy("id").agg(F.min("v").alias("v")))
+    visited = materialise(asked.mapInArrow(visit, "query long, grp long, seen array<long>"))
+    row_chunk = max(1, chunk_bytes // (8 * sizes["d"]))
+    parts = (indexed.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / row_chunk).alias("n_rows"))
+             .join(visited.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / query_chunk).alias("n_queries")), "grp"))
+    left = (visited.join(asked.withColumnRenamed("id", "query"), "query").join(parts, "grp")
+            .select("grp", F.pmod(F.xxhash64("query"), "n_queries").alias("qc"),
+                    F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_rows") - 1)).alias("rc"), "query", "seen", "v"))
+    # The running number of a written row deals out rows that share an id, too.
+    right = indexed.withColumn("_row", F.monotonically_increasing_id()).join(parts, "grp").select(
+        "grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_queries") - 1)).alias("qc"),
+        F.pmod(F.xxhash64("_row"), "n_rows").alias("rc"), "leaf", "id", "v")
 
     def meet(queries: pa.Table, candidates: pa.Table) -> pa.Table:
         found = []
         if queries.num_rows and candidates.num_rows:
-            found = list(best_pairs(queries["query"].to_numpy(), matrix(queries["v"].combine_chunks()),
-                                    candidates["id"].to_numpy(), matrix(candidates["v"].combine_chunks()), k))
+            seen = queries["seen"].combine_chunks()
+            visited = np.zeros((queries.num_rows, leaves), bool)
+            visited[np.repeat(np.arange(queries.num_rows), seen.value_lengths().to_numpy()), seen.flatten().to_numpy()] = True
+            found = list(best_pairs(queries["query"].to_numpy(), matrix(queries["v"].combine_chunks()), visited, candidates["id"].to_numpy(),
+                                    matrix(candidates["v"].combine_chunks()), candidates["leaf"].to_numpy(), k))
         a, b, c = zip(*found) if found else ((), (), ())
         return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
 
-    keys = ["leaf", "qc", "rc"]
+    keys = ["grp", "qc", "rc"]
     met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score double")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return met.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -74,20 +74,26 @@ def test_nearest(spark):
     points[200:700] = points[200]
     table = [(i, p.tolist(), "x") for i, p in enumerate(points)]
     table += [(2000, None, "x"), (2050, [0.0] * 8, "x"), (2100, [float("nan")] + [1.0] * 7, "x"), (2150, [1.0], "x"), (2200, [None] + [1.0] * 7, "x"),
-              (50, table[50][1], "x")]
+              (50, [2.0] * 8, "x"), (50, table[50][1], "x"), (777, table[300][1], "x"), (None, table[3][1], "x")]
     df = spark.createDataFrame(table, "vec_id long, embedding array<float>, leaf string")
-    got = rows(neighbours.nearest(df, F.col("vec_id") % 50 == 0, leaf_points=20, chunk=64))
-    x = points.astype(np.float64)
+    got = rows(neighbours.nearest(df, F.col("vec_id") % 50 == 0, leaf_points=20, chunk_bytes=64 * 64, query_chunk=8))
+    assert got == rows(neighbours.nearest(df, F.col("vec_id") % 50 == 0, leaf_points=20))
+    ids = np.array([*range(1500), 50, 50, 777])
+    x = np.array([*points, [2.0] * 8, points[50], points[300]], np.float64)
     hit = 0
     for q in range(0, 1500, 50):
-        score = (x * x[q]).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((x[q] * x[q]).sum()))
-        score[q] = -9
-        best = np.lexsort((np.arange(1500), -score))[:5]
+        asked = min(x[ids == q].tolist())
+        score = (x * asked).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((np.array(asked) ** 2).sum()))
+        score[ids == q] = -9
+        best = np.lexsort((ids, -score))[:5]
         mine = sorted(r for r in got if r[0] == q)
         assert [r[1] for r in mine] == [1, 2, 3, 4, 5]
-        assert np.allclose([r[3] for r in mine], score[[r[2] for r in mine]], atol=1e-12)
+        near = {r[2]: [] for r in mine}
+        for i in near:
+            near[i] = score[ids == i]
+        assert all(np.abs(near[r[2]] - r[3]).min() < 1e-12 for r in mine)
         assert [(-r[3], r[2]) for r in mine] == sorted((-r[3], r[2]) for r in mine)
-        hit += len({r[2] for r in mine} & set(best.tolist()))
+        hit += len({r[2] for r in mine} & set(ids[best].tolist()))
     assert {r[0] for r in got} == set(range(0, 1500, 50)) and hit >= 0.9 * 150
     assert neighbours.nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
     assert len(rows(neighbours.nearest(df.where("vec_id < 3"), F.col("vec_id") == 0))) == 2
@@ -125,6 +131,19 @@ def test_mixing(docs):
     assert mixing.mix_report(docs.limit(0)).count() == 0 and mixing.mix(docs.limit(0)).columns == docs.columns
 
 
+def test_mixing_without_ids(spark):
+    """Rows without ids, with one id or repeated as a whole draw each for themselves, so that sources come near their targets."""
+    table = [(None, f"a{i} b", "s1", "x") for i in range(900)] + [(7, "same text here", "s2", "x")] * 900 + [(i, "w " * 4, None, "x") for i in range(900)]
+    df = spark.createDataFrame(table, "doc_id long, text string, source string, `a.b` string").withColumns({"_source": F.lit(1), "_copies": F.lit(2)})
+    got = mixing.mix_report(df.repartition(5))
+    for r in got.groupBy("source_size", "target").agg(F.sum("taken").alias("taken"), F.countDistinct("taken").alias("kinds")).collect():
+        assert abs(r.taken - r.target) < 0.06 * r.target and r.kinds <= 2
+    assert rows(got) == rows(mixing.mix_report(df.coalesce(1)))
+    mixed = mixing.mix(df)
+    assert mixed.columns == df.columns and mixed.where("_source = 1 and _copies = 2 and `a.b` = 'x'").count() == mixed.count()
+    assert sum(len(r.text.split()) for r in mixed.collect()) == got.agg(F.sum("taken")).first()[0]
+
+
 def plain_spans(text):
     out = []
     pattern = r"""((?i:password|passwd|secret|token|api_?key))["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)"""

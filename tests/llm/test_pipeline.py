@@ -10,7 +10,8 @@ SF_DIR = "/root/testdata/sf0.001"
 def test_stages(spark, tmp_path):
     import corpus_pipeline as P
 
-    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").withColumn("row", F.lit("x"))
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").withColumns(
+        {c: F.lit("x") for c in ("row", "_rejected", "_again", "_base", "_runs", "_more", "_spans", "_source", "_copies", "_copy", "_id", "_hash", "a.b", "c0")})
     odd = docs.limit(3).withColumn("text", F.lit(None).cast("string")).unionByName(docs.where("doc_id in (7, 8)"))
     docs = docs.unionByName(odd)
     kept = {}
@@ -21,6 +22,8 @@ def test_stages(spark, tmp_path):
         out.write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
         kept[name] = docs.collect()
+        if name != "packing":
+            assert {r[c] for r in kept[name] for c in docs.columns[-14:]} == {"x"}
     assert all(r.text for r in kept["language"]) and len(kept["language"]) >= 195
     ids = [r.doc_id for r in kept["near_dedup"]]
     assert len(ids) == len(set(ids)) and {7, 8} & set(ids) and 150 < len(ids) < 200
