@@ -2,6 +2,7 @@
 
 A step takes ordered rows and the state before them, and returns new columns and the state after
 (see ``operators.folds``).  States stay small: the previous sample, or at most one trailing window.
+``held`` gives a state's types for the state store; ``kind`` names the type of an input column.
 """
 
 from __future__ import annotations
@@ -31,6 +32,9 @@ class Changes:
     def __init__(self, content: str = "content", near: str | None = None) -> None:
         self.content, self.near = content, near or content
 
+    def held(self, kind) -> str:
+        return f"_1 {kind(self.content)}, _2 {kind(self.near)}"
+
     def __call__(self, pdf: pd.DataFrame, state: object) -> tuple[dict[str, list], object]:
         exact, loose = [], []
         for now in _rows(pdf, self.content, self.near):
@@ -52,6 +56,9 @@ class Epochs:
     def __init__(self, pts: str = "pts_ns", lo_ns: int = C.SHORTEST_NS, hi_ns: int = C.LONGEST_NS) -> None:
         self.pts, self.lo_ns, self.hi_ns = pts, lo_ns, hi_ns
 
+    def held(self, kind) -> str:
+        return f"_1 bigint, _2 bigint, _3 {kind('width')}, _4 {kind('height')}"
+
     def __call__(self, pdf: pd.DataFrame, state: object) -> tuple[dict[str, list], object]:
         out = []
         for pts, width, height in _rows(pdf, self.pts, "width", "height"):
@@ -78,6 +85,12 @@ class Cadence:
         self.content, self.near = content, near or content
         self.window_ns, self.max_gap_ns, self.max_age_ns = window_ns, max_gap_ns, max_age_ns
 
+    def held(self, kind) -> str:
+        layout = ", ".join(f"_{i}: {kind(n)}" for i, n in enumerate(("width", "height", "pixel_format", "plane_count"), 1))
+        return (f"prev struct<epoch: {kind('epoch')}, seq: {kind('seq')}, layout: struct<{layout}>, pts: bigint, "
+                f"content: {kind(self.content)}, near: {kind(self.near)}>, start bigint, loose array<bigint>, exact array<bigint>, "
+                "seen array<struct<_1: bigint, _2: boolean>>")
+
     def __call__(self, pdf: pd.DataFrame, state: object) -> tuple[dict[str, list], object]:
         s = dict(state) if state else {"prev": None, "start": None, "loose": [], "exact": [], "seen": []}
         out: dict[str, list] = {n: [] for n in self.columns}
@@ -164,6 +177,9 @@ class PinnedEpoch:
 
     columns = {"accepted": "boolean", "pinned": "bigint"}
 
+    def held(self, kind) -> str:
+        return "value bigint"
+
     def __call__(self, pdf: pd.DataFrame, state: object) -> tuple[dict[str, list], object]:
         accepted, pinned = [], []
         for reset, epoch in _rows(pdf, "reset_to", "epoch"):
@@ -182,6 +198,9 @@ class Increasing:
     def __init__(self, time: str = "pts_ns") -> None:
         self.time = time
 
+    def held(self, kind) -> str:
+        return "_1 bigint, _2 bigint"
+
     def __call__(self, pdf: pd.DataFrame, state: object) -> tuple[dict[str, list], object]:
         top, lost = state or (None, 0)
         late, counts = [], []

@@ -1,15 +1,16 @@
 """Structured Streaming forms of the operators.
 
 ``step_stream`` runs any step (a controller, a buffer, the cadence rules) per key over the state
-store, so the batch and the stream form share one definition.  Rows are sorted inside a micro-batch;
-a row that comes after later ones were already processed is not lost but emitted with ``late``.
+store, so the batch and the stream form share one definition.  Rows are sorted inside a micro-batch, or, given an
+``Arrival``, wait for those that come out of order; a row that comes after later ones were already processed is not
+lost but emitted with ``late_row``.  States are typed (see ``streaming.state``).
 """
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,12 +20,14 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from cadencekit.operators.buffers import DRAIN_COLUMNS, DrainedBuffer
 from cadencekit.session import checkpoint_base
+from cadencekit.streaming.state import TypedState, WaitingRows
 from cadencekit.streaming.steps import Cadence, Changes, Epochs, Increasing, PinnedEpoch
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SHUFFLE_PARTITIONS = "spark.sql.shuffle.partitions"
 # Deadlines and lifetimes in milliseconds.
 STOP_DEADLINE_MS, FIRST_WAIT_MS, TTL_MS = 2_000, 3_000, 1_250
+DUE = "_due_us"
 
 
 def use_state_store(spark: SparkSession) -> None:
@@ -32,61 +35,159 @@ def use_state_store(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-class _Held(StatefulProcessor):
-    """A processor whose state is one JSON value per key."""
+@dataclass(frozen=True)
+class Arrival:
+    """Rows may come in any order within ``wait_s`` seconds of event time, and wait that long.
+
+    Rows up to ``grace_s`` later still are emitted as late.  Beyond that Spark drops them, and its progress counts them.
+    Waiting rows of ``bucket_s`` seconds are one entry of the state.
+    """
+
+    time: str
+    wait_s: int
+    grace_s: int = 0
+    bucket_s: int = 60
+
+
+class _Keyed(StatefulProcessor):
+    """What processors share: one timer per key, and the order of the newest row handled with a running count."""
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.held = handle.getValueState("held", "json string")
 
-    def load(self):
-        return json.loads(self.held.get()[0]) if self.held.exists() else None
+    def seen_state(self, by: Sequence[T.StructField], ttl_ms: int | None = None) -> None:
+        fields = [T.StructField(f"by_{i}", f.dataType) for i, f in enumerate(by)]
+        self.seen = TypedState(self.handle, "seen", T.StructType([*fields, T.StructField("n", T.LongType())]), ttl_ms)
 
-    def save(self, value) -> None:
-        self.held.update((json.dumps(value),))
+    def load_seen(self) -> tuple[tuple | None, int]:
+        held = self.seen.load()
+        if held is None:
+            return None, 0
+        *last, n = held.values()
+        return (None if any(v is None for v in last) else tuple(last)), n
+
+    def save_seen(self, last: tuple | None, n: int) -> None:
+        self.seen.save([*(last or [None] * (len(self.seen.schema) - 1)), n])
+
+    def arm(self, at_ms: int | None) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if at_ms is not None:
+            self.handle.registerTimer(max(at_ms, 1))
 
     def close(self) -> None:
         pass
 
 
-class StepProcessor(_Held):
-    def __init__(self, step, by: Sequence[str], columns: dict[str, str], names: Sequence[str]) -> None:
-        self.step, self.by, self.columns, self.names = step, list(by), columns, list(names)
+def _orders(pdf: pd.DataFrame, by: Sequence[str]) -> list[tuple]:
+    return list(zip(*(pdf[c].tolist() for c in by), strict=True))
+
+
+class StepProcessor(_Keyed):
+    """Runs a step over each micro-batch of a key, sorted in memory."""
+
+    def __init__(self, step, by: Sequence[T.StructField], columns: dict[str, str], names: Sequence[str], state: T.StructType,
+                 idle_ms: int | None) -> None:
+        self.step, self.fields, self.columns, self.names = step, list(by), columns, list(names)
+        self.by, self.state_type, self.idle_ms = [f.name for f in by], state, idle_ms
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.state = TypedState(handle, "step", self.state_type, self.idle_ms)
+        self.seen_state(self.fields, self.idle_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows)).sort_values(self.by, kind="stable", ignore_index=True)
-        held = self.load() or {"last": None, "n_late": 0, "state": None}
-        order = list(zip(*(pdf[c].tolist() for c in self.by), strict=True))
-        last = tuple(held["last"]) if held["last"] is not None else None
-        late = pd.Series([last is not None and o <= last for o in order])
-        fresh, old = pdf[~late].reset_index(drop=True), pdf[late].copy()
-        held["n_late"] += len(old)
+        last, n_late = self.load_seen()
+        fresh, old = self.split(pdf, last)
+        n_late += len(old)
         if len(fresh):
-            out, held["state"] = self.step(fresh, held["state"])
-            for name in self.columns:
-                fresh[name] = pd.Series(out[name], dtype=object)
-            held["last"] = list(order[-1])
-            fresh["late_row"] = False
-        for name in self.columns:
-            old[name] = None
-        old["late_row"] = True
-        self.save(held)
-        for part in (fresh, old):
-            if len(part):
-                part["n_late_rows"] = held["n_late"]
-                yield part[self.names].astype(object)
-
-
-def step_stream(stream: DataFrame, keys: Sequence[str], by: Sequence[str], step,
-                columns: dict[str, str] | None = None) -> DataFrame:
-    """Run a step over a stream; adds its columns, ``late_row`` and the running ``n_late_rows``."""
+            state = self.state.load()
+            yield self.stepped(fresh, state, n_late)
+            self.state.save(self.after)
+            last = _orders(fresh.tail(1), self.by)[0]
+        self.save_seen(last, n_late)
+        yield from self.late(old, n_late)
+
+    def split(self, pdf: pd.DataFrame, last: tuple | None) -> tuple[pd.DataFrame, pd.DataFrame]:
+        late = pd.Series([last is not None and o <= last for o in _orders(pdf, self.by)], index=pdf.index, dtype=bool)
+        return pdf[~late].reset_index(drop=True), pdf[late].copy()
+
+    def stepped(self, fresh: pd.DataFrame, state, n_late: int) -> pd.DataFrame:
+        out, self.after = self.step(fresh, state)
+        fresh = fresh.assign(late_row=False, n_late_rows=n_late, **{n: pd.Series(out[n], dtype=object) for n in self.columns})
+        return fresh[self.names].astype(object)
+
+    def late(self, old: pd.DataFrame, n_late: int) -> Iterator[pd.DataFrame]:
+        if len(old):
+            old = old.assign(late_row=True, n_late_rows=n_late, **dict.fromkeys(self.columns))
+            yield old[self.names].astype(object)
+
+
+class WaitingStepProcessor(StepProcessor):
+    """Runs a step over rows in order of time, whatever order they came in within the wait."""
+
+    def __init__(self, *args, arrival: Arrival) -> None:
+        super().__init__(*args, None)
+        self.arrival = arrival
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.waiting = WaitingRows(handle, "waiting", DUE, self.by, self.arrival.bucket_s * 1_000_000)
+
+    def handleInputRows(self, key, rows, timerValues):
+        last, n_late = self.load_seen()
+        n_before = n_late
+        for pdf in rows:
+            fresh, old = self.split(pdf, last)
+            n_late += len(old)
+            yield from self.late(old, n_late)
+            if len(fresh):
+                self.waiting.add(fresh)
+        if n_late > n_before:
+            self.save_seen(last, n_late)
+        self.arm_next()
+
+    def arm_next(self) -> None:
+        first = self.waiting.first()
+        self.arm(None if first is None else first // 1000 + 1 - self.arrival.grace_s * 1000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = (timerValues.getCurrentWatermarkInMs() + self.arrival.grace_s * 1000) * 1000
+        last, n_late = self.load_seen()
+        state, went = self.state.load(), False
+        for rows in self.waiting.due(now):
+            yield self.stepped(rows, state, n_late)
+            state, went = self.after, True
+            last = _orders(rows.tail(1), self.by)[0]
+        if went:
+            self.state.save(state)
+            self.save_seen(last, n_late)
+        self.arm_next()
+
+
+def step_stream(stream: DataFrame, keys: Sequence[str], by: Sequence[str], step, columns: dict[str, str] | None = None,
+                arrival: Arrival | None = None, idle_ms: int | None = None) -> DataFrame:
+    """Run a step over a stream; adds its columns, ``late_row`` and the running ``n_late_rows``.
+
+    Without ``arrival`` the rows of a micro-batch are sorted in memory and handled at once.  With it, ``by`` must follow
+    event time.  ``idle_ms`` lets the state of a key go that got no row for so long (by the clock); its next row is a first one.
+    """
+    if arrival and idle_ms:
+        raise ValueError("idle_ms goes by processing time, an arrival by event time: give one of them")
     columns = columns or step.columns
     added = T.StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in columns.items())
                                  + ", late_row boolean, n_late_rows bigint")
     schema = T.StructType([*stream.schema.fields, *added.fields])
+    state = T.StructType.fromDDL(step.held(lambda name: stream.schema[name].dataType.simpleString()))
+    args = (step, [stream.schema[c] for c in by], columns, schema.names, state)
     use_state_store(stream.sparkSession)
-    return stream.groupBy(*keys).transformWithStateInPandas(
-        StepProcessor(step, by, columns, schema.names), schema, "append", "none")
+    if arrival is None:
+        return stream.groupBy(*keys).transformWithStateInPandas(
+            StepProcessor(*args, idle_ms), schema, "append", "processingTime" if idle_ms else "none")
+    return (stream.withColumn(DUE, F.unix_micros(arrival.time))
+            .withWatermark(arrival.time, f"{arrival.wait_s + arrival.grace_s} seconds").groupBy(*keys)
+            .transformWithStateInPandas(WaitingStepProcessor(*args, arrival=arrival), schema, "append", "eventTime"))
 
 
 def tick_counters_stream(stream: DataFrame, keys: Sequence[str], time: str, kind: str, kinds: Sequence[str],
@@ -98,13 +199,13 @@ def tick_counters_stream(stream: DataFrame, keys: Sequence[str], time: str, kind
             .agg(*counts, elapsed.alias("elapsed_s")))
 
 
-def cadence_stream(stream: DataFrame, keys: Sequence[str], by: Sequence[str], **options) -> DataFrame:
-    return step_stream(stream, keys, by, Cadence(**options))
+def cadence_stream(stream: DataFrame, keys: Sequence[str], by: Sequence[str], arrival: Arrival | None = None, **options) -> DataFrame:
+    return step_stream(stream, keys, by, Cadence(**options), arrival=arrival)
 
 
-def epochs_stream(stream: DataFrame, keys: Sequence[str], by: Sequence[str], **options) -> DataFrame:
+def epochs_stream(stream: DataFrame, keys: Sequence[str], by: Sequence[str], arrival: Arrival | None = None, **options) -> DataFrame:
     """Exact epochs, with the size and short-interval rules that a session window lacks."""
-    return step_stream(stream, keys, by, Epochs(**options))
+    return step_stream(stream, keys, by, Epochs(**options), arrival=arrival)
 
 
 def session_epochs_stream(stream: DataFrame, keys: Sequence[str], time: str, gap: str, delay: str) -> DataFrame:
@@ -119,23 +220,24 @@ def session_epochs_stream(stream: DataFrame, keys: Sequence[str], time: str, gap
             .agg(F.count(F.lit(1)).alias("n_rows"), F.min(time).alias("first"), F.max(time).alias("last")))
 
 
-def change_stream(stream: DataFrame, keys: Sequence[str], by: Sequence[str], **options) -> DataFrame:
-    return step_stream(stream, keys, by, Changes(**options))
+def change_stream(stream: DataFrame, keys: Sequence[str], by: Sequence[str], arrival: Arrival | None = None, **options) -> DataFrame:
+    return step_stream(stream, keys, by, Changes(**options), arrival=arrival)
 
 
-def pin_epoch(stream: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
+def pin_epoch(stream: DataFrame, keys: Sequence[str], by: Sequence[str], arrival: Arrival | None = None) -> DataFrame:
     """Rows with ``reset_to`` are resets; later rows of other epochs are refused."""
-    return step_stream(stream, keys, by, PinnedEpoch())
+    return step_stream(stream, keys, by, PinnedEpoch(), arrival=arrival)
 
 
-def count_late(stream: DataFrame, keys: Sequence[str], by: Sequence[str], time: str = "pts_ns") -> DataFrame:
+def count_late(stream: DataFrame, keys: Sequence[str], by: Sequence[str], time: str = "pts_ns",
+               arrival: Arrival | None = None) -> DataFrame:
     """Drop nothing silently: rows not later than all before them are marked and counted."""
-    return step_stream(stream, keys, by, Increasing(time))
+    return step_stream(stream, keys, by, Increasing(time), arrival=arrival)
 
 
-def control_stream(stream: DataFrame, keys: Sequence[str], by: Sequence[str], step) -> DataFrame:
+def control_stream(stream: DataFrame, keys: Sequence[str], by: Sequence[str], step, arrival: Arrival | None = None) -> DataFrame:
     """Any controller of ``operators.control`` as a stream."""
-    return step_stream(stream, keys, by, step)
+    return step_stream(stream, keys, by, step, arrival=arrival)
 
 
 def dedupe_stream(stream: DataFrame, keys: Sequence[str], time: str, delay: str) -> DataFrame:
@@ -143,45 +245,52 @@ def dedupe_stream(stream: DataFrame, keys: Sequence[str], time: str, delay: str)
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-class LatestProcessor(_Held):
-    """Newest row per key and micro-batch; the rows it overtook are counted."""
+class LatestProcessor(_Keyed):
+    """Newest row per key and micro-batch; the rows it overtook are counted.  Holds one row of the micro-batch at a time."""
 
-    def __init__(self, by: Sequence[str], names: Sequence[str]) -> None:
-        self.by, self.names = list(by), list(names)
+    def __init__(self, by: Sequence[T.StructField], names: Sequence[str], idle_ms: int | None) -> None:
+        self.fields, self.by, self.names, self.idle_ms = list(by), [f.name for f in by], list(names), idle_ms
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.seen_state(self.fields, self.idle_ms)
 
     def handleInputRows(self, key, rows, timerValues):
-        held = self.load() or {"last": None, "dropped": 0}
+        last, dropped = self.load_seen()
         best, count = None, 0
         for pdf in rows:
             count += len(pdf)
             top = pdf.sort_values(self.by, kind="stable").tail(1)
-            order = tuple(top[self.by].iloc[0].tolist())
+            order = _orders(top, self.by)[0]
             if best is None or order > best[0]:
                 best = (order, top)
-        stale = held["last"] is not None and best[0] <= tuple(held["last"])
-        held["dropped"] += count - (not stale)
+        stale = last is not None and best[0] <= last
+        dropped += count - (not stale)
+        self.save_seen(last if stale else best[0], dropped)
         if not stale:
-            held["last"] = list(best[0])
-        self.save(held)
-        if not stale:
-            out = best[1].copy()
-            out["n_dropped"] = held["dropped"]
-            yield out[self.names].astype(object)
+            yield best[1].assign(n_dropped=dropped)[self.names].astype(object)
 
 
-def latest_stream(stream: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """Latest-only delivery: at most one pending row per key, with a running count of drops."""
+def latest_stream(stream: DataFrame, keys: Sequence[str], by: Sequence[str], idle_ms: int | None = None) -> DataFrame:
+    """Latest-only delivery: at most one pending row per key, with a running count of drops.  ``idle_ms`` as in ``step_stream``."""
     schema = T.StructType([*stream.schema.fields, T.StructField("n_dropped", T.LongType())])
     use_state_store(stream.sparkSession)
     return stream.groupBy(*keys).transformWithStateInPandas(
-        LatestProcessor(by, schema.names), schema, "append", "none")
+        LatestProcessor([stream.schema[c] for c in by], schema.names, idle_ms), schema, "append", "processingTime" if idle_ms else "none")
 
 
-class BufferProcessor(_Held):
+class BufferProcessor(_Keyed):
     """Bounded buffer with drains; what is still pending two seconds after a stop is dropped."""
 
-    def __init__(self, keys: Sequence[str], by: Sequence[str], step: DrainedBuffer, deadline_ms: int) -> None:
-        self.keys, self.by, self.step, self.deadline_ms = list(keys), list(by), step, deadline_ms
+    STATE = "queue array<struct<_1: bigint, _2: bigint, _3: bigint>>, last bigint"
+
+    def __init__(self, keys: Sequence[str], by: Sequence[str], step: DrainedBuffer, deadline_ms: int, by_clock: bool) -> None:
+        self.keys, self.by, self.step, self.deadline_ms, self.by_clock = list(keys), list(by), step, deadline_ms, by_clock
+        self.state_type = T.StructType.fromDDL(self.STATE)
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.state = TypedState(handle, "buffer", self.state_type)
 
     def _row(self, key, event: str, evicted=(), drained=(), pending=0) -> pd.DataFrame:
         row = {k: [v] for k, v in zip(self.keys, key, strict=True)}
@@ -190,74 +299,82 @@ class BufferProcessor(_Held):
 
     def handleInputRows(self, key, rows, timerValues):
         pdf = pd.concat(list(rows)).sort_values(self.by, kind="stable", ignore_index=True)
-        out, state = self.step(pdf, self.load())
-        self.save(state)
+        out, state = self.step(pdf, self.state.load())
+        self.state.save(state)
         for stop in pdf.loc[pdf["stop_ms"].notna(), "stop_ms"].tolist():
+            stop = timerValues.getCurrentProcessingTimeInMs() if self.by_clock else stop
             self.handle.registerTimer(int(stop) + self.deadline_ms)
         for evicted, drained, pending in zip(out["evicted"], out["drained"], out["pending"], strict=True):
             if evicted or drained:
                 yield self._row(key, "media", evicted, drained, pending)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        state = self.load()
+        state = self.state.load()
         if state and state["queue"]:
             yield self._row(key, "deadline", [e[0] for e in state["queue"]])
-            self.save({"queue": [], "last": state["last"]})
+            self.state.save({"queue": [], "last": state["last"]})
 
 
-def buffer_stream(stream: DataFrame, keys: Sequence[str], by: Sequence[str], time: str, delay: str,
+def buffer_stream(stream: DataFrame, keys: Sequence[str], by: Sequence[str], time: str | None, delay: str = "0 seconds",
                   step: DrainedBuffer | None = None, deadline_ms: int = STOP_DEADLINE_MS) -> DataFrame:
-    """Buffer events of a stream.  ``stop_ms`` (event time) on a row starts its deadline."""
+    """Buffer events of a stream.  ``stop_ms`` (event time) on a row starts its deadline.  Without ``time`` the deadline goes by
+    the clock, from when the stop is handled, and holds also when no more rows come."""
     fields = [stream.schema[k] for k in keys]
     added = T.StructType.fromDDL("event string, " + ", ".join(f"{n} {t}" for n, t in DRAIN_COLUMNS.items()))
     use_state_store(stream.sparkSession)
-    return stream.withWatermark(time, delay).groupBy(*keys).transformWithStateInPandas(
-        BufferProcessor(keys, by, step or DrainedBuffer(), deadline_ms), T.StructType([*fields, *added.fields]),
-        "append", "eventTime")
+    timed = stream.withWatermark(time, delay) if time else stream
+    return timed.groupBy(*keys).transformWithStateInPandas(
+        BufferProcessor(keys, by, step or DrainedBuffer(), deadline_ms, time is None), T.StructType([*fields, *added.fields]),
+        "append", "eventTime" if time else "processingTime")
 
 
-class _InOrder(_Held):
+class _InOrder(_Keyed):
     """Rows wait in the state until the watermark has passed them, so that they are handled in the order of
     ``(time, tie)`` whatever files and triggers they came in.  Times are microseconds.
 
-    Subclasses give ``fresh`` (the state of a new key), ``one`` (a row), ``due`` (the time at which the state
-    changes by itself, or None) and ``lapse`` (that change).  Both yield output rows as tuples.
+    Subclasses give ``STATE`` (its types), ``fresh`` (the state of a new key), ``one`` (a row), ``due`` (the time at which
+    the state changes by itself, or None) and ``lapse`` (that change).  Both yield output rows as tuples.
     """
 
-    def __init__(self, keys: Sequence[str], time: str, tie: str, value: str, names: Sequence[str]) -> None:
+    def __init__(self, keys: Sequence[str], time: str, tie: str, value: str, bucket_s: int, names: Sequence[str]) -> None:
         self.keys, self.time, self.tie, self.value, self.names = list(keys), time, tie, value, list(names)
+        self.bucket_s, self.state_type = bucket_s, T.StructType.fromDDL(self.STATE)
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.state = TypedState(handle, "state", self.state_type)
+        self.waiting = WaitingRows(handle, "waiting", self.time, [self.tie], self.bucket_s * 1_000_000)
 
     def handleInputRows(self, key, rows, timerValues):
-        held = self.load() or {"waiting": [], "state": self.fresh()}
         for pdf in rows:
-            held["waiting"] += [[int(t), int(i), v] for t, i, v in
-                                zip(pdf[self.time].tolist(), pdf[self.tie].tolist(), pdf[self.value].tolist(), strict=True)]
-        held["waiting"].sort()
-        self.keep(held)
+            self.waiting.add(pdf[[self.time, self.tie, self.value]])
+        self.arm_next(self.state.load() or self.fresh())
         yield from ()
 
-    def keep(self, held) -> None:
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        times = [t for t in (held["waiting"][0][0] if held["waiting"] else None, self.due(held["state"])) if t is not None]
-        if times:
-            self.handle.registerTimer(min(times) // 1000 + 1)
-        self.save(held)
+    def arm_next(self, state) -> None:
+        times = [t for t in (self.waiting.first(), self.due(state)) if t is not None]
+        self.arm(min(times) // 1000 + 1 if times else None)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        held, out = self.load(), []
+        state = self.state.load() or self.fresh()
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        while True:
-            row = held["waiting"][0] if held["waiting"] else None
-            due = self.due(held["state"])
-            if due is not None and due < now and (row is None or due < row[0]):
-                out += self.lapse(held["state"])
-            elif row is not None and row[0] < now:
-                held["waiting"].pop(0)
-                out += self.one(held["state"], *row)
-            else:
-                break
-        self.keep(held)
+        for rows in self.waiting.due(now):
+            out = []
+            for row in zip(rows[self.time].tolist(), rows[self.tie].tolist(), rows[self.value].tolist(), strict=True):
+                out += self.lapsed(state, row[0])
+                out += self.one(state, *row)
+            yield from self.table(key, out)
+        yield from self.table(key, self.lapsed(state, now))
+        self.state.save(state)
+        self.arm_next(state)
+
+    def lapsed(self, state, before: int) -> list[tuple]:
+        out = []
+        while (due := self.due(state)) is not None and due < before:
+            out += self.lapse(state)
+        return out
+
+    def table(self, key, out: list[tuple]) -> Iterator[pd.DataFrame]:
         if out:
             table = pd.DataFrame(out, columns=self.names)
             for name, value in reversed(list(zip(self.keys, key, strict=True))):
@@ -268,6 +385,8 @@ class _InOrder(_Held):
 class ExpiryProcessor(_InOrder):
     """Announce values when they are stated and again when their lifetime has passed."""
 
+    STATE = "at bigint, value double"
+
     def __init__(self, *columns, ttl_us: int) -> None:
         super().__init__(*columns, ("state", "at_us", "value"))
         self.ttl_us = ttl_us
@@ -288,10 +407,10 @@ class ExpiryProcessor(_InOrder):
 
 
 def ttl_stream(stream: DataFrame, keys: Sequence[str], time: str, time_us: str, tie: str, value: str, delay: str,
-               ttl_ms: int = TTL_MS) -> DataFrame:
+               ttl_ms: int = TTL_MS, bucket_s: int = 60) -> DataFrame:
     """Activity with a lifetime: one row when stated, one when it lapses; a value restated at the very end of its
-    lifetime has not lapsed.  Rows of one time follow ``tie``."""
-    return _in_order(stream, keys, time, delay, ExpiryProcessor(keys, time_us, tie, value, ttl_us=ttl_ms * 1000),
+    lifetime has not lapsed.  Rows of one time follow ``tie``.  Waiting rows of ``bucket_s`` seconds are one state entry."""
+    return _in_order(stream, keys, time, delay, ExpiryProcessor(keys, time_us, tie, value, bucket_s, ttl_us=ttl_ms * 1000),
                      "state string, at_us bigint, value double")
 
 
@@ -305,6 +424,8 @@ def _in_order(stream: DataFrame, keys: Sequence[str], time: str, delay: str, pro
 class FirstEventProcessor(_InOrder):
     """Report a started stream whose first picture does not come in time, and when it comes."""
 
+    STATE = "start bigint, state string"
+
     def __init__(self, *columns, wait_us: int) -> None:
         super().__init__(*columns, ("state", "at_us"))
         self.wait_us = wait_us
@@ -328,9 +449,9 @@ class FirstEventProcessor(_InOrder):
 
 
 def first_event_timeout(stream: DataFrame, keys: Sequence[str], time: str, time_us: str, tie: str, kind: str, delay: str,
-                        wait_ms: int = FIRST_WAIT_MS) -> DataFrame:
+                        wait_ms: int = FIRST_WAIT_MS, bucket_s: int = 60) -> DataFrame:
     """Rows of kind ``start`` and ``picture`` in; ``no_picture`` and ``running`` states out."""
-    return _in_order(stream, keys, time, delay, FirstEventProcessor(keys, time_us, tie, kind, wait_us=wait_ms * 1000),
+    return _in_order(stream, keys, time, delay, FirstEventProcessor(keys, time_us, tie, kind, bucket_s, wait_us=wait_ms * 1000),
                      "state string, at_us bigint")
 
 
