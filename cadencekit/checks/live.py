@@ -67,12 +67,28 @@ def ended_events(spark, d):
     return _event_columns(both), f"{span} seconds", flush
 
 
-def live_samples(spark, d):
-    """The sample view written out once, then read as a stream."""
+def any_order(delay: str) -> S.Arrival:
+    """Rows wait until all files are read, whose order is unknown."""
+    seconds = int(delay.split()[0])
+    return S.Arrival("at", seconds, bucket_s=max(60, seconds // 8))
+
+
+def ended_samples(spark, d):
+    """The sample view written out once, then read as a stream with an end (see ``ended_events``)."""
     folder = f"{checkpoint_base(spark)}/samples-{uuid.uuid4().hex}"
-    df = samples(spark, d).done()
+    df = samples(spark, d).done().withColumn("at", F.timestamp_micros(F.col("us") + LOG_START_US))
     df.write.parquet(folder)
-    return spark.readStream.schema(df.schema).option("maxBytesPerTrigger", BATCH_BYTES).parquet(folder)
+    first, last = spark.read.parquet(folder).agg(F.min("us"), F.max("us")).first()
+    span = (last - first) // 1_000_000 + 2 if first is not None else 1
+    end = F.timestamp_micros(F.lit(LOG_START_US + (last or 0) + 4 * span * 1_000_000 + 400 * DAY_MS * 1000))
+
+    def flush():
+        row = {"stream_id": F.lit(-1), "event_id": F.lit(-1), "us": F.lit(0), "at": end}
+        one = spark.range(1).select(*[row.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema])
+        one.write.mode("append").parquet(folder)
+
+    stream = spark.readStream.schema(df.schema).option("maxBytesPerTrigger", BATCH_BYTES).parquet(folder)
+    return stream, any_order(f"{span} seconds"), flush
 
 
 def ticks(spark, d):
@@ -84,13 +100,15 @@ def ticks(spark, d):
 
 
 def live_cadence(spark, d):
-    out = drained(spark, d, S.cadence_stream(live_samples(spark, d), KEYS, BY, content="content", near="near"))
-    return out.select("event_id", "state", "state_reason", r6("fps").alias("fps"), "updates",
+    rows, arrival, flush = ended_samples(spark, d)
+    out = drained(spark, d, S.cadence_stream(rows, KEYS, BY, arrival, content="content", near="near"), flush)
+    return out.filter("stream_id >= 0").select("event_id", "state", "state_reason", r6("fps").alias("fps"), "updates",
                       r6("strict_fps").alias("strict_fps"), "repeat_proof")
 
 
 def live_epochs(spark, d):
-    return drained(spark, d, S.epochs_stream(live_samples(spark, d), KEYS, BY)).select("event_id", "cut_epoch")
+    rows, arrival, flush = ended_samples(spark, d)
+    return drained(spark, d, S.epochs_stream(rows, KEYS, BY, arrival), flush).filter("stream_id >= 0").select("event_id", "cut_epoch")
 
 
 def live_sessions(spark, d):
@@ -101,8 +119,9 @@ def live_sessions(spark, d):
 
 
 def live_changes(spark, d):
-    out = drained(spark, d, S.change_stream(live_samples(spark, d), KEYS, BY, content="content", near="near"))
-    return out.select("event_id", "changed", "changed_exact")
+    rows, arrival, flush = ended_samples(spark, d)
+    out = drained(spark, d, S.change_stream(rows, KEYS, BY, arrival, content="content", near="near"), flush)
+    return out.filter("stream_id >= 0").select("event_id", "changed", "changed_exact")
 
 
 def live_latest(spark, d):
@@ -112,14 +131,18 @@ def live_latest(spark, d):
 
 
 def live_pins(spark, d):
-    ev = live_events(spark, d).withColumn("epoch", F.col("k") % 3)
+    ev, delay, flush = ended_events(spark, d)
+    ev = ev.withColumn("epoch", F.col("k") % 3)
     ev = ev.withColumn("reset_to", F.when(F.col("event_type") == "signup", F.col("epoch")))
-    return drained(spark, d, S.pin_epoch(ev, KEYS, BY)).select("event_id", "accepted", "pinned")
+    out = drained(spark, d, S.pin_epoch(ev, KEYS, BY, any_order(delay)), flush)
+    return out.filter("stream_id >= 0").select("event_id", "accepted", "pinned")
 
 
 def live_late(spark, d):
-    ev = live_events(spark, d).withColumn("stamp", (F.floor(F.col("us") / 1_000_000) + F.col("k") * 3600).cast("long"))
-    return drained(spark, d, S.count_late(ev, KEYS, BY, "stamp")).select("event_id", "late", "n_late")
+    ev, delay, flush = ended_events(spark, d)
+    ev = ev.withColumn("stamp", (F.floor(F.col("us") / 1_000_000) + F.col("k") * 3600).cast("long"))
+    out = drained(spark, d, S.count_late(ev, KEYS, BY, "stamp", any_order(delay)), flush)
+    return out.filter("stream_id >= 0").select("event_id", "late", "n_late")
 
 
 def live_buffer(spark, d):
@@ -148,7 +171,7 @@ def live_ttl(spark, d):
     """All states of purchases that last a day."""
     ev, delay, flush = ended_events(spark, d)
     ev = ev.filter("event_type = 'purchase' or stream_id < 0").withColumn("at_us", F.unix_micros("at"))
-    out = drained(spark, d, S.ttl_stream(ev, KEYS, "at", "at_us", "event_id", "value", delay, DAY_MS), flush)
+    out = drained(spark, d, S.ttl_stream(ev, KEYS, "at", "at_us", "event_id", "value", delay, DAY_MS, any_order(delay).bucket_s), flush)
     return out.filter("stream_id >= 0")
 
 
@@ -157,17 +180,18 @@ def live_first(spark, d):
     kind = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type") == "view", "picture")
     ev, delay, flush = ended_events(spark, d)
     ev = ev.withColumn("kind", kind).filter("kind is not null or stream_id < 0").withColumn("at_us", F.unix_micros("at"))
-    out = drained(spark, d, S.first_event_timeout(ev, KEYS, "at", "at_us", "event_id", "kind", delay, DAY_MS), flush)
+    out = drained(spark, d, S.first_event_timeout(ev, KEYS, "at", "at_us", "event_id", "kind", delay, DAY_MS, any_order(delay).bucket_s), flush)
     return out.filter("stream_id >= 0")
 
 
 def live_control(spark, d):
     event = F.when(F.col("event_type") == "error", F.when(F.col("k") % 4 == 0, "failure").otherwise("overload")).when(
         F.col("event_type") == "signup", "force").when(F.col("k") == 9, "mode").otherwise("pair")
-    ev = live_events(spark, d).select("stream_id", "us", "event_id", (F.col("us") / 1e6).alias("time_s"), event.alias("event"),
-                                      (F.col("k") % 2 == 0).alias("forced"))
-    out = drained(spark, d, S.control_stream(ev, KEYS, BY, C.Cooldown(86400.0)))
-    return out.select("event_id", "paused", r6("until_s").alias("until_s"), "cleared")
+    ev, delay, flush = ended_events(spark, d)
+    ev = ev.select("stream_id", "us", "event_id", "at", (F.col("us") / 1e6).alias("time_s"), event.alias("event"),
+                   (F.col("k") % 2 == 0).alias("forced"))
+    out = drained(spark, d, S.control_stream(ev, KEYS, BY, C.Cooldown(86400.0), any_order(delay)), flush)
+    return out.filter("stream_id >= 0").select("event_id", "paused", r6("until_s").alias("until_s"), "cleared")
 
 
 def live_distinct(spark, d):

@@ -127,9 +127,9 @@ class StepProcessor(_Keyed):
 class WaitingStepProcessor(StepProcessor):
     """Runs a step over rows in order of time, whatever order they came in within the wait."""
 
-    def __init__(self, *args, arrival: Arrival) -> None:
+    def __init__(self, *args, arrival: Arrival, inputs: Sequence[str]) -> None:
         super().__init__(*args, None)
-        self.arrival = arrival
+        self.arrival, self.inputs = arrival, list(inputs)
 
     def init(self, handle) -> None:
         super().init(handle)
@@ -139,7 +139,8 @@ class WaitingStepProcessor(StepProcessor):
         last, n_late = self.load_seen()
         n_before = n_late
         for pdf in rows:
-            fresh, old = self.split(pdf, last)
+            # A column computed from the watermark's own column comes in without its name.
+            fresh, old = self.split(pdf.set_axis(self.inputs, axis=1), last)
             n_late += len(old)
             yield from self.late(old, n_late)
             if len(fresh):
@@ -187,7 +188,7 @@ def step_stream(stream: DataFrame, keys: Sequence[str], by: Sequence[str], step,
             StepProcessor(*args, idle_ms), schema, "append", "processingTime" if idle_ms else "none")
     return (stream.withColumn(DUE, F.unix_micros(arrival.time))
             .withWatermark(arrival.time, f"{arrival.wait_s + arrival.grace_s} seconds").groupBy(*keys)
-            .transformWithStateInPandas(WaitingStepProcessor(*args, arrival=arrival), schema, "append", "eventTime"))
+            .transformWithStateInPandas(WaitingStepProcessor(*args, arrival=arrival, inputs=[*stream.columns, DUE]), schema, "append", "eventTime"))
 
 
 def tick_counters_stream(stream: DataFrame, keys: Sequence[str], time: str, kind: str, kinds: Sequence[str],

@@ -1,6 +1,7 @@
 """Streams over several micro-batches, late rows, timers, and equality with the batch form."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -75,15 +76,17 @@ def test_rows_behind_the_watermark_are_an_error(spark, tmp_path):
         S.drain(S.ttl_stream(stream, ["k"], "at", "at_us", "at_ms", "value", "1 second"))
 
 
-@pytest.mark.parametrize("name", ["t1_tick_stream", "t9_ttl_stream", "t10_first_event"])
-def test_shuffled_files_of_a_folder(spark, tmp_path, monkeypatch, name):
-    """A table in four files, one a trigger, in no order of time: the answer is the batch oracle's."""
+@pytest.mark.parametrize(("name", "n_files"), [
+    ("t1_tick_stream", 4), ("t2_cadence_stream", 4), ("t3_epoch_stream", 4), ("t4_change_stream", 1), ("t4_change_stream", 16),
+    ("t6_pinned_epoch", 4), ("t7_late_rows", 4), ("t9_ttl_stream", 4), ("t10_first_event", 4), ("t11_control_stream", 4)])
+def test_shuffled_files_of_a_folder(spark, tmp_path, monkeypatch, name, n_files):
+    """A table in files of no order of time, one a trigger: the answer is the batch oracle's."""
     from compare import connect, differences
 
     from cadencekit.checks import live
 
     whole = "/root/testdata/sf0.001"
-    spark.read.parquet(f"{whole}/events.parquet").orderBy(F.xxhash64("event_id")).repartition(4).write.parquet(f"{tmp_path}/events.parquet")
+    spark.read.parquet(f"{whole}/events.parquet").orderBy(F.xxhash64("event_id")).repartition(n_files).write.parquet(f"{tmp_path}/events.parquet")
     monkeypatch.setattr(live, "BATCH_BYTES", 1)
     check = live.CHECKS[name]
     assert differences(check.run(spark, str(tmp_path)), connect(whole), check.sql) == []
@@ -101,6 +104,79 @@ def test_stop_deadline_drops_what_is_pending(spark, tmp_path):
     assert dropped == [list(range(12))]
 
 
+def state_rows(spark, folder, variable):
+    """What a finished query holds in one state variable."""
+    return spark.read.format("statestore").option("stateVarName", variable).load(str(folder)).collect()
+
+
+def run(stream, folder):
+    query = (stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/cp")
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def test_rows_wait_for_their_order_and_late_ones_are_reported(spark, tmp_path):
+    """Within the wait any order is put right; a row within the grace is late, not lost; nothing stays but what is not due."""
+    schema = "k string, at_ms long, content string"
+    rows = [[("a", 4000, "y"), ("a", 1000, "x")], [("a", 2000, "x"), ("a", 3000, "z")], [("a", 30_000, "y")], [("a", 30_001, "y")],
+            [("a", 2500, "late")], [("a", 60_000, "y"), ("a", 59_000, "w")]]
+    stream = with_time(feed(spark, tmp_path / "in", [timed(r) for r in rows], schema))
+    out = run(S.change_stream(stream, ["k"], ["at_ms"], S.Arrival("at", 5, grace_s=40, bucket_s=2)), tmp_path)
+    got = sorted((r.at_ms - BASE_MS, r.changed, r.late_row, r.n_late_rows) for r in out.collect())
+    assert got == [(1000, None, False, 0), (2000, False, False, 0), (2500, None, True, 1), (3000, True, False, 0), (4000, True, False, 0),
+                   (30_000, False, False, 1), (30_001, False, False, 1)]
+    waiting = state_rows(spark, tmp_path / "cp", "waiting_parts")
+    assert sorted((r.user_map_key.bucket * 2000 - BASE_MS, r.user_map_value.n_rows) for r in waiting) == [(58_000, 1), (60_000, 1)]
+
+
+def test_cadence_state_is_one_second_of_changes(spark, tmp_path):
+    """Twenty seconds at 50 a second, twenty triggers: the list states hold the last second, the value one row."""
+    schema = "k string, seq long, pts_ns long, epoch long, width long, height long, pixel_format string, plane_count long, content string"
+    rows = [("a", i, i * 20_000_000, 0, 1280, 720, "420v", 2, f"c{i // 2}") for i in range(1000)]
+    stream = feed(spark, tmp_path / "in", [rows[i:i + 50] for i in range(0, 1000, 50)], schema)
+    out = run(S.cadence_stream(stream, ["k"], ["seq"]), tmp_path)
+    assert out.filter("state = 'estimated'").count() > 900
+    assert len(state_rows(spark, tmp_path / "cp", "step")) == 1
+    for name, most in (("loose", 26), ("exact", 26), ("seen", 51)):
+        held = state_rows(spark, tmp_path / "cp", f"step_{name}")
+        assert 0 < len(held) <= most
+
+
+def test_stop_deadline_by_the_clock(spark, tmp_path):
+    """No row comes after the stop: the deadline holds by the clock all the same."""
+    put = lambda k, at, n, stop=None: (k, at, n, at * 1_000_000, 10_000_000, None, stop)
+    rows = [[put("a", i * 10, i) for i in range(5)] + [("a", 200, None, None, None, 0, BASE_MS + 200)]]
+    schema = "k string, at_ms long, packet_no long, pts_ns long, duration_ns long, pull int, stop_ms long"
+    stream = feed(spark, tmp_path / "in", [timed(r) for r in rows], schema)
+    out = S.buffer_stream(stream, ["k"], ["at_ms"], None, deadline_ms=500)
+    query = (out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp")
+             .trigger(processingTime="200 milliseconds").start())
+    found, until = [], time.time() + 60
+    while not found and time.time() < until:
+        time.sleep(1)
+        found = spark.read.schema(out.schema).parquet(f"{tmp_path}/out").filter("event = 'deadline'").collect() if (tmp_path / "out").exists() else []
+    query.stop()
+    assert [sorted(r.evicted) for r in found] == [[0, 1, 2, 3, 4]]
+
+
+def test_idle_state_goes(spark, tmp_path):
+    """A key without rows for longer than ``idle_ms`` starts anew."""
+    schema = "k string, o long, v long"
+    live = S.latest_stream(feed(spark, tmp_path / "in", [[("a", 5, 1), ("a", 6, 2)]], schema), ["k"], ["o"], 1000)
+    query = (live.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp")
+             .trigger(processingTime="200 milliseconds").start())
+    found, until = [], time.time() + 60
+    while len(found) < 2 and time.time() < until:
+        time.sleep(3)
+        found = sorted(r.o for r in spark.read.schema(live.schema).parquet(f"{tmp_path}/out").collect()) if (tmp_path / "out").exists() else []
+        if found == [6] and not (tmp_path / "in/b1").exists():
+            time.sleep(3)
+            spark.createDataFrame([("a", 1, 3)], schema).coalesce(1).write.parquet(f"{tmp_path}/in/b1")
+    query.stop()
+    assert found == [1, 6]
+
+
 def test_latest_keeps_one_row_per_trigger(spark, tmp_path):
     rows = [[("a", i, i) for i in range(10)], [("a", 4, 99)], [("a", 20, 20), ("a", 21, 21)]]
     out = S.drain(S.latest_stream(feed(spark, tmp_path, rows, "k string, o long, v long"), ["k"], ["o"])).orderBy("o").collect()
