@@ -69,8 +69,7 @@ def ended_events(spark, d):
 
 def any_order(delay: str) -> S.Arrival:
     """Rows wait until all files are read, whose order is unknown."""
-    seconds = int(delay.split()[0])
-    return S.Arrival("at", seconds, bucket_s=max(60, seconds // 8))
+    return S.Arrival("at", int(delay.split()[0]))
 
 
 def ended_samples(spark, d):
@@ -171,7 +170,7 @@ def live_ttl(spark, d):
     """All states of purchases that last a day."""
     ev, delay, flush = ended_events(spark, d)
     ev = ev.filter("event_type = 'purchase' or stream_id < 0").withColumn("at_us", F.unix_micros("at"))
-    out = drained(spark, d, S.ttl_stream(ev, KEYS, "at", "at_us", "event_id", "value", delay, DAY_MS, any_order(delay).bucket_s), flush)
+    out = drained(spark, d, S.ttl_stream(ev, KEYS, "at", "at_us", "event_id", "value", delay, DAY_MS), flush)
     return out.filter("stream_id >= 0")
 
 
@@ -180,7 +179,7 @@ def live_first(spark, d):
     kind = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type") == "view", "picture")
     ev, delay, flush = ended_events(spark, d)
     ev = ev.withColumn("kind", kind).filter("kind is not null or stream_id < 0").withColumn("at_us", F.unix_micros("at"))
-    out = drained(spark, d, S.first_event_timeout(ev, KEYS, "at", "at_us", "event_id", "kind", delay, DAY_MS, any_order(delay).bucket_s), flush)
+    out = drained(spark, d, S.first_event_timeout(ev, KEYS, "at", "at_us", "event_id", "kind", delay, DAY_MS), flush)
     return out.filter("stream_id >= 0")
 
 

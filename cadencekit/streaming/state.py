@@ -12,6 +12,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import types as T
 
+RUN_ROWS = 4096
+
 
 def _stored(value, kind: T.DataType):
     """A value as the state store takes it: numbers of exactly its type, structs as tuples."""
@@ -89,49 +91,52 @@ class TypedState:
 
 
 class WaitingRows:
-    """Rows of a key that wait until their time has passed, in buckets of time.
+    """Rows of a key that wait until their time has passed, as sorted runs of at most ``RUN_ROWS`` rows.
 
-    A row is written once, with the others of its batch and bucket, and read once when its bucket is due (the one bucket
-    that is due in part is written again), so a batch never touches all that waits.  Memory holds one bucket of one key.
+    A batch's rows are written once as runs; runs whose time has come are merged in order, and only what is left of
+    those that are due in part is written again.  Runs of one batch don't overlap, so memory holds at most one run of each batch
+    that still waits, of one key.
     """
 
-    def __init__(self, handle, name: str, time: str, tie: list[str], bucket_us: int) -> None:
-        self.time, self.by, self.bucket_us = time, [time, *tie], bucket_us
-        self.buckets = handle.getMapState(f"{name}_buckets", "bucket bigint", "n_parts int, first_us bigint")
-        self.parts = handle.getMapState(f"{name}_parts", "bucket bigint, part int", "n_rows int, batch binary")
-
-    def add(self, pdf: pd.DataFrame) -> None:
-        for bucket, part in pdf.groupby(pdf[self.time] // self.bucket_us, sort=False):
-            known = self.buckets.getValue((int(bucket),)) if self.buckets.containsKey((int(bucket),)) else None
-            n, first = known if known else (0, None)
-            least = int(part[self.time].min())
-            self._write(int(bucket), n, part)
-            self.buckets.updateValue((int(bucket),), (n + 1, least if first is None else min(first, least)))
-
-    def _write(self, bucket: int, part: int, rows: pd.DataFrame) -> None:
-        batch = pa.RecordBatch.from_pandas(rows, preserve_index=False)
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, batch.schema) as writer:
-            writer.write_batch(batch)
-        self.parts.updateValue((bucket, part), (len(rows), sink.getvalue().to_pybytes()))
+    def __init__(self, handle, name: str, time: str, tie: list[str]) -> None:
+        self.time, self.by = time, [time, *tie]
+        self.runs = handle.getMapState(f"{name}_runs", "run bigint", "first_us bigint, n_rows int")
+        self.batches = handle.getMapState(f"{name}_batches", "run bigint", "batch binary")
+
+    def _known(self) -> list[tuple[int, int]]:
+        return sorted((value[0], key[0]) for key, value in self.runs.iterator())
+
+    def add(self, pdf: pd.DataFrame, ordered: bool = False) -> None:
+        rows = pdf if ordered else pdf.sort_values(self.by, kind="stable")
+        number = max((run for _, run in self._known()), default=-1)
+        for start in range(0, len(rows), RUN_ROWS):
+            part, number = rows.iloc[start:start + RUN_ROWS], number + 1
+            batch = pa.RecordBatch.from_pandas(part, preserve_index=False)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema) as writer:
+                writer.write_batch(batch)
+            self.batches.updateValue((number,), (sink.getvalue().to_pybytes(),))
+            self.runs.updateValue((number,), (int(part[self.time].iloc[0]), len(part)))
 
     def first(self) -> int | None:
         """Time of the earliest row."""
-        return min((found[1] for found in self.buckets.values()), default=None)
+        return min(self._known(), default=(None, 0))[0]
 
     def due(self, now: int) -> Iterator[pd.DataFrame]:
-        """Takes out the rows before ``now``, in order, a bucket at a time."""
-        for bucket, n in sorted((k[0], v[0]) for k, v in self.buckets.iterator() if v[1] < now):
-            found = [pa.ipc.open_stream(bytes(self.parts.getValue((bucket, i))[1])).read_pandas() for i in range(n)]
-            rows = pd.concat(found) if n > 1 else found[0]
-            rows = rows.sort_values(self.by, kind="stable", ignore_index=True)
-            for i in range(n):
-                self.parts.removeKey((bucket, i))
-            later = rows[rows[self.time] >= now]
-            if len(later):
-                self._write(bucket, 0, later)
-                self.buckets.updateValue((bucket,), (1, int(later[self.time].iloc[0])))
-            else:
-                self.buckets.removeKey((bucket,))
-            if len(later) < len(rows):
-                yield rows.iloc[:len(rows) - len(later)].reset_index(drop=True)
+        """Takes out the rows before ``now``, in order."""
+        runs = [(first, run) for first, run in self._known() if first < now]
+        held: list[pd.DataFrame] = []
+        for i, (_, run) in enumerate(runs):
+            held.append(pa.ipc.open_stream(bytes(self.batches.getValue((run,))[0])).read_pandas())
+            self.batches.removeKey((run,))
+            self.runs.removeKey((run,))
+            last = i + 1 == len(runs)
+            if not last and sum(map(len, held)) < RUN_ROWS:
+                continue
+            rows = held[0] if len(held) == 1 else pd.concat(held).sort_values(self.by, kind="stable", ignore_index=True)
+            n_ready = int((rows[self.time] < (now if last else runs[i + 1][0])).sum())
+            held = [rows.iloc[n_ready:]]
+            if n_ready:
+                yield rows.iloc[:n_ready].reset_index(drop=True)
+        if held and len(held[0]):
+            self.add(held[0], ordered=True)

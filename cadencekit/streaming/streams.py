@@ -40,13 +40,11 @@ class Arrival:
     """Rows may come in any order within ``wait_s`` seconds of event time, and wait that long.
 
     Rows up to ``grace_s`` later still are emitted as late.  Beyond that Spark drops them, and its progress counts them.
-    Waiting rows of ``bucket_s`` seconds are one entry of the state.
     """
 
     time: str
     wait_s: int
     grace_s: int = 0
-    bucket_s: int = 60
 
 
 class _Keyed(StatefulProcessor):
@@ -133,7 +131,7 @@ class WaitingStepProcessor(StepProcessor):
 
     def init(self, handle) -> None:
         super().init(handle)
-        self.waiting = WaitingRows(handle, "waiting", DUE, self.by, self.arrival.bucket_s * 1_000_000)
+        self.waiting = WaitingRows(handle, "waiting", DUE, self.by)
 
     def handleInputRows(self, key, rows, timerValues):
         last, n_late = self.load_seen()
@@ -337,14 +335,14 @@ class _InOrder(_Keyed):
     the state changes by itself, or None) and ``lapse`` (that change).  Both yield output rows as tuples.
     """
 
-    def __init__(self, keys: Sequence[str], time: str, tie: str, value: str, bucket_s: int, names: Sequence[str]) -> None:
+    def __init__(self, keys: Sequence[str], time: str, tie: str, value: str, names: Sequence[str]) -> None:
         self.keys, self.time, self.tie, self.value, self.names = list(keys), time, tie, value, list(names)
-        self.bucket_s, self.state_type = bucket_s, T.StructType.fromDDL(self.STATE)
+        self.state_type = T.StructType.fromDDL(self.STATE)
 
     def init(self, handle) -> None:
         super().init(handle)
         self.state = TypedState(handle, "state", self.state_type)
-        self.waiting = WaitingRows(handle, "waiting", self.time, [self.tie], self.bucket_s * 1_000_000)
+        self.waiting = WaitingRows(handle, "waiting", self.time, [self.tie])
 
     def handleInputRows(self, key, rows, timerValues):
         for pdf in rows:
@@ -408,10 +406,10 @@ class ExpiryProcessor(_InOrder):
 
 
 def ttl_stream(stream: DataFrame, keys: Sequence[str], time: str, time_us: str, tie: str, value: str, delay: str,
-               ttl_ms: int = TTL_MS, bucket_s: int = 60) -> DataFrame:
+               ttl_ms: int = TTL_MS) -> DataFrame:
     """Activity with a lifetime: one row when stated, one when it lapses; a value restated at the very end of its
-    lifetime has not lapsed.  Rows of one time follow ``tie``.  Waiting rows of ``bucket_s`` seconds are one state entry."""
-    return _in_order(stream, keys, time, delay, ExpiryProcessor(keys, time_us, tie, value, bucket_s, ttl_us=ttl_ms * 1000),
+    lifetime has not lapsed.  Rows of one time follow ``tie``."""
+    return _in_order(stream, keys, time, delay, ExpiryProcessor(keys, time_us, tie, value, ttl_us=ttl_ms * 1000),
                      "state string, at_us bigint, value double")
 
 
@@ -450,9 +448,9 @@ class FirstEventProcessor(_InOrder):
 
 
 def first_event_timeout(stream: DataFrame, keys: Sequence[str], time: str, time_us: str, tie: str, kind: str, delay: str,
-                        wait_ms: int = FIRST_WAIT_MS, bucket_s: int = 60) -> DataFrame:
+                        wait_ms: int = FIRST_WAIT_MS) -> DataFrame:
     """Rows of kind ``start`` and ``picture`` in; ``no_picture`` and ``running`` states out."""
-    return _in_order(stream, keys, time, delay, FirstEventProcessor(keys, time_us, tie, kind, bucket_s, wait_us=wait_ms * 1000),
+    return _in_order(stream, keys, time, delay, FirstEventProcessor(keys, time_us, tie, kind, wait_us=wait_ms * 1000),
                      "state string, at_us bigint")
 
 

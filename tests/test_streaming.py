@@ -122,12 +122,12 @@ def test_rows_wait_for_their_order_and_late_ones_are_reported(spark, tmp_path):
     rows = [[("a", 4000, "y"), ("a", 1000, "x")], [("a", 2000, "x"), ("a", 3000, "z")], [("a", 30_000, "y")], [("a", 30_001, "y")],
             [("a", 2500, "late")], [("a", 60_000, "y"), ("a", 59_000, "w")]]
     stream = with_time(feed(spark, tmp_path / "in", [timed(r) for r in rows], schema))
-    out = run(S.change_stream(stream, ["k"], ["at_ms"], S.Arrival("at", 5, grace_s=40, bucket_s=2)), tmp_path)
+    out = run(S.change_stream(stream, ["k"], ["at_ms"], S.Arrival("at", 5, grace_s=40)), tmp_path)
     got = sorted((r.at_ms - BASE_MS, r.changed, r.late_row, r.n_late_rows) for r in out.collect())
     assert got == [(1000, None, False, 0), (2000, False, False, 0), (2500, None, True, 1), (3000, True, False, 0), (4000, True, False, 0),
                    (30_000, False, False, 1), (30_001, False, False, 1)]
-    waiting = state_rows(spark, tmp_path / "cp", "waiting_parts")
-    assert sorted((r.user_map_key.bucket * 2000 - BASE_MS, r.user_map_value.n_rows) for r in waiting) == [(58_000, 1), (60_000, 1)]
+    waiting = state_rows(spark, tmp_path / "cp", "waiting_runs")
+    assert [(r.user_map_value.first_us // 1000 - BASE_MS, r.user_map_value.n_rows) for r in waiting] == [(59_000, 2)]
 
 
 def test_cadence_state_is_one_second_of_changes(spark, tmp_path):
