@@ -61,17 +61,20 @@ class TypedState:
         self.ttl_ms = ttl_ms
 
     def load(self):
-        held = self.value.get() if self.value.exists() else None
+        held = self.value.get()
+        self.was = {name: [] for name in self.lists}
         if held is None:
             return None
         out = {f.name: _plain(v, f.dataType) for f, v in zip(self.flat.fields, held, strict=True)}
         for name, (items, kind) in self.lists.items():
-            out[name] = [_plain(i[0], kind) for i in items.get()]
+            self.was[name] = [tuple(i) for i in items.get()]
+            out[name] = [_plain(i[0], kind) for i in self.was[name]]
         if self.schema.names == ["value"]:
             return out["value"]
         return [out[n] for n in self.schema.names] if self.schema.names[0] == "_1" else {n: out[n] for n in self.schema.names}
 
     def save(self, state) -> None:
+        """Writes the state of the key that was loaded last."""
         names = self.schema.names
         if names == ["value"]:
             state = {"value": state}
@@ -79,7 +82,7 @@ class TypedState:
             state = dict(zip(names, state, strict=True))
         for name, (items, kind) in self.lists.items():
             new = [(_stored(v, kind),) for v in state[name]]
-            was = [tuple(i) for i in items.get()]
+            was = self.was[name]
             if self.ttl_ms is None and new[:len(was)] == was:
                 if len(new) > len(was):
                     items.appendList(new[len(was):])
