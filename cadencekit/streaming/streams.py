@@ -39,7 +39,7 @@ def use_state_store(spark: SparkSession) -> None:
 class Arrival:
     """Rows may come in any order within ``wait_s`` seconds of event time, and wait that long.
 
-    Rows up to ``grace_s`` later still are emitted as late.  Beyond that Spark drops them, and its progress counts them.
+    Rows up to ``grace_s`` later still, and rows without a time, are emitted as late.  Beyond that Spark drops them, and its progress counts them.
     """
 
     time: str
@@ -138,7 +138,10 @@ class WaitingStepProcessor(StepProcessor):
         n_before = n_late
         for pdf in rows:
             # A column computed from the watermark's own column comes in without its name.
-            fresh, old = self.split(pdf.set_axis(self.inputs, axis=1), last)
+            pdf = pdf.set_axis(self.inputs, axis=1)
+            timeless = pdf[DUE].isna()
+            fresh, old = self.split(pdf[~timeless].astype({DUE: "int64"}), last)
+            old = pd.concat([old, pdf[timeless]]) if timeless.any() else old
             n_late += len(old)
             yield from self.late(old, n_late)
             if len(fresh):
