@@ -63,11 +63,11 @@ class DrainedBuffer:
     """Step of a bounded buffer; state is the queue and the last time.
 
     A row with ``pull`` takes that many packets, one with ``packet_no`` puts a packet, and any other
-    row leaves the buffer as it is.
+    row leaves the buffer as it is.  A packet shorter than ``least_ns`` is rejected; with zero, instants are held.
     """
 
-    def __init__(self, max_ns: int = MAX_HELD_NS, max_rows: int = MAX_HELD_ROWS) -> None:
-        self.max_ns, self.max_rows = max_ns, max_rows
+    def __init__(self, max_ns: int = MAX_HELD_NS, max_rows: int = MAX_HELD_ROWS, least_ns: int = 1) -> None:
+        self.max_ns, self.max_rows, self.least_ns = max_ns, max_rows, least_ns
 
     def __call__(self, pdf: pd.DataFrame, state: object) -> tuple[dict[str, list], object]:
         queue = deque(tuple(e) for e in state["queue"]) if state else deque()
@@ -83,7 +83,7 @@ class DrainedBuffer:
                     held -= entry[2]
                     taken.append(entry[0])
             elif not _missing(number):
-                bad = _missing(pts) or _missing(duration) or duration <= 0
+                bad = _missing(pts) or _missing(duration) or duration < self.least_ns
                 if bad or (last is not None and pts < last):
                     gone.append(int(number))
                 else:
@@ -107,13 +107,13 @@ DRAIN_COLUMNS = {"evicted": "array<bigint>", "drained": "array<bigint>", "pendin
 
 
 def buffer_with_drain(events: DataFrame, keys: Sequence[str], by: Sequence[str],
-                      max_ns: int = MAX_HELD_NS, max_rows: int = MAX_HELD_ROWS) -> DataFrame:
+                      max_ns: int = MAX_HELD_NS, max_rows: int = MAX_HELD_ROWS, least_ns: int = 1) -> DataFrame:
     """Puts (``packet_no``, ``pts_ns``, ``duration_ns``) and pulls (``pull`` = how many).
 
     Each event row gets the packets it evicted (a rejected put names itself), those it drained, and
     how many stay pending.
     """
-    return fold(events, keys, by, DrainedBuffer(max_ns, max_rows), DRAIN_COLUMNS)
+    return fold(events, keys, by, DrainedBuffer(max_ns, max_rows, least_ns), DRAIN_COLUMNS)
 
 
 def admit_video(s: Ordered, ready: str | None = None) -> Ordered:

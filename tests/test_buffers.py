@@ -3,11 +3,14 @@
 import json
 import random
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from compare import differences
 from pyspark.sql import functions as F
 
+from cadencekit.checks import controls, live
 from cadencekit.operators import buffers as B
 from cadencekit.operators import payload as P
 from cadencekit.operators.control import Demotion, late_interval_control
@@ -58,6 +61,25 @@ def test_closed_form_equals_the_queue(spark):
         assert {i for i, o in enumerate(got) if o != "kept"} == lost
 
 
+def instant_events(spark, folder):
+    """Three puts, the second of no length, and a pull of two."""
+    rows = [(0, 1, "view", 1.0), (1, 2, "view", 0.0), (2, 3, "view", 2.0), (3, 4, "error", 1.0), (4, 5, "view", 0.0)]
+    df = spark.createDataFrame([(i, t, 7, kind, v, '{"k": 2}') for i, t, kind, v in rows],
+                               "event_id long, t long, user_id long, event_type string, value double, props string")
+    df = df.withColumn("ts", F.timestamp_seconds(F.col("t") + 1_704_067_200).cast("timestamp_ntz")).drop("t")
+    df.write.parquet(f"{folder}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet/*.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", ["w12_buffer_with_drain", "t8_buffer_stream", "t8_stop_deadline"])
+def test_instants_are_held_as_in_the_sql(spark, tmp_path, name):
+    """Packets of no length are held and drained."""
+    check, con = (controls.CHECKS | live.CHECKS)[name], instant_events(spark, tmp_path)
+    assert differences(check.run(spark, str(tmp_path)), con, check.sql) == []
+
+
 def test_long_stall_balances(spark):
     """250 packets while nothing is ready, then 10 that are drained at once."""
     step = SEC * 1024 // 48000
