@@ -31,7 +31,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def r6(c) -> F.Column:
-    return F.round(c, 6)
+    """Rounded as the oracle does, which keeps the sign of a zero."""
+    c = F.col(c) if isinstance(c, str) else c
+    rounded = F.round(c, 6)
+    return F.when(rounded == 0, c * 0.0).otherwise(rounded)
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

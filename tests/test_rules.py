@@ -1,8 +1,11 @@
 """Boundary values of rates, sizes, budgets and catalogues."""
 
+import duckdb
 import pytest
+from compare import differences
 from pyspark.sql import functions as F
 
+from cadencekit.checks import scalars
 from cadencekit.functions import costs, rates, sizes, values
 from cadencekit.operators import catalog as K
 from cadencekit.operators.ordered import ordered
@@ -144,3 +147,13 @@ def test_pair_structure_and_tail(spark, rows):
     redraw = spark.createDataFrame([(0, 1.0), (1, 1 + 1 / 120), (2, 1.0)], "i long, t double")
     out = interval_p95(ordered(redraw.withColumn("k", F.lit(1)), ["k"], ["i"]), "t").done()
     assert [r.interval_p95 for r in out.orderBy("i").collect()] == pytest.approx([0, 1 / 120, 1 / 120])
+
+
+def test_blends_keep_the_sign_of_a_zero(spark, tmp_path):
+    """A tiny negative component rounds to a negative zero, as in SQL."""
+    rows = [(0, [-1e-7, 0.5, 1e-7]), (1, [-0.0, 0.0, -4.9e-7]), (2, [float("nan"), INF, -INF]), (3, [None, -2.5, 1.5]), (4, []), (5, None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    check = scalars.CHECKS["g2_value_blend"]
+    assert differences(check.run(spark, str(tmp_path)), con, check.sql) == []
