@@ -151,7 +151,8 @@ def largest_overlap(windows: DataFrame, displays: DataFrame, keys: Sequence[str]
 
     Rectangles of any size meet in a quadtree: each lies in at most four cells of its own level, and a pair meets in the
     larger one's cells, once.  The smaller ones are dealt to the levels that the other table has; these are
-    counted first, at most one for each binary exponent.
+    counted first, at most one for each binary exponent.  Of equal displays only the lowest id can win, so work grows with
+    the different places of displays that a window touches, not with the displays.
     """
     def shown(df: DataFrame) -> DataFrame:
         finite = F.lit(True)
@@ -164,7 +165,7 @@ def largest_overlap(windows: DataFrame, displays: DataFrame, keys: Sequence[str]
 
     own = lambda tag: F.array(F.struct(F.col("_own").alias("level"), F.lit(tag).alias("tag")))
     seen = shown(windows)
-    d = shown(displays.select(*keys, "display_id", "x", "y", "w", "h").distinct())
+    d = shown(displays).groupBy(*keys, "x", "y", "w", "h", "_own").agg(F.min("display_id").alias("display_id"))
     # Tag 0: the window is the larger one or as large; tag 1: the display is.
     seen_cells = grid_cells(seen, F.concat(own(0), _at_levels(present(d), lambda x: x > F.col("_own"), 1)))
     d = grid_cells(d, F.concat(own(1), _at_levels(present(seen), lambda x: x >= F.col("_own"), 0)))

@@ -85,3 +85,20 @@ def test_payload_blocks(spark):
         else:
             n = sum(a != b for a, b in zip(now, before))
             assert (r.differing, r.equivalent) == (n, n <= 0.002 * len(now))
+
+
+def test_equal_displays_meet_windows_once(spark, rows, monkeypatch):
+    """A thousand displays at four places: four of them are dealt to cells, and the lowest id of a place wins."""
+    dealt, cells = [], K.grid_cells
+
+    def counted(rects, levels):
+        dealt.append(rects.count())
+        return cells(rects, levels)
+
+    monkeypatch.setattr(K, "grid_cells", counted)
+    w = spark.createDataFrame([("h", i, i * 10.0, 0.0, 50.0, 50.0) for i in range(20)], "host string, window_id long, x double, y double, w double, h double")
+    d = spark.createDataFrame([("h", i, i % 4 * 100.0, 0.0, 100.0, 100.0) for i in range(999, -1, -1)],
+                              "host string, display_id long, x double, y double, w double, h double")
+    got = rows(K.largest_overlap(w, d, ["host"]), "window_id", "display_id")
+    assert dealt == [20, 4]
+    assert got == sorted([(i, (i * 10 + 25) // 100) for i in range(20)], key=repr)
