@@ -6,13 +6,17 @@ and an array is a list state, to which only new items are written.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import pairwise
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import types as T
 
+# Rows of a stored run, and rows that are handled at once if so many are due.
 RUN_ROWS = 4096
+DUE_ROWS = 32_768
 
 
 def _stored(value, kind: T.DataType):
@@ -93,12 +97,56 @@ class TypedState:
         self.value.update((*[_stored(state[f.name], f.dataType) for f in self.flat.fields[:-1]], True))
 
 
+def parts_by_key(rows: pd.DataFrame, keys: Sequence[T.StructField]) -> tuple[pd.DataFrame, list[tuple[tuple, int, int]]]:
+    """Rows clustered by key, in their order within a key, and the key, start and end of each part."""
+    codes = rows.groupby([k.name for k in keys], sort=False, dropna=False).ngroup().to_numpy()
+    order = np.argsort(codes, kind="stable")
+    rows, codes = rows.iloc[order].reset_index(drop=True), codes[order]
+    edges = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), len(rows)]
+    firsts = (rows[k.name].iloc[edges[:-1]].tolist() for k in keys)
+    found = [tuple(None if v != v else _stored(v, k.dataType) for v, k in zip(key, keys, strict=True)) for key in zip(*firsts, strict=True)]
+    return rows, [(key, *edge) for key, edge in zip(found, pairwise(edges), strict=True)]
+
+
+class KeyedStates:
+    """States of the keys of a group as rows of one map state; ``schema`` has a column for each part of a state.
+
+    A part's fields follow the rules of ``TypedState``, but arrays lie in the row.
+    """
+
+    def __init__(self, handle, name: str, keys: Sequence[T.StructField], schema: T.StructType) -> None:
+        self.schema = schema
+        self.rows = handle.getMapState(name, T.StructType([T.StructField(f"key_{i}", k.dataType) for i, k in enumerate(keys)]), schema)
+
+    def load(self, key: tuple) -> dict | None:
+        held = self.rows.getValue(key)
+        return None if held is None else self._parts(held)
+
+    def items(self) -> Iterator[tuple[tuple, dict]]:
+        for key, held in self.rows.iterator():
+            yield tuple(key), self._parts(held)
+
+    def _parts(self, held) -> dict:
+        return {f.name: _bare(_plain(v, f.dataType)) for f, v in zip(self.schema.fields, held, strict=True)}
+
+    def save(self, key: tuple, state: dict) -> None:
+        self.rows.updateValue(key, tuple(_stored(_boxed(state[f.name], f.dataType), f.dataType) for f in self.schema.fields))
+
+
+def _bare(state):
+    return state["value"] if isinstance(state, dict) and list(state) == ["value"] else state
+
+
+def _boxed(state, kind: T.DataType):
+    return {"value": state} if isinstance(kind, T.StructType) and kind.names == ["value"] else state
+
+
 class WaitingRows:
-    """Rows of a key that wait until their time has passed, as sorted runs of at most ``RUN_ROWS`` rows.
+    """Rows of a key or group of keys that wait until their time has passed, as sorted runs of at most ``RUN_ROWS`` rows.
 
     A batch's rows are written once as runs; runs whose time has come are merged in order, and only what is left of
     those that are due in part is written again.  Runs of one batch don't overlap, so memory holds at most one run of each batch
-    that still waits, of one key.
+    that still waits, of one key or group, or ``DUE_ROWS`` rows.
     """
 
     def __init__(self, handle, name: str, time: str, tie: list[str]) -> None:
@@ -134,7 +182,7 @@ class WaitingRows:
             self.batches.removeKey((run,))
             self.runs.removeKey((run,))
             last = i + 1 == len(runs)
-            if not last and sum(map(len, held)) < RUN_ROWS:
+            if not last and sum(map(len, held)) < DUE_ROWS:
                 continue
             rows = held[0] if len(held) == 1 else pd.concat(held).sort_values(self.by, kind="stable", ignore_index=True)
             n_ready = int((rows[self.time] < (now if last else runs[i + 1][0])).sum())

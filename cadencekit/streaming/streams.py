@@ -20,14 +20,16 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from cadencekit.operators.buffers import DRAIN_COLUMNS, DrainedBuffer
 from cadencekit.session import checkpoint_base
-from cadencekit.streaming.state import TypedState, WaitingRows
+from cadencekit.streaming.state import KeyedStates, TypedState, WaitingRows, parts_by_key
 from cadencekit.streaming.steps import Cadence, Changes, Epochs, Increasing, PinnedEpoch
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SHUFFLE_PARTITIONS = "spark.sql.shuffle.partitions"
 # Deadlines and lifetimes in milliseconds.
 STOP_DEADLINE_MS, FIRST_WAIT_MS, TTL_MS = 2_000, 3_000, 1_250
-DUE = "_due_us"
+DUE, GROUP = "_due_us", "_key_group"
+# Groups of keys whose rows wait together; a running stream cannot change it.
+GROUPS = 1024
 
 
 def use_state_store(spark: SparkSession) -> None:
@@ -123,50 +125,97 @@ class StepProcessor(_Keyed):
 
 
 class WaitingStepProcessor(StepProcessor):
-    """Runs a step over rows in order of time, whatever order they came in within the wait."""
+    """Runs a step over rows in order of time, whatever order they came in within the wait.
 
-    def __init__(self, *args, arrival: Arrival, inputs: Sequence[str]) -> None:
+    It handles a group of keys at a time: their rows wait together, and every key has a state of its own.
+    """
+
+    def __init__(self, *args, arrival: Arrival, inputs: Sequence[str], keys: Sequence[T.StructField]) -> None:
         super().__init__(*args, None)
-        self.arrival, self.inputs = arrival, list(inputs)
+        self.arrival, self.inputs, self.keys = arrival, list(inputs), list(keys)
 
     def init(self, handle) -> None:
-        super().init(handle)
+        self.handle = handle
+        last = T.StructType([T.StructField(f"_{i}", f.dataType) for i, f in enumerate(self.fields, 1)])
+        self.states = KeyedStates(handle, "states", self.keys, T.StructType(
+            [T.StructField("step", self.state_type), T.StructField("last", last), T.StructField("n_late", T.LongType())]))
+        self.handled = handle.getValueState("handled", "until_us bigint")
         self.waiting = WaitingRows(handle, "waiting", DUE, self.by)
 
+    def held(self, key: tuple) -> dict:
+        return self.states.load(key) or {"step": None, "last": None, "n_late": 0}
+
     def handleInputRows(self, key, rows, timerValues):
-        last, n_late = self.load_seen()
-        n_before = n_late
+        handled = self.handled.get()
         for pdf in rows:
             # A column computed from the watermark's own column comes in without its name.
             pdf = pdf.set_axis(self.inputs, axis=1)
             timeless = pdf[DUE].isna()
-            fresh, old = self.split(pdf[~timeless].astype({DUE: "int64"}), last)
-            old = pd.concat([old, pdf[timeless]]) if timeless.any() else old
-            n_late += len(old)
-            yield from self.late(old, n_late)
+            fresh, old = pdf[~timeless].astype({DUE: "int64"}), pdf[timeless]
+            # Only a row before the time up to which rows were handled can be late.
+            behind = fresh[DUE] < handled[0] if handled else None
+            if behind is not None and behind.any():
+                more, late = self.split_keys(fresh[behind])
+                fresh = pd.concat([fresh[~behind], more])
+                old = pd.concat([late, old]) if len(old) else late
+            if len(old):
+                yield self.late_keys(old)
             if len(fresh):
                 self.waiting.add(fresh)
-        if n_late > n_before:
-            self.save_seen(last, n_late)
         self.arm_next()
 
+    def split_keys(self, pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+        pdf, parts = parts_by_key(pdf, self.keys)
+        split = []
+        for key, start, end in parts:
+            last = self.held(key)["last"]
+            split.append(self.split(pdf.iloc[start:end], None if last is None else tuple(last)))
+        return tuple(pd.concat(side) for side in zip(*split, strict=True))
+
+    def late_keys(self, old: pd.DataFrame) -> pd.DataFrame:
+        old, parts = parts_by_key(old, self.keys)
+        counts: list[int] = []
+        for key, start, end in parts:
+            held = self.held(key)
+            held["n_late"] += end - start
+            self.states.save(key, held)
+            counts += [held["n_late"]] * (end - start)
+        old = old.assign(late_row=True, n_late_rows=counts, **dict.fromkeys(self.columns))
+        return old[self.names].astype(object)
+
     def arm_next(self) -> None:
         first = self.waiting.first()
         self.arm(None if first is None else first // 1000 + 1 - self.arrival.grace_s * 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         now = (timerValues.getCurrentWatermarkInMs() + self.arrival.grace_s * 1000) * 1000
-        last, n_late = self.load_seen()
-        state, went = self.state.load(), False
+        touched: dict[tuple, dict] = {}
         for rows in self.waiting.due(now):
-            yield self.stepped(rows, state, n_late)
-            state, went = self.after, True
-            last = _orders(rows.tail(1), self.by)[0]
-        if went:
-            self.state.save(state)
-            self.save_seen(last, n_late)
+            yield self.stepped_keys(rows, touched)
+        for one, state in touched.items():
+            self.states.save(one, state)
+        self.handled.update((now,))
         self.arm_next()
 
+    def stepped_keys(self, rows: pd.DataFrame, touched: dict[tuple, dict]) -> pd.DataFrame:
+        rows, parts = parts_by_key(rows, self.keys)
+        out: dict[str, list] = {n: [] for n in self.columns}
+        counts: list[int] = []
+        for key, start, end in parts:
+            state = touched[key] if key in touched else touched.setdefault(key, self.held(key))
+            added, state["step"] = self.step(rows.iloc[start:end], state["step"])
+            for name, values in out.items():
+                values += added[name]
+            counts += [state["n_late"]] * (end - start)
+            state["last"] = [rows[c].iat[end - 1] for c in self.by]
+        rows = rows.assign(late_row=False, n_late_rows=counts, **{n: pd.Series(v, dtype=object) for n, v in out.items()})
+        return rows[self.names].astype(object)
+
+
+def in_groups(stream: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys dealt to ``GROUPS`` groups, because a call for each key would cost more than its rows."""
+    return stream.withColumn(GROUP, F.pmod(F.xxhash64(*keys), F.lit(GROUPS)).cast("int"))
+
 
 def step_stream(stream: DataFrame, keys: Sequence[str], by: Sequence[str], step, columns: dict[str, str] | None = None,
                 arrival: Arrival | None = None, idle_ms: int | None = None) -> DataFrame:
@@ -187,9 +236,10 @@ def step_stream(stream: DataFrame, keys: Sequence[str], by: Sequence[str], step,
     if arrival is None:
         return stream.groupBy(*keys).transformWithStateInPandas(
             StepProcessor(*args, idle_ms), schema, "append", "processingTime" if idle_ms else "none")
-    return (stream.withColumn(DUE, F.unix_micros(arrival.time))
-            .withWatermark(arrival.time, f"{arrival.wait_s + arrival.grace_s} seconds").groupBy(*keys)
-            .transformWithStateInPandas(WaitingStepProcessor(*args, arrival=arrival, inputs=[*stream.columns, DUE]), schema, "append", "eventTime"))
+    processor = WaitingStepProcessor(*args, arrival=arrival, inputs=[*stream.columns, DUE, GROUP], keys=_fields(stream, keys))
+    return (in_groups(stream.withColumn(DUE, F.unix_micros(arrival.time)), keys)
+            .withWatermark(arrival.time, f"{arrival.wait_s + arrival.grace_s} seconds").groupBy(GROUP)
+            .transformWithStateInPandas(processor, schema, "append", "eventTime"))
 
 
 def tick_counters_stream(stream: DataFrame, keys: Sequence[str], time: str, kind: str, kinds: Sequence[str],
@@ -332,43 +382,61 @@ def buffer_stream(stream: DataFrame, keys: Sequence[str], by: Sequence[str], tim
 
 class _InOrder(_Keyed):
     """Rows wait in the state until the watermark has passed them, so that they are handled in the order of
-    ``(time, tie)`` whatever files and triggers they came in.  Times are microseconds.
+    ``(time, tie)`` whatever files and triggers they came in.  Times are microseconds.  Keys are handled in groups.
 
     Subclasses give ``STATE`` (its types), ``fresh`` (the state of a new key), ``one`` (a row), ``due`` (the time at which
     the state changes by itself, or None) and ``lapse`` (that change).  Both yield output rows as tuples.
     """
 
-    def __init__(self, keys: Sequence[str], time: str, tie: str, value: str, names: Sequence[str]) -> None:
-        self.keys, self.time, self.tie, self.value, self.names = list(keys), time, tie, value, list(names)
+    def __init__(self, keys: Sequence[T.StructField], time: str, tie: str, value: str, names: Sequence[str]) -> None:
+        self.keys, self.time, self.tie, self.value = list(keys), time, tie, value
+        self.names = [*(k.name for k in keys), *names]
+        self.inputs = list(dict.fromkeys([*(k.name for k in keys), time, tie, value]))
         self.state_type = T.StructType.fromDDL(self.STATE)
 
     def init(self, handle) -> None:
         super().init(handle)
-        self.state = TypedState(handle, "state", self.state_type)
+        self.states = KeyedStates(handle, "states", self.keys, T.StructType([T.StructField("state", self.state_type)]))
+        self.next_due = handle.getValueState("next_due", "due_us bigint")
         self.waiting = WaitingRows(handle, "waiting", self.time, [self.tie])
 
     def handleInputRows(self, key, rows, timerValues):
         for pdf in rows:
-            self.waiting.add(pdf[[self.time, self.tie, self.value]])
-        self.arm_next(self.state.load() or self.fresh())
+            self.waiting.add(pdf[self.inputs])
+        due = self.next_due.get()
+        self.arm_next(due[0] if due else None)
         yield from ()
 
-    def arm_next(self, state) -> None:
-        times = [t for t in (self.waiting.first(), self.due(state)) if t is not None]
+    def arm_next(self, due: int | None) -> None:
+        times = [t for t in (self.waiting.first(), due) if t is not None]
         self.arm(min(times) // 1000 + 1 if times else None)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        state = self.state.load() or self.fresh()
         now = timerValues.getCurrentWatermarkInMs() * 1000
+        states = {one: held["state"] for one, held in self.states.items()}
+        touched = set()
         for rows in self.waiting.due(now):
             out = []
-            for row in zip(rows[self.time].tolist(), rows[self.tie].tolist(), rows[self.value].tolist(), strict=True):
-                out += self.lapsed(state, row[0])
-                out += self.one(state, *row)
-            yield from self.table(key, out)
-        yield from self.table(key, self.lapsed(state, now))
-        self.state.save(state)
-        self.arm_next(state)
+            rows, parts = parts_by_key(rows, self.keys)
+            columns = [rows[c].tolist() for c in (self.time, self.tie, self.value)]
+            for one, start, end in parts:
+                touched.add(one)
+                state = states.setdefault(one, self.fresh())
+                for row in zip(*(c[start:end] for c in columns), strict=True):
+                    out += [one + t for t in self.lapsed(state, row[0])]
+                    out += [one + t for t in self.one(state, *row)]
+            yield from self.table(out)
+        out = []
+        for one, state in states.items():
+            if lapsed := self.lapsed(state, now):
+                touched.add(one)
+                out += [one + t for t in lapsed]
+        yield from self.table(out)
+        for one in touched:
+            self.states.save(one, {"state": states[one]})
+        due = min((t for t in map(self.due, states.values()) if t is not None), default=None)
+        self.next_due.update((due,))
+        self.arm_next(due)
 
     def lapsed(self, state, before: int) -> list[tuple]:
         out = []
@@ -376,12 +444,9 @@ class _InOrder(_Keyed):
             out += self.lapse(state)
         return out
 
-    def table(self, key, out: list[tuple]) -> Iterator[pd.DataFrame]:
+    def table(self, out: list[tuple]) -> Iterator[pd.DataFrame]:
         if out:
-            table = pd.DataFrame(out, columns=self.names)
-            for name, value in reversed(list(zip(self.keys, key, strict=True))):
-                table.insert(0, name, value)
-            yield table.astype(object)
+            yield pd.DataFrame(out, columns=self.names).astype(object)
 
 
 class ExpiryProcessor(_InOrder):
@@ -412,17 +477,21 @@ def ttl_stream(stream: DataFrame, keys: Sequence[str], time: str, time_us: str,
                ttl_ms: int = TTL_MS) -> DataFrame:
     """Activity with a lifetime: one row when stated, one when it lapses; a value restated at the very end of its
     lifetime has not lapsed.  Rows of one time follow ``tie``."""
-    return _in_order(stream, keys, time, delay, ExpiryProcessor(keys, time_us, tie, value, ttl_us=ttl_ms * 1000),
+    return _in_order(stream, keys, time, delay, ExpiryProcessor(_fields(stream, keys), time_us, tie, value, ttl_us=ttl_ms * 1000),
                      "state string, at_us bigint, value double")
 
 
 def _in_order(stream: DataFrame, keys: Sequence[str], time: str, delay: str, processor: _InOrder, added: str) -> DataFrame:
     schema = T.StructType([*[stream.schema[k] for k in keys], *T.StructType.fromDDL(added).fields])
     use_state_store(stream.sparkSession)
-    return stream.withWatermark(time, delay).groupBy(*keys).transformWithStateInPandas(
+    return in_groups(stream, keys).withWatermark(time, delay).groupBy(GROUP).transformWithStateInPandas(
         processor, schema, "append", "eventTime")
 
 
+def _fields(stream: DataFrame, names: Sequence[str]) -> list[T.StructField]:
+    return [stream.schema[n] for n in names]
+
+
 class FirstEventProcessor(_InOrder):
     """Report a started stream whose first picture does not come in time, and when it comes."""
 
@@ -453,7 +522,7 @@ class FirstEventProcessor(_InOrder):
 def first_event_timeout(stream: DataFrame, keys: Sequence[str], time: str, time_us: str, tie: str, kind: str, delay: str,
                         wait_ms: int = FIRST_WAIT_MS) -> DataFrame:
     """Rows of kind ``start`` and ``picture`` in; ``no_picture`` and ``running`` states out."""
-    return _in_order(stream, keys, time, delay, FirstEventProcessor(keys, time_us, tie, kind, wait_us=wait_ms * 1000),
+    return _in_order(stream, keys, time, delay, FirstEventProcessor(_fields(stream, keys), time_us, tie, kind, wait_us=wait_ms * 1000),
                      "state string, at_us bigint")
 
 

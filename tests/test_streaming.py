@@ -196,3 +196,27 @@ def test_batch_sink_is_idempotent(spark, tmp_path):
     for batch_id, n in ((0, 3), (1, 4), (1, 4)):
         write(spark.range(n).toDF("x"), batch_id)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 7
+
+
+def test_keys_wait_in_groups(spark, tmp_path, monkeypatch):
+    """Forty keys in four groups: a group's rows wait as one run, and every key keeps its own state and count of late rows."""
+    monkeypatch.setattr(S, "GROUPS", 4)
+    schema = "k long, at_ms long, content string"
+    keys = [None, *range(39)]
+    first = [(k, 1000 + i * 10, f"c{(i + (k or 0)) // 2}") for k in keys for i in range(5)]
+    rows = [first[::-1], [("z", 30_000, "y")], [("z", 30_001, "y")], [(3, 1005, "late"), (3, 1006, "late"), (5, 2000, "more")],
+            [("z", 90_000, "y")], [("z", 90_001, "y")]]
+    rows = [[(-1 if k == "z" else k, *rest) for k, *rest in batch] for batch in rows]
+    stream = with_time(feed(spark, tmp_path / "in", [timed(r) for r in rows[:3]], schema))
+    live = S.change_stream(stream, ["k"], ["at_ms"], S.Arrival("at", 5, grace_s=40))
+    waiting = run(S.change_stream(stream, ["k"], ["at_ms"], S.Arrival("at", 50)), tmp_path / "held")
+    assert waiting.count() == 0
+    held = state_rows(spark, tmp_path / "held/cp", "waiting_runs")
+    assert sum(r.user_map_value.n_rows for r in held) == 202 and len({r.key[0] for r in held}) == 4 and len(held) <= 6
+    run(live, tmp_path)
+    for i, batch in enumerate(rows[3:], 3):
+        spark.createDataFrame(timed(batch), schema).coalesce(1).write.parquet(f"{tmp_path}/in/b{i}")
+    got = {(r.k, r.at_ms - BASE_MS): (r.changed, r.late_row, r.n_late_rows) for r in run(live, tmp_path).collect()}
+    for k in keys:
+        assert [got[k, 1000 + i * 10] for i in range(5)] == [(None if i == 0 else (i + (k or 0)) % 2 == 0, False, 0) for i in range(5)]
+    assert got[3, 1005] == got[3, 1006] == (None, True, 2) and got[5, 2000] == (True, False, 0)
