@@ -209,8 +209,8 @@ MOTION_TYPE = T.ArrayType(T.StructType([
     *[T.StructField(n, T.DoubleType()) for n in ("cost", "second", "flow_x", "flow_y", "confidence")]]))
 
 
-# Most candidate values held at once while searching: about 64 MB.
-SEARCH_VALUES = 8_000_000
+# Most candidate values held at once while searching: 4 MB, of which numpy holds about ten copies.
+SEARCH_VALUES = 500_000
 
 
 @F.pandas_udf(MOTION_TYPE)

@@ -2,6 +2,7 @@
 
 import json
 import random
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -146,6 +147,20 @@ def test_motion_finds_a_known_shift(spark):
     assert all((c.dx, c.dy, c.cost, c.flow_x) == (0, 0, 0, 0) for c in still) and len(still) == 64
 
 
+def test_motion_search_holds_little():
+    """Three thousand pictures at once: the search goes in parts, with the same cells as one by one."""
+    rng = np.random.default_rng(3)
+    prev, cur = (pd.Series(list(rng.random((3000, 64)))) for _ in range(2))
+    width = pd.Series([8] * 3000)
+    tracemalloc.start()
+    found = P._motion_cells.func(prev, cur, width)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 << 20
+    for i in (0, 1500, 2999):
+        assert P._motion_cells.func(*(s[i:i + 1] for s in (prev, cur, width)))[0] == found[i]
+
+
 def test_motion_search_matches_a_plain_scan():
     rng = np.random.default_rng(9)
     a, b = rng.integers(0, 3, (2, 8, 8)) / 4.0
