@@ -22,7 +22,7 @@ PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 SHARD_BITS = 31
 #: Texts tokenised at once.
-AT_ONCE = 500
+AT_ONCE = 1000
 
 
 TAIL = b".,!?;:|#$%&*"
@@ -56,15 +56,20 @@ class WordIds:
         cores = {p for both in parts.values() for p in both}.difference(self.known)
         self._recall(cores)
         self._learn(list(cores.difference(self.known)))
-        self.known.update({word: b"".join(map(self.known.__getitem__, both)) for word, both in parts.items()})
+        self.known.update({word: self.known[both[0]] if len(both) == 1 else self.known[both[0]] + self.known[both[1]]
+                           for word, both in parts.items()})
         return [b"".join(map(self.known.__getitem__, one)) for one in split]
 
     def _recall(self, new: set[bytes]) -> None:
-        self.known.update({word: self.old[word] for word in new.intersection(self.old)})
+        # Not by ``intersection``, which would go through all of the old generation.
+        old = self.old
+        self.known.update({word: old[word] for word in new if word in old})
 
     @staticmethod
     def _parts(word: bytes) -> tuple[bytes, ...]:
         low = word.lower()
+        if low.isalnum():
+            return (low,)
         core = low.rstrip(TAIL)
         return (core, low[len(core):]) if len(core) < len(low) and core and core[-1] in ALPHANUMERIC else (low,)
 

@@ -273,3 +273,21 @@ def test_kneser_ney_is_a_distribution():
     # Chance of the words "ab?" and "ab": less than that of all words that begin with "ab".
     assert 0 < total < 1
     assert models.score(["abab"])[0, 0] > models.score(["dddd"])[0, 0]
+
+
+def test_old_words_are_looked_up_one_by_one():
+    """Recalling some words does not go through all of the old generation, and the ids stay the same."""
+    import public_tokenizers
+
+    from cadencekit.llm.packing import WordIds
+
+    class Unread(dict):
+        def __iter__(self):
+            raise AssertionError("read as a whole")
+
+    path, texts = public_tokenizers.path("word_bpe_49k.json"), [b"Some words, and x1; words.", b"a,b !!! \xc3\x9cber words"]
+    plain = WordIds(path, {}).encode(texts)
+    vocabulary = WordIds(path, {"young": {}, "old": Unread({b"words": b"<old>"})})
+    got = vocabulary.encode(texts)
+    own = WordIds(path, {}).encode([b"words"])[0]
+    assert [g.replace(b"<old>", own) for g in got] == plain and got != plain
