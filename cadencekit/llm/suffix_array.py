@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadencekit.llm.common import binary_column
-from cadencekit.session import materialise
+from cadencekit.session import materialise_and_free
 
 POSITION_BITS = 24
 #: Texts are looked at in pieces of at most so many bytes, which overlap by a window less one.
@@ -330,8 +330,9 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 16, key: str =
 
     triples = chosen.mapInArrow(name, "key long, name long, doc_id long, place long")
     dealt = triples.repartition(F.shiftright("key", 32)).sortWithinPartitions("key", "name", "doc_id")
-    marks = materialise(dealt.mapInArrow(order, "doc_id long, mark long").groupBy("doc_id")
-                        .agg(F.collect_list("mark").alias("marks")))
+    # The triples' shuffle, the largest by far, is gone before the texts are shuffled.
+    marks = materialise_and_free(dealt.mapInArrow(order, "doc_id long, mark long").groupBy("doc_id")
+                                 .agg(F.collect_list("mark").alias("marks")))
     # Both uses of the marked texts read the same shuffle.
     squeezed = chosen.mapInArrow(squeeze, "doc_id long, text binary")
     marked = squeezed.join(marks, "doc_id", "left").select("doc_id", "text", "marks")

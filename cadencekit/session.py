@@ -51,6 +51,20 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def materialise_and_free(df: DataFrame) -> DataFrame:
+    """``materialise``, after which the shuffles that led to the rows go from disk at once.
+
+    Without it they stay until the driver's collector finds them unused, often for the rest of the job."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name)
+    conf.set(name, "true")
+    try:
+        # A new frame: each has the setting of the time when it was made.
+        return materialise(df.select("*"))
+    finally:
+        conf.set(name, before)
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a frame, read from the optimised plan; estimates of nested joins have no bound,
     so beyond 2^60 they are all alike."""
