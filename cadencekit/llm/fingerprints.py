@@ -1,8 +1,8 @@
-"""I-Match fingerprints: hashes of the sorted terms of randomised lexicon subsets.
+"""I-Match fingerprints: hashes of the terms of randomised lexicon subsets.
 
 The lexicon holds the terms whose document frequency lies in a band, which is a band of inverse document
 frequency.  Each subset keeps every lexicon term with its own rate; a text's fingerprint is, per subset, the hash
-of its sorted distinct terms there, if it has any.
+of its distinct terms there, if it has any.
 
 Terms of a group of copies that holds more of the table than the band allows are not in the lexicon, nor are those of
 very few documents.  So a text with less than half of its distinct terms in lexicon subsets also has hashes of
@@ -25,6 +25,8 @@ RATES = tuple(2.0**-k for k in range(3, 11) for _ in range(6))
 
 #: Subsets of own terms are numbered from here; each seed gives one of every rate from disjoint bits of one hash.
 OWN, OWN_SEEDS, OWN_BITS = len(RATES), 6, tuple(range(3, 11))
+#: In place of a subset: what is known of a text, and its terms that are in lexicon subsets.
+ABOUT, INSIDE = -1, -2
 #: Texts of so many distinct terms have no hash of one own term alone: a common word may be all that is shared.
 LONG = 16
 
@@ -50,46 +52,25 @@ def lexicon(docs: DataFrame, text: str = "text", least_share: float = 5e-4, most
             .select("term", numbers.alias("subsets")))
 
 
-def own_entries(terms: Column) -> Column:
-    """Structs of subset and term, in order, of subsets of a text's own terms."""
-    def picked(term: Column, seed: Column, bits: Column) -> Column:
-        found, at = [], 0
+def own_hashes(term: Column) -> list[Column]:
+    return [F.xxhash64(term, F.lit(seed)) for seed in range(OWN_SEEDS)]
+
+
+def own_numbers(hashes: list[Column]) -> list[Column]:
+    """Numbers of the subsets of a text's own terms that the term with these hashes is in, null for the others."""
+    found = []
+    for seed, bits in enumerate(hashes):
+        at = 0
         for level, width in enumerate(OWN_BITS):
             mask = (1 << width) - 1 << at
-            found.append(F.when(bits.bitwiseAND(F.lit(mask)) == 0, F.struct((seed * len(OWN_BITS) + (OWN + level)).alias("number"), term.alias("term"))))
+            found.append(F.when(bits.bitwiseAND(F.lit(mask)) == 0, F.lit(seed * len(OWN_BITS) + OWN + level)))
             at += width
-        return F.array_compact(F.array(*found))
-
-    seeds = F.array(*map(F.lit, range(OWN_SEEDS)))
-    of_term = lambda t: F.flatten(F.transform(seeds, lambda s: F.flatten(F.transform(F.array(F.xxhash64(t, s)), lambda h: picked(t, s, h)))))
-    return F.sort_array(F.flatten(F.transform(terms, of_term)))
-
-
-def both_kinds(entries: Column, terms: Column) -> Column:
-    """The entries of lexicon subsets, those of own subsets, or both, by the share of the terms that the former have."""
-    inside = F.size(F.array_distinct(F.transform(entries, lambda e: e["term"])))
-    return F.concat(F.when(8 * inside >= F.size(terms), entries).otherwise(F.slice(entries, 1, 0)),
-                    F.when(2 * inside < F.size(terms), own_entries(terms)).otherwise(F.slice(entries, 1, 0)))
+    return found
 
 
-def subset_hashes(entries: Column, whole: Column, long: Column) -> Column:
-    """Per subset with a term ``number-hash``: ``entries`` are structs of subset and term in order, and a subset's hash
-    runs through its terms one by one; of ``long`` texts, own subsets need two terms.  Without such subsets only the hash of ``whole``."""
-    name = lambda number, value: F.concat(F.lpad(number.cast("string"), 2, "0"), F.lit("-"), F.lpad(F.lower(F.hex(value)), 16, "0"))
-    start = F.struct(F.lit(-1).alias("number"), F.lit(0).cast("long").alias("value"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"))
-
-    def done(state: Column) -> Column:
-        return F.when((state["number"] < 0) | long & (state["number"] >= OWN) & (state["n"] < 2), state["out"]).otherwise(F.concat(state["out"], F.array(name(state["number"], state["value"]))))
-
-    def step(state: Column, entry: Column) -> Column:
-        same = state["number"] == entry["number"]
-        return F.struct(entry["number"].alias("number"),
-                        F.xxhash64(F.when(same, state["value"]).otherwise(0), entry["term"]).alias("value"),
-                        F.when(same, state["n"] + 1).otherwise(1).alias("n"),
-                        F.when(same, state["out"]).otherwise(done(state)).alias("out"))
-
-    every = F.array(F.concat(F.lit("all-"), F.lpad(F.lower(F.hex(whole)), 16, "0")))
-    return F.aggregate(entries, start, step, lambda state: F.when(F.size(done(state)) == 0, every).otherwise(done(state)))
+def subset_name(number: Column, value: Column) -> Column:
+    """``number-hash`` of a subset."""
+    return F.concat(F.lpad(number.cast("string"), 2, "0"), F.lit("-"), F.lpad(F.lower(F.hex(value)), 16, "0"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -138,10 +119,10 @@ def fingerprints(docs: DataFrame, terms: DataFrame, key: str = "doc_id",
     broadcast while it has at most ``most_broadcast`` terms, otherwise joined by a shuffle."""
     # Terms of no subset go after the checkpoint: before it, Spark would test every word of every text.
     terms = materialise(terms).where(F.size("subsets") > 0)
+    # Lexicon terms bring all their numbers along.
+    terms = terms.select("term", F.array_compact(F.concat("subsets", F.array(F.lit(INSIDE), *own_numbers(own_hashes(F.col("term")))))).alias("numbers"))
     if terms.count() <= most_broadcast:
-        terms = F.broadcast(terms.unionByName(_mark(docs.sparkSession)))
-    else:
-        terms = terms.unionByName(_mark(docs.sparkSession))
+        terms = F.broadcast(terms)
     chosen = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     order = [F.col("guest"), F.col("doc_id").desc_nulls_last(), F.col("text")]
     line = Window.partitionBy("bucket").orderBy(*order)
@@ -155,18 +136,31 @@ def fingerprints(docs: DataFrame, terms: DataFrame, key: str = "doc_id",
         "bucket", "seat", "doc_id", "guest", F.char_length("text").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"), F.explode(versions).alias("v")).where("v.body is not null")
     found = bodies.select("*", distinct_terms(F.col("v.body")).alias("terms"))
+    about = F.struct("doc_id", "guest", "n_chars", "edited_sha256", F.xxhash64(F.sort_array("terms")).alias("whole"))
+    place = ["bucket", "seat", "version", "n_terms"]
     # The first entry is no term: it carries what is known of the text, once, and keeps texts without terms.
-    about = F.struct("doc_id", "guest", "n_chars", "edited_sha256", F.xxhash64(F.sort_array("terms")).alias("whole"), "terms")
     entries = F.concat(F.array(F.struct(F.lit("").alias("term"), about.alias("about"))),
                        F.transform("terms", lambda t: F.struct(t.alias("term"), F.when(t == "", about).alias("about"))))
-    rows = found.select("bucket", "seat", "v.version", F.inline(entries)).join(terms, "term").withColumn("number", F.explode("subsets"))
-    grouped = rows.groupBy("bucket", "seat", "version").agg(
-        F.first("about", ignorenulls=True).alias("about"),
-        F.sort_array(F.collect_list(F.when(F.col("number") >= 0, F.struct("number", "term")))).alias("entries"))
-    kinds = grouped.select("bucket", "seat", "version", both_kinds(F.col("entries"), F.col("about.terms")).alias("entries"),
-                           F.col("about").dropFields("terms").alias("about"), (F.size("about.terms") >= LONG).alias("long"))
-    hashed = kinds.select("bucket", "seat", "version", "about",
-                          subset_hashes(F.col("entries"), F.col("about.whole"), F.col("long")).alias("hashes"))
+    rows = found.select("bucket", "seat", "v.version", F.size("terms").alias("n_terms"), F.inline(entries)).join(terms, "term", "left")
+    own = [f"own{seed}" for seed in range(OWN_SEEDS)]
+    rows = rows.select(*place, "about", F.xxhash64("term").alias("value"), (F.col("term") == "").alias("first"), "numbers",
+                       *(F.when(F.col("numbers").isNull(), h).alias(name) for name, h in zip(own, own_hashes(F.col("term")))))
+    numbers = (F.when(F.col("first"), F.array(F.lit(ABOUT))).when(F.col("numbers").isNotNull(), F.col("numbers"))
+               .otherwise(F.array(*own_numbers([F.col(name) for name in own]))))
+    numbered_rows = rows.select(*place, "about", "value", F.explode(numbers).alias("number")).where("number is not null")
+    # A row for each subset of a text: buffers of fixed size, which need no sort.
+    subsets = (numbered_rows.groupBy(*place, "number", F.when(F.col("number") == ABOUT, F.col("about")).alias("about"))
+               .agg(F.bit_xor("value").alias("value"), F.count(F.lit(1)).alias("n"))
+               .where(~((F.col("number") >= OWN) & (F.col("n_terms") >= LONG) & (F.col("n") < 2))))
+    name, number = subset_name(F.col("number"), F.col("value")), F.col("number")
+    grouped = subsets.groupBy(*place).agg(
+        F.first("about", ignorenulls=True).alias("about"), F.coalesce(F.max(F.when(number == INSIDE, F.col("n"))), F.lit(0)).alias("inside"),
+        F.collect_list(F.when((number >= 0) & (number < OWN), name)).alias("lexical"), F.collect_list(F.when(number >= OWN, name)).alias("own"))
+    hashes = F.concat(F.when(8 * F.col("inside") >= F.col("n_terms"), F.sort_array("lexical")).otherwise(F.array().cast("array<string>")),
+                      F.when(2 * F.col("inside") < F.col("n_terms"), F.sort_array("own")).otherwise(F.array().cast("array<string>")))
+    every = F.array(F.concat(F.lit("all-"), F.lpad(F.lower(F.hex("about.whole")), 16, "0")))
+    hashed = (grouped.select("bucket", "seat", "version", "about", hashes.alias("hashes"))
+              .withColumn("hashes", F.when(F.size("hashes") == 0, every).otherwise(F.col("hashes"))))
     turn = Window.partitionBy("bucket").orderBy("seat", "version")
     beside = hashed.select("version", "about", "hashes", F.lead("hashes", 1).over(turn).alias("other"),
                            F.lead("hashes", 2).over(turn).alias("following"))
@@ -175,7 +169,3 @@ def fingerprints(docs: DataFrame, terms: DataFrame, key: str = "doc_id",
                     F.array_join("other", ".").alias("edited_fingerprint"),
                     likeness(F.col("hashes"), F.col("other")).alias("near_edited"),
                     likeness(F.col("hashes"), F.col("following")).alias("near_next")))
-
-
-def _mark(spark) -> DataFrame:
-    return spark.range(1).select(F.lit("").alias("term"), F.array(F.lit(-1)).alias("subsets"))

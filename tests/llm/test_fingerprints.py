@@ -1,8 +1,10 @@
 """Near copies in a group that holds a third of the table."""
 
 import random
+import struct
 
 import numpy as np
+import xxhash
 from cadencekit.llm import fingerprints
 
 
@@ -28,3 +30,25 @@ def test_near_copies_in_a_large_group(spark):
     # Half of its text is another's.
     assert got[100].near_edited > 0.02
     assert max(got[i].near_next for i in (*range(1, 101), *range(200, 220))) < 0.1
+
+
+def test_subset_hashes_are_plain(spark):
+    """Without a lexicon: the exclusive or of the terms' hashes, for each own subset, whatever the order of the words."""
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(500)}" for _ in range(n)) for n in (0, 1, 7, 15, 60, 300)]
+    texts += [" ".join(reversed(t.split())) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.fingerprint for r in fingerprints.fingerprints(df, fingerprints.lexicon(df).where("false")).collect()}
+    for doc_id, text in enumerate(texts):
+        subsets = {}
+        for term in set(text.split()):
+            value = xxhash.xxh64_intdigest(term, 42)
+            for seed in range(6):
+                bits, at = xxhash.xxh64_intdigest(struct.pack("<i", seed), value), 0
+                for level, width in enumerate(range(3, 11)):
+                    if not bits >> at & (1 << width) - 1:
+                        subsets.setdefault(48 + 8 * seed + level, []).append(value)
+                    at += width
+        least = 2 if len(set(text.split())) >= 16 else 1
+        want = [f"{k:02d}-{np.bitwise_xor.reduce(np.array(v, np.uint64)):016x}" for k, v in sorted(subsets.items()) if len(v) >= least]
+        assert got[doc_id] == ".".join(want) if want else got[doc_id].startswith("all-")
