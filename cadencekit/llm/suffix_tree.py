@@ -21,11 +21,12 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadencekit.llm.common import binary_column, opened, record_batches, share, words
-from cadencekit.session import hot_rows, materialise
+from cadencekit.session import hot_rows, materialise, materialise_and_free
 
 WORD_COUNTS = pa.schema([("word", pa.binary()), ("n", pa.int64())])
 #: The class of words that have no number, in the plain version.
@@ -34,7 +35,11 @@ OTHER = -1
 #: nearer one above), the code of the word itself and its training count, the row's number times two, plus one if held out.
 #: Steps with a negative ``before`` have no context, see ``SUMS`` to ``NO_CONTEXT``.
 STEPS = pa.schema([("w", pa.int64()), ("before", pa.int64()), ("next", pa.int64()), ("n", pa.int64()), ("row", pa.int64())])
-SELDOM = pa.schema([("w", pa.int64()), ("before", pa.int64()), ("word", pa.binary()), ("row", pa.int64())])
+SELDOM = pa.schema([("bucket", pa.int32()), ("w", pa.int64()), ("before", pa.int64()), ("word", pa.binary()), ("row", pa.int64())])
+#: Steps to often words travel packed, see ``packed``; others and those without a context as they are.
+SENT = pa.schema([("bucket", pa.int32()), ("pack", pa.binary()), *STEPS])
+#: Steps that a bucket has on the mean at most.
+BUCKET = 3_000_000
 WON = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                  ("base", pa.float64()), ("won", pa.float64())])
 WON_DDL = "row long, doc_id long, n_tokens long, n_known long, base double, won double"
@@ -216,6 +221,72 @@ def whole_groups(batches, keys: list[str], size: int = 200_000):
         yield {name: np.concatenate([x[name] for x in held]) for name in held[0]}
 
 
+def bucket_of(w: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of the steps after each word."""
+    mixed = (w.view(np.uint64) ^ (w.view(np.uint64) >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
+
+
+def packed(w: np.ndarray, before: np.ndarray, after: np.ndarray, row: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """One row a bucket: steps to often words, sorted by the word before, columns in planes of bytes, squeezed.
+
+    Rows' numbers lie within 2^32 of each other."""
+    bucket = bucket_of(w, buckets)
+    order = np.lexsort((w, bucket))
+    bucket, w, before, after, row = (x[order] for x in (bucket, w, before, after, row))
+    press = zstandard.ZstdCompressor(3)
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]).tolist()
+    numbers, packs = [], []
+    for a, b in zip(cuts, cuts[1:]):
+        if a == b:
+            continue
+        runs, sizes = np.unique(w[a:b], return_counts=True)
+        base = int(row[a:b].min())
+        planes = np.stack([before[a:b] >> 32, before[a:b] & 0xFFFFFFFF, after[a:b], np.diff(row[a:b] - base, prepend=0)]).astype(np.uint32)
+        body = b"".join((np.array([b - a, len(runs), base]).tobytes(), runs.tobytes(), sizes.astype(np.uint32).tobytes(),
+                         planes.view(np.uint8).reshape(4, b - a, 4).transpose(0, 2, 1).tobytes()))
+        numbers.append(bucket[a])
+        packs.append(press.compress(body))
+    columns = {"bucket": pa.array(numbers, pa.int32()), "pack": pa.array(packs, pa.binary())}
+    return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(len(packs), f.type)) for f in SENT], schema=SENT)
+
+
+def unpacked(pack: bytes) -> tuple[np.ndarray, ...]:
+    """``w, before, next, row`` of a pack."""
+    body = zstandard.decompress(pack)
+    n, kinds, base = np.frombuffer(body, np.int64, 3).tolist()
+    runs, sizes = np.frombuffer(body, np.int64, kinds, 24), np.frombuffer(body, np.uint32, kinds, 24 + 8 * kinds)
+    planes = np.frombuffer(body, np.uint8, 16 * n, 24 + 12 * kinds).reshape(4, 4, n).transpose(0, 2, 1)
+    near, far, after, row = np.ascontiguousarray(planes).view(np.uint32).reshape(4, n)
+    return (np.repeat(runs, sizes), near.astype(np.int64) << 32 | far, after.astype(np.int64),
+            np.cumsum(row, dtype=np.uint32).astype(np.int64) + base)
+
+
+def bucket_groups(batches, n_of: np.ndarray, size: int = 200_000):
+    """Columns of a task's steps, sorted by the word before, in parts that hold all steps after a word."""
+    held: list[tuple[np.ndarray, ...]] = []
+    for batch in batches:
+        packs = batch.column("pack")
+        for pack in packs:
+            if pack.is_valid:
+                w, before, after, row = unpacked(pack.as_py())
+                held.append((w, before, after, n_of[after], row))
+        plain = batch.filter(packs.is_null())
+        if plain.num_rows:
+            held.append(tuple(plain.column(name).to_numpy() for name in STEPS.names))
+    if not held:
+        return
+    steps = dict(zip(STEPS.names, map(np.concatenate, zip(*held))))
+    held.clear()
+    order = np.argsort(steps["w"], kind="stable")
+    ends = np.append(np.flatnonzero(np.diff(steps["w"][order])) + 1, len(order))
+    at = 0
+    while at < len(order):
+        end = int(ends[min(np.searchsorted(ends, at + size), len(ends) - 1)])
+        yield {name: x[order[at:end]] for name, x in steps.items()}
+        at = end
+
+
 def summed(row: np.ndarray, **sums: np.ndarray) -> pa.RecordBatch:
     """A batch of ``WON`` with sums for each row."""
     rows, at = np.unique(row, return_inverse=True)
@@ -237,10 +308,16 @@ def scores(docs: DataFrame, held_out: Column, least_share: float = 1e-6, depth:
     # A row's number by its place in the scan, which a union of stages doesn't shift.
     chosen = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"),
                          held_out.alias("held_out"))
-    counts = materialise(word_counts(chosen.where(~F.col("held_out"))))
+    counts = materialise_and_free(word_counts(chosen.where(~F.col("held_out"))))
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     often = {bytes(r["word"]): r["n"] for r in counts.where(F.col("n") >= least_share * total).toLocalIterator()}
+    # The commonest have the least numbers, which pack best.
+    often = dict(sorted(often.items(), key=lambda x: -x[1]))
     whole = total + 0.5 * (kinds + 1)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    limit = min(hot_rows(spark), max(20_000, 4 * total // tasks))
+    hot = [number for number, n in enumerate(often.values()) if n > limit]
+    buckets = max(tasks, total // BUCKET + 1)
     shared = share(spark, ({word: number for number, word in enumerate(often)}, np.array(list(often.values()), np.int64)))
 
     def coded(batches, size: int = 200_000):
@@ -277,9 +354,10 @@ def scores(docs: DataFrame, held_out: Column, least_share: float = 1e-6, depth:
         before = np.where(place > 1, near, 0) << 32 | np.where(place > 2, far, 0)
         return rows, np.where(place > 0, w, -1 - rows), np.where(place > 0, before, NO_CONTEXT)
 
-    def often_steps(batches):
+    def often_steps(batches, size: int = min(2_000_000, max(500_000, 2_000 * buckets))):
         n_of = opened(shared)[1]
         base = np.log10((n_of + 0.5) / whole)
+        waiting, n = [], 0
         for ids, sides, row, tokens, codes, starts in coded(batches):
             rows, w, before = placed(sides, row, codes, starts)
             mine = codes < HASHED
@@ -287,25 +365,40 @@ def scores(docs: DataFrame, held_out: Column, least_share: float = 1e-6, depth:
             own = rows[starts]
             known = np.add.reduceat(mine, starts, dtype=np.int64)
             score = np.add.reduceat(np.where(mine, base[number] if len(base) else 0.0, 0.0), starts)
-            at = np.flatnonzero(mine & (before >= 0))
+            at = np.flatnonzero(mine & (before >= 0) & ~np.isin(w, hot))
             sizes = np.diff(np.append(starts, len(codes)))
             null = np.array([i is None for i in ids])
-            parts = ((w[at], before[at], codes[at], n_of[codes[at]], rows[at]),
-                     (-1 - own, np.full(len(ids), SUMS), score.view(np.int64), known, own),
+            parts = ((-1 - own, np.full(len(ids), SUMS), score.view(np.int64), known, own),
                      (-1 - own, np.where(null, WITHOUT_ID, WITH_ID), np.array([i or 0 for i in ids], np.int64), sizes, own))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], schema=STEPS)
+            columns = [np.concatenate(x) for x in zip(*parts)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket_of(columns[0], buckets)), pa.nulls(len(columns[0]), pa.binary()),
+                                              *map(pa.array, columns)], schema=SENT)
+            waiting.append((w[at], before[at], codes[at], rows[at]))
+            n += len(at)
+            if n >= size:
+                yield packed(*map(np.concatenate, zip(*waiting)), buckets)
+                waiting, n = [], 0
+        if n:
+            yield packed(*map(np.concatenate, zip(*waiting)), buckets)
+
+    def hot_steps(batches):
+        n_of = opened(shared)[1]
+        for _, sides, row, tokens, codes, starts in coded(batches):
+            rows, w, before = placed(sides, row, codes, starts)
+            at = np.flatnonzero((codes < HASHED) & (before >= 0) & np.isin(w, hot))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (w[at], before[at], codes[at], n_of[codes[at]], rows[at])], schema=STEPS)
 
     def seldom_steps(batches):
         for _, sides, row, tokens, codes, starts in coded(batches):
             rows, w, before = placed(sides, row, codes, starts)
             at = np.flatnonzero(codes >= HASHED)
-            yield pa.RecordBatch.from_arrays([pa.array(w[at]), pa.array(before[at]), pa.array([tokens[i] for i in at.tolist()], pa.binary()),
-                                              pa.array(rows[at])], schema=SELDOM)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket_of(w[at], buckets)), pa.array(w[at]), pa.array(before[at]),
+                                              pa.array([tokens[i] for i in at.tolist()], pa.binary()), pa.array(rows[at])], schema=SELDOM)
 
     def win(wide: int, keys: list[str]):
         """Sums for each row of steps that meet by the keys; contexts of ``wide`` words are behind them already."""
         def run(batches):
-            for steps in whole_groups(batches, keys):
+            for steps in whole_groups(batches, keys) if wide else bucket_groups(batches, opened(shared)[1]):
                 row, before, n = steps["row"], steps["before"], steps["n"]
                 tail = before < 0
                 real = ~tail | (before == NO_CONTEXT)
@@ -327,16 +420,17 @@ def scores(docs: DataFrame, held_out: Column, least_share: float = 1e-6, depth:
 
     c = F.coalesce(F.col("n"), F.lit(0))
     # A word's code as ``Codes`` has it: the joined table's own hash would be another one.
-    joined = (chosen.mapInArrow(seldom_steps, "w long, before long, word binary, row long")
+    joined = (chosen.mapInArrow(seldom_steps, "bucket int, w long, before long, word binary, row long")
               .join(counts.where(F.col("n") < least_share * total), "word", "left")
-              .select("w", "before", F.xxhash64("word").bitwiseAND(HASHED - 1).bitwiseOR(HASHED).alias("next"), c.alias("n"), "row"))
-    steps = chosen.mapInArrow(often_steps, "w long, before long, next long, n long, row long").unionByName(joined)
-    limit = min(hot_rows(spark), max(20_000, 4 * total // int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    hot = [number for number, n in enumerate(often.values()) if n > limit]
-    plain = steps.where(~F.col("w").isin(hot)) if hot else steps
-    won = plain.repartition("w").sortWithinPartitions("w").mapInArrow(win(0, ["w"]), WON_DDL)
+              .select("bucket", F.lit(None).cast("binary").alias("pack"), "w", "before",
+                      F.xxhash64("word").bitwiseAND(HASHED - 1).bitwiseOR(HASHED).alias("next"), c.alias("n"), "row"))
+    steps = chosen.mapInArrow(often_steps, "bucket int, pack binary, w long, before long, next long, n long, row long")
+    steps = steps.unionByName(joined.where(~F.col("w").isin(hot)) if hot else joined)
+    won = steps.repartitionById(buckets, F.col("bucket")).mapInArrow(win(0, []), WON_DDL)
     if hot:
-        for wide, keys, part in _under_wide(steps.where(F.col("w").isin(hot)), whole, limit, depth, gain, least_count):
+        wide_steps = (chosen.mapInArrow(hot_steps, "w long, before long, next long, n long, row long")
+                      .unionByName(joined.where(F.col("w").isin(hot)).drop("bucket", "pack")))
+        for wide, keys, part in _under_wide(wide_steps, whole, limit, depth, gain, least_count):
             won = won.unionByName(part.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(win(wide, keys), WON_DDL))
     return (won.groupBy("row").agg(*(f(x).alias(x) for f, x in ((F.max, "doc_id"), (F.sum, "n_tokens"), (F.sum, "n_known"), (F.sum, "base"), (F.sum, "won"))))
             .select("doc_id", (F.col("row") % 2 == 1).alias("held_out"), "n_tokens", "n_known",

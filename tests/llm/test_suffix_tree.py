@@ -71,3 +71,21 @@ def test_often_is_no_switch(spark):
     df = spark.read.parquet(f"{SF_DIR}/documents.parquet").where("doc_id < 40").select("doc_id", "text")
     one, other = ({r.doc_id: r.score for r in suffix_tree.scores(df, held_out(F.col("doc_id"), 5, 1), least_share=x).collect()} for x in (1e-6, 1e-3))
     assert all(math.isclose(one[i], other[i], rel_tol=1e-9) for i in one)
+
+
+def test_packs_give_the_steps_back():
+    rng = np.random.default_rng(1)
+    n, far = 60_000, 1 << 40
+    w = np.minimum(rng.zipf(1.3, n), 50_000)
+    w[:100] = suffix_tree.HASHED + rng.integers(0, 1 << 40, 100)
+    near, more = (np.minimum(rng.zipf(1.3, n), (1 << 31) - 1) for _ in range(2))
+    before, after, row = near << 32 | more, np.minimum(rng.zipf(1.3, n), 50_000), far + np.sort(rng.integers(0, 400, n))
+    batch = suffix_tree.packed(w, before, after, row, 5)
+    assert sorted(batch.column("bucket").to_pylist()) == list(range(5))
+    packs = batch.column("pack").to_pylist()
+    got = sorted(zip(*(np.concatenate(x).tolist() for x in zip(*map(suffix_tree.unpacked, packs)))))
+    assert got == sorted(zip(w.tolist(), before.tolist(), after.tolist(), row.tolist()))
+    assert sum(map(len, packs)) < 10 * n
+    # Parts hold all steps after a word.
+    seen = [set(x["w"].tolist()) for x in suffix_tree.bucket_groups([batch], np.arange(50_001), 500)]
+    assert len(seen) > 5 and sum(map(len, seen)) == len(set(w.tolist()))
