@@ -5,7 +5,9 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterable, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,6 +28,35 @@ def binary_column(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [value or b"" for value in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
+def text_parts(batch: pa.RecordBatch, size: int = 2_000_000):
+    """Slices of a batch whose texts have about ``size`` bytes, or a longer one."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes, dtype=np.int64) // size
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]).tolist()
+    for a, b in zip(cuts, cuts[1:]):
+        if a < b:
+            yield batch.slice(a, b - a)
+
+
+def tokenised(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The different words of texts and the empty one, which is a text's end; the tokens, by number; the texts' first places."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    sizes, flat = pc.list_value_length(split).to_numpy().astype(np.int64), split.flatten()
+    # White space at a text's ends gives empty words.
+    real = pc.binary_length(flat).to_numpy() > 0
+    if not real.all():
+        sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[real], minlength=len(sizes))
+        flat = flat.filter(pa.array(real))
+    flat = flat.dictionary_encode()
+    kinds = flat.dictionary.cast(pa.binary())
+    starts = np.cumsum(sizes + 1) - sizes - 1
+    tokens = np.full(len(flat) + len(sizes), len(kinds), np.int64)
+    inner = np.ones(len(tokens), bool)
+    inner[starts + sizes] = False
+    tokens[inner] = flat.indices.to_numpy()
+    return pa.concat_arrays([kinds, pa.array([b""], pa.binary())]), tokens, starts
+
+
 def neutral(docs: DataFrame, *used: str) -> DataFrame:
     """The table with other names for all columns but ``used``, so that none clashes with a column that an operator adds;
     ``toDF(*docs.columns)`` gives them back."""

@@ -17,15 +17,17 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadencekit.llm.common import binary_column, opened, record_batches, share, words
+from cadencekit.llm.common import opened, share, text_parts, tokenised
 from cadencekit.session import hot_rows, materialise, materialise_and_free
 
 WORD_COUNTS = pa.schema([("word", pa.binary()), ("n", pa.int64())])
@@ -36,10 +38,10 @@ OTHER = -1
 #: Steps with a negative ``before`` have no context, see ``SUMS`` to ``NO_CONTEXT``.
 STEPS = pa.schema([("w", pa.int64()), ("before", pa.int64()), ("next", pa.int64()), ("n", pa.int64()), ("row", pa.int64())])
 SELDOM = pa.schema([("bucket", pa.int32()), ("w", pa.int64()), ("before", pa.int64()), ("word", pa.binary()), ("row", pa.int64())])
-#: Steps to often words travel packed, see ``packed``; others and those without a context as they are.
+#: Steps to often words travel packed, see ``packed``, with the number of their part as ``w``; others and those without a context as they are.
 SENT = pa.schema([("bucket", pa.int32()), ("pack", pa.binary()), *STEPS])
-#: Steps that a bucket has on the mean at most.
-BUCKET = 3_000_000
+#: Steps that a bucket has on the mean at most, and parts of a bucket, of which a task unpacks one after the other.
+BUCKET, PARTS = 3_000_000, 4
 WON = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                  ("base", pa.float64()), ("won", pa.float64())])
 WON_DDL = "row long, doc_id long, n_tokens long, n_known long, base double, won double"
@@ -54,20 +56,52 @@ MOST_DEPTH = 3
 def word_counts(docs: DataFrame, text: str = "text", most: int = 300_000) -> DataFrame:
     """``word`` (bytes; empty for the end token) and ``n`` over all rows."""
     def run(batches):
-        held: Counter = Counter()
+        held, n = [], 0
         for batch in batches:
-            for body in binary_column(batch, "text"):
-                held.update(words(body.lower()))
-                held[b""] += 1
-                if len(held) > most:
-                    yield from record_batches(held.items(), WORD_COUNTS)
-                    held = Counter()
-        yield from record_batches(held.items(), WORD_COUNTS)
+            for part in text_parts(batch):
+                kinds, tokens, _ = tokenised(part.column("text"))
+                held.append(pa.table([kinds, np.bincount(tokens, minlength=len(kinds))], schema=WORD_COUNTS))
+                n += len(kinds)
+                if n > 2 * most:
+                    held = [merged(held)]
+                    n = len(held[0])
+                    if n > most:
+                        yield from held[0].to_batches(20_000)
+                        held, n = [], 0
+        if held:
+            yield from merged(held).to_batches(20_000)
+        held.clear()
+        pa.default_memory_pool().release_unused()
+
+    def merged(held):
+        found = pa.concat_tables(held).group_by("word").aggregate([("n", "sum")])
+        return pa.table([found["word"], found["n_sum"]], schema=WORD_COUNTS).combine_chunks()
 
     return (docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "word binary, n long")
             .groupBy("word").agg(F.sum("n").alias("n")))
 
 
+#: Words by their counts' logarithms, a few hundred levels.
+LEVEL = "floor(8 * log2(n))"
+
+
+def often_words(counts: DataFrame, most: int) -> tuple[int, int, int, np.ndarray, np.ndarray]:
+    """Tokens, different words, the least level of the often words, of which there are at most ``most``, and their hashes and
+    counts; the commonest come first, so that they have the least numbers, which pack best."""
+    level = F.expr(LEVEL)
+    levels = sorted(counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).collect(), reverse=True)
+    least, room = 1 << 30, most
+    for x in levels:
+        room -= x["words"]
+        if room < 0:
+            break
+        least = x["level"]
+    often = counts.where(level >= least).select(F.xxhash64("word").alias("hash"), "n").toArrow()
+    hashes, n_of = often["hash"].to_numpy(), often["n"].to_numpy()
+    order = np.lexsort((hashes, -n_of))
+    return sum(x["n"] for x in levels), sum(x["words"] for x in levels), least, hashes[order], n_of[order]
+
+
 class Node:
     """Counts of the symbols after one context, and their smoothed chances: as many shares of the parent's chance as
     there are different symbols are added to the counts (Witten and Bell)."""
@@ -125,19 +159,16 @@ def longest(nodes: dict[tuple[int, ...], Node], before: tuple[int, ...], root: R
     return root
 
 
-class Codes(dict):
-    """Codes of words: the numbers of often words, hashes of others."""
-
-    def __init__(self, numbers: dict[bytes, int], most: int = 400_000):
-        super().__init__(numbers)
-        self.numbers, self.most = numbers, len(numbers) + most
+def codes_of(kinds: pa.Array, hashes: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Codes of words: the numbers of often words, hashes of others.
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > self.most:
-            self.clear()
-            self.update(self.numbers)
-        self[word] = code = HASHED | xxhash.xxh3_64_intdigest(word) >> 2
-        return code
+    ``hashes`` are those of the often words as Spark's ``xxhash64`` has them, in order, and ``numbers`` theirs."""
+    found = np.fromiter(map(xxhash.xxh64_intdigest, kinds.to_pylist(), repeat(42)), np.uint64, len(kinds))
+    codes = (found >> np.uint64(2)).view(np.int64) | HASHED
+    if not len(hashes):
+        return codes
+    at = np.minimum(np.searchsorted(hashes, found.view(np.int64)), len(hashes) - 1)
+    return np.where(hashes[at] == found.view(np.int64), numbers[at], codes)
 
 
 def short(codes: np.ndarray) -> np.ndarray:
@@ -145,58 +176,57 @@ def short(codes: np.ndarray) -> np.ndarray:
     return np.where(codes < HASHED, codes + 1, codes >> 20 & (1 << 30) - 1 | 1 << 30)
 
 
-def walk(contexts: list[np.ndarray], symbols: np.ndarray, training: np.ndarray, chances: np.ndarray, gain: float,
-         least: int) -> np.ndarray:
+def refined(group: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Numbers of the different pairs of a group and a key, both below 2^31."""
+    both = group << 32 | key
+    order = np.argsort(both)
+    both = both[order]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(np.concatenate([[False], both[1:] != both[:-1]])[:len(order)])
+    return out
+
+
+def walk(w: np.ndarray, before: np.ndarray, symbols: np.ndarray, training: np.ndarray, chances: np.ndarray, depth: int, wide: int,
+         gain: float, least: int) -> np.ndarray:
     """Chances of the symbols in their longest retained contexts.
 
-    ``contexts`` are arrays of context numbers, shorter contexts first, negative where a step has none; ``chances`` are those
-    in the context before the first.  All steps of a context have to be there."""
+    Contexts are the word before and those in ``before``; ``chances`` are those in the contexts of ``wide`` words, which are behind
+    them already.  All steps of a longer context have to be there.  A context that is seen too seldom has no retained longer ones."""
     chances = chances.copy()
-    for context in contexts:
-        at = np.flatnonzero(context >= 0)
+    if wide >= depth:
+        return chances
+    at = np.flatnonzero(before >= 0)
+    group = np.unique(w[at], return_inverse=True)[1]
+    symbols = np.unique(symbols, return_inverse=True)[1]
+    for length in range(1, depth + 1):
+        if length > 1:
+            key = before[at] >> 32 if length == 2 else before[at] & 0xFFFFFFFF
+            there = key > 0
+            at, group = at[there], refined(group[there], key[there])
         if not len(at):
+            break
+        if length <= wide:
             continue
-        at = at[np.lexsort((symbols[at], context[at]))]
-        c, s = context[at], symbols[at]
-        new = np.concatenate([[True], c[1:] != c[:-1]])
-        fresh = new.copy()
-        fresh[1:] |= s[1:] != s[:-1]
-        pairs = np.flatnonzero(fresh)
+        both = group << 32 | symbols[at]
+        order = np.argsort(both)
+        at, both = at[order], both[order]
+        pairs = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+        c = both[pairs] >> 32
         n = np.add.reduceat(training[at], pairs, dtype=np.int64)
         parent = chances[at[pairs]]
-        firsts = np.flatnonzero(new[pairs])
+        firsts = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
         total, kinds = np.add.reduceat(n, firsts), np.add.reduceat(n > 0, firsts, dtype=np.int64)
         won = np.add.reduceat(n * np.log(np.maximum(n, 1) / parent), firsts) - total * np.log(np.maximum(total, 1))
         kept = (total >= least) & (won > gain * kinds)
-        group = np.cumsum(new[pairs]) - 1
-        mine = np.where(kept[group], (n + kinds[group] * parent) / np.maximum(total + kinds, 1)[group], parent)
-        chances[at] = mine[np.cumsum(fresh) - 1]
+        mine = np.repeat(np.arange(len(firsts)), np.diff(np.append(firsts, len(pairs))))
+        better = np.where(kept[mine], (n + kinds[mine] * parent) / np.maximum(total + kinds, 1)[mine], parent)
+        sizes = np.diff(np.append(pairs, len(at)))
+        chances[at] = np.repeat(better, sizes)
+        left = np.repeat(total[mine] >= least, sizes)
+        at, group = at[left], np.repeat(mine, sizes)[left]
     return chances
 
 
-def ranked(*keys: np.ndarray) -> np.ndarray:
-    """Numbers of the different tuples of keys."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    for key in keys:
-        new[1:] |= key[order[1:]] != key[order[:-1]]
-    out = np.empty(len(order), np.int64)
-    out[order] = np.cumsum(new)
-    return out
-
-
-def longer(w: np.ndarray, before: np.ndarray, depth: int, wide: int = 0) -> list[np.ndarray]:
-    """Numbers of the contexts of more than ``wide`` words."""
-    near, far = before >> 32, before & 0xFFFFFFFF
-    real = before >= 0
-    found = [np.where(real, w, -1)] if wide < 1 else []
-    if depth > 1 and wide < 2:
-        found.append(np.where(real & (near > 0), ranked(w, near), -1))
-    if depth > 2 and wide < 3:
-        found.append(np.where(real & (far > 0), ranked(w, near, far), -1))
-    return found
-
-
 def whole_groups(batches, keys: list[str], size: int = 200_000):
     """Columns of sorted rows, in parts that hold all rows of their keys."""
     held: list[dict[str, np.ndarray]] = []
@@ -227,11 +257,11 @@ def bucket_of(w: np.ndarray, buckets: int) -> np.ndarray:
     return ((mixed >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
 
 
-def packed(w: np.ndarray, before: np.ndarray, after: np.ndarray, row: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """One row a bucket: steps to often words, sorted by the word before, columns in planes of bytes, squeezed.
+def packed(w: np.ndarray, before: np.ndarray, after: np.ndarray, row: np.ndarray, buckets: int, parts: int = 1) -> pa.RecordBatch:
+    """One row a part of a bucket: steps to often words, sorted by the word before, columns in planes of bytes, squeezed.
 
     Rows' numbers lie within 2^32 of each other."""
-    bucket = bucket_of(w, buckets)
+    bucket = bucket_of(w, buckets * parts)
     order = np.lexsort((w, bucket))
     bucket, w, before, after, row = (x[order] for x in (bucket, w, before, after, row))
     press = zstandard.ZstdCompressor(3)
@@ -247,7 +277,8 @@ def packed(w: np.ndarray, before: np.ndarray, after: np.ndarray, row: np.ndarray
                          planes.view(np.uint8).reshape(4, b - a, 4).transpose(0, 2, 1).tobytes()))
         numbers.append(bucket[a])
         packs.append(press.compress(body))
-    columns = {"bucket": pa.array(numbers, pa.int32()), "pack": pa.array(packs, pa.binary())}
+    numbers = np.array(numbers, np.int32)
+    columns = {"bucket": pa.array(numbers // parts), "w": pa.array(numbers % parts, pa.int64()), "pack": pa.array(packs, pa.binary())}
     return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(len(packs), f.type)) for f in SENT], schema=SENT)
 
 
@@ -262,31 +293,73 @@ def unpacked(pack: bytes) -> tuple[np.ndarray, ...]:
             np.cumsum(row, dtype=np.uint32).astype(np.int64) + base)
 
 
-def bucket_groups(batches, n_of: np.ndarray, size: int = 200_000):
-    """Columns of a task's steps, sorted by the word before, in parts that hold all steps after a word."""
-    held: list[tuple[np.ndarray, ...]] = []
+def dealt(batches, buckets: int, parts: int) -> tuple[dict[int, list[bytes]], dict[int, list[pa.RecordBatch]]]:
+    """Packs and other steps of a task by part."""
+    packs, plain = {}, {}
     for batch in batches:
-        packs = batch.column("pack")
-        for pack in packs:
+        single = batch.column("pack").is_null()
+        for part, pack in zip(batch.column("w"), batch.column("pack")):
             if pack.is_valid:
-                w, before, after, row = unpacked(pack.as_py())
-                held.append((w, before, after, n_of[after], row))
-        plain = batch.filter(packs.is_null())
-        if plain.num_rows:
-            held.append(tuple(plain.column(name).to_numpy() for name in STEPS.names))
-    if not held:
-        return
-    steps = dict(zip(STEPS.names, map(np.concatenate, zip(*held))))
-    held.clear()
-    order = np.argsort(steps["w"], kind="stable")
-    ends = np.append(np.flatnonzero(np.diff(steps["w"][order])) + 1, len(order))
+                packs.setdefault(part.as_py(), []).append(pack.as_py())
+        rest = batch.select(STEPS.names).filter(single)
+        if rest.num_rows:
+            part = bucket_of(rest.column("w").to_numpy(), buckets * parts) % parts
+            for number in np.unique(part).tolist():
+                plain.setdefault(number, []).append(rest.filter(pa.array(part == number)))
+    return packs, plain
+
+
+def bucket_groups(batches, n_of: np.ndarray, size: int = 200_000, buckets: int = 1, parts: int = 1):
+    """Columns of a task's steps, sorted by the word before, in parts that hold all steps after a word; of more than ``size``
+    steps if they are after one word."""
+    packs, plain = dealt(batches, buckets, parts)
+    for part in sorted(packs.keys() | plain.keys()):
+        held = []
+        for w, before, after, row in map(unpacked, packs.pop(part, [])):
+            held.append((w, before, after, n_of[after], row))
+        for batch in plain.pop(part, []):
+            held.append(tuple(batch.column(name).to_numpy() for name in STEPS.names))
+        columns = dict(zip(STEPS.names, map(list, zip(*held))))
+        held.clear()
+        # One column after the other, so that only one is there twice.
+        steps = {name: np.concatenate(columns.pop(name)) for name in STEPS.names}
+        order = np.argsort(steps["w"], kind="stable")
+        for name in STEPS.names:
+            steps[name] = steps[name][order]
+        yield from cut(steps, steps["w"], size)
+
+
+def cut(steps: dict[str, np.ndarray], key: np.ndarray, size: int):
+    """Slices of columns sorted by a key, of ``size`` rows at most unless they have one key."""
+    ends = np.append(np.flatnonzero(np.diff(key)) + 1, len(key))
     at = 0
-    while at < len(order):
-        end = int(ends[min(np.searchsorted(ends, at + size), len(ends) - 1)])
-        yield {name: x[order[at:end]] for name, x in steps.items()}
+    while at < len(key):
+        last = np.searchsorted(ends, at + size, "right") - 1
+        end = int(ends[last]) if last >= 0 and ends[last] > at else int(ends[last + 1])
+        yield {name: x[at:end] for name, x in steps.items()}
         at = end
 
 
+def by_second_word(steps: dict[str, np.ndarray], whole: float, gain: float, least: int, size: int = 200_000):
+    """The steps after one word in slices that hold all steps after two words, with their chances ``p`` after the one.
+
+    So the steps after a very often word, which a task has in one part, are not walked all at once."""
+    symbols, at = np.unique(steps["next"], return_inverse=True)
+    n_of = np.zeros(len(symbols), np.int64)
+    n_of[at] = steps["n"]
+    n = np.bincount(at[steps["row"] & 1 == 0], minlength=len(symbols))
+    parent = (n_of + 0.5) / whole
+    total, kinds = n.sum(), np.count_nonzero(n)
+    won = (n * np.log(np.maximum(n, 1) / parent)).sum() - total * np.log(max(total, 1))
+    kept = total >= least and won > gain * kinds
+    steps = steps | {"p": ((n + kinds * parent) / (total + kinds) if kept else parent)[at]}
+    del at
+    order = np.argsort(steps["before"])
+    for name in list(steps):
+        steps[name] = steps[name][order]
+    return cut(steps, steps["before"] >> 32, size)
+
+
 def summed(row: np.ndarray, **sums: np.ndarray) -> pa.RecordBatch:
     """A batch of ``WON`` with sums for each row."""
     rows, at = np.unique(row, return_inverse=True)
@@ -295,13 +368,29 @@ def summed(row: np.ndarray, **sums: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(len(rows), f.type)) for f in WON], schema=WON)
 
 
+def sums(parts, size: int = 600_000):
+    """``summed`` over many parts at once: rows, base scores, what the tree won, and known tokens."""
+    held: list[tuple[np.ndarray, ...]] = []
+    n = 0
+    for part in parts:
+        held.append(part)
+        n += len(part[0])
+        if n >= size:
+            row, base, won, known = map(np.concatenate, zip(*held))
+            yield summed(row, base=base, won=won, n_known=known)
+            held, n = [], 0
+    if n:
+        row, base, won, known = map(np.concatenate, zip(*held))
+        yield summed(row, base=base, won=won, n_known=known)
+
+
 def scores(docs: DataFrame, held_out: Column, least_share: float = 1e-6, depth: int = 3, gain: float = 3.0,
            least_count: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Scores of every whole text from the words of the rows that are not ``held_out``.
 
-    ``base_score`` is the root's score of all tokens, ``score`` the tree's.  Words that make up ``least_share`` of the
-    tokens are often: at most 1 / ``least_share`` words, which are broadcast.  The counts of other words are joined.  Which
-    words are often changes no result."""
+    ``base_score`` is the root's score of all tokens, ``score`` the tree's.  The commonest words are often: at most
+    1 / ``least_share`` of them, whose hashes and counts are broadcast (20 bytes a word).  The counts of other words are joined.
+    Which words are often changes no result."""
     if not 1 <= depth <= MOST_DEPTH:
         raise ValueError(f"contexts have 1 to {MOST_DEPTH} words")
     spark = docs.sparkSession
@@ -309,40 +398,28 @@ def scores(docs: DataFrame, held_out: Column, least_share: float = 1e-6, depth:
     chosen = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"),
                          held_out.alias("held_out"))
     counts = materialise_and_free(word_counts(chosen.where(~F.col("held_out"))))
-    total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    often = {bytes(r["word"]): r["n"] for r in counts.where(F.col("n") >= least_share * total).toLocalIterator()}
-    # The commonest have the least numbers, which pack best.
-    often = dict(sorted(often.items(), key=lambda x: -x[1]))
+    total, kinds, least_level, hashes, n_of = often_words(counts, round(1 / least_share))
+    order = np.argsort(hashes)
     whole = total + 0.5 * (kinds + 1)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     limit = min(hot_rows(spark), max(20_000, 4 * total // tasks))
-    hot = [number for number, n in enumerate(often.values()) if n > limit]
+    hot = np.flatnonzero(n_of > limit).tolist()
     buckets = max(tasks, total // BUCKET + 1)
-    shared = share(spark, ({word: number for number, word in enumerate(often)}, np.array(list(often.values()), np.int64)))
+    shared = share(spark, (hashes[order], order.astype(np.int32), n_of))
 
-    def coded(batches, size: int = 200_000):
-        """Texts in parts: ids, sides, rows' numbers, words, their codes and the texts' first places."""
-        codes = Codes(opened(shared)[0])
-        ids, sides, row, tokens, starts = [], [], [], [], []
+    def coded(batches):
+        """Texts in parts: ids, sides, rows' numbers, different words, tokens by number, their codes and the texts' first places."""
+        hashes, numbers, _ = opened(shared)
         for batch in batches:
-            for number, doc_id, held, body in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(),
-                                                  batch.column("held_out").to_pylist(), binary_column(batch, "text")):
-                row.append(number)
-                ids.append(doc_id)
-                sides.append(held)
-                starts.append(len(tokens))
-                tokens += words(body.lower())
-                tokens.append(b"")
-                if len(tokens) > size:
-                    yield ids, sides, row, tokens, np.fromiter(map(codes.__getitem__, tokens), np.int64, len(tokens)), np.array(starts)
-                    ids, sides, row, tokens, starts = [], [], [], [], []
-        if ids:
-            yield ids, sides, row, tokens, np.fromiter(map(codes.__getitem__, tokens), np.int64, len(tokens)), np.array(starts)
+            for part in text_parts(batch):
+                kinds, tokens, starts = tokenised(part.column("text"))
+                yield (part.column("doc_id"), part.column("held_out").to_numpy(zero_copy_only=False), part.column("row").to_numpy(), kinds, tokens,
+                       codes_of(kinds, hashes, numbers)[tokens], starts)
 
     def placed(sides, row, codes, starts):
         """For each token: its row, its place in the text, the word before it and those before that."""
         sizes = np.diff(np.append(starts, len(codes)))
-        rows = np.repeat(np.array(row, np.int64) << 1 | np.array(sides, np.int64), sizes)
+        rows = np.repeat(row << 1 | sides.astype(np.int64), sizes)
         place = np.arange(len(codes)) - np.repeat(starts, sizes)
         small = short(codes)
         w, near, far = np.zeros((3, len(codes)), np.int64)
@@ -355,10 +432,10 @@ def scores(docs: DataFrame, held_out: Column, least_share: float = 1e-6, depth:
         return rows, np.where(place > 0, w, -1 - rows), np.where(place > 0, before, NO_CONTEXT)
 
     def often_steps(batches, size: int = min(2_000_000, max(500_000, 2_000 * buckets))):
-        n_of = opened(shared)[1]
+        n_of = opened(shared)[2]
         base = np.log10((n_of + 0.5) / whole)
         waiting, n = [], 0
-        for ids, sides, row, tokens, codes, starts in coded(batches):
+        for ids, sides, row, _, _, codes, starts in coded(batches):
             rows, w, before = placed(sides, row, codes, starts)
             mine = codes < HASHED
             number = np.where(mine, codes, 0)
@@ -367,63 +444,77 @@ def scores(docs: DataFrame, held_out: Column, least_share: float = 1e-6, depth:
             score = np.add.reduceat(np.where(mine, base[number] if len(base) else 0.0, 0.0), starts)
             at = np.flatnonzero(mine & (before >= 0) & ~np.isin(w, hot))
             sizes = np.diff(np.append(starts, len(codes)))
-            null = np.array([i is None for i in ids])
+            null = ids.is_null().to_numpy(zero_copy_only=False)
             parts = ((-1 - own, np.full(len(ids), SUMS), score.view(np.int64), known, own),
-                     (-1 - own, np.where(null, WITHOUT_ID, WITH_ID), np.array([i or 0 for i in ids], np.int64), sizes, own))
+                     (-1 - own, np.where(null, WITHOUT_ID, WITH_ID), ids.fill_null(0).to_numpy(), sizes, own))
             columns = [np.concatenate(x) for x in zip(*parts)]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket_of(columns[0], buckets)), pa.nulls(len(columns[0]), pa.binary()),
+            yield pa.RecordBatch.from_arrays([pa.array(bucket_of(columns[0], buckets * PARTS) // PARTS), pa.nulls(len(columns[0]), pa.binary()),
                                               *map(pa.array, columns)], schema=SENT)
             waiting.append((w[at], before[at], codes[at], rows[at]))
             n += len(at)
             if n >= size:
-                yield packed(*map(np.concatenate, zip(*waiting)), buckets)
+                yield packed(*map(np.concatenate, zip(*waiting)), buckets, PARTS)
                 waiting, n = [], 0
         if n:
-            yield packed(*map(np.concatenate, zip(*waiting)), buckets)
+            yield packed(*map(np.concatenate, zip(*waiting)), buckets, PARTS)
 
     def hot_steps(batches):
-        n_of = opened(shared)[1]
-        for _, sides, row, tokens, codes, starts in coded(batches):
+        n_of = opened(shared)[2]
+        for _, sides, row, _, _, codes, starts in coded(batches):
             rows, w, before = placed(sides, row, codes, starts)
             at = np.flatnonzero((codes < HASHED) & (before >= 0) & np.isin(w, hot))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (w[at], before[at], codes[at], n_of[codes[at]], rows[at])], schema=STEPS)
 
     def seldom_steps(batches):
-        for _, sides, row, tokens, codes, starts in coded(batches):
+        for _, sides, row, kinds, tokens, codes, starts in coded(batches):
             rows, w, before = placed(sides, row, codes, starts)
             at = np.flatnonzero(codes >= HASHED)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket_of(w[at], buckets)), pa.array(w[at]), pa.array(before[at]),
-                                              pa.array([tokens[i] for i in at.tolist()], pa.binary()), pa.array(rows[at])], schema=SELDOM)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket_of(w[at], buckets * PARTS) // PARTS), pa.array(w[at]), pa.array(before[at]),
+                                              kinds.take(pa.array(tokens[at])), pa.array(rows[at])], schema=SELDOM)
 
     def win(wide: int, keys: list[str]):
         """Sums for each row of steps that meet by the keys; contexts of ``wide`` words are behind them already."""
-        def run(batches):
-            for steps in whole_groups(batches, keys) if wide else bucket_groups(batches, opened(shared)[1]):
+        def finer(groups, most: int = 600_000):
+            for steps in groups:
+                if wide or depth < 2 or len(steps["w"]) <= most or steps["before"].min() < 0:
+                    yield steps, wide
+                else:
+                    yield from ((slices, 1) for slices in by_second_word(steps, whole, gain, least_count))
+
+        def parts(groups, told):
+            for steps, wide in finer(groups):
                 row, before, n = steps["row"], steps["before"], steps["n"]
                 tail = before < 0
                 real = ~tail | (before == NO_CONTEXT)
                 chances = np.where(real, (n + 0.5) / whole, 1.0)
-                found = walk(longer(steps["w"], before, depth, wide), steps["next"], row & 1 == 0,
-                             steps["p"] if wide else chances, gain, least_count)
+                found = walk(steps["w"], before, steps["next"], row & 1 == 0, steps["p"] if wide else chances, depth, wide, gain, least_count)
                 # Of often words the text's own row has the base score.
                 own = real & (steps["next"] >= HASHED)
-                sums = before == SUMS
-                base = np.where(own, np.log10(chances), np.where(sums, steps["next"].view(np.float64), 0.0))
-                yield summed(row, base=base, won=np.log10(found / chances), n_known=np.where(own, n > 0, np.where(sums, n, 0)))
-                told = before == WITH_ID
-                at = np.flatnonzero(told | (before == WITHOUT_ID))
+                whole_text = before == SUMS
+                base = np.where(own, np.log10(chances), np.where(whole_text, steps["next"].view(np.float64), 0.0))
+                yield row, base, np.log10(found / chances), np.where(own, n > 0, np.where(whole_text, n, 0))
+                with_id = before == WITH_ID
+                at = np.flatnonzero(with_id | (before == WITHOUT_ID))
                 if len(at):
-                    ids = pa.array(steps["next"][at], mask=~told[at])
+                    ids = pa.array(steps["next"][at], mask=~with_id[at])
                     columns = {"row": pa.array(row[at]), "doc_id": ids, "n_tokens": pa.array(n[at])}
-                    yield pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(len(at), f.type)) for f in WON], schema=WON)
+                    told.append(pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(len(at), f.type)) for f in WON], schema=WON))
+
+        def run(batches):
+            told: list[pa.RecordBatch] = []
+            for batch in sums(parts(whole_groups(batches, keys) if wide else bucket_groups(batches, opened(shared)[2], buckets=buckets, parts=PARTS), told)):
+                yield batch
+                yield from told
+                told.clear()
+            yield from told
         return run
 
     c = F.coalesce(F.col("n"), F.lit(0))
-    # A word's code as ``Codes`` has it: the joined table's own hash would be another one.
+    # A word's code as ``Codes`` has it.
     joined = (chosen.mapInArrow(seldom_steps, "bucket int, w long, before long, word binary, row long")
-              .join(counts.where(F.col("n") < least_share * total), "word", "left")
+              .join(counts.where(F.expr(LEVEL) < least_level), "word", "left")
               .select("bucket", F.lit(None).cast("binary").alias("pack"), "w", "before",
-                      F.xxhash64("word").bitwiseAND(HASHED - 1).bitwiseOR(HASHED).alias("next"), c.alias("n"), "row"))
+                      F.shiftrightunsigned(F.xxhash64("word"), 2).bitwiseOR(HASHED).alias("next"), c.alias("n"), "row"))
     steps = chosen.mapInArrow(often_steps, "bucket int, pack binary, w long, before long, next long, n long, row long")
     steps = steps.unionByName(joined.where(~F.col("w").isin(hot)) if hot else joined)
     won = steps.repartitionById(buckets, F.col("bucket")).mapInArrow(win(0, []), WON_DDL)

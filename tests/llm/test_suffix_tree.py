@@ -4,11 +4,12 @@ import math
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from cadencekit.llm import suffix_tree
-from cadencekit.llm.common import held_out
+from cadencekit.llm.common import held_out, text_parts, tokenised
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -89,3 +90,65 @@ def test_packs_give_the_steps_back():
     # Parts hold all steps after a word.
     seen = [set(x["w"].tolist()) for x in suffix_tree.bucket_groups([batch], np.arange(50_001), 500)]
     assert len(seen) > 5 and sum(map(len, seen)) == len(set(w.tolist()))
+
+
+def test_the_commonest_words_are_often(spark):
+    """As many as there is room for, however small their share of the tokens, under the numbers that their hashes lead to."""
+    counts = spark.range(4000).selectExpr("cast(concat('w', id) as binary) word", "4000 - id n")
+    total, kinds, least, hashes, n_of = suffix_tree.often_words(counts, 1000)
+    assert (total, kinds) == (8_002_000, 4000) and 800 < len(hashes) <= 1000
+    assert n_of.tolist() == list(range(4000, 4000 - len(n_of), -1))
+    assert counts.where(f"{suffix_tree.LEVEL} < {least}").count() == 4000 - len(hashes)
+    order = np.argsort(hashes)
+    codes = suffix_tree.codes_of(pa.array([b"w0", b"w700", b"w3000", b""]), hashes[order], order)
+    assert codes[:2].tolist() == [0, 700] and (codes[2:] >= suffix_tree.HASHED).all()
+    assert len(suffix_tree.often_words(counts.limit(0), 1000)[3]) == 0
+
+
+def test_tokens_are_the_plain_words():
+    texts = ["", None, " a  B\tc\n", "Ünï ÀB x", "\x0b\x0c", "one", "a b\x1cc a"]
+    for part in text_parts(pa.record_batch({"text": texts + texts}).slice(1), 5):
+        kinds, tokens, starts = tokenised(part.column("text"))
+        words = [kinds[i].as_py() for i in tokens]
+        want = [(t or "").encode().lower().split() + [b""] for t in part.column("text").to_pylist()]
+        assert words == sum(want, []) and starts.tolist() == np.cumsum([0] + [len(x) for x in want[:-1]]).tolist()
+
+
+def test_parts_of_a_bucket_are_unpacked_one_by_one():
+    rng = np.random.default_rng(2)
+    w, before, after = (rng.integers(0, 500, 9000) for _ in range(3))
+    row = np.sort(rng.integers(0, 300, 9000))
+    batch = suffix_tree.packed(w, before, after, row, 3, 4)
+    assert batch.num_rows == 12 and set(batch.column("bucket").to_pylist()) == {0, 1, 2}
+    for bucket in range(3):
+        mine = batch.filter(pa.array([x == bucket for x in batch.column("bucket").to_pylist()]))
+        parts = list(suffix_tree.bucket_groups([mine], np.arange(500), 10_000, 3, 4))
+        assert len(parts) == 4 and all((suffix_tree.bucket_of(x["w"], 12) // 4 == bucket).all() for x in parts)
+        assert len(set.union(*(set(x["w"].tolist()) for x in parts))) == sum(len(set(x["w"].tolist())) for x in parts)
+
+
+def test_no_step_is_summed_twice_or_left():
+    parts = [(np.array([4, 6, 4]), np.ones(3), np.ones(3), np.array([1, 0, 1]))] * 5
+    for size in (1, 3, 9, 15, 100):
+        got = pa.Table.from_batches(suffix_tree.sums(iter(parts), size)).to_pylist()
+        assert sum(x["won"] for x in got if x["row"] == 4) == 10 and sum(x["n_known"] for x in got) == 10
+
+
+def test_steps_after_a_very_often_word_are_walked_in_slices():
+    """The chances are those of one walk over all steps."""
+    rng = np.random.default_rng(3)
+    n = 20_000
+    near, far = (np.minimum(rng.zipf(1.4, n), 300) for _ in range(2))
+    after, counts = (near * 3 + far % 5) % 301, rng.integers(1, 500, 301)
+    whole = float(counts.sum())
+    steps = {"w": np.full(n, 7), "before": np.where(near > 250, 0, near) << 32 | np.where(near > 250, 0, far), "next": after, "n": counts[after],
+             "row": rng.integers(0, 90, n)}
+    chances = (steps["n"] + 0.5) / whole
+    want = suffix_tree.walk(steps["w"], steps["before"], after, steps["row"] & 1 == 0, chances, 3, 0, 3.0, 2)
+    assert (want != chances).mean() > 0.5
+    got = []
+    for x in suffix_tree.by_second_word(dict(steps), whole, 3.0, 2, 2000):
+        p = suffix_tree.walk(x["w"], x["before"], x["next"], x["row"] & 1 == 0, x["p"], 3, 1, 3.0, 2)
+        got += zip(x["before"].tolist(), x["next"].tolist(), x["row"].tolist(), p.tolist())
+    wanted = sorted(zip(steps["before"].tolist(), after.tolist(), steps["row"].tolist(), want.tolist()))
+    assert len(got) == n and all(a[:3] == b[:3] and math.isclose(a[3], b[3], rel_tol=1e-12) for a, b in zip(sorted(got), wanted))
