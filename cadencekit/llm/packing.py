@@ -14,15 +14,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadencekit.llm.common import binary_column, record_batches, words
+from cadencekit.llm.common import record_batches, text_parts, tokenised, words
 from cadencekit.session import materialise
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
                     ("length", pa.int64()), ("ids_crc32", pa.int64())])
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 SHARD_BITS = 31
-#: Texts tokenised at once.
-AT_ONCE = 1000
+#: Bytes of texts tokenised at once.
+AT_ONCE = 3_000_000
 
 
 TAIL = b".,!?;:|#$%&*"
@@ -47,10 +47,24 @@ class WordIds:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [words(text) for text in texts]
+        self.learn(set().union(*split))
+        return [b"".join(map(self.known.__getitem__, one)) for one in split]
+
+    def arrays(self, texts: pa.Array, end: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts in a row, each with the end's ids behind it, and the texts' ends there."""
+        kinds, tokens, starts = tokenised(texts)
+        kinds = kinds.to_pylist()[:-1]
+        self.learn(set(kinds))
+        found = pa.array([*map(self.known.__getitem__, kinds), end], pa.large_binary()).take(pa.array(tokens))
+        _, places, ids = found.buffers()
+        ends = np.frombuffer(places, np.int64)[np.append(starts[1:], len(tokens))] // 4
+        return np.frombuffer(ids, "<u4", int(ends[-1])), ends
+
+    def learn(self, new: set[bytes]) -> None:
         if len(self.known) > self.most:
             self.old, self.known = self.known, {}
             self.memory.update(young=self.known, old=self.old)
-        new = set().union(*split).difference(self.known)
+        new = new.difference(self.known)
         self._recall(new)
         parts = {word: self._parts(word) for word in new.difference(self.known)}
         cores = {p for both in parts.values() for p in both}.difference(self.known)
@@ -58,7 +72,6 @@ class WordIds:
         self._learn(list(cores.difference(self.known)))
         self.known.update({word: self.known[both[0]] if len(both) == 1 else self.known[both[0]] + self.known[both[1]]
                            for word, both in parts.items()})
-        return [b"".join(map(self.known.__getitem__, one)) for one in split]
 
     def _recall(self, new: set[bytes]) -> None:
         # Not by ``intersection``, which would go through all of the old generation.
@@ -120,13 +133,14 @@ def pieces(docs: DataFrame, limit: int = 4096, end_id: int = 1, tokenizer: str |
 
         def rows():
             for batch in batches:
-                for start in range(0, batch.num_rows, AT_ONCE):
-                    part = batch.slice(start, AT_ONCE)
-                    for doc_id, ids in zip(part.column("doc_id").to_pylist(), vocabulary.encode(binary_column(part, "text"))):
-                        ids += end
-                        for piece, at in enumerate(range(0, len(ids), 4 * limit)):
-                            cut_ids = ids[at:at + 4 * limit]
-                            yield doc_id, piece, at // 4, len(cut_ids) // 4, zlib.crc32(cut_ids)
+                for part in text_parts(batch, AT_ONCE):
+                    ids, ends = vocabulary.arrays(part.column("text"), end)
+                    start = 0
+                    for doc_id, stop in zip(part.column("doc_id").to_pylist(), ends.tolist()):
+                        for piece, at in enumerate(range(start, stop, limit)):
+                            cut_ids = ids[at:min(at + limit, stop)]
+                            yield doc_id, piece, at - start, len(cut_ids), zlib.crc32(cut_ids)
+                        start = stop
 
         yield from record_batches(rows(), PIECES)
 

@@ -291,3 +291,16 @@ def test_old_words_are_looked_up_one_by_one():
     got = vocabulary.encode(texts)
     own = WordIds(path, {}).encode([b"words"])[0]
     assert [g.replace(b"<old>", own) for g in got] == plain and got != plain
+
+
+def test_ids_by_array_are_the_ids_by_text():
+    """Ids and ends of texts that are numbered at once, with capitals and white space of all kinds."""
+    import pyarrow as pa
+    import public_tokenizers
+
+    from cadencekit.llm.packing import WordIds
+
+    path, texts = public_tokenizers.path("word_bpe_49k.json"), ["Some words, and x1; WORDS.", "", None, "  a,b !!!\t\u00dcber \u0130x\n", "words", "\x0b"]
+    ids, ends = WordIds(path, {}).arrays(pa.array(texts), (1).to_bytes(4, "little"))
+    plain = [np.array([*np.frombuffer(x, "<u4"), 1]) for x in WordIds(path, {}).encode([(x or "").encode() for x in texts])]
+    assert ids.tolist() == np.concatenate(plain).tolist() and ends.tolist() == np.cumsum([len(x) for x in plain]).tolist()
