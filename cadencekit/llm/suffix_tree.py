@@ -390,7 +390,7 @@ def scores(docs: DataFrame, held_out: Column, least_share: float = 1e-6, depth:
 
     ``base_score`` is the root's score of all tokens, ``score`` the tree's.  The commonest words are often: at most
     1 / ``least_share`` of them, whose hashes and counts are broadcast (20 bytes a word).  The counts of other words are joined.
-    Which words are often changes no result."""
+    Which words are often changes no result, unless two seldom words further before have one code of 31 bits."""
     if not 1 <= depth <= MOST_DEPTH:
         raise ValueError(f"contexts have 1 to {MOST_DEPTH} words")
     spark = docs.sparkSession
