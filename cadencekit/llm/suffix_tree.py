@@ -9,6 +9,9 @@ All steps with the same last word of context meet in one task, which looks at on
 with more steps than a task may hold (``spark.cadencekit.hotRows``, or four times a task's share) are counted by
 aggregations instead; their chances are joined to the steps, which then meet by a longer context.
 
+A task adds up what its steps give each text and sends that once, packed by groups of texts; so a text comes from each
+bucket once at most, and never more often than it has tokens.  Buckets grow in number only when they would be too large.
+
 Null texts count as empty (one end token).  Repeated rows are learned from and scored each, also where they share
 a ``doc_id``.  With no training rows every count is 0.
 """
@@ -41,10 +44,15 @@ SELDOM = pa.schema([("bucket", pa.int32()), ("w", pa.int64()), ("before", pa.int
 #: Steps to often words travel packed, see ``packed``, with the number of their part as ``w``; others and those without a context as they are.
 SENT = pa.schema([("bucket", pa.int32()), ("pack", pa.binary()), *STEPS])
 #: Steps that a bucket has on the mean at most, and parts of a bucket, of which a task unpacks one after the other.
-BUCKET, PARTS = 3_000_000, 4
+BUCKET, PARTS = 6_000_000, 8
+#: Texts that meet in one task for their sums, on the mean at most, if they are no fewer than the session's tasks have.
+TEXTS = 20_000
+#: What a task gives a text: its sums over all tasks are the result.  The last three come once a text; ``with_id`` is 0 for a null id.
+SUMMED = ("row", "base", "won", "n_known", "n_tokens", "doc_id", "with_id")
 WON = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                  ("base", pa.float64()), ("won", pa.float64())])
 WON_DDL = "row long, doc_id long, n_tokens long, n_known long, base double, won double"
+PACKS = "part int, pack binary"
 #: ``before`` of a text's base score in often words (bits of a double; ``n``: their tokens), of its id and number of
 #: tokens (with and without an id), and of a seldom first word.
 SUMS, WITH_ID, WITHOUT_ID, NO_CONTEXT = -1, -2, -3, -4
@@ -360,28 +368,74 @@ def by_second_word(steps: dict[str, np.ndarray], whole: float, gain: float, leas
     return cut(steps, steps["before"] >> 32, size)
 
 
-def summed(row: np.ndarray, **sums: np.ndarray) -> pa.RecordBatch:
-    """A batch of ``WON`` with sums for each row."""
-    rows, at = np.unique(row, return_inverse=True)
-    columns = {"row": pa.array(rows)} | {name: pa.array(np.bincount(at, x, len(rows)).astype(WON.field(name).type.to_pandas_dtype()))
-                                         for name, x in sums.items()}
-    return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(len(rows), f.type)) for f in WON], schema=WON)
+def added(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """The parts' rows, each once and in order, and the sums of their other columns."""
+    row, *others = map(np.concatenate, zip(*parts))
+    order = np.argsort(row, kind="stable")
+    row = row[order]
+    firsts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])[:len(row)])
+    return row[firsts], *(np.add.reduceat(x[order], firsts) for x in others)
+
 
+def sums(parts, size: float = 1_000_000, least: int = 600_000):
+    """Columns of ``SUMMED`` over many parts, in batches of about ``size`` rows or more, each of which has a row once.
 
-def sums(parts, size: int = 600_000):
-    """``summed`` over many parts at once: rows, base scores, what the tree won, and known tokens."""
+    Parts are added up when they have ``least`` entries, or as many as there are sums."""
     held: list[tuple[np.ndarray, ...]] = []
-    n = 0
+    n = rows = 0
+
+    def batch(columns):
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=SUMMED[:len(columns)])
+
     for part in parts:
         held.append(part)
         n += len(part[0])
-        if n >= size:
-            row, base, won, known = map(np.concatenate, zip(*held))
-            yield summed(row, base=base, won=won, n_known=known)
-            held, n = [], 0
-    if n:
-        row, base, won, known = map(np.concatenate, zip(*held))
-        yield summed(row, base=base, won=won, n_known=known)
+        if n >= max(least, rows):
+            held, n = [added(held)], 0
+            rows = len(held[0][0])
+            if rows >= size:
+                yield batch(held[0])
+                held, rows = [], 0
+    if held:
+        yield batch(added(held))
+
+
+def squeezed(columns: list[np.ndarray], parts: int) -> pa.RecordBatch:
+    """One row a part of the texts: columns of ``SUMMED`` sorted by row, in planes of bytes, squeezed."""
+    # A part has sixteen neighbours at once, so that their rows' differences are small.
+    part = bucket_of(columns[0] >> 5, parts)
+    order = np.lexsort((columns[0], part))
+    part, columns = part[order], [x[order] for x in columns]
+    press = zstandard.ZstdCompressor(1)
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]).tolist()
+    numbers, packs = [], []
+    for a, b in zip(cuts, cuts[1:]):
+        if a == b:
+            continue
+        mine = np.stack([x[a:b].view(np.int64) for x in columns])
+        mine[0] = np.diff(mine[0], prepend=0)
+        numbers.append(part[a])
+        packs.append(press.compress(bytes([len(columns)]) + mine.view(np.uint8).reshape(len(columns), b - a, 8).transpose(0, 2, 1).tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(packs, pa.binary())], names=["part", "pack"])
+
+
+def unsqueezed(pack: bytes) -> tuple[np.ndarray, ...]:
+    """All columns of ``SUMMED``; those that the pack doesn't have are zero."""
+    body = zstandard.decompress(pack)
+    planes = np.frombuffer(body, np.uint8, len(body) - 1, 1).reshape(body[0], 8, -1).transpose(0, 2, 1)
+    columns = list(np.ascontiguousarray(planes).view(np.int64)[:, :, 0])
+    columns += [np.zeros(len(columns[0]), np.int64)] * (len(SUMMED) - len(columns))
+    return np.cumsum(columns[0]), columns[1].view(np.float64), columns[2].view(np.float64), *columns[3:]
+
+
+def totals(batches):
+    """The texts of a part, from all packs of their sums."""
+    for found in sums((unsqueezed(pack.as_py()) for batch in batches for pack in batch.column("pack")), math.inf):
+        ids = pa.array(found["doc_id"].to_numpy(), mask=found["with_id"].to_numpy() == 0)
+        columns = {name: found[name] for name in SUMMED} | {"doc_id": ids}
+        texts = pa.RecordBatch.from_arrays([columns[f.name] for f in WON], schema=WON)
+        for at in range(0, len(texts), 20_000):
+            yield texts.slice(at, 20_000)
 
 
 def scores(docs: DataFrame, held_out: Column, least_share: float = 1e-6, depth: int = 3, gain: float = 3.0,
@@ -404,7 +458,10 @@ def scores(docs: DataFrame, held_out: Column, least_share: float = 1e-6, depth:
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     limit = min(hot_rows(spark), max(20_000, 4 * total // tasks))
     hot = np.flatnonzero(n_of > limit).tolist()
-    buckets = max(tasks, total // BUCKET + 1)
+    # Each bucket gives each text a sum, so there are only as many as the cores or a bucket's size ask for.
+    buckets = max(2 * spark.sparkContext.defaultParallelism, total // BUCKET + 1)
+    # Training texts have an end each, the empty word.
+    text_groups = max(tasks, int(n_of[hashes == np.uint64(xxhash.xxh64_intdigest(b"", 42)).view(np.int64)].sum()) // TEXTS + 1)
     shared = share(spark, (hashes[order], order.astype(np.int32), n_of))
 
     def coded(batches):
@@ -496,17 +553,18 @@ def scores(docs: DataFrame, held_out: Column, least_share: float = 1e-6, depth:
                 with_id = before == WITH_ID
                 at = np.flatnonzero(with_id | (before == WITHOUT_ID))
                 if len(at):
-                    ids = pa.array(steps["next"][at], mask=~with_id[at])
-                    columns = {"row": pa.array(row[at]), "doc_id": ids, "n_tokens": pa.array(n[at])}
-                    told.append(pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(len(at), f.type)) for f in WON], schema=WON))
+                    none = np.zeros(len(at), np.int64)
+                    told.append((row[at], none, none, none, n[at], steps["next"][at], with_id[at].astype(np.int64)))
 
         def run(batches):
-            told: list[pa.RecordBatch] = []
+            told: list[tuple[np.ndarray, ...]] = []
             for batch in sums(parts(whole_groups(batches, keys) if wide else bucket_groups(batches, opened(shared)[2], buckets=buckets, parts=PARTS), told)):
-                yield batch
-                yield from told
-                told.clear()
-            yield from told
+                yield squeezed([x.to_numpy() for x in batch.columns], text_groups)
+                if told:
+                    yield squeezed(list(map(np.concatenate, zip(*told))), text_groups)
+                    told.clear()
+            if told:
+                yield squeezed(list(map(np.concatenate, zip(*told))), text_groups)
         return run
 
     c = F.coalesce(F.col("n"), F.lit(0))
@@ -517,13 +575,13 @@ def scores(docs: DataFrame, held_out: Column, least_share: float = 1e-6, depth:
                       F.shiftrightunsigned(F.xxhash64("word"), 2).bitwiseOR(HASHED).alias("next"), c.alias("n"), "row"))
     steps = chosen.mapInArrow(often_steps, "bucket int, pack binary, w long, before long, next long, n long, row long")
     steps = steps.unionByName(joined.where(~F.col("w").isin(hot)) if hot else joined)
-    won = steps.repartitionById(buckets, F.col("bucket")).mapInArrow(win(0, []), WON_DDL)
+    won = steps.repartitionById(buckets, F.col("bucket")).mapInArrow(win(0, []), PACKS)
     if hot:
         wide_steps = (chosen.mapInArrow(hot_steps, "w long, before long, next long, n long, row long")
                       .unionByName(joined.where(F.col("w").isin(hot)).drop("bucket", "pack")))
         for wide, keys, part in _under_wide(wide_steps, whole, limit, depth, gain, least_count):
-            won = won.unionByName(part.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(win(wide, keys), WON_DDL))
-    return (won.groupBy("row").agg(*(f(x).alias(x) for f, x in ((F.max, "doc_id"), (F.sum, "n_tokens"), (F.sum, "n_known"), (F.sum, "base"), (F.sum, "won"))))
+            won = won.unionByName(part.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(win(wide, keys), PACKS))
+    return (won.repartitionById(text_groups, F.col("part")).mapInArrow(totals, WON_DDL)
             .select("doc_id", (F.col("row") % 2 == 1).alias("held_out"), "n_tokens", "n_known",
                     F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("base") + F.col("won")).alias("score")))
 

@@ -134,6 +134,39 @@ def test_no_step_is_summed_twice_or_left():
         assert sum(x["won"] for x in got if x["row"] == 4) == 10 and sum(x["n_known"] for x in got) == 10
 
 
+def test_a_task_sends_a_text_once():
+    """However many steps it has."""
+    rng = np.random.default_rng(4)
+    rows = rng.integers(0, 1000, (30, 50_000)) << 1
+    parts = [(x, np.zeros(50_000), np.ones(50_000), np.ones(50_000, np.int64)) for x in rows]
+    got = list(suffix_tree.sums(iter(parts)))
+    assert sum(map(len, got)) == 1000 and got[0]["won"].to_pylist() == np.bincount(rows.ravel() >> 1).tolist()
+    # Beyond the most rows a task holds, a text comes again, and nothing is lost.
+    again = pa.Table.from_batches(suffix_tree.sums(iter(parts), 900, 50_000)).to_pandas()
+    assert len(again) > 1000 and again.groupby("row")["n_known"].sum().tolist() == got[0]["n_known"].to_pylist()
+
+
+def test_packs_give_the_sums_back():
+    rng = np.random.default_rng(5)
+    n, far = 20_000, (1 << 33) + (1 << 50)
+    columns = [np.sort(rng.integers(0, far, n)), rng.normal(size=n), rng.normal(size=n), *rng.integers(-1 << 63, (1 << 63) - 1, (4, n))]
+    for some in (columns, columns[:4], [x[:1] for x in columns]):
+        batch = suffix_tree.squeezed(some, 7)
+        assert len(set(batch["part"].to_pylist())) == len(batch) == min(7, len(some[0]))
+        got = list(zip(*(np.concatenate(x).tolist() for x in zip(*map(suffix_tree.unsqueezed, batch["pack"].to_pylist())))))
+        want = [x.tolist() for x in some] + [[0] * len(some[0])] * (7 - len(some))
+        assert sorted(got) == sorted(zip(*want))
+
+
+def test_texts_keep_ids_and_exact_counts_over_all_packs(spark, hot):
+    """Ids beyond what a double holds, null ids and repeated ones; buckets, wide contexts and groups of texts."""
+    df = spark.range(0, 400, 1, 5).select(F.expr("case id % 4 when 0 then null when 1 then 7 else 9007199254740993 + id end").alias("doc_id"),
+                                          F.expr("repeat(concat('a b c d', id % 9, ' '), cast(id % 5 as int))").alias("text"))
+    hot(50)
+    got = sorted((r.doc_id or 0, r.n_tokens, r.n_known > 0) for r in suffix_tree.scores(df, held_out(F.col("doc_id"), 5, 1)).collect())
+    assert got == sorted((r.doc_id or 0, len((r.text or "").split()) + 1, True) for r in df.collect())
+
+
 def test_steps_after_a_very_often_word_are_walked_in_slices():
     """The chances are those of one walk over all steps."""
     rng = np.random.default_rng(3)
