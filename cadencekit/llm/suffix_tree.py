@@ -40,11 +40,11 @@ OTHER = -1
 #: nearer one above), the code of the word itself and its training count, the row's number times two, plus one if held out.
 #: Steps with a negative ``before`` have no context, see ``SUMS`` to ``NO_CONTEXT``.
 STEPS = pa.schema([("w", pa.int64()), ("before", pa.int64()), ("next", pa.int64()), ("n", pa.int64()), ("row", pa.int64())])
-SELDOM = pa.schema([("bucket", pa.int32()), ("w", pa.int64()), ("before", pa.int64()), ("word", pa.binary()), ("row", pa.int64())])
+SELDOM = pa.schema([("bucket", pa.int32()), ("w", pa.int64()), ("before", pa.int64()), ("word", pa.binary()), ("row", pa.int64()), ("part", pa.int32())])
 #: Steps to often words travel packed, see ``packed``, with the number of their part as ``w``; others and those without a context as they are.
-SENT = pa.schema([("bucket", pa.int32()), ("pack", pa.binary()), *STEPS])
+SENT = pa.schema([("bucket", pa.int32()), ("pack", pa.binary()), *STEPS, ("part", pa.int32())])
 #: Steps that a bucket has on the mean at most, and parts of a bucket, of which a task unpacks one after the other.
-BUCKET, PARTS = 6_000_000, 8
+BUCKET, PARTS = 24_000_000, 32
 #: Texts that meet in one task for their sums, on the mean at most, if they are no fewer than the session's tasks have.
 TEXTS = 20_000
 #: What a task gives a text: its sums over all tasks are the result.  The last three come once a text; ``with_id`` is 0 for a null id.
@@ -286,7 +286,8 @@ def packed(w: np.ndarray, before: np.ndarray, after: np.ndarray, row: np.ndarray
         numbers.append(bucket[a])
         packs.append(press.compress(body))
     numbers = np.array(numbers, np.int32)
-    columns = {"bucket": pa.array(numbers // parts), "w": pa.array(numbers % parts, pa.int64()), "pack": pa.array(packs, pa.binary())}
+    columns = {"bucket": pa.array(numbers // parts), "w": pa.array(numbers % parts, pa.int64()), "part": pa.array(numbers % parts),
+               "pack": pa.array(packs, pa.binary())}
     return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(len(packs), f.type)) for f in SENT], schema=SENT)
 
 
@@ -301,32 +302,39 @@ def unpacked(pack: bytes) -> tuple[np.ndarray, ...]:
             np.cumsum(row, dtype=np.uint32).astype(np.int64) + base)
 
 
-def dealt(batches, buckets: int, parts: int) -> tuple[dict[int, list[bytes]], dict[int, list[pa.RecordBatch]]]:
-    """Packs and other steps of a task by part."""
-    packs, plain = {}, {}
+def by_part(batches):
+    """Packs and other steps of one part after the other, from rows in the order of their parts."""
+    packs, plain, last = [], [], None
     for batch in batches:
-        single = batch.column("pack").is_null()
-        for part, pack in zip(batch.column("w"), batch.column("pack")):
-            if pack.is_valid:
-                packs.setdefault(part.as_py(), []).append(pack.as_py())
-        rest = batch.select(STEPS.names).filter(single)
-        if rest.num_rows:
-            part = bucket_of(rest.column("w").to_numpy(), buckets * parts) % parts
-            for number in np.unique(part).tolist():
-                plain.setdefault(number, []).append(rest.filter(pa.array(part == number)))
-    return packs, plain
-
-
-def bucket_groups(batches, n_of: np.ndarray, size: int = 200_000, buckets: int = 1, parts: int = 1):
+        part = batch.column("part").to_numpy()
+        ends = np.append(np.flatnonzero(np.diff(part)) + 1, len(part)).tolist()
+        for a, b in zip([0, *ends], ends):
+            if a == b:
+                continue
+            if part[a] != last:
+                if packs or plain:
+                    yield packs, plain
+                packs, plain, last = [], [], part[a]
+            mine = batch.slice(a, b - a)
+            packs += mine.column("pack").drop_null().to_pylist()
+            rest = mine.select(STEPS.names).filter(mine.column("pack").is_null())
+            if rest.num_rows:
+                plain.append(rest)
+    if packs or plain:
+        yield packs, plain
+
+
+def bucket_groups(batches, n_of: np.ndarray, size: int = 200_000, *_):
     """Columns of a task's steps, sorted by the word before, in parts that hold all steps after a word; of more than ``size``
     steps if they are after one word."""
-    packs, plain = dealt(batches, buckets, parts)
-    for part in sorted(packs.keys() | plain.keys()):
+    for packs, plain in by_part(batches):
         held = []
-        for w, before, after, row in map(unpacked, packs.pop(part, [])):
+        for w, before, after, row in map(unpacked, packs):
             held.append((w, before, after, n_of[after], row))
-        for batch in plain.pop(part, []):
+        for batch in plain:
             held.append(tuple(batch.column(name).to_numpy() for name in STEPS.names))
+        packs.clear()
+        plain.clear()
         columns = dict(zip(STEPS.names, map(list, zip(*held))))
         held.clear()
         # One column after the other, so that only one is there twice.
@@ -400,22 +408,25 @@ def sums(parts, size: float = 1_000_000, least: int = 600_000):
         yield batch(added(held))
 
 
+def squeeze(columns: list[np.ndarray]) -> bytes:
+    mine = np.stack([x.view(np.int64) for x in columns])
+    mine[0] = np.diff(mine[0], prepend=0)
+    body = mine.view(np.uint8).reshape(*mine.shape, 8).transpose(0, 2, 1).tobytes()
+    return zstandard.compress(bytes([len(columns)]) + body, 1)
+
+
 def squeezed(columns: list[np.ndarray], parts: int) -> pa.RecordBatch:
     """One row a part of the texts: columns of ``SUMMED`` sorted by row, in planes of bytes, squeezed."""
     # A part has sixteen neighbours at once, so that their rows' differences are small.
     part = bucket_of(columns[0] >> 5, parts)
     order = np.lexsort((columns[0], part))
     part, columns = part[order], [x[order] for x in columns]
-    press = zstandard.ZstdCompressor(1)
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]).tolist()
     numbers, packs = [], []
     for a, b in zip(cuts, cuts[1:]):
-        if a == b:
-            continue
-        mine = np.stack([x[a:b].view(np.int64) for x in columns])
-        mine[0] = np.diff(mine[0], prepend=0)
-        numbers.append(part[a])
-        packs.append(press.compress(bytes([len(columns)]) + mine.view(np.uint8).reshape(len(columns), b - a, 8).transpose(0, 2, 1).tobytes()))
+        if a < b:
+            numbers.append(part[a])
+            packs.append(squeeze([x[a:b] for x in columns]))
     return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(packs, pa.binary())], names=["part", "pack"])
 
 
@@ -428,6 +439,26 @@ def unsqueezed(pack: bytes) -> tuple[np.ndarray, ...]:
     return np.cumsum(columns[0]), columns[1].view(np.float64), columns[2].view(np.float64), *columns[3:]
 
 
+def gathered(found, parts: int, size: int = 4_000_000):
+    """Packs of a task's sums, one a part of the texts, from columns of ``SUMMED`` in which a text may come again.
+
+    They wait squeezed, and only one part's are added up at a time."""
+    held: dict[int, list[bytes]] = {}
+    for columns in found:
+        batch = squeezed(columns, parts)
+        for part, pack in zip(batch["part"].to_pylist(), batch["pack"].to_pylist()):
+            held.setdefault(part, []).append(pack)
+    numbers, packs, n = [], [], 0
+    for part in sorted(held):
+        mine = held.pop(part)
+        numbers.append(part)
+        packs.append(mine[0] if len(mine) == 1 else squeeze(added([unsqueezed(x) for x in mine])))
+        n += len(packs[-1])
+        if n >= size or not held:
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(packs, pa.binary())], names=["part", "pack"])
+            numbers, packs, n = [], [], 0
+
+
 def totals(batches):
     """The texts of a part, from all packs of their sums."""
     for found in sums((unsqueezed(pack.as_py()) for batch in batches for pack in batch.column("pack")), math.inf):
@@ -488,7 +519,7 @@ def scores(docs: DataFrame, held_out: Column, least_share: float = 1e-6, depth:
         before = np.where(place > 1, near, 0) << 32 | np.where(place > 2, far, 0)
         return rows, np.where(place > 0, w, -1 - rows), np.where(place > 0, before, NO_CONTEXT)
 
-    def often_steps(batches, size: int = min(2_000_000, max(500_000, 2_000 * buckets))):
+    def often_steps(batches, size: int = min(2_000_000, max(1_000_000, 500 * buckets * PARTS))):
         n_of = opened(shared)[2]
         base = np.log10((n_of + 0.5) / whole)
         waiting, n = [], 0
@@ -505,8 +536,9 @@ def scores(docs: DataFrame, held_out: Column, least_share: float = 1e-6, depth:
             parts = ((-1 - own, np.full(len(ids), SUMS), score.view(np.int64), known, own),
                      (-1 - own, np.where(null, WITHOUT_ID, WITH_ID), ids.fill_null(0).to_numpy(), sizes, own))
             columns = [np.concatenate(x) for x in zip(*parts)]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket_of(columns[0], buckets * PARTS) // PARTS), pa.nulls(len(columns[0]), pa.binary()),
-                                              *map(pa.array, columns)], schema=SENT)
+            number = bucket_of(columns[0], buckets * PARTS)
+            yield pa.RecordBatch.from_arrays([pa.array(number // PARTS), pa.nulls(len(number), pa.binary()), *map(pa.array, columns), pa.array(number % PARTS)],
+                                             schema=SENT)
             waiting.append((w[at], before[at], codes[at], rows[at]))
             n += len(at)
             if n >= size:
@@ -526,8 +558,9 @@ def scores(docs: DataFrame, held_out: Column, least_share: float = 1e-6, depth:
         for _, sides, row, kinds, tokens, codes, starts in coded(batches):
             rows, w, before = placed(sides, row, codes, starts)
             at = np.flatnonzero(codes >= HASHED)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket_of(w[at], buckets * PARTS) // PARTS), pa.array(w[at]), pa.array(before[at]),
-                                              kinds.take(pa.array(tokens[at])), pa.array(rows[at])], schema=SELDOM)
+            number = bucket_of(w[at], buckets * PARTS)
+            yield pa.RecordBatch.from_arrays([pa.array(number // PARTS), pa.array(w[at]), pa.array(before[at]), kinds.take(pa.array(tokens[at])),
+                                              pa.array(rows[at]), pa.array(number % PARTS)], schema=SELDOM)
 
     def win(wide: int, keys: list[str]):
         """Sums for each row of steps that meet by the keys; contexts of ``wide`` words are behind them already."""
@@ -556,29 +589,29 @@ def scores(docs: DataFrame, held_out: Column, least_share: float = 1e-6, depth:
                     none = np.zeros(len(at), np.int64)
                     told.append((row[at], none, none, none, n[at], steps["next"][at], with_id[at].astype(np.int64)))
 
-        def run(batches):
+        def found(batches):
             told: list[tuple[np.ndarray, ...]] = []
-            for batch in sums(parts(whole_groups(batches, keys) if wide else bucket_groups(batches, opened(shared)[2], buckets=buckets, parts=PARTS), told)):
-                yield squeezed([x.to_numpy() for x in batch.columns], text_groups)
-                if told:
-                    yield squeezed(list(map(np.concatenate, zip(*told))), text_groups)
-                    told.clear()
+            for batch in sums(parts(whole_groups(batches, keys) if wide else bucket_groups(batches, opened(shared)[2]), told)):
+                yield [x.to_numpy() for x in batch.columns]
             if told:
-                yield squeezed(list(map(np.concatenate, zip(*told))), text_groups)
+                yield list(map(np.concatenate, zip(*told)))
+
+        def run(batches):
+            yield from gathered(found(batches), text_groups)
         return run
 
     c = F.coalesce(F.col("n"), F.lit(0))
     # A word's code as ``Codes`` has it.
-    joined = (chosen.mapInArrow(seldom_steps, "bucket int, w long, before long, word binary, row long")
+    joined = (chosen.mapInArrow(seldom_steps, "bucket int, w long, before long, word binary, row long, part int")
               .join(counts.where(F.expr(LEVEL) < least_level), "word", "left")
               .select("bucket", F.lit(None).cast("binary").alias("pack"), "w", "before",
-                      F.shiftrightunsigned(F.xxhash64("word"), 2).bitwiseOR(HASHED).alias("next"), c.alias("n"), "row"))
-    steps = chosen.mapInArrow(often_steps, "bucket int, pack binary, w long, before long, next long, n long, row long")
+                      F.shiftrightunsigned(F.xxhash64("word"), 2).bitwiseOR(HASHED).alias("next"), c.alias("n"), "row", "part"))
+    steps = chosen.mapInArrow(often_steps, "bucket int, pack binary, w long, before long, next long, n long, row long, part int")
     steps = steps.unionByName(joined.where(~F.col("w").isin(hot)) if hot else joined)
-    won = steps.repartitionById(buckets, F.col("bucket")).mapInArrow(win(0, []), PACKS)
+    won = steps.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("part").mapInArrow(win(0, []), PACKS)
     if hot:
         wide_steps = (chosen.mapInArrow(hot_steps, "w long, before long, next long, n long, row long")
-                      .unionByName(joined.where(F.col("w").isin(hot)).drop("bucket", "pack")))
+                      .unionByName(joined.where(F.col("w").isin(hot)).drop("bucket", "pack", "part")))
         for wide, keys, part in _under_wide(wide_steps, whole, limit, depth, gain, least_count):
             won = won.unionByName(part.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(win(wide, keys), PACKS))
     return (won.repartitionById(text_groups, F.col("part")).mapInArrow(totals, WON_DDL)

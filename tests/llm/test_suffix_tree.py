@@ -158,6 +158,18 @@ def test_packs_give_the_sums_back():
         assert sorted(got) == sorted(zip(*want))
 
 
+def test_a_text_is_in_one_pack_of_a_task():
+    """Also where the task added up its sums more than once."""
+    rng = np.random.default_rng(6)
+    found = [[np.arange(0, 20_000, 2), rng.normal(size=10_000), np.ones(10_000), np.full(10_000, 3)] for _ in range(4)]
+    for size in (1, 1 << 30):
+        got = pa.Table.from_batches(suffix_tree.gathered(iter(found), 9, size)).to_pylist()
+        assert [x["part"] for x in got] == list(range(9))
+        row, base, won, known, *_ = map(np.concatenate, zip(*(suffix_tree.unsqueezed(x["pack"]) for x in got)))
+        assert sorted(row.tolist()) == found[0][0].tolist() and (won == 4).all() and (known == 12).all()
+        assert np.allclose(base, sum(x[1] for x in found)[row // 2])
+
+
 def test_texts_keep_ids_and_exact_counts_over_all_packs(spark, hot):
     """Ids beyond what a double holds, null ids and repeated ones; buckets, wide contexts and groups of texts."""
     df = spark.range(0, 400, 1, 5).select(F.expr("case id % 4 when 0 then null when 1 then 7 else 9007199254740993 + id end").alias("doc_id"),
