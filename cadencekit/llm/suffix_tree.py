@@ -43,9 +43,9 @@ STEPS = pa.schema([("w", pa.int64()), ("before", pa.int64()), ("next", pa.int64(
 SELDOM = pa.schema([("bucket", pa.int32()), ("w", pa.int64()), ("before", pa.int64()), ("word", pa.binary()), ("row", pa.int64()), ("part", pa.int32())])
 #: Steps to often words travel packed, see ``packed``, with the number of their part as ``w``; others and those without a context as they are.
 SENT = pa.schema([("bucket", pa.int32()), ("pack", pa.binary()), *STEPS, ("part", pa.int32())])
-#: Steps that a bucket has on the mean at most, and parts of a bucket, of which a task unpacks one after the other.
+#: Training steps that a bucket has on the mean at most, and parts of a bucket, of which a task unpacks one after the other.
 BUCKET, PARTS = 24_000_000, 32
-#: Texts that meet in one task for their sums, on the mean at most, if they are no fewer than the session's tasks have.
+#: Training texts of a group, which one task sums up, on the mean at most.
 TEXTS = 20_000
 #: What a task gives a text: its sums over all tasks are the result.  The last three come once a text; ``with_id`` is 0 for a null id.
 SUMMED = ("row", "base", "won", "n_known", "n_tokens", "doc_id", "with_id")
