@@ -248,8 +248,7 @@ FROM (SELECT p_partkey, CAST((v >> 24) & 255 AS INT) AS a, CAST((v >> 16) & 255
                                      F.lit(0.1), 1 / F.col("l_quantity"), F.col("l_tax") * 1.5)),
     "b25_processing_cost": _line_check(
         "CASE WHEN isfinite(odd) AND odd >= 0 THEN round(greatest(odd + l_tax, l_discount), 6) ELSE 'Infinity'::DOUBLE END AS cost",
-        cost=lambda: F.when(costs.processing_cost("odd", "l_tax", "l_discount") < INF,
-                            r6(costs.processing_cost("odd", "l_tax", "l_discount"))).otherwise(INF)),
+        cost=lambda: r6(costs.processing_cost("odd", "l_tax", "l_discount", strict=False))),
     "b26_pair_cost": _cost_check(
         "round(batch + CASE step WHEN 3 THEN later ELSE 0 END + endp, 9) AS cost",
         cost=lambda: F.round(costs.pair_cost("batch", "later", "endp", F.size("phases")), 9)),

@@ -81,6 +81,19 @@ def test_budgets(spark):
                costs.kept_cooldown(F.lit(True), F.lit(True), F.lit(True), lit(9), lit(5))) == (3.0, INF, 2.0, None, 9.0, 0.0)
 
 
+def test_processing_cost_follows_its_sql(spark, tmp_path):
+    """Only the first part has to be valid; a missing tax leaves the span."""
+    odd = [None, NAN, INF, -INF, -0.5, 0.0, 0.0123456]
+    rows = [(n, n % 7 + 1, tax, discount) for n in range(3, 7) for tax in odd for discount in [*odd, 0.03, 0.07]]
+    df = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_tax double, l_discount double")
+    df = df.selectExpr("*", "1L AS l_partkey", "1L AS l_suppkey", "1d AS l_quantity", "1d AS l_extendedprice", "'A' AS l_returnflag", "'O' AS l_linestatus")
+    df.write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    check = scalars.CHECKS["b25_processing_cost"]
+    assert differences(check.run(spark, str(tmp_path)), con, check.sql) == []
+
+
 def test_pair_period(spark):
     def period(ticks, hz, fps=None, fresh=True, unique=True, end=0.99):
         return F.round(pair_period(lit(1), lit(1 + ticks / hz), lit(hz), lit(fps), lit(1 + end * ticks / hz), F.lit(fresh), F.lit(unique)), 6)
