@@ -75,6 +75,10 @@ class _Keyed(StatefulProcessor):
         if at_ms is not None:
             self.handle.registerTimer(max(at_ms, 1))
 
+    def table(self, out: list[tuple]) -> Iterator[pd.DataFrame]:
+        if out:
+            yield pd.DataFrame(out, columns=self.names).astype(object)
+
     def close(self) -> None:
         pass
 
@@ -332,51 +336,72 @@ def latest_stream(stream: DataFrame, keys: Sequence[str], by: Sequence[str], idl
 
 
 class BufferProcessor(_Keyed):
-    """Bounded buffer with drains; what is still pending two seconds after a stop is dropped."""
+    """Bounded buffer with drains; what is still pending two seconds after a stop is dropped.
+
+    It handles a group of keys at a time: the deadlines of their stops wait together, and every key has a buffer of its own.
+    """
 
     STATE = "queue array<struct<_1: bigint, _2: bigint, _3: bigint>>, last bigint"
 
-    def __init__(self, keys: Sequence[str], by: Sequence[str], step: DrainedBuffer, deadline_ms: int, by_clock: bool) -> None:
-        self.keys, self.by, self.step, self.deadline_ms, self.by_clock = list(keys), list(by), step, deadline_ms, by_clock
+    def __init__(self, keys: Sequence[T.StructField], by: Sequence[str], step: DrainedBuffer, deadline_ms: int, by_clock: bool,
+                 names: Sequence[str]) -> None:
+        self.keys, self.by, self.step, self.names = list(keys), list(by), step, list(names)
+        self.deadline_ms, self.by_clock = deadline_ms, by_clock
         self.state_type = T.StructType.fromDDL(self.STATE)
 
     def init(self, handle) -> None:
         super().init(handle)
-        self.state = TypedState(handle, "buffer", self.state_type)
-
-    def _row(self, key, event: str, evicted=(), drained=(), pending=0) -> pd.DataFrame:
-        row = {k: [v] for k, v in zip(self.keys, key, strict=True)}
-        row |= {"event": [event], "evicted": [list(evicted)], "drained": [list(drained)], "pending": [int(pending)]}
-        return pd.DataFrame(row).astype(object)
+        self.states = KeyedStates(handle, "buffers", self.keys, T.StructType([T.StructField("buffer", self.state_type)]))
+        self.stops = WaitingRows(handle, "stops", DUE, [])
 
     def handleInputRows(self, key, rows, timerValues):
         pdf = pd.concat(list(rows)).sort_values(self.by, kind="stable", ignore_index=True)
-        out, state = self.step(pdf, self.state.load())
-        self.state.save(state)
-        for stop in pdf.loc[pdf["stop_ms"].notna(), "stop_ms"].tolist():
-            stop = timerValues.getCurrentProcessingTimeInMs() if self.by_clock else stop
-            self.handle.registerTimer(int(stop) + self.deadline_ms)
-        for evicted, drained, pending in zip(out["evicted"], out["drained"], out["pending"], strict=True):
-            if evicted or drained:
-                yield self._row(key, "media", evicted, drained, pending)
+        stops = pdf.loc[pdf["stop_ms"].notna(), [*(k.name for k in self.keys), "stop_ms"]]
+        if len(stops):
+            from_ms = timerValues.getCurrentProcessingTimeInMs() if self.by_clock else stops["stop_ms"].astype("int64")
+            due = stops.drop(columns="stop_ms").assign(**{DUE: (from_ms + self.deadline_ms) * 1000})
+            self.stops.add(due.drop_duplicates())
+            self.arm_next()
+        pdf, parts = parts_by_key(pdf, self.keys)
+        out = []
+        for one, start, end in parts:
+            held = self.states.load(one)
+            added, state = self.step(pdf.iloc[start:end], held and held["buffer"])
+            self.states.save(one, {"buffer": state})
+            changes = zip(*(added[n] for n in DRAIN_COLUMNS), strict=True)
+            out += [(*one, "media", *change) for change in changes if change[0] or change[1]]
+        yield from self.table(out)
+
+    def arm_next(self) -> None:
+        first = self.stops.first()
+        self.arm(None if first is None else first // 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        state = self.state.load()
-        if state and state["queue"]:
-            yield self._row(key, "deadline", [e[0] for e in state["queue"]])
-            self.state.save({"queue": [], "last": state["last"]})
+        now = timerValues.getCurrentProcessingTimeInMs() if self.by_clock else timerValues.getCurrentWatermarkInMs()
+        stopped: dict[tuple, None] = {}
+        for rows in self.stops.due(max(now, expiredTimerInfo.getExpiryTimeInMs() + 1) * 1000):
+            stopped |= dict.fromkeys(one for one, *_ in parts_by_key(rows, self.keys)[1])
+        out = []
+        for one in stopped:
+            state = self.states.load(one)["buffer"]
+            if state["queue"]:
+                out.append((*one, "deadline", [e[0] for e in state["queue"]], [], 0))
+                self.states.save(one, {"buffer": {"queue": [], "last": state["last"]}})
+        self.arm_next()
+        yield from self.table(out)
 
 
 def buffer_stream(stream: DataFrame, keys: Sequence[str], by: Sequence[str], time: str | None, delay: str = "0 seconds",
                   step: DrainedBuffer | None = None, deadline_ms: int = STOP_DEADLINE_MS) -> DataFrame:
     """Buffer events of a stream.  ``stop_ms`` (event time) on a row starts its deadline.  Without ``time`` the deadline goes by
     the clock, from when the stop is handled, and holds also when no more rows come."""
-    fields = [stream.schema[k] for k in keys]
+    fields = _fields(stream, keys)
     added = T.StructType.fromDDL("event string, " + ", ".join(f"{n} {t}" for n, t in DRAIN_COLUMNS.items()))
+    schema = T.StructType([*fields, *added.fields])
     use_state_store(stream.sparkSession)
     timed = stream.withWatermark(time, delay) if time else stream
-    return timed.groupBy(*keys).transformWithStateInPandas(
-        BufferProcessor(keys, by, step or DrainedBuffer(), deadline_ms, time is None), T.StructType([*fields, *added.fields]),
+    return in_groups(timed, keys).groupBy(GROUP).transformWithStateInPandas(
+        BufferProcessor(fields, by, step or DrainedBuffer(), deadline_ms, time is None, schema.names), schema,
         "append", "eventTime" if time else "processingTime")
 
 
@@ -444,10 +469,6 @@ class _InOrder(_Keyed):
             out += self.lapse(state)
         return out
 
-    def table(self, out: list[tuple]) -> Iterator[pd.DataFrame]:
-        if out:
-            yield pd.DataFrame(out, columns=self.names).astype(object)
-
 
 class ExpiryProcessor(_InOrder):
     """Announce values when they are stated and again when their lifetime has passed."""

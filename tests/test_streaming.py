@@ -220,3 +220,22 @@ def test_keys_wait_in_groups(spark, tmp_path, monkeypatch):
     for k in keys:
         assert [got[k, 1000 + i * 10] for i in range(5)] == [(None if i == 0 else (i + (k or 0)) % 2 == 0, False, 0) for i in range(5)]
     assert got[3, 1005] == got[3, 1006] == (None, True, 2) and got[5, 2000] == (True, False, 0)
+
+
+def test_buffers_go_in_groups(spark, tmp_path, monkeypatch):
+    """Forty keys in four groups: one call a group and trigger, and every key keeps a buffer of its own."""
+    monkeypatch.setattr(S, "GROUPS", 4)
+    schema = "k long, at_ms long, packet_no long, pts_ns long, duration_ns long, pull int, stop_ms long"
+    keys = [None, *range(39)]
+    put = lambda k, at, n: (k, at, n, at * 1_000_000, 1_000_000, None, None)
+    rows = [[put(k, 10 + i, (k or 0) * 100 + i) for i in range(3) for k in keys][::-1],
+            [(k, 20, None, None, None, 2, None) for k in keys], [(k, 30, None, None, None, 2, None) for k in keys if k != 7]]
+    stream = with_time(feed(spark, tmp_path / "in", [timed(r) for r in rows], schema))
+    out = run(S.buffer_stream(stream, ["k"], ["at_ms"], "at"), tmp_path).collect()
+    first = {k: (k or 0) * 100 for k in keys}
+    assert sorted((-1 if r.k is None else r.k, *r.drained) for r in out if len(r.drained) == 2) == sorted(
+        (-1 if k is None else k, n, n + 1) for k, n in first.items())
+    assert {r.k: r.drained for r in out if len(r.drained) == 1} == {k: [n + 2] for k, n in first.items() if k != 7}
+    assert len(out) == 79 and all(r.event == "media" and not r.evicted for r in out)
+    held = state_rows(spark, tmp_path / "cp", "buffers")
+    assert len(held) == 40 and len({r.key[0] for r in held}) == 4
