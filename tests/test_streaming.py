@@ -239,3 +239,16 @@ def test_buffers_go_in_groups(spark, tmp_path, monkeypatch):
     assert len(out) == 79 and all(r.event == "media" and not r.evicted for r in out)
     held = state_rows(spark, tmp_path / "cp", "buffers")
     assert len(held) == 40 and len({r.key[0] for r in held}) == 4
+
+
+def test_deadlines_wait_in_groups(spark, tmp_path, monkeypatch):
+    """Forty keys in four groups, every row a stop: a group has one timer, and only buffers whose stop is due are dropped."""
+    monkeypatch.setattr(S, "GROUPS", 4)
+    schema = "k long, at_ms long, packet_no long, pts_ns long, duration_ns long, pull int, stop_ms long"
+    put = lambda k, at, n: (k, at, n, at * 1_000_000, 1_000_000, None, BASE_MS + at)
+    rows = [[put(k, 10 + i + 40_000 * (k % 2), k * 100 + i) for i in range(3) for k in range(40)], [put(-1, 60_000, 0)], [put(-1, 60_001, 1)]]
+    stream = with_time(feed(spark, tmp_path / "in", [timed(r) for r in rows], schema))
+    out = run(S.buffer_stream(stream, ["k"], ["at_ms"], "at", "30 seconds"), tmp_path).collect()
+    assert sorted((r.k, r.event, *r.evicted) for r in out) == [(k, "deadline", *range(k * 100, k * 100 + 3)) for k in range(0, 40, 2)]
+    timers = spark.read.format("statestore").option("readRegisteredTimers", True).load(f"{tmp_path}/cp").collect()
+    assert len(timers) == 4
