@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,22 +60,26 @@ def _missing(x: object) -> bool:
     return x is None or x != x
 
 
+PACKET_COLUMNS = ("packet_no", "pts_ns", "duration_ns", "pull")
+
+
 class DrainedBuffer:
     """Step of a bounded buffer; state is the queue and the last time.
 
     A row with ``pull`` takes that many packets, one with ``packet_no`` puts a packet, and any other
     row leaves the buffer as it is.  A packet shorter than ``least_ns`` is rejected; with zero, instants are held.
+    The rows are a frame or arrays by name.
     """
 
     def __init__(self, max_ns: int = MAX_HELD_NS, max_rows: int = MAX_HELD_ROWS, least_ns: int = 1) -> None:
         self.max_ns, self.max_rows, self.least_ns = max_ns, max_rows, least_ns
 
-    def __call__(self, pdf: pd.DataFrame, state: object) -> tuple[dict[str, list], object]:
+    def __call__(self, pdf: pd.DataFrame | dict[str, np.ndarray], state: object) -> tuple[dict[str, list], object]:
         queue = deque(tuple(e) for e in state["queue"]) if state else deque()
         last = state["last"] if state else None
         held = sum(e[2] for e in queue)
         evicted, drained, pending = [], [], []
-        columns = (pdf[c].tolist() for c in ("packet_no", "pts_ns", "duration_ns", "pull"))
+        columns = (pdf[c].tolist() for c in PACKET_COLUMNS)
         for number, pts, duration, pull in zip(*columns, strict=True):
             gone, taken = [], []
             if not _missing(pull):

@@ -118,6 +118,10 @@ class KeyedStates:
         self.schema = schema
         self.rows = handle.getMapState(name, T.StructType([T.StructField(f"key_{i}", k.dataType) for i, k in enumerate(keys)]), schema)
 
+    def any(self) -> bool:
+        """Whether the group holds a state at all."""
+        return self.rows.exists()
+
     def load(self, key: tuple) -> dict | None:
         held = self.rows.getValue(key)
         return None if held is None else self._parts(held)

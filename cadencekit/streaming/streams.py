@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
-from cadencekit.operators.buffers import DRAIN_COLUMNS, DrainedBuffer
+from cadencekit.operators.buffers import DRAIN_COLUMNS, PACKET_COLUMNS, DrainedBuffer
 from cadencekit.session import checkpoint_base
 from cadencekit.streaming.state import KeyedStates, TypedState, WaitingRows, parts_by_key
 from cadencekit.streaming.steps import Cadence, Changes, Epochs, Increasing, PinnedEpoch
@@ -363,10 +363,13 @@ class BufferProcessor(_Keyed):
             self.stops.add(due.drop_duplicates())
             self.arm_next()
         pdf, parts = parts_by_key(pdf, self.keys)
+        # A key has few rows, of which slices of arrays cost less than those of a frame.
+        columns = {c: pdf[c].to_numpy() for c in PACKET_COLUMNS}
+        known = self.states.any()
         out = []
         for one, start, end in parts:
-            held = self.states.load(one)
-            added, state = self.step(pdf.iloc[start:end], held and held["buffer"])
+            held = self.states.load(one) if known else None
+            added, state = self.step({c: v[start:end] for c, v in columns.items()}, held and held["buffer"])
             self.states.save(one, {"buffer": state})
             changes = zip(*(added[n] for n in DRAIN_COLUMNS), strict=True)
             out += [(*one, "media", *change) for change in changes if change[0] or change[1]]
@@ -399,6 +402,8 @@ def buffer_stream(stream: DataFrame, keys: Sequence[str], by: Sequence[str], tim
     added = T.StructType.fromDDL("event string, " + ", ".join(f"{n} {t}" for n, t in DRAIN_COLUMNS.items()))
     schema = T.StructType([*fields, *added.fields])
     use_state_store(stream.sparkSession)
+    # Each column of a row costs time on its way to the worker.
+    stream = stream.select(*dict.fromkeys([*keys, *by, *([time] if time else []), *PACKET_COLUMNS, "stop_ms"]))
     timed = stream.withWatermark(time, delay) if time else stream
     return in_groups(timed, keys).groupBy(GROUP).transformWithStateInPandas(
         BufferProcessor(fields, by, step or DrainedBuffer(), deadline_ms, time is None, schema.names), schema,
